@@ -33,6 +33,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     block: Column | str,
+    /,
     **outs: tuple[str, Column],
 ) -> DataFrame:
     """Several running values at once, each ``name=(kind, value)``.
