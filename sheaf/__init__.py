@@ -4,12 +4,4 @@ Every operator is a function from DataFrames to a DataFrame.  Rules emit one
 common ``findings`` table; layouts, weights and texts are data in ``presets``.
 """
 
-import sys
-
-from pyspark import cloudpickle
-
 __version__ = "0.1.0"
-
-# The few Python functions that run in tasks travel by value, so executors
-# need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

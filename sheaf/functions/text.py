@@ -48,9 +48,16 @@ def header_key(c: Column) -> Column:
     return strip(F.translate(c, "\n　", "  "))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+def _normal_form(form: str):
+    # a nested function travels to the tasks by value: executors need no copy
+    # of this package
+    def normalise(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize(form, v))
+
+    return F.pandas_udf(normalise, T.StringType())
+
+
+nfkc = _normal_form("NFKC")
 
 
 def template_key(c: Column) -> Column:

@@ -6,7 +6,6 @@ capped before batching, so everything after ``cap_items`` is short per bundle.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -340,10 +339,14 @@ def cited_refs(returned: Column, canonical: Column) -> Column:
         joined = F.array_join(F.transform(a, lambda x: F.coalesce(x, F.lit("None"))), mark)
         return F.transform(F.split(X.nfkc(joined), mark), X.squeeze)
 
-    wanted = keys(F.coalesce(returned, F.array().cast("array<string>")))
-    paired = F.arrays_zip(canonical.alias("ref"), keys(canonical).alias("key"))
-    hit = F.transform(F.filter(paired, lambda p: F.array_contains(wanted, p["key"])), lambda p: p["ref"])
-    some = (F.size(F.coalesce(returned, F.array().cast("array<string>"))) > 0) & (F.size(hit) > 0)
+    given = F.coalesce(returned, F.array().cast("array<string>"))
+    # the wanted keys ride along with each reference: a lambda body may not
+    # contain the Python normaliser
+    paired = F.arrays_zip(
+        canonical.alias("ref"), keys(canonical).alias("key"), F.array_repeat(keys(given), F.size(canonical)).alias("wanted")
+    )
+    hit = F.transform(F.filter(paired, lambda p: F.array_contains(p["wanted"], p["key"])), lambda p: p["ref"])
+    some = (F.size(given) > 0) & (F.size(hit) > 0)
     return F.when(some, hit).otherwise(canonical)
 
 
@@ -541,10 +544,3 @@ def optional_branch(enabled: bool, bundles: DataFrame, fn: Callable[[], DataFram
         return fn()
     except Exception as exc:
         return emit(bundles, finding(skipped, stage, 0, error=F.lit(type(exc).__name__)))
-
-
-def json_payload(prompt: str) -> list[dict]:
-    """The payload list inside a prompt; for judges written in Python."""
-    return json.loads(prompt[prompt.index("[") : prompt.rindex("]") + 1])
-
-

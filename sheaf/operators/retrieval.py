@@ -20,10 +20,6 @@ MAX_QUERY_VALUES = 4_000_000
 _ROWS_PER_BATCH = 4096
 
 
-class EmbeddingError(RuntimeError):
-    """The model returned another number of vectors than texts."""
-
-
 def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = P.EMBED_BATCH, out: str = "embedding", isolate: bool = False) -> DataFrame:
     """Adds the vector of each text, asking the model for ``batch`` texts at a time.
 
@@ -41,7 +37,7 @@ def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = P.EMBED_BAT
                 try:
                     vectors = [list(map(float, v)) for v in embedder(rows[text].tolist())]
                     if len(vectors) != len(rows):
-                        raise EmbeddingError(f"{len(rows)} texts, {len(vectors)} vectors")
+                        raise ValueError(f"{len(rows)} texts, {len(vectors)} vectors")
                 except Exception as exc:
                     if not isolate:
                         raise
@@ -54,19 +50,6 @@ def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = P.EMBED_BAT
     return df.mapInPandas(run, schema)
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
-def _best(k: int, query: np.ndarray, names: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The k highest scores of each query; equal scores go by id."""
-    order = np.lexsort((names, -score, query))
-    query, names, score = query[order], names[order], score[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    return tuple(c[place < k] for c in (query, names, score))
-
-
 def cosine_topk(
     queries: DataFrame,
     vectors: DataFrame,
@@ -110,22 +93,34 @@ def _empty(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str
 def _topk_bounded(q: DataFrame, vectors: DataFrame, k: int, vector_id: str, embedding: str) -> DataFrame:
     spark = q.sparkSession
     local = q.toPandas()
-    shared = spark.sparkContext.broadcast(
-        (local["query_id"].to_numpy(), _unit(np.array(local["e"].tolist(), dtype=np.float64).reshape(len(local), -1)))
-    )
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        m = np.array(rows.tolist(), dtype=np.float64)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def best(query: np.ndarray, names: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The k highest scores of each query; equal scores go by id."""
+        order = np.lexsort((names, -score, query))
+        query, names, score = query[order], names[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        return tuple(c[place < k] for c in (query, names, score))
+
+    shared = spark.sparkContext.broadcast((local["query_id"].to_numpy(), unit(local["e"])))
+    most = _ROWS_PER_BATCH
     schema = (
         f"query_id {q.schema['query_id'].dataType.simpleString()}, "
         f"id {vectors.schema[vector_id].dataType.simpleString()}, score double"
     )
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, unit = shared.value
-        step = max(64, min(_ROWS_PER_BATCH, 8_000_000 // len(ids)))
+        ids, wanted = shared.value
+        step = max(64, min(most, 8_000_000 // len(ids)))
         kept = None  # query number, vector id, score: the best k of each query so far
         for frame in frames:
             for at in range(0, len(frame), step):
                 rows = frame.iloc[at : at + step]
-                score = np.round(unit @ _unit(np.array(rows["e"].tolist(), dtype=np.float64)).T, 12)
+                score = np.round(wanted @ unit(rows["e"]).T, 12)
                 if score.shape[1] > k:
                     query, col = np.nonzero(score >= np.partition(score, -k, axis=1)[:, -k, None])
                 else:
@@ -133,7 +128,7 @@ def _topk_bounded(q: DataFrame, vectors: DataFrame, k: int, vector_id: str, embe
                 names = rows["id"].to_numpy()
                 names = names.astype(str) if names.dtype == object else names
                 found = (query, names[col], score[query, col])
-                kept = _best(k, *(found if kept is None else map(np.concatenate, zip(kept, found))))
+                kept = best(*(found if kept is None else map(np.concatenate, zip(kept, found))))
         if kept is not None:
             yield pd.DataFrame({"query_id": ids[kept[0]], "id": kept[1], "score": kept[2]})
 

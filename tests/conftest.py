@@ -1,9 +1,13 @@
+import os
 import pathlib
 import sys
 
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
+HERE = pathlib.Path(__file__).resolve().parent
+sys.path.insert(0, str(HERE.parent))
+# the tests' own judges and embedders live in test modules
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE), str(HERE.parent), os.environ.get("PYTHONPATH", "")])
 
 from sheaf.functions.session import builder  # noqa: E402
 
