@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sheaf import presets as P
 from sheaf.functions import text as X
+from sheaf.functions.session import materialise
 from sheaf.operators import scan
 
 # ---- cleaning --------------------------------------------------------------
@@ -359,7 +360,8 @@ def chunk_documents(page_lines: DataFrame, docs: DataFrame, registry: dict[str,
     styles = X.lookup_map(P.REGULATIONS if registry is None else registry)
     known = docs.withColumn("style", styles[F.col("reg_code")]).filter(F.col("style").isNotNull())
     wanted = page_lines.join(known.select("doc_id"), "doc_id", "left_semi")
-    lines = clean_pages(wanted, known)
+    # both styles read the clean lines; cleaning runs once
+    lines = materialise(clean_pages(wanted, known))
     article, chapter = (known.filter(F.col("style") == s) for s in ("article", "chapter"))
     return chunk_articles(
         lines.join(article.select("doc_id"), "doc_id", "left_semi"), article

@@ -280,8 +280,8 @@ class Inputs:
     def page_docs(self) -> DataFrame:
         return self.table("documents").groupBy(F.col("source").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_pages"))
 
-    def outline_lines(self) -> DataFrame:
-        """All lines of a source in one stream, with headings by position."""
+    def headed_lines(self) -> DataFrame:
+        """The page lines with outline headings by position."""
         one = F.substr(F.lit(_DIGITS), (F.col("page_no") % 10 + 1).cast("int"), F.lit(1))
         two = F.substr(F.lit(_DIGITS), (F.col("line_no") % 7 + 1).cast("int"), F.lit(1))
         line = (
@@ -290,4 +290,8 @@ class Inputs:
             .when(F.col("line_no") % 4 == 2, F.concat(F.col("line_no").cast("string"), F.lit(". "), F.col("line")))
             .otherwise(F.col("line"))
         )
-        return self.page_lines().select("doc_id", (F.col("page_no") * 100000 + F.col("line_no")).alias("line_no"), line.alias("line"))
+        return self.page_lines().withColumn("line", line)
+
+    def outline_lines(self) -> DataFrame:
+        """All headed lines of a source in one stream."""
+        return self.headed_lines().select("doc_id", (F.col("page_no") * 100000 + F.col("line_no")).alias("line_no"), "line")
