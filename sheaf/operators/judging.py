@@ -489,8 +489,8 @@ def evidence_review(items: DataFrame, judge: Judge, template: str, max_items: in
     """All findings of the evidence judge."""
     capped, truncated = cap_items(judge_targets(items), max_items)
     batched = assign_batches(evidence_payloads(capped), batch)
-    # the calls must not repeat for each table made from their answers
-    judged = judged_items(batched, materialise(run_judge(prompts(batched, template), judge)))
+    # neither the calls nor the joins repeat for each table made from them
+    judged = materialise(judged_items(batched, materialise(run_judge(prompts(batched, template), judge))))
     return evidence_outcome(judged, truncated, max_items)
 
 
@@ -515,7 +515,7 @@ def compliance_review(
     capped, truncated = cap_items(judge_targets(items, canonical), max_items)
     batched = split_over_budget(assign_batches(payloads(capped, canonical), batch), overhead=overhead)
     answers = materialise(run_judge(prompts(batched, template), judge))
-    judged = with_compliance(judged_items(batched, answers))
+    judged = materialise(with_compliance(judged_items(batched, answers)))
     return template_drift(capped, canonical).unionByName(compliance_outcome(judged, truncated))
 
 

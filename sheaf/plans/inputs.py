@@ -139,6 +139,24 @@ INPUTS: dict[str, str] = {
         SELECT doc_id, CAST(3 AS BIGINT), 'd' || {_n("doc_id")},
                {_case("doc_id % 4", ["可解釋性", "r07 report ", "委託 ", "notes "])} || source || '.' || lang, ''
         FROM documents""",
+    # ---- items a judge reads: documents of a source, with their labels ----
+    "judge_items": f"""
+        SELECT source AS bundle_id, doc_id AS row_index, {_n("CAST(floor(doc_id / 10) AS BIGINT) + 1")} || '-' || {_n("doc_id % 10 + 1")} AS item_id,
+               CASE WHEN doc_id % 7 <> 0 THEN lang END AS topic, 'desc ' || lang AS description,
+               CASE WHEN n_chars % 5 <> 0 THEN text END AS evidence_proposal, CASE WHEN n_chars % 3 = 0 THEN text END AS evidence_golive,
+               'R03/五/' || lang AS regulation_ref_raw
+        FROM documents""",
+    "judge_labels": "SELECT doc_id AS row_index, quality = 0 AS weak, toxic = 1 AS differs FROM labels",
+    # answers of all shapes: plain, fenced, a list, prose, another object, cut off
+    "answer_texts": f"""
+        SELECT event_id, CASE event_id % 6
+          WHEN 0 THEN ' {{"results":[{{"item_id":"a","p":' || props || '}}]}} '
+          WHEN 1 THEN 'Here: ```json {{"results":[{{"item_id":"a"}},{{"item_id":' || {_n("event_id")} || '}}]}} ``` done }}'
+          WHEN 2 THEN '[{{"results":[' || props || ']}}]'
+          WHEN 3 THEN event_type || ' without json'
+          WHEN 4 THEN '{{"results":"' || event_type || '"}}'
+          ELSE '{{"results":[{{"item_id":"a"' END AS answer
+        FROM events""",
     # ---- regulation items and sections ----
     "ref_texts": f"""
         SELECT page_id AS item_id,
