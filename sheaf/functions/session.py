@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Computes a table once, in the shared checkpoint folder.
+def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Computes a table once and reads it back from the shared folder.
 
-    For tables many later steps read, and for calls out of Spark that must not
-    repeat.  The copy outlives lost executors.
+    For tables that many later steps read, and for calls out of Spark that
+    must not repeat.  The copy outlives lost executors and keeps column
+    pruning, filter pushdown and size statistics.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.select(*df.columns)

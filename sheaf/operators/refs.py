@@ -67,9 +67,24 @@ def lookup(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     regulation, so the prefix search is an equi-join on (code, path): it
     spreads a hot regulation by path and needs no pairwise comparison.
     """
+    return wanted.join(_listed(chunks), ["reg_code", "section_path_prefix"])
+
+
+def _listed(chunks: DataFrame) -> DataFrame:
     under = F.concat(F.array(F.lit("")), X.ancestors(F.col("section_path")))
-    listed = chunks.withColumn("section_path_prefix", F.explode(under))
-    return wanted.join(listed, ["reg_code", "section_path_prefix"])
+    return chunks.withColumn("section_path_prefix", F.explode(under))
+
+
+def lookup_first(chunks: DataFrame, wanted: DataFrame, n: int = P.PER_REF_CAP) -> DataFrame:
+    """``lookup`` with only the first ``n`` chunks of each wanted path.
+
+    The first chunks are found once per (code, path), with the limit also
+    before the shuffle; however many references name a whole regulation, each
+    joins at most ``n`` rows.
+    """
+    order = Window.partitionBy("reg_code", "section_path_prefix").orderBy("order", "chunk_id")
+    first = _listed(chunks).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
+    return wanted.join(first, ["reg_code", "section_path_prefix"])
 
 
 def prefix_match(refs: DataFrame, chunks: DataFrame) -> DataFrame:

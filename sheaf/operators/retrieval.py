@@ -165,7 +165,7 @@ def curated_sections(items: DataFrame, chunks: DataFrame, key: str = "item_id",
     Two references of an item to one section list it twice.
     """
     parsed = R.parse_refs(items, [key], raw)
-    found = R.cap_per_ref(R.lookup(chunks, parsed), [key, "ref_idx"], cap)
+    found = R.lookup_first(chunks, parsed, cap)
     pos = F.col("ref_idx").cast("bigint") * 1000 + F.col("pos")
     return found.select(F.col(key).alias("key"), pos.alias("pos"), *_section("curated", F.lit(None)))
 

@@ -753,7 +753,12 @@ def first_wins_stream(x: Inputs) -> DataFrame:
     return x.spark.read.parquet(f"{where}/out").groupBy(KEY, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("review_stream", "STR-01")
+@query(
+    "review_stream", "STR-01",
+    """SELECT code, count(*) AS n FROM (
+         SELECT * FROM review_found_x UNION ALL SELECT bundle_id, 'CLASSIFY.SUMMARY' FROM universe_x
+         UNION ALL SELECT bundle_id, 'SUBMISSION.OK' FROM universe_x WHERE bundle_id NOT IN (SELECT bundle_id FROM review_found_x WHERE code <> 'F03.EVIDENCE_MISSING_GOLIVE')) GROUP BY code""",
+)
 def review_stream_query(x: Inputs) -> DataFrame:
     """Questionnaire files arriving as a stream, reviewed batch by batch."""
     where = f"{checkpoint_dir(x.spark)}/stream-{uuid.uuid4()}"

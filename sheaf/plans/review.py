@@ -70,10 +70,12 @@ def parse_bundles(files: DataFrame, cells: DataFrame, overrides: DataFrame | Non
     if confirmed or overrides is not None:
         classified = classify.apply_overrides(classified, overrides)
     bundles = files.select(KEY).distinct()
-    forms = classify.route(classified).filter(F.col("role") == "winner").drop("role", "winner_idx", "winner_filename")
-    own = materialise(form_cells(cells, forms))
+    # the tables that many checks read are computed once
+    forms = classify.route(classified).filter(F.col("role") == "winner")
+    forms = materialise(forms.drop("role", "winner_idx", "winner_filename"))
+    own = materialise(form_cells(cells, forms), "sheet")
     ok = {kind: rules.readable_forms(forms, kind).select(KEY) for kind in _KIND_SHEETS}
-    rows = layout.f01_rows(own)
+    rows = materialise(layout.f01_rows(own))
     scored = materialise(f02_scored(own, ok["f02"]))
     risk = scored.select(KEY, "risk_score", "risk_grade", "filing_unit")
     return {
@@ -150,15 +152,11 @@ def review_bundles(
     before the all-clear decision.
     """
     t = parse_bundles(files, cells, overrides, confirmed)
-    found = rule_findings(t)
-    for more in (judge_findings(t, judges) if judges else None, extra):
-        if more is not None:
-            found = found.unionByName(more)
-    found = materialise(found)
-    clear = found.unionByName(rules.all_clear(t["bundles"], found, "none"))
-    merged = materialise(report.merge_findings(t["bundles"], clear, classify.classification_findings(t["classified"])))
-    t["findings"] = merged
-    t["reports"] = report.report_counts(t["bundles"], merged)
+    found = [rule_findings(t), classify.classification_findings(t["classified"])]
+    found += [more for more in (judge_findings(t, judges) if judges else None, extra) if more is not None]
+    every = materialise(report.union_findings(found))
+    t["findings"] = every.unionByName(rules.all_clear(t["bundles"], every, "no_problem"))
+    t["reports"] = report.report_counts(t["bundles"], t["findings"])
     return t
 
 

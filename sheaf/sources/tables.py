@@ -27,6 +27,12 @@ class RetrievalMapError(RuntimeError):
     """A retrieval map is missing, broken, or of another version."""
 
 
+def _bounded(entries: DataFrame) -> None:
+    """Refuses to put a large table into one map value."""
+    if entries.limit(MAX_MAP_ENTRIES + 1).count() > MAX_MAP_ENTRIES:
+        raise ValueError(f"more than {MAX_MAP_ENTRIES} entries: keep them as a table")
+
+
 # ---- forms and files -------------------------------------------------------
 
 
@@ -117,9 +123,11 @@ def index_meta(chunks: DataFrame, sources: DataFrame, model: str, dim: int, buil
     """One row: model, dimension, chunk counts per code, source hashes.
 
     ``sources(filename, content)`` is read as binary files.  Both maps have
-    one entry per registered document.
+    one entry per registered document; a larger number is refused.
     """
     built_at = built_at or datetime.datetime.now(datetime.timezone.utc).isoformat()
+    for part in (chunks.select("reg_code").distinct(), sources.select("filename")):
+        _bounded(part)
 
     def as_map(df: DataFrame, k: str, v: Column, name: str) -> DataFrame:
         return df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(k, v.alias("v"))))).alias(name))
@@ -189,8 +197,7 @@ def write_retrieval_map(by_item: DataFrame, by_question: DataFrame, path: str, m
     """
     built_at = built_at or datetime.datetime.now(datetime.timezone.utc).isoformat()
     for part in (by_item, by_question):
-        if part.limit(MAX_MAP_ENTRIES + 1).count() > MAX_MAP_ENTRIES:
-            raise ValueError(f"more than {MAX_MAP_ENTRIES} entries: keep the sections as a table")
+        _bounded(part)
 
     def as_map(df: DataFrame, name: str) -> DataFrame:
         entries = F.map_from_entries(F.collect_list(F.struct("key", "value")))
