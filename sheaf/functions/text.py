@@ -10,9 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# White space as the forms' authors mean it: Unicode white space plus the
+# All characters that count as white space: the Unicode white space and the
 # four ASCII separators.
-_WS = r"[\s\x1c-\x1f]"
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_WS = f"[{_BLANKS}]"
 
 
 def pattern(regex: str) -> str:
@@ -21,7 +25,7 @@ def pattern(regex: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def clean(c: Column) -> Column:
@@ -31,7 +35,7 @@ def clean(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Inner runs of white space become one blank, outer ones vanish."""
-    return F.regexp_replace(strip(c), f"(?U){_WS}+", " ")
+    return F.regexp_replace(strip(c), f"{_WS}+", " ")
 
 
 def casefold(c: Column) -> Column:
@@ -40,7 +44,7 @@ def casefold(c: Column) -> Column:
 
 def match_key(c: Column) -> Column:
     """Comparison key: no white space at all, case folded, blank is null."""
-    return F.nullif(casefold(F.regexp_replace(c, f"(?U){_WS}+", "")), F.lit(""))
+    return F.nullif(casefold(F.regexp_replace(c, f"{_WS}+", "")), F.lit(""))
 
 
 def header_key(c: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf import presets as P
@@ -64,17 +64,15 @@ def join_wrapped(
     Only within a page.  Output: (doc_id, page_no, line_no of the first piece,
     line).
     """
-    own = page_lines.select(
-        "doc_id", "page_no", "line_no", X.strip(F.col("line")).alias("line"), scan.blocks("line_no").alias("block")
-    ).filter(F.col("line") != "")
-    keys = ["doc_id", "page_no"]
-    flagged = scan.running(own, keys, ["line_no"], "block", prev=("previous", F.col("line")))
+    own = page_lines.select("doc_id", "page_no", "line_no", X.strip(F.col("line")).alias("line")).filter(F.col("line") != "")
     any_heading = X.pattern("|".join(f"(?:{h})" for h in headings))
-    starts = F.col("prev").isNull() | F.col("prev").rlike(X.pattern(tail)) | F.col("line").rlike(any_heading)
-    opened = flagged.select(*keys, "line_no", "line", "block", F.when(starts, F.col("line_no")).alias("start"))
-    first = scan.running(opened, keys, ["line_no"], "block", first=("max", F.col("start")))
+    # a page is one record of its source, so its lines fit one task
+    page = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
+    before = F.lag("line").over(page)
+    starts = before.isNull() | before.rlike(X.pattern(tail)) | F.col("line").rlike(any_heading)
+    first = own.withColumn("__start", F.when(starts, F.col("line_no"))).withColumn("__first", F.max("__start").over(page))
     pieces = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    return first.groupBy(*keys, F.col("first").alias("line_no")).agg(
+    return first.groupBy("doc_id", "page_no", F.col("__first").alias("line_no")).agg(
         F.array_join(F.transform(pieces, lambda p: p["line"]), sep).alias("line")
     )
 
@@ -139,7 +137,8 @@ def chunk_articles(lines: DataFrame, docs: DataFrame, head: str = P.ARTICLE_HEAD
 
 
 def tag_outline(lines: DataFrame, heads: Sequence[str] = tuple(P.OUTLINE_HEADS), block: int = P.SCAN_BLOCK) -> DataFrame:
-    """For each line the heading lines it stands under: ``l1``, ``l2``, ``l3``.
+    """For each line the heading lines it stands under: ``l1``, ``l2``, ``l3``,
+    and the text of its level-1 heading.
 
     The latest heading line of each level is a running maximum of the line
     number.  A level counts only below an open upper level: its heading must
@@ -152,6 +151,7 @@ def tag_outline(lines: DataFrame, heads: Sequence[str] = tuple(P.OUTLINE_HEADS),
     latest = scan.running(
         own, ["doc_id"], ["line_no"], scan.blocks("line_no", block),
         l1=("max", F.when(one, at)),
+        l1_line=("last", F.when(one, F.col("line"))),
         __l2=("max", F.when(two & ~one, at)),
         __l3=("max", F.when(three & ~one & ~two, at)),
     ).filter(F.col("l1").isNotNull())
@@ -176,7 +176,7 @@ def outline_nodes(tagged: DataFrame, heads: Sequence[str] = tuple(P.OUTLINE_HEAD
     content = F.when(F.col("level") == 3, F.regexp_extract(line, rules[2], 2)).otherwise(line)
     not_heading = F.when(F.col("level").isin(0, 3), line)
     small = tagged.groupBy("doc_id", "l1", "l2", "l3").agg(
-        F.max(F.when(F.col("level") == 1, line)).alias("l1_line"),
+        F.max("l1_line").alias("l1_line"),
         F.max(F.when(F.col("level") == 2, line)).alias("l2_line"),
         F.max(F.when(F.col("level") == 3, F.regexp_extract(line, rules[2], 1))).alias("num"),
         F.count_if(not_heading.isNotNull()).alias("n_lines"),
@@ -201,19 +201,21 @@ def outline_nodes(tagged: DataFrame, heads: Sequence[str] = tuple(P.OUTLINE_HEAD
 def fold_pure_titles(nodes: DataFrame, min_chars: int = P.PURE_TITLE_CHARS) -> DataFrame:
     """Short level-2 headings without any text join their level-1 intro.
 
-    Where the level-1 node has no intro they are dropped.
+    Where the level-1 node has no intro they are dropped.  Bare headings are
+    grouped with their level-1 node, all other nodes stay by themselves: one
+    aggregation, no join.
     """
     bare = F.col("l2").isNotNull() & (F.length("l2_line") < min_chars) & F.col("intro").isNull() & (F.size("items") == 0)
-    marked = nodes.withColumn("__bare", bare)
-    titles = marked.filter("__bare").groupBy("doc_id", "l1").agg(
-        _ordered((F.col("l2"), F.col("l2_line"))).alias("__titles")
+    marked = nodes.withColumn("__bare", bare).withColumn("__own", F.when(~F.col("__bare"), F.col("l2")))
+    kept = F.when(~F.col("__bare"), F.struct("l2_line", "intro", "inline", "items"))
+    folded = marked.groupBy("doc_id", "l1", F.col("__own").alias("l2")).agg(
+        F.max("l1_line").alias("l1_line"),
+        F.first(kept, ignorenulls=True).alias("k"),
+        _ordered((F.col("l2"), F.when(F.col("__bare"), F.col("l2_line")))).alias("titles"),
     )
-    kept = marked.filter(~F.col("__bare")).drop("__bare")
-    folded = kept.join(titles, ["doc_id", "l1"], "left")
-    own_intro = F.col("l2").isNull() & F.col("intro").isNotNull()
-    return folded.withColumn(
-        "intro", F.when(own_intro, F.concat_ws("\n", "intro", "__titles")).otherwise(F.col("intro"))
-    ).drop("__titles")
+    top = F.col("l2").isNull()
+    intro = F.when(top & F.col("k.intro").isNotNull() & (F.col("titles") != ""), F.concat_ws("\n", "k.intro", "titles"))
+    return folded.select("doc_id", "l1", "l2", "l1_line", "k.l2_line", F.coalesce(intro, F.col("k.intro")).alias("intro"), "k.inline", "k.items")
 
 
 def chunk_outline(
@@ -229,15 +231,13 @@ def chunk_outline(
     rules = [X.pattern(h) for h in heads]
     tagged = tag_outline(lines, heads, block)
     nodes = fold_pure_titles(outline_nodes(tagged, heads), min_chars)
-    # the level-1 heading is on the l2-less node, which always exists
-    tops = nodes.filter(F.col("l2").isNull()).select(
-        "doc_id", "l1",
-        F.regexp_extract("l1_line", rules[0], 1).alias("n1"),
-        X.strip(F.regexp_extract("l1_line", rules[0], 2)).alias("t1"),
+    node = (
+        nodes.withColumn("n1", F.regexp_extract("l1_line", rules[0], 1))
+        .withColumn("t1", X.strip(F.regexp_extract("l1_line", rules[0], 2)))
+        .withColumn("bc1", X.fill("{n}、{t}", n=F.col("n1"), t=F.col("t1")))
     )
     n2 = F.regexp_extract("l2_line", rules[1], 1)
     t2 = X.strip(F.regexp_extract("l2_line", rules[1], 2))
-    node = nodes.drop("l1_line").join(tops, ["doc_id", "l1"]).withColumn("bc1", X.fill("{n}、{t}", n=F.col("n1"), t=F.col("t1")))
     path2 = X.fill("{a}/({b})", a=F.col("n1"), b=n2)
     bc2 = X.fill("{a}>({b}){t}", a=F.col("bc1"), b=n2, t=t2)
     text = "string"
@@ -275,7 +275,8 @@ def chunk_outline(
         "doc_id", "first_line", "rank", "section_path", "title", "breadcrumb", F.posexplode(parts).alias("chunk_seq", "body")
     )
     named = split.join(docs.select("doc_id", "reg_code", "reg_title"), "doc_id")
-    return with_chunk_ids(with_doc_order(named, block))
+    # numbering reads the chunks twice; they are made once
+    return with_chunk_ids(with_doc_order(materialise(named), block))
 
 
 # ---- sentences -------------------------------------------------------------
@@ -292,34 +293,14 @@ def split_sentences(body: Column, sep: str = P.SENTENCE_END) -> Column:
 def pack_sentences(body: Column, max_chars: int = P.MAX_BODY_CHARS, sep: str = P.SENTENCE_END) -> Column:
     """Greedy packing: a piece is closed when the next sentence would overflow it.
 
-    A sentence is never cut.  The fold carries piece positions only; the texts
-    are cut out of the body at the end.
+    A sentence is never cut.  From any sentence start the next piece is the
+    first of: the whole rest if it fits; the longest fitting text that ends a
+    sentence; one overlong sentence; the overlong rest.  One regular
+    expression says this and cuts a text in linear time.
     """
-
-    def piece(at: Column, n: Column) -> Column:
-        return F.struct(at.alias("at"), n.alias("n"))
-
-    start = F.struct(
-        F.array().cast("array<struct<at:int,n:int>>").alias("done"), F.lit(1).alias("at"), F.lit(0).alias("n")
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        size = F.length(s)
-        full = (acc["n"] > 0) & (acc["n"] + size > max_chars)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(acc["done"], F.array(piece(acc["at"], acc["n"]))).alias("done"),
-                (acc["at"] + acc["n"]).alias("at"),
-                size.alias("n"),
-            ),
-        ).otherwise(F.struct(acc["done"].alias("done"), acc["at"].alias("at"), (acc["n"] + size).alias("n")))
-
-    pieces = F.aggregate(
-        split_sentences(body, sep), start, step,
-        lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(piece(acc["at"], acc["n"])))).otherwise(acc["done"]),
-    )
-    return F.transform(pieces, lambda p: F.substr(body, p["at"], p["n"]))
+    end = "\\Q" + sep + "\\E"
+    piece = f"(?s).{{1,{max_chars}}}\\z|.{{0,{max_chars - len(sep)}}}{end}|.*?{end}|.+"
+    return F.regexp_extract_all(body, F.lit(piece), 0)
 
 
 # ---- ids, order, statistics ------------------------------------------------
