@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf import presets as P
+from sheaf.functions.findings import emit, finding
 from sheaf.functions.session import materialise
 from sheaf.operators import classify, judging, layout, report, rules, scoring
+from sheaf.sources import tables
 
 KEY = "bundle_id"
 QUESTION_IDS = [q[0] for q in P.QUESTIONS]
@@ -138,6 +140,20 @@ def judge_findings(t: dict[str, DataFrame], judges: Judges) -> DataFrame | None:
     return report.union_findings(parts) if parts else None
 
 
+def with_retrieval_map(bundles: DataFrame, path: str, judges: Judges) -> tuple[Judges, DataFrame | None]:
+    """Judges completed from a retrieval map document.
+
+    A map that cannot be read leaves the judges as they are and gives one
+    ``RAG.SKIPPED`` finding per bundle, to be passed on as ``extra``.
+    """
+    try:
+        items, questions = tables.load_retrieval_map(bundles.sparkSession, path)
+    except tables.RetrievalMapError as exc:
+        return judges, emit(bundles, finding("RAG.SKIPPED", "compliance", 0, error=F.lit(type(exc).__name__)))
+    canonical = items.select("item_id", "canonical_description", "canonical_ref_raw", "sections")
+    return replace(judges, canonical=canonical, question_sections=tables.flat_sections(questions, "qid")), None
+
+
 def review_bundles(
     files: DataFrame,
     cells: DataFrame,

@@ -37,9 +37,15 @@ def _bounded(entries: DataFrame) -> None:
 
 
 def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Cell grids with their fixed schema; parquet, json or csv."""
+    """Cell grids with their fixed schema; parquet, json or csv.
+
+    A cell text may hold line breaks, so a csv file is read as a whole by one
+    task; large inputs belong in parquet.
+    """
     reader = spark.read.schema(schemas.CELLS)
-    return reader.option("header", "true").csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    if fmt == "csv":
+        return reader.options(header="true", multiLine="true", quote='"', escape='"').csv(path)
+    return reader.format(fmt).load(path)
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
