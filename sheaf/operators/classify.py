@@ -74,7 +74,9 @@ def apply_overrides(classified: DataFrame, overrides: DataFrame | None = None) -
 def winners(classified: DataFrame) -> DataFrame:
     """First file of each form kind that has a path: an aggregation, no window."""
     forms = classified.filter(F.col("kind").isin(FORM_KINDS) & F.col("file_id").isNotNull())
-    return forms.groupBy(KEY, "kind").agg(F.min("file_idx").alias("winner_idx"))
+    return forms.groupBy(KEY, "kind").agg(
+        F.min("file_idx").alias("winner_idx"), F.min_by("filename", "file_idx").alias("winner_filename")
+    )
 
 
 def route(classified: DataFrame) -> DataFrame:
@@ -84,15 +86,10 @@ def route(classified: DataFrame) -> DataFrame:
     winner; after the winner it is a duplicate like any other.
     """
     forms = classified.filter(F.col("kind").isin(FORM_KINDS))
-    best = winners(classified)
-    named = (
-        best.join(classified.select(KEY, "kind", F.col("file_idx").alias("winner_idx"), F.col("filename").alias("winner_filename")),
-                  [KEY, "kind", "winner_idx"])
-    )
     role = F.when(F.col("file_idx") == F.col("winner_idx"), "winner").when(
         F.col("file_idx") > F.col("winner_idx"), "duplicate"
     )
-    return forms.join(named, [KEY, "kind"], "left").withColumn("role", role)
+    return forms.join(winners(classified), [KEY, "kind"], "left").withColumn("role", role)
 
 
 def duplicate_findings(routed: DataFrame) -> DataFrame:

@@ -129,8 +129,13 @@ def report_json(reports: DataFrame, findings: DataFrame, part: int = P.REPORT_PA
     lists = numbered.groupBy(KEY, F.floor(F.col("no") / part).cast("int").alias("part_no")).agg(ordered.alias("findings"))
     head = ["subject", "passed", "error_count", "warn_count", "info_count", "risk_score", "risk_grade"]
     none = F.array().cast(lists.schema["findings"].dataType)
-    joined = reports.join(lists, KEY, "left")
-    body = F.struct(F.lit(form_type).alias("form_type"), *head, F.coalesce("findings", none).alias("findings"))
+    # an inner join, which adaptive execution can split for a bundle of many
+    # parts; bundles without findings follow
+    bare = reports.join(findings.select(KEY), KEY, "left_anti")
+    joined = lists.join(reports, KEY).unionByName(
+        bare.withColumn("part_no", F.lit(0)).withColumn("findings", none)
+    )
+    body = F.struct(F.lit(form_type).alias("form_type"), *head, "findings")
     return joined.select(
-        KEY, F.coalesce("part_no", F.lit(0)).alias("part_no"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json")
+        KEY, "part_no", F.to_json(body, {"ignoreNullFields": "false"}).alias("json")
     )

@@ -353,7 +353,11 @@ def comparison_findings(
 
 
 def internal_name_findings(sub_refs: DataFrame, rows: DataFrame, part: int = P.LIST_PART) -> DataFrame:
-    """Sub-sheet references that match no project name of the main sheet."""
+    """Sub-sheet references that match no project name of the main sheet.
+
+    Each finding shows the main sheet's names; more than ``part`` of them
+    continue in findings of their own.
+    """
     names = rows.filter(X.match_key(F.col("project_name")).isNotNull())
     bad = references_resolve(sub_refs, names, ref="corr_project_name", name="project_name")
     distinct = (
@@ -362,15 +366,18 @@ def internal_name_findings(sub_refs: DataFrame, rows: DataFrame, part: int = P.L
         .agg(F.min("row_index").alias("row_index"))
     )
     shown = _value_texts(distinct, "row_index", "names", part)
-    size = 1 << 20
-    order = (F.col("sheet_seq").cast("bigint") * size * size + F.col("row_index").cast("bigint")) * size + F.col("part_no")
-    return emit(
-        bad.join(shown, KEY),
+    first, rest = shown.filter(F.col("part_no") == 0), shown.filter(F.col("part_no") > 0)
+    order = F.col("sheet_seq").cast("bigint") * (1 << 32) + F.col("row_index")
+    each = emit(
+        bad.join(first, KEY),
         finding(
             "CROSS.F01_INTERNAL_NAME", "cross", 2, order,
             sheet=F.col("sheet"), line=F.col("row_index"), name=F.col("corr_project_name"), names=F.col("names"),
         ),
     )
+    # the names beyond the first part are listed once per bundle, not per reference
+    more = finding("CROSS.F01_INTERNAL_NAMES", "cross", 3, F.col("part_no"), code="CROSS.F01_INTERNAL_NAME", names=F.col("names"))
+    return each.unionByName(emit(rest, more))
 
 
 def cross_findings(f01_rows: DataFrame, sub_refs: DataFrame, identity: DataFrame, f02: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def parse_bundles(files: DataFrame, cells: DataFrame, overrides: DataFrame | Non
         "f01_sub_refs": layout.f01_sub_refs(own),
         "f02": scored,
         "f03_identity": layout.f03_identity(own, ok["f03"]),
-        "f03_items": layout.f03_items(own).join(ok["f03"], KEY, "left_semi"),
+        "f03_items": materialise(layout.f03_items(own).join(ok["f03"], KEY, "left_semi")),
     }
 
 

@@ -510,6 +510,13 @@ FINDINGS = {
         expected="{names}",
         actual="{name}",
     ),
+    "CROSS.F01_INTERNAL_NAMES": dict(
+        severity="warn",
+        title="F01 內部專案名稱對不上（續）",
+        message="主表專案/服務名稱（續）：{names}。",
+        location="主表",
+        expected="{names}",
+    ),
     "SUBMISSION.OK": dict(
         severity="info",
         title="送件包規則檢查未發現問題",

@@ -18,18 +18,26 @@ def read_files(spark, path: str, max_files: int = 1000) -> DataFrame:
     return spark.readStream.schema(schemas.FILES).option("maxFilesPerTrigger", max_files).json(path)
 
 
-def review_stream(files: DataFrame, cells_path: str, out: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
+def review_stream(
+    files: DataFrame, cells_path: str, out: str, checkpoint: str, fmt: str = "parquet", partition: str | None = None
+) -> StreamingQuery:
     """Reviews the bundles of each micro-batch with the batch code.
 
-    Output folders are named by batch id and overwritten, so a batch that is
+    ``partition`` names a column, such as the arrival day, that the files rows
+    carry and the cells are partitioned by: a batch then reads only its own
+    partitions of the cells.  Without it every batch scans all cells.  Output
+    folders are named by batch id and overwritten, so a batch that is
     run again after a failure gives the same result once.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        cells = spark.read.schema(schemas.CELLS + (f", {partition} string" if partition else "")).format(fmt).load(cells_path)
         # only the cells of the bundles that arrived
-        cells = spark.read.schema(schemas.CELLS).format(fmt).load(cells_path)
-        own = cells.join(batch.select(KEY).distinct(), KEY, "left_semi")
+        keys = [KEY] if partition is None else [partition, KEY]
+        if partition is not None:
+            cells = cells.filter(F.col(partition).isin(_values(batch, partition)))
+        own = cells.join(batch.select(*keys).distinct(), keys, "left_semi")
         done = review_bundles(batch, own)
         for name in ("findings", "reports"):
             done[name].write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
@@ -42,6 +50,14 @@ def review_stream(files: DataFrame, cells_path: str, out: str, checkpoint: str,
     )
 
 
+def _values(batch: DataFrame, column: str, limit: int = 10_000) -> list[str]:
+    """The few distinct partition values of a micro-batch."""
+    found = batch.select(column).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} values of {column} in one batch")
+    return [r[0] for r in found]
+
+
 def first_wins_stream(files: DataFrame, delay: str = "1 day", arrived: str = "arrived") -> DataFrame:
     """The first file of each (bundle, form kind) across micro-batches.
 

@@ -150,3 +150,26 @@ def test_routing_prefers_files_with_a_path(spark):
 
 def test_schema_texts(spark):
     assert spark.createDataFrame([], schemas.CHUNKS).columns[-1] == "chunk_id"
+
+
+def test_stream_reads_its_partitions_only(spark, tmp_path, bundle):
+    files, cells = bundle.tables(spark)
+    day = F.when(F.col("bundle_id") == "a", "d1").otherwise("d2")
+    for name in ("a", "b"):
+        files.filter(F.col("bundle_id") == name).withColumn("day", day).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    cells.withColumn("day", day).write.partitionBy("day").parquet(str(tmp_path / "cells"))
+    stream = spark.readStream.schema(schemas.FILES + ", day string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    review_stream.review_stream(stream, str(tmp_path / "cells"), str(tmp_path / "out"), str(tmp_path / "state"), partition="day").awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "findings"))
+    want = review.review_bundles(files, cells)["findings"]
+    assert sorted(r[0] for r in got.select("code").collect()) == sorted(r[0] for r in want.select("code").collect())
+
+
+def test_long_name_lists_continue(spark):
+    from sheaf.operators import rules
+
+    names = spark.createDataFrame([("x", i, f"P{i}") for i in range(5)], "bundle_id string, row_index int, project_name string")
+    subs = spark.createDataFrame([("x", "資料", 0, 4, "Q"), ("x", "模型", 1, 4, "p1")], "bundle_id string, sheet string, sheet_seq int, row_index int, corr_project_name string")
+    got = rules.internal_name_findings(subs, names, part=2).orderBy("rule_seq", "row_seq").collect()
+    assert [(r["location"], r["expected"]) for r in got] == [("主表 / 資料第4列", "P0、P1"), ("主表", "P2、P3"), ("主表", "P4")]
+    assert {r["code"] for r in got} == {"CROSS.F01_INTERNAL_NAME"}
