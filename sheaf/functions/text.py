@@ -88,7 +88,7 @@ def to_number(c: Column) -> Column:
 
 def suffix(c: Column) -> Column:
     """Lower-case file suffix with its dot; a leading dot starts no suffix."""
-    return F.lower(F.regexp_extract(basename(c), r"(?s)[^.].*?(\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(basename(c), r"(?s)^.+(\.[^.]+)$", 1))
 
 
 def basename(c: Column) -> Column:
@@ -157,7 +157,7 @@ def ancestors(c: Column) -> Column:
 def display_ref(code: Column, path: Column) -> Column:
     """``五/(二)/2`` -> ``R03 五、(二) 2``; one part is shown as it is."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    first = F.element_at(parts, 1)
+    first = F.get(parts, F.lit(0))
     rest = F.transform(
         F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
         lambda p, i: F.when(p.startswith("(") | (i == 0), p).otherwise(F.concat(F.lit(" "), p)),

@@ -53,22 +53,25 @@ def classify_files(files: DataFrame, signatures: list[tuple] | None = None) -> D
     return files.withColumns({"kind": kind, "matched_sheet": matched, "reason": reason})
 
 
-def apply_overrides(classified: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def confirmed_kinds(classified: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """A reader's own choice per file replaces the kind.
 
-    Unrecognised files default to ``ignore``, and ignored files drop out.
+    Unrecognised files default to ``ignore``.
     """
     default = F.when(F.col("kind") == "unknown", "ignore").otherwise(F.col("kind"))
     if overrides is None:
-        chosen = classified.withColumn("kind", default)
-    else:
-        pick = overrides.select(KEY, "file_idx", F.col("kind").alias("__override"))
-        chosen = (
-            classified.join(pick, [KEY, "file_idx"], "left")
-            .withColumn("kind", F.coalesce("__override", default))
-            .drop("__override")
-        )
-    return chosen.filter(F.col("kind") != "ignore")
+        return classified.withColumn("kind", default)
+    pick = overrides.select(KEY, "file_idx", F.col("kind").alias("__override"))
+    return (
+        classified.join(pick, [KEY, "file_idx"], "left")
+        .withColumn("kind", F.coalesce("__override", default))
+        .drop("__override")
+    )
+
+
+def apply_overrides(classified: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Files by their confirmed kinds; ignored ones drop out."""
+    return confirmed_kinds(classified, overrides).filter(F.col("kind") != "ignore")
 
 
 def winners(classified: DataFrame) -> DataFrame:
@@ -157,4 +160,5 @@ def preview_flags(classified: DataFrame) -> DataFrame:
 
 
 def kind_counts(files: DataFrame) -> DataFrame:
+    """Files per kind; over ``confirmed_kinds`` it counts ignored ones too."""
     return files.groupBy(KEY, "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -295,7 +295,7 @@ def extract_weights(cells: DataFrame) -> DataFrame:
         "row",
         "qid",
         F.regexp_extract("formula", rule, 1).alias("score_on"),
-        F.regexp_extract("formula", rule, 2).cast("int").alias("refrow"),
+        F.regexp_extract("formula", rule, 2).try_cast("int").alias("refrow"),
     )
     return parsed.join(_reference_values(cells), [KEY, "refrow"], "left").select(
         KEY, F.col("row").alias("q_seq"), "qid", "score_on", *[F.coalesce(d, F.lit(0.0)).alias(d) for d in P.DOMAINS]
@@ -311,7 +311,7 @@ def extract_factors(cells: DataFrame) -> DataFrame:
     ).select(
         KEY,
         X.lookup_map({str(k): v for k, v in named.items()})[F.col("row").cast("string")].alias("name"),
-        F.regexp_extract("formula", rule, 1).cast("int").alias("refrow"),
+        F.regexp_extract("formula", rule, 1).try_cast("int").alias("refrow"),
     )
     values = _reference_values(cells)
     multipliers = factors.join(values.select(KEY, "refrow", "finance"), [KEY, "refrow"], "left").select(

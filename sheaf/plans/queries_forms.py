@@ -324,9 +324,10 @@ def classify_priority(x: Inputs) -> DataFrame:
     return classify.classify_files(x.files()).select(KEY, "file_idx", "filename", "kind", "matched_sheet", "reason")
 
 
-EXPECTED["confirmed_x"] = """
-    SELECT * FROM (SELECT k.bundle_id, k.file_idx, k.filename, coalesce(o.kind, CASE WHEN k.kind = 'unknown' THEN 'ignore' ELSE k.kind END) AS kind
-    FROM kinds_x k LEFT JOIN event_overrides o USING (bundle_id, file_idx)) WHERE kind <> 'ignore'"""
+EXPECTED["chosen_x"] = """
+    SELECT k.bundle_id, k.file_idx, k.filename, coalesce(o.kind, CASE WHEN k.kind = 'unknown' THEN 'ignore' ELSE k.kind END) AS kind
+    FROM kinds_x k LEFT JOIN event_overrides o USING (bundle_id, file_idx)"""
+EXPECTED["confirmed_x"] = "SELECT * FROM chosen_x WHERE kind <> 'ignore'"
 
 
 @query("apply_overrides", "CLS-04", "SELECT bundle_id, file_idx, filename, kind FROM confirmed_x")
@@ -382,9 +383,9 @@ def preview_flags(x: Inputs) -> DataFrame:
     return classify.preview_flags(classify.classify_files(x.files())).select(KEY, "file_idx", "flag")
 
 
-@query("kind_counts", "CLS-10", "SELECT bundle_id, kind, count(*) AS n FROM confirmed_x GROUP BY bundle_id, kind")
+@query("kind_counts", "CLS-10", "SELECT bundle_id, kind, count(*) AS n FROM chosen_x GROUP BY bundle_id, kind")
 def kind_counts(x: Inputs) -> DataFrame:
-    return classify.kind_counts(classify.apply_overrides(classify.classify_files(x.files()), x.get("event_overrides")))
+    return classify.kind_counts(classify.confirmed_kinds(classify.classify_files(x.files()), x.get("event_overrides")))
 
 
 @query(
