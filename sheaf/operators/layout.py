@@ -16,13 +16,16 @@ KEY = "bundle_id"
 def pivot_rows(cells: DataFrame, columns: dict[str, str], keys: list[str], value: str = "value") -> DataFrame:
     """One row per grid row, one cleaned column per wanted letter.
 
-    The letters are a fixed list, so one hash aggregation with a map-side
-    combine does it; a repeated cell keeps its greatest value.
+    The letters are a fixed list, so one aggregation with a map-side combine
+    does it; a repeated cell keeps its greatest value.  Blank cells are left
+    out before the shuffle, so a row without any value is no row.
     """
-    wanted = cells.filter(F.col("col").isin(list(columns)))
-    v = X.clean(F.col(value))
-    return wanted.groupBy(*keys, "row").agg(
-        *[F.max(F.when(F.col("col") == letter, v)).alias(name) for letter, name in columns.items()]
+    cleaned = X.clean(F.col(value)).alias("__v")
+    wanted = cells.filter(F.col("col").isin(list(columns))).select(*keys, "row", "col", cleaned)
+    return (
+        wanted.filter(F.col("__v").isNotNull())
+        .groupBy(*keys, "row")
+        .agg(*[F.max(F.when(F.col("col") == letter, F.col("__v"))).alias(name) for letter, name in columns.items()])
     )
 
 
@@ -35,10 +38,7 @@ def f01_rows(
     """Main-sheet rows with at least one filled column."""
     columns = columns or P.F01_COLUMNS
     grid = cells.filter((F.col("sheet") == sheet) & (F.col("row") >= start))
-    rows = pivot_rows(grid, columns, [KEY])
-    return rows.filter(F.coalesce(*[F.col(c) for c in columns.values()]).isNotNull()).withColumnRenamed(
-        "row", "row_index"
-    )
+    return pivot_rows(grid, columns, [KEY]).withColumnRenamed("row", "row_index")
 
 
 def f01_sub_refs(cells: DataFrame, sheets: list[tuple] | None = None, markers: list[str] | None = None) -> DataFrame:
@@ -126,11 +126,8 @@ def fixed_cells(cells: DataFrame, spec: list[tuple] | None = None) -> DataFrame:
     any_cell = F.lit(False)
     for _, sheet, row, col in spec:
         any_cell = any_cell | at(sheet, row, col)
-    return (
-        cells.filter(any_cell)
-        .groupBy(KEY)
-        .agg(*[F.max(F.when(at(s, r, c), X.clean(F.col("value")))).alias(name) for name, s, r, c in spec])
-    )
+    few = cells.filter(any_cell).select(KEY, "sheet", "row", "col", X.clean(F.col("value")).alias("__v"))
+    return few.groupBy(KEY).agg(*[F.max(F.when(at(s, r, c), F.col("__v"))).alias(name) for name, s, r, c in spec])
 
 
 def cached_scores(fixed: DataFrame) -> DataFrame:

@@ -21,6 +21,9 @@ TABLES = (
 ).split()
 
 
+_LARGE = {"lineitem", "orders", "documents", "events"}
+
+
 def _case(expr: str, values: list[str]) -> str:
     return f"CASE {expr} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
@@ -215,7 +218,13 @@ class Inputs:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # one small file is one split: spread it, so that not one core does all
+        # the work; a table of many splits is read as it is
+        if name in _LARGE and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     def get(self, name: str) -> DataFrame:
         for t in _needed(with_inputs(INPUTS[name]), {t: "" for t in TABLES}):

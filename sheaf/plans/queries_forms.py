@@ -467,16 +467,21 @@ def wide_scores(x: Inputs) -> DataFrame:
 
 @query(
     "score_tolerance_diff", "SCR-08 RUL-12",
-    """SELECT o_orderkey, round(o_totalprice, 2) AS stored, round(s, 2) AS computed FROM orders JOIN
-       (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS s FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
-       WHERE abs(s - o_totalprice) > 0.5""",
+    """SELECT o_orderkey, o_totalprice AS stored, round(s, 6) AS computed FROM orders JOIN
+       (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(5, 2))) * (1 + CAST(l_tax AS DECIMAL(5, 2)))) AS DOUBLE) AS s
+        FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE abs(s - o_totalprice) > 0.5""",
 )
 def score_tolerance_diff(x: Inputs) -> DataFrame:
+    """Order totals against their lines, summed as exact decimals."""
     stored = x.table("orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    computed = x.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(price).alias("value"))
+
+    def exact(c: str, digits: int):
+        return F.col(c).cast(f"decimal({digits}, 2)")
+
+    price = exact("l_extendedprice", 12) * (1 - exact("l_discount", 5)) * (1 + exact("l_tax", 5))
+    computed = x.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(price).cast("double").alias("value"))
     out = rules.within_tolerance(stored, computed, ["o_orderkey"])
-    return out.select("o_orderkey", F.round("stored", 2).alias("stored"), F.round("computed", 2).alias("computed"))
+    return out.select("o_orderkey", "stored", F.round("computed", 6).alias("computed"))
 
 
 # ---- rules -----------------------------------------------------------------
