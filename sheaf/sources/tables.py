@@ -226,17 +226,19 @@ def load_retrieval_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
         raw = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
         top = raw.select(
             "value", F.json_object_keys("value").alias("keys"), F.get_json_object("value", "$.schema_version").alias("version"),
+            # a number, not a text that looks like it
+            F.col("value").rlike(rf'"schema_version"\s*:\s*{P.SCHEMA_VERSION}\s*[,}}]').alias("numeric"),
             F.from_json("value", schemas.RETRIEVAL_MAP).alias("m"),
             F.from_json("value", "f03_items map<string,string>, f02_questions map<string,string>").alias("parts"),
         )
-        found = top.select("keys", "version", _bad_keys(F.col("keys"), _TOP_KEYS).alias("bad"), F.col("m.built_at").alias("b")).first()
+        found = top.select("keys", "version", "numeric", _bad_keys(F.col("keys"), _TOP_KEYS).alias("bad"), F.col("m.built_at").alias("b")).first()
     except AnalysisException as exc:
         raise RetrievalMapError(f"no retrieval map at {path}") from exc
     if found is None:
         raise RetrievalMapError(f"empty retrieval map at {path}")
     if found["keys"] is None:
         raise RetrievalMapError(f"no JSON object at {path}")
-    if found["version"] != str(P.SCHEMA_VERSION):
+    if found["version"] != str(P.SCHEMA_VERSION) or not found["numeric"]:
         raise RetrievalMapError(f"version {found['version']} at {path}, expected {P.SCHEMA_VERSION}")
     if found["bad"]:
         raise RetrievalMapError(f"{found['bad']} unknown or missing keys at {path}")

@@ -260,6 +260,7 @@ def test_retrieval_map(spark, built, tmp_path):
     "text",
     [
         "not json", "[1]", '{"schema_version": 999, "built_at": "x", "embedding_model": "m"}',
+        '{"schema_version": "1", "built_at": "x", "embedding_model": "m"}',
         '{"schema_version": 1, "embedding_model": "m"}', '{"schema_version": 1, "built_at": "x", "embedding_model": "m", "more": 1}',
         '{"schema_version": 1, "built_at": "x", "embedding_model": "m", "f03_items": {"a": {"bad": 1}}}',
         '{"schema_version": 1, "built_at": "x", "embedding_model": "m", "f02_questions": {"a": {"qid": "a", "sections": [{"reg_code": "R01"}]}}}',
