@@ -32,8 +32,8 @@ _DIGITS = re.compile(r"[0-9]")
 # ---- fixed values: look-alikes of ASCII characters, by script, in the order of the ASCII ones ----
 _CYRILLIC = dict(zip("асеһіјкорѕтхуԁԛԝАВСЕНІЈКМОРЅТХ", "acehijkopstxydqwABCEHIJKMOPSTX"))
 _GREEK = dict(zip("ανορτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "avoptuikABEZHIKMNOPTYX"))
-_MARKS = {"。": ".", "․": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "﹢": "+"}
-_INVISIBLE = "­​‌‍⁠﻿"
+_MARKS = {"\u3002": ".", "\u2024": ".", "\u2010": "-", "\u2011": "-", "\u2013": "-", "\u2212": "-", "\ufe62": "+"}
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
@@ -43,7 +43,7 @@ _DIGIT_WORDS = {
 # ---- end of fixed values ----
 _LOOKALIKE = {**_CYRILLIC, **_GREEK, **_MARKS}
 # fullwidth forms, mathematical letters and digits, circled digits
-_ODD_CHARS = re.compile("[" + re.escape("".join(_LOOKALIKE) + _INVISIBLE) + "！-～\U0001d400-\U0001d7ff①-⑨⓪]")
+_ODD_CHARS = re.compile("[" + re.escape("".join(_LOOKALIKE) + _INVISIBLE) + "\uff01-\uff5e\U0001d400-\U0001d7ff\u2460-\u2468\u24ea]")
 _DIGIT_WORD = "(?:" + "|".join(sorted(map(re.escape, _DIGIT_WORDS), key=len, reverse=True)) + "|[0-9])"
 _SPELLED = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:[\s.,-]{{1,3}}{_DIGIT_WORD}(?!\w)){{2,}}", re.I)
 _ONE_DIGIT = re.compile(rf"(?<!\w){_DIGIT_WORD}(?!\w)", re.I)

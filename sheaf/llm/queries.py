@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sheaf.llm import chat, decontaminate, pii, quality, sharding
+from sheaf.llm import chat, decontaminate, packing, pii, quality, sharding, tokens
 from sheaf.llm.common import table
 
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
 def op1_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,6 +22,14 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op6_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), out="q").select("doc_id", "q.*")
 
@@ -35,6 +46,6 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wu_manber, op3_pii_spans, op7_compression_bands, op9_prefix_targets, op10_hash_tree)
+    f.__name__: f for f in (op1_wu_manber, op3_pii_spans, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op9_prefix_targets, op10_hash_tree)
 }
 ORACLE_SQL: dict[str, str] = {}
