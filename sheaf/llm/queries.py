@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import chat, decontaminate, packing, pii, quality, sharding, tokens
+from sheaf.llm import chat, decontaminate, packing, pii, quality, sharding, tokens, toxicity
 from sheaf.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), out="q").select("doc_id", "q.*")
 
 
+def op8_naive_bayes_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -46,6 +50,6 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wu_manber, op3_pii_spans, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op9_prefix_targets, op10_hash_tree)
+    f.__name__: f for f in (op1_wu_manber, op3_pii_spans, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op8_naive_bayes_ngrams, op9_prefix_targets, op10_hash_tree)
 }
 ORACLE_SQL: dict[str, str] = {}
