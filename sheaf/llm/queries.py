@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import chat, decontaminate, packing, pii, quality, sharding, tokens, toxicity
+from sheaf.llm import chat, decontaminate, neardup, packing, pii, quality, sharding, tokens, toxicity
 from sheaf.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -50,6 +54,6 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wu_manber, op3_pii_spans, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op8_naive_bayes_ngrams, op9_prefix_targets, op10_hash_tree)
+    f.__name__: f for f in (op1_wu_manber, op3_pii_spans, op4_superminhash, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op8_naive_bayes_ngrams, op9_prefix_targets, op10_hash_tree)
 }
 ORACLE_SQL: dict[str, str] = {}
