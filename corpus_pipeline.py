@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.functions.session import materialise
-from sheaf.llm import decontaminate, pii, quality
+from sheaf.llm import decontaminate, neardup, packing, pii, quality
 from sheaf.llm.common import table
 
 
@@ -14,6 +15,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return neardup.keep_one(docs, words=5)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
@@ -24,7 +30,18 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.mask_pii(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("decontamination", decontamination), ("mask_pii", mask_pii)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mask_pii", mask_pii),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Compression, MinHash and tokenizers have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
