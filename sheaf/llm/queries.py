@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import chat, decontaminate, neardup, packing, pii, quality, sharding, tokens, toxicity
+from sheaf.llm import chat, decontaminate, katz, neardup, packing, pii, quality, sharding, tokens, toxicity
 from sheaf.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wu_manber, op3_pii_spans, op4_superminhash, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op8_naive_bayes_ngrams, op9_prefix_targets, op10_hash_tree)
+    f.__name__: f for f in (op1_wu_manber, op2_katz_backoff, op3_pii_spans, op4_superminhash, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op8_naive_bayes_ngrams, op9_prefix_targets, op10_hash_tree)
 }
 ORACLE_SQL: dict[str, str] = {}
