@@ -40,6 +40,8 @@ _DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# endings of a domain that make bare words an address
+_ENDINGS = set("com org net edu gov mil int info biz io dev app ai co me tv eu uk us ca au in jp cn br ru de fr es it nl be ch at pt pl se no dk fi ie example test".split())
 # ---- end of fixed values ----
 _LOOKALIKE = {**_CYRILLIC, **_GREEK, **_MARKS}
 # fullwidth forms, mathematical letters and digits, circled digits
@@ -160,6 +162,8 @@ def _restore_email(t: Tape) -> Tape:
     edits = []
     for m in _DISGUISED.finditer(t.text):
         kind = "at1" if m["at1"] else "at2"
+        if kind == "at2" and re.split(r"[.\s\])}>]+", m[0])[-1].lower() not in _ENDINGS:
+            continue
         edits.append((*m.span(kind), "@"))
         edits += [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(t.text, m.end(kind), m.end())]
     return t.rewrite(edits) if edits else t

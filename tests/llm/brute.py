@@ -71,3 +71,89 @@ class Katz:
             sum(math.log10((self.uni[w] + 0.1) / (self.n + 0.1 * (v + 1))) for w in words),
             sum(math.log10(self.p(w, h)) for h, w in zip(["<s>\n", *words], words)),
         )
+
+
+# ---- decontamination ----
+
+def item_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def contamination(docs, items, window=13):
+    """doc -> (words, hit words, items), by trying every window at every place."""
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        words = item_words(text)
+        size = min(window, len(words))
+        if item is not None and size:
+            for at in range(len(words) - size + 1):
+                windows[tuple(words[at : at + size])].add(str(item))
+    lengths = sorted({len(w) for w in windows})
+    out = []
+    for doc, text in docs:
+        words, hit, found = item_words(text), set(), set()
+        for n in lengths:
+            for at in range(len(words) - n + 1):
+                items_of = windows.get(tuple(words[at : at + n]))
+                if items_of:
+                    hit.update(range(at, at + n))
+                    found |= items_of
+        out.append((doc, len(words), len(hit), sorted(found)))
+    return out
+
+
+# ---- near duplicates ----
+
+def shingle_set(text, words):
+    own = ascii_words(lower(text))
+    return frozenset(tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))) if own else frozenset()
+
+
+def near_groups(docs, words):
+    """doc -> smallest linked doc, comparing all pairs."""
+    sets = [(doc, shingle_set(text, words)) for doc, text in docs]
+    up = {doc: doc for doc, _ in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                up[high] = low
+    return {doc: find(doc) for doc, _ in docs}
+
+
+# ---- personal data ----
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(map(int, reversed(digits))):
+        total += d if k % 2 == 0 else sum(divmod(2 * d, 10))
+    return total % 10 == 0
+
+
+def plain_pii(text):
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    out = [(m.start(), k, m.end(), name) for k, (name, pattern, good) in enumerate(kinds) for m in re.finditer(pattern, text or "") if good(m[0])]
+    return [(name, s, e) for s, _, e, name in sorted(out)]
+
+
+# ---- quality ----
+
+def measures(text):
+    words = ascii_words(text)
+    at = collections.defaultdict(list)
+    for i in range(len(words) - 2):
+        at[tuple(words[i : i + 3])].append(i)
+    hit = {i + k for places in at.values() if len(places) > 1 for i in places for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if ascii_words(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
