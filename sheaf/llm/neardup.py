@@ -133,7 +133,7 @@ def _compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
 
 
 def groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest linked id, its own included), kept.
+    """Per row: doc_id, n_shingles, component_id (smallest linked id, its own included), kept, text_hash.
 
     Null and empty texts have no shingles and are linked with nothing.  An id
     with several texts links what each of them is linked with.  A row with a
@@ -141,7 +141,7 @@ def groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     numbers.  Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signs = materialise(texts.select("doc_id", signed(F.col("text"), words).alias("s")).select("doc_id", "s.*"))
+    signs = materialise(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), signed(F.col("text"), words).alias("s")).select("doc_id", "text_hash", "s.*"))
     named = signs.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialise(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
 
@@ -172,17 +172,18 @@ def groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     at = classes.select("set1", "set2", "node").join(joined, "node", "left").select("set1", "set2", F.coalesce("component", "node").alias("component"))
     found = signs.join(at, ["set1", "set2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, that of the smallest id, with the columns of ``docs``.
 
-    Rows with a null id stay; of several rows with a kept id the least by all
-    columns stays.
+    Rows with a null id stay.  Of several rows with a kept id one stays: the
+    least by the hash of its text, then by all columns.
     """
-    kept = groups(docs, words, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    key = F.col(id_col).cast("long") == F.col("__id")
+    kept = groups(docs, words, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("__id"), "text_hash").agg(F.count(F.lit(1)).alias("__n"))
+    kept = kept.groupBy("__id").agg(F.min("text_hash").alias("__hash"), F.min_by("__n", "text_hash").alias("__n"))
+    key = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
     once = docs.join(kept.filter("__n = 1"), key, "left_semi")
     several = docs.join(kept.filter("__n > 1"), key, "left_semi").groupBy(F.col(id_col)).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
     return once.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -27,7 +27,7 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(table(spark, sf_dir, "documents"), words=4)
+    return neardup.groups(table(spark, sf_dir, "documents"), words=4).drop("text_hash")
 
 
 def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
