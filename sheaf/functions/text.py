@@ -82,8 +82,14 @@ def table_cell(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """The number in a text, or null."""
-    return c.try_cast("double")
+    """The number in a text, or null; a number with a type letter, as ``1d``, is none."""
+    return F.when(~c.rlike(r"(?i)[0-9.][df]\s*$"), c.try_cast("double"))
+
+
+def int_if_whole(c: Column) -> Column:
+    """A number as text, without decimals if it is whole."""
+    whole = c == F.floor(c)
+    return F.when(whole, F.floor(c).cast("string")).otherwise(c.cast("string"))
 
 
 def suffix(c: Column) -> Column:

@@ -117,20 +117,11 @@ def unrecognized_findings(classified: DataFrame) -> DataFrame:
     )
 
 
-def classification_summary(classified: DataFrame, part: int = P.LIST_PART) -> DataFrame:
-    """File count and ordered ``name → label`` list, first in the report.
-
-    A bundle of more than ``part`` files gets one summary per part.
-    """
+def classification_summary(classified: DataFrame) -> DataFrame:
+    """File count and ordered ``name → label`` list, first in the report."""
     line = X.fill("{name} → {label}", name=F.col("filename"), label=kind_label(F.col("kind")))
-    numbered = scan.number_rows(classified, [KEY], ["file_idx"], scan.blocks("file_idx"), "__pos", start=0)
-    texts = scan.join_in_parts(
-        numbered, [KEY], "__pos", line, "；", "lines", part, F.count(F.lit(1)).alias("n")
-    )
-    return emit(
-        texts,
-        finding("CLASSIFY.SUMMARY", "classify", 0, F.col("part_no"), n=F.col("n"), lines=F.col("lines")),
-    )
+    texts = scan.join_ordered(classified, [KEY], ["file_idx"], scan.blocks("file_idx", P.JOIN_BLOCK), line, "；", "lines", n=F.lit(1))
+    return emit(texts, finding("CLASSIFY.SUMMARY", "classify", 0, n=F.col("n"), lines=F.col("lines")))
 
 
 def classification_findings(classified: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ capped before batching, so everything after ``cap_items`` is short per bundle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -58,6 +59,12 @@ def payload_tokens(payload: Column, n_sections: Column | None = None) -> Column:
     return wide + F.floor((F.length(payload) - wide + blanks) / 4)
 
 
+def template_tokens(template: str) -> int:
+    """Token estimate of a fixed text."""
+    wide = len(re.findall("[一-鿿　-ヿ]", template))
+    return wide + (len(template) - wide) // 4
+
+
 def split_over_budget(batched: DataFrame, tokens: str = "tokens", overhead: int = 0, budget: int = P.PROMPT_BUDGET, key: str = KEY) -> DataFrame:
     """Batches of several items over the budget become one batch per item.
 
@@ -261,8 +268,11 @@ def _get(path: str) -> Column:
     return F.get_json_object("raw", f"$.{path}")
 
 
-def _truthy(c: Column) -> Column:
-    return F.coalesce(~F.lower(c).isin("false", "0", "0.0", "", "null", "[]", "{}"), F.lit(False))
+def _truthy(path: str) -> Column:
+    """Whether a member of a JSON object counts as true: any text but the empty one does, "false" too."""
+    parent, name = path.rsplit(".", 1)
+    text = _get(parent).rlike(rf'[{{,]\s*"{name}"\s*:\s*"[^"]')
+    return F.coalesce(text, F.lit(False)) | F.coalesce(~_get(path).isin("false", "0", "0.0", "-0.0", "", "null", "[]", "{}"), F.lit(False))
 
 
 def _said(path: str, default: str) -> Column:
@@ -316,9 +326,9 @@ def evidence_findings(judged: DataFrame) -> DataFrame:
     loc = F.col("loc")
     return emit(
         rows,
-        when(_truthy(_get("difference.flag")), finding("F03.LLM_DIFF", "evidence", 1, _order(1), text=_said("difference.summary", P.DIFF_DEFAULT), loc=loc)),
-        when(_truthy(_get("proposal.vague")), finding("F03.LLM_VAGUE_PROPOSAL", "evidence", 1, _order(2), text=_said("proposal.reason", P.VAGUE_DEFAULT), loc=loc)),
-        when(_truthy(_get("golive.vague")), finding("F03.LLM_VAGUE_GOLIVE", "evidence", 1, _order(3), text=_said("golive.reason", P.VAGUE_DEFAULT), loc=loc)),
+        when(_truthy("difference.flag"), finding("F03.LLM_DIFF", "evidence", 1, _order(1), text=_said("difference.summary", P.DIFF_DEFAULT), loc=loc)),
+        when(_truthy("proposal.vague"), finding("F03.LLM_VAGUE_PROPOSAL", "evidence", 1, _order(2), text=_said("proposal.reason", P.VAGUE_DEFAULT), loc=loc)),
+        when(_truthy("golive.vague"), finding("F03.LLM_VAGUE_GOLIVE", "evidence", 1, _order(3), text=_said("golive.reason", P.VAGUE_DEFAULT), loc=loc)),
     )
 
 
@@ -393,10 +403,10 @@ def evidence_cells(judged: DataFrame) -> DataFrame:
 
     def evidence(text: str, part: str) -> Column:
         filled = F.when(F.col(text).isNotNull(), P.CELL_OK).otherwise(P.CELL_EMPTY)
-        return F.when(_truthy(_get(f"{part}.vague")), warn(f"{part}.reason", P.VAGUE_CELL_DEFAULT)).otherwise(filled)
+        return F.when(_truthy(f"{part}.vague"), warn(f"{part}.reason", P.VAGUE_CELL_DEFAULT)).otherwise(filled)
 
     ok = F.col("status") == "judged"
-    diff = F.when(_truthy(_get("difference.flag")), warn("difference.summary", P.DIFF_CELL_DEFAULT)).otherwise(P.CELL_EMPTY)
+    diff = F.when(_truthy("difference.flag"), warn("difference.summary", P.DIFF_CELL_DEFAULT)).otherwise(P.CELL_EMPTY)
     empty = F.lit(P.CELL_EMPTY)
     return _shown(judged).select(
         KEY, "batch_no", "pos", "item_id", _dash(F.col("topic")).alias("topic"),
@@ -441,7 +451,7 @@ def judge_counts(judged: DataFrame, truncated: DataFrame) -> DataFrame:
     if "verdict" in judged.columns:
         counts += [F.count_if(F.col("verdict") == v).alias(v) for v in P.VERDICTS]
     else:
-        flags = [_truthy(_get(p)).cast("int") for p in ("difference.flag", "proposal.vague", "golive.vague")]
+        flags = [_truthy(p).cast("int") for p in ("difference.flag", "proposal.vague", "golive.vague")]
         counts.append(F.sum(F.when(F.col("status") == "judged", flags[0] + flags[1] + flags[2]).otherwise(0)).alias("flagged"))
     return judged.groupBy(KEY).agg(*counts).join(truncated, KEY, "left")
 
@@ -509,9 +519,13 @@ def evidence_outcome(judged: DataFrame, truncated: DataFrame, max_items: int = P
 
 def compliance_review(
     items: DataFrame, canonical: DataFrame, judge: Judge, template: str,
-    max_items: int = P.MAX_ITEMS, batch: int = P.COMPLIANCE_BATCH, overhead: int = 0,
+    max_items: int = P.MAX_ITEMS, batch: int = P.COMPLIANCE_BATCH, overhead: int | None = None,
 ) -> DataFrame:
-    """All findings of the compliance judge."""
+    """All findings of the compliance judge.
+
+    ``overhead`` is what the prompt costs besides its payloads; the template's own tokens by default.
+    """
+    overhead = template_tokens(template) if overhead is None else overhead
     capped, truncated = cap_items(judge_targets(items, canonical), max_items)
     batched = split_over_budget(assign_batches(payloads(capped, canonical), batch), overhead=overhead)
     answers = materialise(run_judge(prompts(batched, template), judge))
@@ -532,15 +546,17 @@ def compliance_outcome(compliance: DataFrame, truncated: DataFrame) -> DataFrame
     )
 
 
-def optional_branch(enabled: bool, bundles: DataFrame, fn: Callable[[], DataFrame], skipped: str, stage: str) -> DataFrame | None:
+def optional_branch(
+    enabled: bool, bundles: DataFrame, fn: Callable[[], DataFrame], skipped: str, stage: str, code: str | None = None
+) -> DataFrame | None:
     """Findings of a branch that must never break the review.
 
     Off: no findings.  A branch that cannot be set up gives one ``skipped``
-    finding per bundle; the other checks are unaffected.
+    finding per bundle, under ``code`` if given; the other checks are unaffected.
     """
     if not enabled:
         return None
     try:
         return fn()
     except Exception as exc:
-        return emit(bundles, finding(skipped, stage, 0, error=F.lit(type(exc).__name__)))
+        return emit(bundles, finding(skipped, stage, 0, code=code, error=F.lit(type(exc).__name__)))

@@ -155,13 +155,14 @@ def residual_status(cells: DataFrame, sheet: str = P.RESIDUAL_SHEET, header: str
         .agg(F.min(place).alias("__head"))
         .select(KEY, F.col("__head.c").alias("col"), F.lit(True).alias("__score"))
     )
-    body = grid.filter((F.col("row") > 1) & F.col("value").isNotNull())
+    body = grid.filter((F.col("row") > 1) & ~F.coalesce(F.col("value").isin(P.MISSING_VALUES), F.lit(True)))
+    number = X.to_number(X.clean(F.col("value")))
     return (
         body.join(heads, [KEY, "col"], "left")
         .groupBy(KEY)
         .agg(
             F.lit(True).alias("residual_filled"),
-            F.max(F.when(F.col("__score"), X.to_number(X.clean(F.col("value"))))).alias("residual_max_score"),
+            F.max(F.when(F.col("__score") & ~F.isnan(number), number)).alias("residual_max_score"),
         )
     )
 

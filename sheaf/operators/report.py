@@ -100,42 +100,35 @@ def markdown_finding(number: Column) -> Column:
     )
 
 
-def report_markdown(reports: DataFrame, findings: DataFrame, part: int = P.REPORT_PART) -> DataFrame:
-    """Markdown per bundle: (key, part_no, md).
+def report_markdown(reports: DataFrame, findings: DataFrame) -> DataFrame:
+    """Markdown as rows (key, no, md): the head is 0, findings follow from 1.
 
-    Part 0 holds the head and the first ``part`` findings, which is the whole
-    report of an ordinary bundle.  Further parts follow for longer ones; the
-    document is the parts joined by newlines.
+    The document is the rows joined by newlines in their order, see
+    :func:`whole_texts`.
     """
-    numbered = number_findings(findings, 1)
-    pieces = numbered.select(KEY, "no", markdown_finding(F.col("no")).alias("md"))
-    head = markdown_header(reports).select(KEY, F.lit(0).cast("bigint").alias("no"), "md")
-    both = head.unionByName(pieces).withColumn("__pos", F.greatest(F.col("no") - 1, F.lit(0)))
-    ordered = F.sort_array(F.collect_list(F.struct("no", "md")))
-    return both.groupBy(KEY, F.floor(F.col("__pos") / part).cast("int").alias("part_no")).agg(
-        F.array_join(F.transform(ordered, lambda p: p["md"]), "\n").alias("md")
-    )
+    pieces = number_findings(findings, 1).select(KEY, "no", markdown_finding(F.col("no")).alias("md"))
+    return markdown_header(reports).select(KEY, F.lit(0).cast("bigint").alias("no"), "md").unionByName(pieces)
 
 
-def report_json(reports: DataFrame, findings: DataFrame, part: int = P.REPORT_PART, form_type: str = P.FORM_TYPE) -> DataFrame:
-    """JSON per bundle: (key, part_no, json), findings with 0-based ids.
+def report_json(reports: DataFrame, findings: DataFrame, form_type: str = P.FORM_TYPE) -> DataFrame:
+    """JSON as rows (key, no, json), each with its part of the Markdown document.
 
-    Every part repeats the head; the findings lists of the parts follow each
-    other.  Ordinary bundles have one part.
+    Row 0 holds the head fields; each finding is a row from 1 on, with its
+    0-based id.
     """
-    numbered = number_findings(findings, 0)
-    entry = F.struct(F.col("no"), F.struct(F.col("no").cast("string").alias("id"), *SHOWN).alias("f"))
-    ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["f"])
-    lists = numbered.groupBy(KEY, F.floor(F.col("no") / part).cast("int").alias("part_no")).agg(ordered.alias("findings"))
-    head = ["subject", "passed", "error_count", "warn_count", "info_count", "risk_score", "risk_grade"]
-    none = F.array().cast(lists.schema["findings"].dataType)
-    # an inner join, which adaptive execution can split for a bundle of many
-    # parts; bundles without findings follow
-    bare = reports.join(findings.select(KEY), KEY, "left_anti")
-    joined = lists.join(reports, KEY).unionByName(
-        bare.withColumn("part_no", F.lit(0)).withColumn("findings", none)
+    numbered = number_findings(findings, 1)
+    entry = F.struct((F.col("no") - 1).cast("string").alias("id"), *SHOWN, markdown_finding(F.col("no")).alias("markdown"))
+    head = F.struct(
+        F.lit(form_type).alias("form_type"), "subject", "passed", "error_count", "warn_count", "info_count", "risk_score", "risk_grade",
+        F.col("md").alias("markdown"),
     )
-    body = F.struct(F.lit(form_type).alias("form_type"), *head, "findings")
-    return joined.select(
-        KEY, "part_no", F.to_json(body, {"ignoreNullFields": "false"}).alias("json")
+    heads = reports.join(markdown_header(reports, form_type), KEY)
+    keep = {"ignoreNullFields": "false"}
+    return heads.select(KEY, F.lit(0).cast("bigint").alias("no"), F.to_json(head, keep).alias("json")).unionByName(
+        numbered.select(KEY, "no", F.to_json(entry, keep).alias("json"))
     )
+
+
+def whole_texts(rows: DataFrame, text: str, sep: str = "\n") -> DataFrame:
+    """One text per key out of rows (key, no, text)."""
+    return scan.join_ordered(rows, [KEY], ["no"], scan.blocks("no", P.JOIN_BLOCK), F.col(text), sep, text)

@@ -325,38 +325,31 @@ def evidence_presence(items: DataFrame) -> DataFrame:
 # ---- consistency between forms ---------------------------------------------
 
 
-def _value_texts(values: DataFrame, order: str, out: str, part: int) -> DataFrame:
-    numbered = scan.number_rows(values, [KEY], [order], scan.blocks(order), "__pos", start=0)
-    return scan.join_in_parts(numbered, [KEY], "__pos", F.col("value"), "、", out, part)
+def _value_texts(values: DataFrame, order: str, out: str) -> DataFrame:
+    return scan.join_ordered(values, [KEY], [order], scan.blocks(order, P.JOIN_BLOCK), F.col("value"), "、", out)
 
 
-def comparison_findings(
-    left: DataFrame, right: DataFrame, code: str, label: str, rule: int, part: int = P.LIST_PART
-) -> DataFrame:
-    """Two value lists of a bundle that share nothing.
+def comparison_findings(left: DataFrame, right: DataFrame, code: str, label: str, rule: int) -> DataFrame:
+    """Two value lists of a bundle that share nothing, in one finding.
 
     ``left(key, row_index, value)`` is listed in row order; ``right(key,
-    value)`` has one value per bundle.  Lists longer than ``part`` continue in
-    further findings.
+    value)`` has one value per bundle.
     """
     left = left.filter(F.col("value").isNotNull())
     right = right.filter(F.col("value").isNotNull())
     bad = sets_overlap(left, right)
-    texts = _value_texts(left.join(bad, KEY, "left_semi"), "row_index", "left", part)
+    texts = _value_texts(left.join(bad, KEY, "left_semi"), "row_index", "left")
     return emit(
         texts.join(right.select(KEY, F.col("value").alias("right")), KEY),
-        finding(
-            "CROSS.MISMATCH", "cross", rule, F.col("part_no"), code=code,
-            label=F.lit(label), left=F.col("left"), right=F.col("right"),
-        ),
+        finding("CROSS.MISMATCH", "cross", rule, code=code, label=F.lit(label), left=F.col("left"), right=F.col("right")),
     )
 
 
-def internal_name_findings(sub_refs: DataFrame, rows: DataFrame, part: int = P.LIST_PART) -> DataFrame:
+def internal_name_findings(sub_refs: DataFrame, rows: DataFrame) -> DataFrame:
     """Sub-sheet references that match no project name of the main sheet.
 
-    Each finding shows the main sheet's names; more than ``part`` of them
-    continue in findings of their own.
+    Each finding shows all of the main sheet's names, so its size is that of
+    the names; the list itself is made once per bundle.
     """
     names = rows.filter(X.match_key(F.col("project_name")).isNotNull())
     bad = references_resolve(sub_refs, names, ref="corr_project_name", name="project_name")
@@ -365,19 +358,15 @@ def internal_name_findings(sub_refs: DataFrame, rows: DataFrame, part: int = P.L
         .groupBy(KEY, F.col("project_name").alias("value"))
         .agg(F.min("row_index").alias("row_index"))
     )
-    shown = _value_texts(distinct, "row_index", "names", part)
-    first, rest = shown.filter(F.col("part_no") == 0), shown.filter(F.col("part_no") > 0)
+    shown = _value_texts(distinct, "row_index", "names")
     order = F.col("sheet_seq").cast("bigint") * (1 << 32) + F.col("row_index")
-    each = emit(
-        bad.join(first, KEY),
+    return emit(
+        bad.join(shown, KEY),
         finding(
             "CROSS.F01_INTERNAL_NAME", "cross", 2, order,
             sheet=F.col("sheet"), line=F.col("row_index"), name=F.col("corr_project_name"), names=F.col("names"),
         ),
     )
-    # the names beyond the first part are listed once per bundle, not per reference
-    more = finding("CROSS.F01_INTERNAL_NAMES", "cross", 3, F.col("part_no"), code="CROSS.F01_INTERNAL_NAME", names=F.col("names"))
-    return each.unionByName(emit(rest, more))
 
 
 def cross_findings(f01_rows: DataFrame, sub_refs: DataFrame, identity: DataFrame, f02: DataFrame) -> DataFrame:

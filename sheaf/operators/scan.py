@@ -108,22 +108,18 @@ def fill_forward(
     return running(df, keys, order, block, **{out: ("last", value)})
 
 
-def join_in_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    value: Column,
-    sep: str,
-    out: str,
-    size: int,
-    *extra: Column,
+def join_ordered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, value: Column, sep: str, out: str, **sums: Column
 ) -> DataFrame:
-    """Ordered text of each group, ``size`` values to a part.
+    """Ordered text of each group, and sums over it: one row per group.
 
-    ``position`` counts from 0 within the group.  A group of up to ``size``
-    values gives one row; a longer one continues in parts 1, 2, ..., so no
-    value is lost and no group is collected whole.
+    The text is joined block by block first, so a long group is put together
+    by many tasks and the last step sees one text a block.  ``block`` never
+    decreases along ``order``.
     """
-    part = F.floor(F.col(position) / size).alias("part_no")
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), value.alias("v"))))
-    return df.groupBy(*keys, part).agg(F.array_join(F.transform(ordered, lambda x: x["v"]), sep).alias(out), *extra)
+    place = F.struct(*order)
+    inner = df.select(*keys, block.alias(_BLOCK), place.alias("p"), value.alias("v"), *[c.alias(n) for n, c in sums.items()])
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda x: x["v"])
+    parts = inner.groupBy(*keys, _BLOCK).agg(F.array_join(texts, sep).alias("t"), *[F.sum(n).alias(n) for n in sums])
+    whole = F.transform(F.sort_array(F.collect_list(F.struct(F.col(_BLOCK).alias("b"), "t"))), lambda x: x["t"])
+    return parts.groupBy(*keys).agg(F.array_join(whole, sep).alias(out), *[F.sum(n).alias(n) for n in sums])

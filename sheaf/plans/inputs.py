@@ -59,13 +59,13 @@ INPUTS: dict[str, str] = {
                {_n("p_partkey % 100")} AS overall,
                {_case("p_size % 4", ["", "低", "中", "高"])} AS grade,
                CASE WHEN p_size % 6 = 0 THEN '  ' ELSE 'unit' || {_n("p_partkey % 8")} END AS filing_unit,
-               CASE WHEN p_size % 8 = 0 THEN 'none' WHEN p_size % 2 = 0 THEN {_n("p_size % 11")} END AS residual_a,
-               CASE WHEN p_size % 2 = 0 AND p_size % 8 <> 0 THEN 'x' END AS residual_b,
+               CASE WHEN p_size % 16 = 0 THEN 'N/A' WHEN p_size % 8 = 0 THEN 'none' WHEN p_size % 2 = 0 THEN {_n("p_size % 11")} END AS residual_a,
+               CASE WHEN p_size % 16 = 0 THEN 'NA' WHEN p_size % 8 = 4 THEN ' nan ' WHEN p_size % 8 = 2 THEN '9d' WHEN p_size % 8 = 6 THEN 'x' END AS residual_b,
                CASE WHEN p_size % 3 = 1 THEN '處理' END AS treatment
         FROM part""",
     # stored scores and follow-up state as typed columns
     "f02_state": """
-        SELECT p_partkey AS bundle_id, p_size % 2 = 0 AS residual_filled,
+        SELECT p_partkey AS bundle_id, p_size % 2 = 0 AND p_size % 16 <> 0 AS residual_filled,
                CASE WHEN p_size % 2 = 0 AND p_size % 8 <> 0 THEN CAST(p_size % 11 AS DOUBLE) END AS residual_max_score,
                p_size % 3 = 1 AS treatment_filled
         FROM part""",
@@ -142,9 +142,9 @@ INPUTS: dict[str, str] = {
         SELECT doc_id, CAST(3 AS BIGINT), 'd' || {_n("doc_id")},
                {_case("doc_id % 4", ["可解釋性", "r07 report ", "委託 ", "notes "])} || source || '.' || lang, ''
         FROM documents""",
-    # ---- items a judge reads: documents of a source, with their labels ----
+    # ---- items a judge reads: documents, 25 to a bundle, with their labels ----
     "judge_items": f"""
-        SELECT source AS bundle_id, doc_id AS row_index, {_n("CAST(floor(doc_id / 10) AS BIGINT) + 1")} || '-' || {_n("doc_id % 10 + 1")} AS item_id,
+        SELECT 'b' || {_n("CAST(floor(doc_id / 25) AS BIGINT)")} AS bundle_id, source, doc_id AS row_index, {_n("CAST(floor(doc_id / 10) AS BIGINT) + 1")} || '-' || {_n("doc_id % 10 + 1")} AS item_id,
                CASE WHEN doc_id % 7 <> 0 THEN lang END AS topic, 'desc ' || lang AS description,
                CASE WHEN n_chars % 5 <> 0 THEN text END AS evidence_proposal, CASE WHEN n_chars % 3 = 0 THEN text END AS evidence_golive,
                'R03/五/' || lang AS regulation_ref_raw

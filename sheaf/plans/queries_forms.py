@@ -151,8 +151,8 @@ def cached_scores(x: Inputs) -> DataFrame:
 
 @query(
     "residual_status", "PRJ-09",
-    """SELECT bundle_id, true AS residual_filled, greatest(TRY_CAST(residual_a AS DOUBLE), TRY_CAST(residual_b AS DOUBLE)) AS residual_max_score
-       FROM f02_fixed WHERE residual_a IS NOT NULL OR residual_b IS NOT NULL""",
+    """SELECT bundle_id, true AS residual_filled, TRY_CAST(residual_a AS DOUBLE) AS residual_max_score
+       FROM f02_fixed WHERE coalesce(residual_a <> 'N/A', false) OR coalesce(residual_b <> 'NA', false)""",
 )
 def residual_status(x: Inputs) -> DataFrame:
     return layout.residual_status(x.f02_fixed_cells())
@@ -310,14 +310,17 @@ def config_tables(x: Inputs) -> DataFrame:
 # ---- classification --------------------------------------------------------
 
 
+_REASON = f"""CASE kind WHEN 'supporting' THEN '非 Excel 檔，視為佐證文件'
+            WHEN 'f02' THEN '含 F02 評估表分頁「{P.ASSESS_SHEET}」' WHEN 'f01' THEN '含 F01 主表分頁「{P.F01_SHEET}」' WHEN 'f03' THEN '含 F03 檢核表分頁「{P.F03_SHEET}」'
+            ELSE CASE WHEN NOT readable THEN '無法開啟（bad zip）'
+                 ELSE 'Excel 但無任何已知表單分頁（分頁：' || CASE WHEN sheet_list = '' THEN '（無分頁）' ELSE array_to_string(list_sort(string_split(sheet_list, '|')), '、') END || '）' END END"""
+
+
 @query(
     "classify_priority", "CLS-01 CLS-02 CLS-03",
     f"""SELECT bundle_id, file_idx, filename, kind,
           CASE kind WHEN 'f02' THEN '{P.ASSESS_SHEET}' WHEN 'f01' THEN '{P.F01_SHEET}' WHEN 'f03' THEN '{P.F03_SHEET}' END AS matched_sheet,
-          CASE kind WHEN 'supporting' THEN '非 Excel 檔，視為佐證文件'
-            WHEN 'f02' THEN '含 F02 評估表分頁「{P.ASSESS_SHEET}」' WHEN 'f01' THEN '含 F01 主表分頁「{P.F01_SHEET}」' WHEN 'f03' THEN '含 F03 檢核表分頁「{P.F03_SHEET}」'
-            ELSE CASE WHEN NOT readable THEN '無法開啟（bad zip）'
-                 ELSE 'Excel 但無任何已知表單分頁（分頁：' || CASE WHEN sheet_list = '' THEN '（無分頁）' ELSE array_to_string(list_sort(string_split(sheet_list, '|')), '、') END || '）' END END AS reason
+          {_REASON} AS reason
         FROM kinds_x""",
 )
 def classify_priority(x: Inputs) -> DataFrame:
@@ -368,11 +371,11 @@ def unrecognized_findings(x: Inputs) -> DataFrame:
 
 @query(
     "classification_summary", "CLS-08",
-    f"""SELECT bundle_id, row_seq, '共 ' || count(*) || ' 個檔案：' || string_agg(filename || ' → ' || {_LABEL}, '；' ORDER BY file_idx) || '。分類依工作表名稱，請人工覆核。' AS message
-        FROM (SELECT *, (row_number() OVER (PARTITION BY bundle_id ORDER BY file_idx) - 1) // {P.LIST_PART} AS row_seq FROM kinds_x) GROUP BY bundle_id, row_seq""",
+    f"""SELECT bundle_id, '共 ' || count(*) || ' 個檔案：' || string_agg(filename || ' → ' || {_LABEL}, '；' ORDER BY file_idx) || '。分類依工作表名稱，請人工覆核。' AS message
+        FROM kinds_x GROUP BY bundle_id""",
 )
 def classification_summary(x: Inputs) -> DataFrame:
-    return classify.classification_summary(classify.classify_files(x.files())).select(KEY, "row_seq", "message")
+    return classify.classification_summary(classify.classify_files(x.files())).select(KEY, "message")
 
 
 @query(

@@ -13,6 +13,7 @@ from sheaf.functions.session import checkpoint_dir, materialise
 from sheaf.operators import judging, layout, matrix, report, scan
 from sheaf.plans import review
 from sheaf.plans.inputs import Inputs
+from sheaf.plans.queries_forms import _LABEL, _REASON
 from sheaf.plans.registry import EXPECTED, query
 from sheaf.sources import tables
 from sheaf.streaming import review_stream
@@ -32,10 +33,10 @@ def judge_targets(x: Inputs) -> DataFrame:
     return judging.judge_targets(layout.f03_items(x.f03_cells()), canonical).select(KEY, "item_id", "row_index")
 
 
-def _targets_x(batch: int) -> str:
+def _targets_x(batch: int, bundle: str = "bundle_id") -> str:
     return f"""
-        SELECT *, pos // {batch} AS batch_no, '項次 ' || item_id || coalesce('（' || topic || '）', '') AS loc FROM (
-          SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY row_index) - 1 AS pos FROM judge_items
+        SELECT * REPLACE ({bundle} AS bundle_id), pos // {batch} AS batch_no, '項次 ' || item_id || coalesce('（' || topic || '）', '') AS loc FROM (
+          SELECT *, row_number() OVER (PARTITION BY {bundle} ORDER BY row_index) - 1 AS pos FROM judge_items
           WHERE evidence_proposal IS NOT NULL OR evidence_golive IS NOT NULL) WHERE pos < 30"""
 
 
@@ -49,12 +50,21 @@ def _items(x: Inputs) -> DataFrame:
 
 
 def _capped(x: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Bundles of 25 documents, which the limit of 30 items leaves whole."""
     return judging.cap_items(judging.judge_targets(_items(x)))
 
 
-@query("judge_batches", "JDG-03 JDG-07", "SELECT t.bundle_id, item_id, pos, batch_no, truncated FROM targets8_x t JOIN truncated_x USING (bundle_id)")
+EXPECTED["by_source_x"] = _targets_x(8, "source")
+
+
+@query(
+    "judge_batches", "JDG-03 JDG-07",
+    """SELECT t.bundle_id, item_id, pos, batch_no, truncated FROM by_source_x t
+       JOIN (SELECT source AS bundle_id, greatest(count(*) - 30, 0) AS truncated FROM judge_items WHERE evidence_proposal IS NOT NULL OR evidence_golive IS NOT NULL GROUP BY source) USING (bundle_id)""",
+)
 def judge_batches(x: Inputs) -> DataFrame:
-    capped, truncated = _capped(x)
+    """The limit itself: all documents of a source are one bundle here."""
+    capped, truncated = judging.cap_items(judging.judge_targets(_items(x).withColumn(KEY, F.col("source"))))
     out = judging.assign_batches(capped, P.EVIDENCE_BATCH).join(truncated, KEY)
     return out.select(KEY, "item_id", "pos", "batch_no", "truncated")
 
@@ -344,7 +354,8 @@ def verdict_summary(x: Inputs) -> DataFrame:
 
 @query(
     "optional_branch", "JDG-23",
-    "SELECT source AS bundle_id, 'F03.LLM_SKIPPED' AS code, '無法初始化或執行 LLM 判讀（TypeError）；其餘規則檢查不受影響。' AS message FROM documents GROUP BY source",
+    """SELECT 'd' || doc_id AS bundle_id, 'F03.LLM_SKIPPED' AS code, '無法初始化或執行 LLM 判讀（TypeError）；其餘規則檢查不受影響。' AS message, 'notice' AS bucket FROM documents
+       UNION ALL SELECT 'd' || doc_id, 'F03.RAG_ERROR', 'RAG 符合性判讀發生未預期錯誤，已中止；其餘規則檢查不受影響，請人工覆核。', 'notice' FROM documents""",
 )
 def optional_branch(x: Inputs) -> DataFrame:
     """A judge that cannot be set up leaves one row per bundle."""
@@ -352,10 +363,12 @@ def optional_branch(x: Inputs) -> DataFrame:
     def broken() -> DataFrame:
         raise TypeError("no endpoint")
 
-    bundles = x.table("documents").select(F.col("source").alias(KEY)).distinct()
+    bundles = x.table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias(KEY))
     assert judging.optional_branch(False, bundles, broken, "F03.LLM_SKIPPED", "evidence") is None
-    found = judging.optional_branch(True, bundles, broken, "F03.LLM_SKIPPED", "evidence")
-    return found.select(KEY, "code", "message")
+    found = judging.optional_branch(True, bundles, broken, "F03.LLM_SKIPPED", "evidence").unionByName(
+        judging.optional_branch(True, bundles, broken, "F03.RAG_FAILED", "compliance", code="F03.RAG_ERROR")
+    )
+    return matrix.triage(found).select(KEY, "code", "message", "bucket")
 
 
 # ---- reports ---------------------------------------------------------------
@@ -373,10 +386,10 @@ def _judge_findings(x: Inputs) -> DataFrame:
 @query(
     "report_counts", "REP-01 REP-03",
     """SELECT s.bundle_id, 0::BIGINT AS error_count, count(*) FILTER (severity = 'warn') AS warn_count, count(*) FILTER (severity = 'info') AS info_count, true AS passed
-       FROM (SELECT DISTINCT source AS bundle_id FROM documents) s LEFT JOIN judge_found_x f USING (bundle_id) GROUP BY s.bundle_id""",
+       FROM (SELECT DISTINCT bundle_id FROM judge_items) s LEFT JOIN judge_found_x f USING (bundle_id) GROUP BY s.bundle_id""",
 )
 def report_counts(x: Inputs) -> DataFrame:
-    bundles = x.table("documents").select(F.col("source").alias(KEY)).distinct()
+    bundles = x.get("judge_items").select(KEY).distinct()
     found = _judge_findings(x).filter(~F.col("code").isin(_TABLES))
     return report.report_counts(bundles, found)
 
@@ -450,41 +463,50 @@ def _reports(x: Inputs) -> tuple[DataFrame, DataFrame]:
     return report.report_counts(bundles, found), found
 
 
-EXPECTED["class_rows_x"] = """
-    SELECT f.*, row_number() OVER (PARTITION BY f.bundle_id ORDER BY severity_rank, rule_seq, row_seq) AS no FROM class_found_x f"""
-
-
-@query(
-    "report_markdown", "SRC-16 REP-05",
-    """SELECT bundle_id, (greatest(no - 1, 0) // 500)::BIGINT AS part_no, count(*) AS n_blocks, string_agg(line, chr(10) ORDER BY no) AS md FROM (
-         SELECT user_id AS bundle_id, 0 AS no, '# 送件包 初步審查報告' || chr(10) || chr(10) || '> ⚠️ 本報告為 AI 初判草稿，需治理人員與三遵人工覆核，最終判定權不在 AI。' || chr(10) || chr(10)
-           || '**受審對象**：' || min(event_type) || '　|　**錯誤 0**　提醒 ' || any_value(w) || '　結果：✅ 規則檢查通過' || chr(10) || chr(10)
-           || '**固有風險分級**：中' || chr(10) || chr(10) || '---' || chr(10) AS line
-         FROM events JOIN (SELECT bundle_id, count(*) FILTER (severity_rank = 1) AS w FROM class_found_x GROUP BY bundle_id) c ON c.bundle_id = user_id GROUP BY user_id
-         UNION ALL
-         SELECT bundle_id, no, '### ' || no || '. ' || CASE severity_rank WHEN 1 THEN '🟡 [提醒]' ELSE '🟢 [通過]' END || chr(10) || '- **位置**：' || location || chr(10) || '- **代碼**：`' || code || '`　_(需人工覆核)_' || chr(10) FROM class_rows_x)
-       GROUP BY ALL""",
-)
+# the same findings with all their texts, numbered as in the report
+EXPECTED["class_rows_x"] = f"""
+    SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY severity_rank, rule_seq, row_seq) AS no FROM (
+      SELECT bundle_id, 1 AS severity_rank, 1 AS rule_seq, file_idx AS row_seq, 'CLASSIFY.UNRECOGNIZED' AS code, '無法辨識的 Excel 檔' AS title, filename AS location,
+             '檔案「' || filename || '」是 Excel 但不含任何已知表單分頁，未納入審查。請確認是否為官方範本，或應改列為佐證文件。' AS message, NULL AS expected, {_REASON} AS actual FROM kinds_x WHERE kind = 'unknown'
+      UNION ALL
+      SELECT k.bundle_id, 1, 1, k.file_idx, 'CLASSIFY.DUPLICATE_' || upper(k.kind), '偵測到多份 ' || {_LABEL.replace('kind', 'k.kind')}, '自動分類',
+             '有多個檔案判定為 ' || {_LABEL.replace('kind', 'k.kind')} || '（' || f.filename || '、' || k.filename || '）；採用第一份「' || f.filename || '」，請確認「' || k.filename || '」是否誤放或為不同送件。',
+             '每種表單一份', f.filename || '、' || k.filename
+      FROM kinds_x k JOIN winners_x w ON w.bundle_id = k.bundle_id AND w.kind = k.kind AND k.file_idx > w.winner_idx JOIN event_files f ON f.bundle_id = k.bundle_id AND f.file_idx = w.winner_idx
+      UNION ALL
+      SELECT bundle_id, 2, 0, 0, 'CLASSIFY.SUMMARY', '自動分類結果', '自動分類',
+             '共 ' || count(*) || ' 個檔案：' || string_agg(filename || ' → ' || {_LABEL}, '；' ORDER BY file_idx) || '。分類依工作表名稱，請人工覆核。', NULL, NULL FROM kinds_x GROUP BY bundle_id)"""
+EXPECTED["class_md_x"] = """
+    SELECT bundle_id, 0 AS no, '# 送件包 初步審查報告' || chr(10) || chr(10) || '> ⚠️ 本報告為 AI 初判草稿，需治理人員與三遵人工覆核，最終判定權不在 AI。' || chr(10) || chr(10)
+        || '**受審對象**：' || subject || '　|　**錯誤 0**　提醒 ' || w || '　結果：✅ 規則檢查通過' || chr(10) || chr(10) || '**固有風險分級**：中' || chr(10) || chr(10) || '---' || chr(10) AS md
+      FROM (SELECT user_id AS bundle_id, min(event_type) AS subject FROM events GROUP BY user_id) JOIN (SELECT bundle_id, count(*) FILTER (severity_rank = 1) AS w FROM class_rows_x GROUP BY bundle_id) USING (bundle_id)
+    UNION ALL
+    SELECT bundle_id, no, '### ' || no || '. ' || CASE severity_rank WHEN 1 THEN '🟡 [提醒] ' ELSE '🟢 [通過] ' END || title || chr(10) || '- **位置**：' || location || chr(10)
+        || CASE WHEN actual IS NOT NULL THEN '- **期望**：' || coalesce(expected, '—') || '　**實際**：' || actual || chr(10) ELSE '' END
+        || '- **說明**：' || message || chr(10) || '- **代碼**：`' || code || '`　_(需人工覆核)_' || chr(10) FROM class_rows_x"""
+
+
+@query("report_markdown", "SRC-16 REP-05", "SELECT * FROM class_md_x")
 def report_markdown(x: Inputs) -> DataFrame:
-    """Whole reports, shown here without titles, values and explanations."""
+    """Whole reports, one row for the head and one for each finding."""
     reports, found = _reports(x)
-    rendered = report.report_markdown(reports.withColumn("risk_score", F.lit(None).cast("double")), found)
-    bare = F.regexp_replace("md", r"(?m)^(### \d+\. \S+ \[..\]).*$", "$1")
-    bare = F.regexp_replace(bare, r"(?m)^- \*\*(?:期望|說明)\*\*.*\n", "")
-    blocks = F.size(F.split("md", r"(?m)^### ")) - 1 + F.when(F.col("part_no") == 0, 1).otherwise(0)
-    return rendered.select(KEY, "part_no", blocks.alias("n_blocks"), bare.alias("md"))
+    return report.report_markdown(reports.withColumn("risk_score", F.lit(None).cast("double")), found)
 
 
 @query(
     "report_json", "SRC-15",
-    """SELECT c.bundle_id, (no // 500)::BIGINT AS part_no, count(*) AS n_findings, any_value(w) AS warn_count, string_agg(CAST(no AS STRING) || ':' || code, ',' ORDER BY no) AS ids FROM (
-         SELECT bundle_id, code, no - 1 AS no FROM class_rows_x) JOIN (SELECT bundle_id, count(*) FILTER (severity_rank = 1) AS w FROM class_found_x GROUP BY bundle_id) c USING (bundle_id) GROUP BY ALL""",
+    """SELECT m.bundle_id, m.no, CASE WHEN m.no = 0 THEN '中' ELSE CAST(m.no - 1 AS STRING) END AS name, code, title, message, location, expected, actual, md AS markdown,
+              CASE WHEN m.no = 0 THEN w END AS warn_count FROM class_md_x m LEFT JOIN class_rows_x r ON r.bundle_id = m.bundle_id AND r.no = m.no
+       JOIN (SELECT bundle_id, count(*) FILTER (severity_rank = 1) AS w FROM class_rows_x GROUP BY bundle_id) c ON c.bundle_id = m.bundle_id""",
 )
 def report_json(x: Inputs) -> DataFrame:
-    rendered = report.report_json(*_reports(x))
-    body = F.from_json("json", "warn_count bigint, findings array<struct<id: string, code: string>>")
-    listed = F.array_join(F.transform(body["findings"], lambda f: F.concat_ws(":", f["id"], f["code"])), ",")
-    return rendered.select(KEY, "part_no", F.size(body["findings"]).alias("n_findings"), body["warn_count"].alias("warn_count"), listed.alias("ids"))
+    reports, found = _reports(x)
+    rendered = report.report_json(reports.withColumn("risk_score", F.lit(None).cast("double")), found)
+    texts = ["code", "title", "message", "location", "expected", "actual", "markdown"]
+    body = F.from_json("json", ", ".join(f"{c} string" for c in ["id", "risk_grade", *texts]) + ", warn_count bigint")
+    return rendered.select(
+        KEY, "no", F.coalesce(body["id"], body["risk_grade"]).alias("name"), *[body[c].alias(c) for c in texts], body["warn_count"].alias("warn_count")
+    )
 
 
 @query(

@@ -33,7 +33,7 @@ class Judges:
     question_sections: DataFrame | None = None
     evidence_template: str = "{items_json}"
     compliance_template: str = "{items_json}"
-    overhead: int = 0
+    overhead: int | None = None
 
 
 def form_cells(cells: DataFrame, forms: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def judge_findings(t: dict[str, DataFrame], judges: Judges) -> DataFrame | None:
                 lambda: judging.compliance_review(
                     items, judges.canonical, judges.compliance, judges.compliance_template, overhead=judges.overhead
                 ),
-                "F03.RAG_FAILED", "compliance",
+                "F03.RAG_FAILED", "compliance", code="F03.RAG_ERROR",
             )
         )
     if judges.question_sections is not None:

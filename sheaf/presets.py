@@ -510,13 +510,6 @@ FINDINGS = {
         expected="{names}",
         actual="{name}",
     ),
-    "CROSS.F01_INTERNAL_NAMES": dict(
-        severity="warn",
-        title="F01 內部專案名稱對不上（續）",
-        message="主表專案/服務名稱（續）：{names}。",
-        location="主表",
-        expected="{names}",
-    ),
     "SUBMISSION.OK": dict(
         severity="info",
         title="送件包規則檢查未發現問題",
@@ -626,11 +619,14 @@ FINDINGS = {
         message="RAG 法規比對無法執行（{error}），已略過；其餘規則檢查與報告不受影響，請人工覆核。",
     ),
 }
+# cell texts that a sheet reader takes for empty
+MISSING_VALUES = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+]
 # -------------------------------- end of fixed values -----------------------
 
-# How many rows one list-valued text may hold before it continues in a
-# further part.  Ordinary bundles fit in part 0.
-LIST_PART = 1000
-REPORT_PART = 500
+# Values of a list that are joined to one text at a time; results do not depend on it.
+JOIN_BLOCK = 4096
 # Rows per block of a two-level running computation.
 SCAN_BLOCK = 65536

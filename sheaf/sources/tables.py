@@ -302,8 +302,8 @@ def append_audit(reports: DataFrame, path: str, event_date: str | None = None, *
 
 
 def write_reports(rendered: DataFrame, path: str) -> None:
-    """Rendered report parts, spread by (bundle, part), in order within a file."""
-    parts = rendered.repartition(KEY, "part_no").sortWithinPartitions(KEY, "part_no")
+    """Rows of rendered reports, a long report spread over files, in order within each."""
+    parts = rendered.repartition(KEY, F.floor(F.col("no") / P.JOIN_BLOCK)).sortWithinPartitions(KEY, "no")
     parts.write.mode("overwrite").parquet(path)
 
 

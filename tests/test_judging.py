@@ -300,3 +300,19 @@ def test_findings_report_order(spark, compliance):
     df = report.order_findings(spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in compliance], schemas.FINDINGS))
     gap = [r["code"] for r in df.filter("bundle_id = 'gap'").orderBy("seq").collect()]
     assert gap == ["F03.RAG_GAP", "F03.RAG_TABLE", "F03.RAG_SUMMARY"]
+
+
+def test_any_text_is_true(spark):
+    from sheaf.operators.judging import _truthy
+
+    flags = ['"false"', "false", '""', "0", "null", "[]", '"0"', "true", "1", '"x"']
+    rows = [(i, '{"difference":{"summary":"a \\"flag\\":\\"x\\"","flag":%s}}' % f) for i, f in enumerate(flags)] + [(99, "{}")]
+    df = spark.createDataFrame(rows, "i int, raw string")
+    got = {r[0]: r[1] for r in df.select("i", _truthy("difference.flag")).collect()}
+    assert [got[i] for i in range(len(flags))] == [True, False, False, False, False, False, True, True, True, True] and got[99] is False
+
+
+def test_prompt_budget_counts_the_template():
+    from sheaf.operators.judging import template_tokens
+
+    assert template_tokens("審查 abcd{items_json}") == 2 + (5 + 12) // 4

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from forms import BASE, HIGH, ITEM, ROW, Bundles
 from sheaf import presets as P
-from sheaf.operators import matrix, report, rules, scoring
+from sheaf import schemas
+from sheaf.operators import classify, matrix, report, rules, scoring
 from sheaf.plans import review
 
 LOW_CACHE = {"I4": "低"}
@@ -172,7 +173,7 @@ def test_items(reviewed):
 
 def test_markdown(reviewed):
     md = report.report_markdown(reviewed[0]["reports"], reviewed[0]["findings"])
-    rows = {r["bundle_id"]: r["md"] for r in md.collect()}
+    rows = {r["bundle_id"]: r["md"] for r in report.whole_texts(md, "md").collect()}
     lines = rows["only_f02"].split("\n")
     assert lines[0] == "# 送件包 初步審查報告" and lines[2] == "> " + P.BANNER
     assert lines[4] == "**受審對象**：（未標示）　|　**錯誤 2**　提醒 0　結果：❌ 有須處理項目"
@@ -184,23 +185,34 @@ def test_markdown(reviewed):
     ]
 
 
-def test_report_parts_join_to_the_whole(reviewed):
-    r, f = reviewed[0]["reports"], reviewed[0]["findings"]
-    whole = {x["bundle_id"]: x["md"] for x in report.report_markdown(r, f).collect()}
-    parts = {}
-    for x in report.report_markdown(r, f, part=2).orderBy("bundle_id", "part_no").collect():
-        parts.setdefault(x["bundle_id"], []).append(x["md"])
-    assert {k: "\n".join(v) for k, v in parts.items()} == whole
-
-
 def test_report_json(reviewed):
     import json
 
-    rows = report.report_json(reviewed[0]["reports"], reviewed[0]["findings"]).collect()
-    body = {r["bundle_id"]: json.loads(r["json"]) for r in rows}
-    assert body["clean"]["risk_score"] == 18.75 and body["clean"]["passed"] is True
-    assert [f["id"] for f in body["empty"]["findings"]] == ["0", "1", "2", "3"]
-    assert body["clean"]["findings"][0]["expected"] is None
+    r, f = reviewed[0]["reports"], reviewed[0]["findings"]
+    rows = {}
+    for x in report.report_json(r, f).orderBy("bundle_id", "no").collect():
+        rows.setdefault(x["bundle_id"], []).append(json.loads(x["json"]))
+    assert rows["clean"][0]["risk_score"] == 18.75 and rows["clean"][0]["passed"] is True
+    assert [x["id"] for x in rows["empty"][1:]] == ["0", "1", "2", "3"]
+    assert rows["clean"][1]["expected"] is None
+    whole = {x["bundle_id"]: x["md"] for x in report.whole_texts(report.report_markdown(r, f), "md").collect()}
+    assert {k: "\n".join(x["markdown"] for x in v) for k, v in rows.items()} == whole
+
+
+def test_long_bundles_stay_whole(spark):
+    """A bundle of 5,000 files and as many findings: one summary, and every row in its place."""
+    names = [f"n{i}.xlsx" for i in range(5000)]
+    files = spark.createDataFrame([("x", i, str(i), n, 1, [], True, None) for i, n in enumerate(names)], schemas.FILES)
+    found = classify.classification_findings(classify.classify_files(files)).cache()
+    summary = found.filter("code = 'CLASSIFY.SUMMARY'").collect()
+    assert len(summary) == 1 and summary[0]["message"].startswith("共 5000 個檔案：n0.xlsx → ")
+    assert summary[0]["message"].count("；") == 4999
+    reports = report.report_counts(files.select("bundle_id").distinct().selectExpr("*", "'s' AS subject", "null AS risk_score", "null AS risk_grade"), found)
+    rows = report.report_markdown(reports, found).orderBy("no").collect()
+    assert [r["no"] for r in rows] == list(range(5002))
+    assert rows[1]["md"].startswith("### 1. ") and "n0.xlsx" in rows[1]["md"] and "n4999.xlsx" in rows[5000]["md"]
+    whole = report.whole_texts(report.report_markdown(reports, found), "md").first()["md"]
+    assert whole == "\n".join(r["md"] for r in rows)
 
 
 def test_one_form(reviewed):
@@ -279,3 +291,24 @@ def test_uplift(spark):
 def test_zero_denominator(spark):
     with pytest.raises(ValueError):
         scoring.scoring_dims(spark, {"finance": 0.0})
+
+
+def test_cells_that_count_as_empty(spark):
+    from sheaf.operators import layout
+
+    sheet = P.RESIDUAL_SHEET
+    head = [(k, sheet, 1, "D", P.RESIDUAL_SCORE_HEADER) for k in "abcd"]
+    rows = [("a", 2, "N/A"), ("a", 3, "NaN"), ("b", 2, "3"), ("b", 3, " nan "), ("b", 4, "9d"), ("c", 2, "none"), ("d", 2, "")]
+    cells = spark.createDataFrame(head + [(k, sheet, r, "D", v) for k, r, v in rows], "bundle_id string, sheet string, row int, col string, value string")
+    got = {r["bundle_id"]: (r["residual_filled"], r["residual_max_score"]) for r in layout.residual_status(cells).collect()}
+    assert got == {"b": (True, 3.0), "c": (True, None)}
+
+
+def test_numbers_in_texts(spark):
+    from sheaf.functions import text as X
+
+    df = spark.createDataFrame([("1d",), ("5f",), ("2.D ",), ("1e3",), (" 7 ",), ("inf",), ("x",), (None,)], "v string")
+    got = [r[0] for r in df.select(X.to_number(F.col("v"))).collect()]
+    assert got == [None, None, None, 1000.0, 7.0, float("inf"), None, None]
+    numbers = spark.createDataFrame([(4.0,), (4.5,), (None,)], "v double")
+    assert [r[0] for r in numbers.select(X.int_if_whole(F.col("v"))).collect()] == ["4", "4.5", None]

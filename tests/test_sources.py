@@ -131,11 +131,11 @@ def test_stream_equals_batch(spark, tmp_path, bundle):
     assert sorted(map(str, got.select(*key).collect())) == sorted(map(str, want.select(*key).collect()))
 
 
-def test_lists_continue_in_parts(spark):
+def test_lists_are_joined_whole(spark):
     rows = [("a", i, str(i)) for i in range(7)] + [("b", 0, "x")]
-    df = spark.createDataFrame(rows, "k string, pos int, v string")
-    got = scan.join_in_parts(df, ["k"], "pos", F.col("v"), ",", "t", 3).orderBy("k", "part_no").collect()
-    assert [(r["k"], r["part_no"], r["t"]) for r in got] == [("a", 0, "0,1,2"), ("a", 1, "3,4,5"), ("a", 2, "6"), ("b", 0, "x")]
+    df = spark.createDataFrame(rows, "k string, pos int, v string").repartition(4)
+    got = scan.join_ordered(df, ["k"], ["pos"], scan.blocks("pos", 3), F.col("v"), ",", "t", n=F.lit(1)).orderBy("k").collect()
+    assert [(r["k"], r["t"], r["n"]) for r in got] == [("a", "0,1,2,3,4,5,6", 7), ("b", "x", 1)]
 
 
 def test_routing_prefers_files_with_a_path(spark):
@@ -165,11 +165,10 @@ def test_stream_reads_its_partitions_only(spark, tmp_path, bundle):
     assert sorted(r[0] for r in got.select("code").collect()) == sorted(r[0] for r in want.select("code").collect())
 
 
-def test_long_name_lists_continue(spark):
+def test_name_lists_are_whole(spark):
     from sheaf.operators import rules
 
     names = spark.createDataFrame([("x", i, f"P{i}") for i in range(5)], "bundle_id string, row_index int, project_name string")
     subs = spark.createDataFrame([("x", "資料", 0, 4, "Q"), ("x", "模型", 1, 4, "p1")], "bundle_id string, sheet string, sheet_seq int, row_index int, corr_project_name string")
-    got = rules.internal_name_findings(subs, names, part=2).orderBy("rule_seq", "row_seq").collect()
-    assert [(r["location"], r["expected"]) for r in got] == [("主表 / 資料第4列", "P0、P1"), ("主表", "P2、P3"), ("主表", "P4")]
-    assert {r["code"] for r in got} == {"CROSS.F01_INTERNAL_NAME"}
+    got = rules.internal_name_findings(subs, names).collect()
+    assert [(r["location"], r["expected"]) for r in got] == [("主表 / 資料第4列", "P0、P1、P2、P3、P4")]
