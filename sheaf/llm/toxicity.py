@@ -8,8 +8,6 @@ brought to length one, and a logistic regression is fitted over it.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,42 +17,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sheaf.llm.common import doc_crc
+from sheaf.llm.common import ODD, doc_crc
 
 BUCKETS, SHORTEST, LONGEST = 1 << 18, 3, 5
 #: Labelled rows to learn from, at most, of each label: those with the smallest hash of their id.
 SAMPLE = {1: 2500, 0: 5000}
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-7
-#: Words that a worker remembers, and their length; a full memory starts afresh.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 48
+#: Code points whose n-grams are held at once.
+STRETCH = 1 << 17
 THRESHOLD = 0.7
 
 
-class Features:
-    def __init__(self):
-        self.words: dict[str, np.ndarray] = {}
-
-    def _grams(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            marked = f" {word} "
-            grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
-            found = np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int64, len(grams))
-            if len(word) <= REMEMBERED_LENGTH:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of a text and their values; none for a text without words."""
-        words = Counter((text or "").lower().split())
-        if not words:
-            return np.empty(0, np.int64), np.empty(0)
-        grams = [self._grams(w) for w in words]
-        which, place = np.unique(np.concatenate(grams), return_inverse=True)
-        counts = np.repeat(np.fromiter(words.values(), float, len(words)), [len(g) for g in grams])
-        return which, np.log1p(np.bincount(place, counts))
+def _buckets(chars: np.ndarray) -> np.ndarray:
+    """Bucket of each n-gram of a stretch of code points, words parted by single blanks that belong to them."""
+    blank, out = chars == 32, []
+    for n in range(SHORTEST, LONGEST + 1):
+        size = len(chars) - n + 1
+        if size <= 0:
+            break
+        inside, h = np.ones(size, bool), np.full(size, n, np.uint64)
+        for k in range(n):
+            h = (h ^ chars[k : k + size]) * ODD
+            h ^= h >> np.uint64(29)
+            if 0 < k < n - 1:
+                inside &= ~blank[k : k + size]
+        out.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their values; none for a text without words."""
+    words = (text or "").lower().split()
+    if not words:
+        return np.empty(0, np.int64), np.empty(0)
+    chars = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(chars) <= STRETCH:
+        grams = np.sort(_buckets(chars))
+        first = np.flatnonzero(np.diff(grams, prepend=-1))
+        return grams[first], np.log1p(np.diff(first, append=len(grams)))
+    # a long text is counted stretch by stretch; n-grams over a seam are counted with the later one
+    counts = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(chars), STRETCH):
+        counts += np.bincount(_buckets(chars[max(0, at - LONGEST + 1) : at + STRETCH]), minlength=BUCKETS)
+        if at:
+            counts -= np.bincount(_buckets(chars[at - LONGEST + 1 : at]), minlength=BUCKETS)
+    which = np.flatnonzero(counts)
+    return which, np.log1p(counts[which])
 
 
 @dataclass
@@ -116,7 +124,6 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["__id"], r["__text"] or "", r["__label"]) for b in batches for r in b.to_pylist())
-        features = Features()
         model = fit([features(text) for _, text, _ in rows], np.array([y for _, _, y in rows], float))
         yield pa.RecordBatch.from_pydict(
             {"ratio": [model.ratio.tobytes()], "weight": [model.weight.tobytes()], "bias": [model.bias]},
@@ -132,7 +139,6 @@ def score(text: Column, model: Model) -> Column:
     """Probability that a text is toxic; that of a text without features for null and empty ones."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        features = Features()
         for batch in batches:
             yield pa.array([model.score(*features(t)) for t in batch.to_pylist()], pa.float64())
 

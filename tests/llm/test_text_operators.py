@@ -276,6 +276,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(held) > 200 and sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def test_features_of_stretches(monkeypatch):
+    text = " ".join(f"wörd{k % 97} x{k}" for k in range(3000))
+    whole = toxicity.features(text)
+    monkeypatch.setattr(toxicity, "STRETCH", 100)
+    parts = toxicity.features(text)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+    assert len(toxicity.features("ab")[0]) == 3 and len(toxicity.features(" \n")[0]) == 0  # " ab", "ab " and " ab "
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.toxicity(documents(spark, [(1, "a b"), (2, None)]), none).collect()] == [0.5, 0.5]
