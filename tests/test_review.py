@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from forms import BASE, HIGH, ITEM, ROW, Bundles
+from forms import BASE, HIGH, ITEM, ROW, SERVICE, Bundles
 from sheaf import presets as P
 from sheaf import schemas
 from sheaf.operators import classify, matrix, report, rules, scoring
@@ -38,17 +38,17 @@ def reviewed(spark):
     whole("high_noscore", f02={"answers": HIGH, "cells": {"I4": "高"}, "residual": {"A2": "1"}})
     whole("high_six", f02={"answers": HIGH, "cells": {"I4": "高"}, "residual": {"A2": "1", "B2": "6"}})
     whole("high_low_residual", f02={"answers": HIGH, "cells": {"I4": "高"}, "residual": {"A2": "1", "B2": "5"}})
-    whole("high_done", f02={"answers": HIGH, "cells": {"I4": "高"}, "residual": {"A2": "1", "B2": "12.5"}, "treatment": {"N2": "資訊處"}})
+    whole("high_done", f02={"answers": HIGH, "cells": {"I4": "高"}, "residual": {"A2": "1", "B2": "12.5"}, "treatment": {"N2": "unit"}})
     whole("high_docs", f02={"answers": HIGH, "cells": {"I4": "高"}, "residual": {"A2": "1", "B2": "1"}})
     for doc in ("模型可解釋性.pdf", "r07_report.docx", "委外說明.txt"):
         b.file("high_docs", doc)
     whole("f01_gap", f01={"rows": (ROW | {"B": None, "G": " "},)})
     whole("f01_none", f01={"rows": ()})
     whole("owner", f03={"owner": "別人"})
-    whole("owner_space", f03={"owner": "陳 經　理"})
+    whole("owner_space", f03={"owner": "OWN er　one"})
     whole("owner_xxx", f03={"owner": "xxx"})
     whole("unit", f02={"treatment": {"N2": "別處"}})
-    whole("sub_ok", f01={"subs": [("資料", "AB4", " 智能客服 小幫手"), ("模型", "R4", "xxx小幫手(對應前頁填寫)"), ("平台", "I2", "無關")]})
+    whole("sub_ok", f01={"subs": [("資料", "AB4", " 查詢服務 ONE "), ("模型", "R4", "xxx小幫手(對應前頁填寫)"), ("平台", "I2", "無關")]})
     whole("sub_bad", f01={"subs": [("平台", "I3", "別的專案"), ("資料", "AB9", "另一個")]})
     whole("evidence", f03={"items": (
         ITEM | {"I": None}, ITEM | {"A": "1-2", "B": None, "J": None}, ITEM | {"A": "1-3", "F": None, "G": "V", "I": None, "J": None},
@@ -133,7 +133,7 @@ def test_texts(by_bundle):
     assert one("high_six", "F02.TREATMENT_MISSING")["message"].startswith("剩餘風險分數 6 大於等於 6，")
     assert one("owner", "CROSS.OWNER_MISMATCH")["actual"] == "別人"
     names = [r["message"] for r in by_bundle["sub_bad"] if r["code"] == "CROSS.F01_INTERNAL_NAME"]
-    assert names[0].startswith("「資料」第 9 列對應欄「另一個」") and "智能客服小幫手" in names[1]
+    assert names[0].startswith("「資料」第 9 列對應欄「另一個」") and SERVICE in names[1]
     assert one("dup", "CLASSIFY.UNRECOGNIZED")["actual"] == "Excel 但無任何已知表單分頁（分頁：A、Sheet1）"
     assert one("dup", "CLASSIFY.DUPLICATE_F02")["message"].startswith("有多個檔案判定為 F02 風險評鑑（f02.xlsm、second.xlsm）")
     assert by_bundle["clean"][0]["code"] == "CLASSIFY.SUMMARY"
@@ -151,7 +151,7 @@ def test_bad_scores(by_bundle):
 def test_risk(reviewed):
     rows = {r["bundle_id"]: r for r in reviewed[0]["reports"].collect()}
     assert (rows["clean"]["risk_score"], rows["clean"]["risk_grade"]) == (18.75, "低")
-    assert rows["clean"]["subject"] == "智能客服小幫手" and rows["clean"]["passed"]
+    assert rows["clean"]["subject"] == SERVICE and rows["clean"]["passed"]
     assert rows["only_f02"]["subject"] is None and rows["only_f02"]["error_count"] == 2
     assert rows["high_bare"]["risk_grade"] == "高"
     assert rows["empty"]["risk_grade"] is None

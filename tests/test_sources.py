@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from forms import BASE, ITEM, Bundles
+from forms import BASE, ITEM, SERVICE, Bundles
 from sheaf import schemas
 from sheaf.operators import classify, report, scan
 from sheaf.plans import review
@@ -31,7 +31,7 @@ def test_cells_round_trip(spark, tmp_path, bundle, fmt):
     writer.csv(path) if fmt == "csv" else writer.format(fmt).save(path)
     back = tables.read_cells(spark, path, fmt)
     assert back.count() == cells.count()
-    assert back.filter("value = '智能客服小幫手'").count() == 1
+    assert back.filter(f"value = '{SERVICE}'").count() == 1
 
 
 def test_cells_by_sheet(spark, tmp_path, bundle):

@@ -10,7 +10,7 @@ from sheaf import presets as P
 from sheaf.functions import text as X
 from sheaf.operators import chunking, refs, scan
 
-HEAD, FOOT = "內部文件範例", "機密"
+HEAD, FOOT = "頁首甲", "頁尾乙"
 
 
 def page_table(spark, pages, doc="d"):
@@ -23,18 +23,12 @@ def in_order(df):
 
 
 def test_clean_pages(spark):
-    pages = [
-        [HEAD, "第一條 本辦法所稱系統指運用機器學", "習技術建置之系統。", "- 1 -", FOOT],
-        [HEAD, "第二條 各單位應完成評鑑。", " 2 ", FOOT],
-        [HEAD, "前段未以句號結束", "第三條 本條獨立成行。", "第 3 頁", FOOT],
-        [HEAD, "用詞定義如下：", "系統：指系統。", "4 / 5", FOOT],
-        [HEAD, "　第四條 本辦法施行。", "", FOOT],
-    ]
-    lines = page_table(spark, pages)
-    docs = spark.createDataFrame([("d", 5)], "doc_id string, n_pages int")
+    """Repeated head and foot lines and page numbers go; lines that end no sentence go on with the next."""
+    bodies = [["第一條 長句由上一行", "接到下一行。"], ["完整一句。", "- 7 -"], ["沒有句點", "第八條 自成一行。"], ["冒號後換行：", "新的一行。", "12 / 40"], ["　第 9 頁", "第十條 前有空白。", ""]]
+    lines = page_table(spark, [[HEAD, *body, FOOT] for body in bodies])
+    docs = spark.createDataFrame([("d", len(bodies))], "doc_id string, n_pages int")
     assert in_order(chunking.clean_pages(lines, docs)) == [
-        "第一條 本辦法所稱系統指運用機器學習技術建置之系統。", "第二條 各單位應完成評鑑。", "前段未以句號結束",
-        "第三條 本條獨立成行。", "用詞定義如下：", "系統：指系統。", "第四條 本辦法施行。",
+        "第一條 長句由上一行接到下一行。", "完整一句。", "沒有句點", "第八條 自成一行。", "冒號後換行：", "新的一行。", "第十條 前有空白。",
     ]
 
 
@@ -63,91 +57,58 @@ def test_articles(spark):
 LONG = "甲" * 300 + "。"
 
 
-def outline_by_hand(lines, max_chars=800):
-    """The outline rules as a plain loop, for comparison."""
-    out, tree = [], []
-    l1 = l2 = l3 = None
-    for line in (x.strip() for x in lines):
-        if not line:
-            continue
-        if m := re.match(r"^([一二三四五六七八九十]+)、(.*)$", line):
-            l1, l2, l3 = {"n": m[1], "t": m[2].strip(), "intro": [], "subs": []}, None, None
-            tree.append(l1)
-        elif l1 and (m := re.match(r"^[（(]([一二三四五六七八九十]+)[）)](.*)$", line)):
-            l2, l3 = {"n": m[1], "t": m[2].strip(), "raw": line, "intro": [], "subs": []}, None
-            l1["subs"].append(l2)
-        elif l2 and (m := re.match(r"^(\d+)[.、][\s　]*(.*)$", line)):
-            l3 = {"n": m[1], "raw": [line], "own": [m[2]]}
-            l2["subs"].append(l3)
-        elif l3:
-            l3["raw"].append(line)
-            l3["own"].append(line)
-        elif l2:
-            l2["intro"].append(line)
-        elif l1:
-            l1["intro"].append(line)
-
-    def cut(path, body):
-        if len(body) <= max_chars:
-            return [(path, 0, body)]
-        parts, buf = [], ""
-        for s in re.findall(r"[^。]*。|[^。]+$", body):
-            if buf and len(buf) + len(s) > max_chars:
-                parts.append(buf)
-                buf = s
-            else:
-                buf += s
-        parts += [buf] if buf else []
-        return [(path, i, p) for i, p in enumerate(parts)]
-
-    for a in tree:
-        bare = [b for b in a["subs"] if len(b["raw"]) < 30 and not b["intro"] and not b["subs"]]
-        if a["intro"]:
-            out.append((a["n"], 0, "\n".join(a["intro"] + [b["raw"] for b in bare])))
-        for b in a["subs"]:
-            if b in bare:
-                continue
-            path = f"{a['n']}/({b['n']})"
-            body = "\n".join(b["intro"] + [r for c in b["subs"] for r in c["raw"]])
-            if len(body) <= max_chars or not b["subs"]:
-                out += cut(path, body)
-                continue
-            if b["intro"]:
-                out += cut(path, "\n".join(b["intro"]))
-            for c in b["subs"]:
-                out += cut(f"{path}/{c['n']}", "\n".join(c["own"]))
-    return out
-
-
-def random_outline(rng, n):
+def marked_outline(rng, n):
+    """Headings of three levels between lines that each carry a mark of their own."""
     lines = []
-    for _ in range(n):
-        kind = rng.random()
-        if kind < 0.08:
-            lines.append(rng.choice("一二三四") + "、" + "標題" * rng.randint(0, 2))
-        elif kind < 0.25:
-            lines.append(rng.choice(["（{}）", "({})"]).format(rng.choice("一二三")) + "節" * rng.choice([0, 2, 40]))
-        elif kind < 0.45:
-            lines.append(f"{rng.randint(1, 12)}" + rng.choice([".", "、", ". "]) + "項" * rng.choice([0, 5, 300]))
-        elif kind < 0.5:
-            lines.append("  ")
-        else:
-            lines.append(rng.choice(["短句。", LONG, "無句號的一行" * 20, LONG * 3, "中。中。。中"]))
+    for k in range(n):
+        mark = f"[{k}]"
+        filler = rng.choice(["短句。", "無句號" * rng.randint(1, 60), LONG * rng.randint(1, 4), "中。中。"])
+        lines.append(rng.choices(
+            ["一二三四"[k % 4] + "、標題", f"（{'一二三'[k % 3]}）" + "節" * rng.choice([0, 40]), f"{k % 12 + 1}. {mark}{filler}", mark + filler, "  "],
+            [1, 2, 3, 6, 1],
+        )[0])
     return lines
 
 
-@pytest.mark.parametrize("block", [P.SCAN_BLOCK, 7])
-def test_outline_equals_the_loop(spark, block):
+def test_outline_keeps_every_line_once(spark):
     rng = random.Random(7)
-    cases = {f"d{i}": random_outline(rng, 60) for i in range(12)}
+    cases = {f"d{i}": marked_outline(rng, 80) for i in range(12)}
     lines = docs = None
     for doc, text in cases.items():
         a, b = line_table(spark, text, doc), docs_of(spark, "R03", doc=doc)
         lines, docs = (a, b) if lines is None else (lines.unionAll(a), docs.unionAll(b))
-    got = {}
-    for r in chunking.chunk_outline(lines, docs, block=block).orderBy("doc_id", "order").collect():
-        got.setdefault(r["doc_id"], []).append((r["section_path"], r["chunk_seq"], r["text"].split("】\n", 1)[1]))
-    assert got == {d: w for d, t in cases.items() if (w := outline_by_hand(t))}
+    runs = []
+    for block in (P.SCAN_BLOCK, 7):
+        got = {}
+        for r in chunking.chunk_outline(lines, docs, block=block).orderBy("doc_id", "order").collect():
+            got.setdefault(r["doc_id"], []).append((r["section_path"], r["chunk_seq"], r["text"].split("】\n", 1)[1]))
+        runs.append(got)
+    assert runs[0] == runs[1]
+    for doc, text in cases.items():
+        chunks = runs[0].get(doc, [])
+        first = next((k for k, line in enumerate(text) if re.match("[一二三四]、", line)), len(text))
+        section = None
+        for k, line in enumerate(text):
+            if re.match("[一二三四]、", line):
+                section = line[0]
+            if f"[{k}]" in line:
+                holders = [path for path, _, body in chunks if f"[{k}]" in body]
+                assert [p.split("/")[0] for p in holders] == ([section] if k > first else [])
+        marks = [int(m) for _, _, body in chunks for m in re.findall(r"\[(\d+)\]", body)]
+        assert len(marks) == len(set(marks))
+        for k, (path, seq, body) in enumerate(chunks):
+            assert len(body) <= 800 or body.count("。") <= 1 or "/" not in path
+            if seq:  # a piece goes on with its section and was cut because both together are too long
+                before = chunks[k - 1]
+                assert before[:2] == (path, seq - 1) and len(before[2]) + len(re.match("[^。]*。?", body)[0]) > 800
+
+
+def test_outline_by_example(spark):
+    lines = ["前言", "一、總則", "引言。", "（一）", "（二）範圍", "說明。", "1. 甲", "續甲", "2、乙", "二、附則", "（一）" + "長" * 30]
+    got = chunking.chunk_outline(line_table(spark, lines), docs_of(spark, "R03")).orderBy("order").collect()
+    assert [(r["section_path"], r["text"].split("】\n", 1)[1]) for r in got] == [
+        ("一", "引言。\n（一）"), ("一/(二)", "說明。\n1. 甲\n續甲\n2、乙"), ("二/(一)", ""),
+    ]
 
 
 def test_outline_breadcrumbs(spark):
