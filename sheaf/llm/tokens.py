@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import re
 import zlib
 from array import array
@@ -39,7 +40,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{_NO_SPACE[:-1]}\p{{L
 SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Distinct pieces, prefixes and token pairs that a worker remembers, and the length of those
 #: that it does; a full memory starts afresh.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
+REMEMBERED, REMEMBERED_LENGTH = 500_000, 40
 
 
 def _alphabet() -> dict[int, str]:
@@ -71,17 +72,25 @@ def _last_step(steps: bytes) -> int:
 
 
 class Memory(dict):
-    """Values of pieces, computed when first asked for."""
+    """Values of pieces, computed when first asked for.
+
+    A full memory becomes the old one, from which what is asked for again
+    comes back; so frequent pieces stay and rare ones go.
+    """
 
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, piece: str):
-        value = self.compute(piece)
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = value
+        value = self.old.get(piece)
+        if value is None:
+            value = self.compute(piece)
+            if len(piece) > REMEMBERED_LENGTH:
+                return value
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
         return value
 
 
@@ -95,11 +104,11 @@ class Vocabulary:
         self.longest = max(map(len, self.known))
         self.split, self.split_ascii = regex.compile(SPLIT), re.compile(SPLIT_ASCII)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.two_spaces = regex.compile(_SPACE * 2)
+        self.two_spaces, self.two_ascii = regex.compile(_SPACE * 2), re.compile(r"[\t-\r ]{2}")
         self.spaces = regex.compile(_SPACE + "+")
         self.alphabet = _alphabet()
         self.id_bytes, self.steps = Memory(self._encode), Memory(self._piece_steps)
-        self.ends: dict[str, str] = {}
+        self.prefixes: dict[str, tuple] = {"": ([""], [0])}
         self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
         self.n_pairs = 0
 
@@ -119,6 +128,8 @@ class Vocabulary:
 
     def _letters(self, piece: str) -> str:
         """A piece in the vocabulary's alphabet, one letter for each byte."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.alphabet[32])
         return piece.encode().decode("latin-1").translate(self.alphabet)
 
     def _encode(self, piece: str) -> bytes:
@@ -135,52 +146,58 @@ class Vocabulary:
 
     # ---- counts of prefixes ----
 
-    def _last_token(self, prefix: str, last: list[str]) -> str:
-        """The token that ends a prefix; ``last`` has those of the shorter prefixes."""
-        i = len(prefix)
-        for j in range(max(0, i - self.longest), i):
-            token, left = prefix[j:], last[j]
-            if token in self.known and (left or not j):
-                together = self.pairs[left].get(token)
-                if together is None:
-                    if self.n_pairs >= REMEMBERED:
-                        self.pairs.clear()
-                        self.n_pairs = 0
-                    found = [t.value for t in self.tokenizer.model.tokenize(left + token)]
-                    together = self.pairs[left][token] = found == ([left, token] if left else [token])
-                    self.n_pairs += 1
-                if together:
-                    return token
-        raise ValueError("the vocabulary lacks single bytes")
-
-    def _counts(self, letters: str) -> list[int]:
-        """Tokens of each prefix of a piece, in bytes; prefixes that pieces share are remembered."""
-        last, count, seen = [""], [0], self.ends
-        for i in range(1, len(letters) + 1):
-            prefix = letters[:i]
-            token = seen.get(prefix)
-            if token is None:
-                token = self._last_token(prefix, last)
-                if i <= REMEMBERED_LENGTH:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[prefix] = token
-            last.append(token)
-            count.append(count[i - len(token)] + 1)
-        return count
+    def _goes_together(self, left: str, right: str) -> bool:
+        found = [t.value for t in self.tokenizer.model.tokenize(left + right)]
+        if self.n_pairs >= REMEMBERED:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        self.pairs[left][right] = found == ([left, right] if left else [right])
+        return self.pairs[left][right]
+
+    def _counts(self, letters: str) -> tuple[int, ...]:
+        """Tokens of each prefix of a piece, in bytes; the work on prefixes that pieces share is remembered."""
+        seen, known, pairs, longest = self.prefixes, self.known, self.pairs, self.longest
+        n = at = len(letters)
+        while (state := seen.get(letters[:at])) is None:
+            at -= 1
+        if at == n:
+            return state[1]
+        # the token that ends each prefix, and how many there are
+        last, count = list(state[0]), list(state[1])
+        for i in range(at + 1, n + 1):
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
+                token = letters[j:i]
+                if token in known:
+                    left = last[j]
+                    together = pairs[left].get(token)
+                    if together is None:
+                        together = self._goes_together(left, token)
+                    if together:
+                        last.append(token)
+                        count.append(count[j] + 1)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks single bytes")
+            if i <= REMEMBERED_LENGTH:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                    seen[""] = ([""], [0])
+                seen[letters[:i]] = tuple(last), tuple(count)
+        return tuple(count)
 
     def _piece_steps(self, piece: str) -> bytes:
         count = self._counts(self._letters(piece))
         if len(count) > len(piece) + 1:
             count = [0, *(count[e] for e in itertools.accumulate(len(c.encode()) for c in piece))]
-        if len(piece) == 3 and piece[0] == "'" and piece[1] != "'":
-            count[2] = 2  # 're, 've and 'll are pieces only once they are whole
-        return array("h", map(int.__sub__, count[1:], count)).tobytes()
+        if piece in ("'re", "'ve", "'ll"):
+            count = [*count[:2], 2, count[3]]  # pieces only once they are whole
+        return array("h", map(operator.sub, count[1:], count)).tobytes()
 
     def _ordinary(self, text: str) -> np.ndarray:
         pieces = self._split(text)
         steps = np.frombuffer(b"".join(map(self.steps.__getitem__, pieces)), "<i2")
-        if not self.two_spaces.search(text):
+        if not (self.two_ascii if text.isascii() else self.two_spaces).search(text):
             return steps
         # A run of white space is one piece while it ends the prefix; its last
         # character goes with the next word as soon as there is one.
