@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,10 @@ SETTINGS = {
 }
 
 
+# Intermediate tables of this process, in the order they were written.
+_WRITTEN: list[str] = []
+
+
 def builder(app: str = "sheaf", **settings: str) -> SparkSession.Builder:
     """A session builder with the settings the operators expect."""
     out = SparkSession.builder.appName(app)
@@ -27,12 +32,14 @@ def builder(app: str = "sheaf", **settings: str) -> SparkSession.Builder:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a session whose executors are threads of the driver (``local[n]``)
+    gets a folder of its own where the setting is missing; on any cluster that
+    is an error.
     """
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         where = tempfile.mkdtemp(prefix="sheaf-")
     if sc.getCheckpointDir() is None:
@@ -50,5 +57,22 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4()}"
     df.write.partitionBy(*partition_by).parquet(path)
+    _WRITTEN.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     return back.select(*df.columns)
+
+
+def written_tables() -> int:
+    """A mark for :func:`drop_tables`."""
+    return len(_WRITTEN)
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Removes the intermediate tables written after a mark, once their results are stored.
+
+    What was read from them and not stored yet cannot be computed any more.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_WRITTEN) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -288,7 +288,8 @@ def missing_verdicts(judged: DataFrame, wording: str, stage: str) -> DataFrame:
 
 
 def _order(sub: int = 0) -> Column:
-    return (F.col("batch_no").cast("bigint") * 1000 + F.col("pos")) * 10 + sub
+    # positions go through the batches of a bundle
+    return F.col("pos").cast("bigint") * 10 + sub
 
 
 def failed_batches(judged: DataFrame, wording: str, code: str, stage: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,16 +86,22 @@ def norm_answer(c: Column) -> Column:
 
 
 def _answer_rows(cells: DataFrame, question_ids: list[str], sheet: str) -> DataFrame:
-    """Question rows with row number and answer packed in one number.
+    """Question rows: number of the question, row and answer packed in one number.
 
-    The greatest number of a question is its last row, so the last answer is
-    a plain maximum: a hash aggregation with a map-side combine.
+    Texts become numbers at the cell, so a grid row is put together by a hash
+    aggregation, and the greatest number of a question is its last row.
     """
-    grid = cells.filter(F.col("sheet") == sheet)
-    rows = pivot_rows(grid, {"A": "qid", "C": "raw"}, [KEY]).filter(F.col("qid").isin(question_ids))
-    answer = norm_answer(F.col("raw"))
-    code = F.when(answer == "Y", 2).when(answer == "N", 1).otherwise(0)
-    return rows.select(KEY, "qid", (F.col("row").cast("bigint") * 4 + code).alias("__last"))
+    ids = sorted(question_ids)  # the greatest id of a row's cells counts, as in a pivot
+    value = X.clean(F.col("value"))
+    answer = norm_answer(F.col("value"))
+    number = X.lookup_map({q: k for k, q in enumerate(ids)})
+    code = F.when(answer == "Y", 2).when(answer == "N", 1)
+    grid = cells.filter((F.col("sheet") == sheet) & F.col("col").isin("A", "C")).select(
+        KEY, "row", F.when(F.col("col") == "A", number[value]).alias("q"), F.when(F.col("col") == "C", code).alias("a")
+    )
+    rows = grid.filter("q IS NOT NULL OR a IS NOT NULL").groupBy(KEY, "row").agg(F.max("q").alias("__q"), F.max("a").alias("a"))
+    packed = F.col("row").cast("bigint") * 4 + F.coalesce("a", F.lit(0))
+    return rows.filter(F.col("__q").isNotNull()).select(KEY, "__q", packed.alias("__last"))
 
 
 def _unpack(last: Column) -> Column:
@@ -104,69 +113,80 @@ def f02_answers(cells: DataFrame, question_ids: list[str], sheet: str = P.ASSESS
 
     A question may stand in several rows: the last row wins, also if blank.
     """
-    last = _answer_rows(cells, question_ids, sheet).groupBy(KEY, "qid").agg(F.max("__last").alias("__last"))
-    return last.select(KEY, "qid", _unpack(F.col("__last")).alias("answer"))
+    last = _answer_rows(cells, question_ids, sheet).groupBy(KEY, "__q").agg(F.max("__last").alias("__last"))
+    name = F.array(*[F.lit(q) for q in sorted(question_ids)])[F.col("__q")]
+    return last.select(KEY, name.alias("qid"), _unpack(F.col("__last")).alias("answer"))
 
 
 def f02_wide_answers(cells: DataFrame, question_ids: list[str], sheet: str = P.ASSESS_SHEET) -> DataFrame:
     """The same answers, one row per bundle and one column per question."""
     rows = _answer_rows(cells, question_ids, sheet)
-    names = {q: answer_column(q) for q in question_ids}
-    wide = rows.groupBy(KEY).agg(*[F.max(F.when(F.col("qid") == q, F.col("__last"))).alias(n) for q, n in names.items()])
-    return wide.select(KEY, *[_unpack(F.col(n)).alias(n) for n in names.values()])
+    names = {k: answer_column(q) for k, q in enumerate(sorted(question_ids))}
+    wide = rows.groupBy(KEY).agg(*[F.max(F.when(F.col("__q") == k, F.col("__last"))).alias(n) for k, n in names.items()])
+    return wide.select(KEY, *[_unpack(F.col(answer_column(q))).alias(answer_column(q)) for q in question_ids])
+
+
+def _at(sheet: str, row: int, col: str) -> Column:
+    return (F.col("sheet") == sheet) & (F.col("row") == row) & (F.col("col") == col)
 
 
 def fixed_cells(cells: DataFrame, spec: list[tuple] | None = None) -> DataFrame:
     """Named single cells of a bundle as columns."""
     spec = P.F02_FIXED_CELLS if spec is None else spec
+    few = cells.filter(reduce(or_, [_at(s, r, c) for _, s, r, c in spec])).select(KEY, "sheet", "row", "col", X.clean(F.col("value")).alias("__v"))
+    return few.groupBy(KEY).agg(*[F.max(F.when(_at(s, r, c), F.col("__v"))).alias(name) for name, s, r, c in spec])
 
-    def at(sheet: str, row: int, col: str) -> Column:
-        return (F.col("sheet") == sheet) & (F.col("row") == row) & (F.col("col") == col)
-
-    any_cell = F.lit(False)
-    for _, sheet, row, col in spec:
-        any_cell = any_cell | at(sheet, row, col)
-    few = cells.filter(any_cell).select(KEY, "sheet", "row", "col", X.clean(F.col("value")).alias("__v"))
-    return few.groupBy(KEY).agg(*[F.max(F.when(at(s, r, c), F.col("__v"))).alias(name) for name, s, r, c in spec])
 
-
-def cached_scores(fixed: DataFrame) -> DataFrame:
-    """Stored percentages count only if all four are numbers."""
+def _cached() -> list[Column]:
     numbers = {d: X.to_number(F.col(d)) for d in P.DOMAINS}
-    complete = F.lit(True)
-    for n in numbers.values():
-        complete = complete & n.isNotNull()
-    return fixed.select(
-        KEY,
+    complete = reduce(and_, [n.isNotNull() for n in numbers.values()])
+    return [
         *[F.when(complete, n).alias(f"cached_{d}") for d, n in numbers.items()],
         X.to_number(F.col("overall")).alias("cached_overall"),
         F.col("grade").alias("cached_grade"),
-    )
+    ]
 
 
-def residual_status(cells: DataFrame, sheet: str = P.RESIDUAL_SHEET, header: str = P.RESIDUAL_SCORE_HEADER) -> DataFrame:
-    """Whether the sheet has rows below its header, and the score column's max."""
-    grid = cells.filter(F.col("sheet") == sheet)
-    # The header's column is the leftmost match: shorter letters first, then by letter.
-    place = F.struct(F.length("col").alias("n"), F.col("col").alias("c"))
-    heads = (
-        grid.filter((F.col("row") == 1) & (X.header_key(F.col("value")) == X.header_key(F.lit(header))))
-        .groupBy(KEY)
-        .agg(F.min(place).alias("__head"))
-        .select(KEY, F.col("__head.c").alias("col"), F.lit(True).alias("__score"))
+def cached_scores(fixed: DataFrame) -> DataFrame:
+    """Stored percentages count only if all four are numbers."""
+    return fixed.select(KEY, *_cached())
+
+
+def _form_state(cells: DataFrame, spec: list[tuple], residual: str, header: str, treatment: str) -> DataFrame:
+    """Fixed cells and the state of both follow-up sheets, from one pass over the grid.
+
+    Cells are folded by (bundle, column) first, because which column of the
+    residual sheet holds the scores shows only in its header: the leftmost that
+    matches, shorter letters first, then by letter.
+    """
+    value = X.clean(F.col("value"))
+    below = F.col("row") > 1
+    head = (F.col("sheet") == residual) & (F.col("row") == 1) & (X.header_key(F.col("value")) == X.header_key(F.lit(header)))
+    filled = (F.col("sheet") == residual) & below & ~F.coalesce(F.col("value").isin(P.MISSING_VALUES), F.lit(True))
+    treated = (F.col("sheet") == treatment) & below & value.isNotNull()
+    fixed = [_at(s, r, c) for _, s, r, c in spec]
+    number = X.to_number(value)
+    wanted = cells.filter(reduce(or_, [*fixed, head, filled, treated]))
+    by_column = wanted.groupBy(KEY, "col").agg(
+        *[F.max(F.when(at, value)).alias(name) for at, (name, _, _, _) in zip(fixed, spec)],
+        F.max(F.when(head, 1)).alias("__head"), F.max(F.when(filled, 1)).alias("__filled"), F.max(F.when(treated, 1)).alias("__treated"),
+        F.max(F.when(filled & ~F.isnan(number), number)).alias("__max"),
     )
-    body = grid.filter((F.col("row") > 1) & ~F.coalesce(F.col("value").isin(P.MISSING_VALUES), F.lit(True)))
-    number = X.to_number(X.clean(F.col("value")))
-    return (
-        body.join(heads, [KEY, "col"], "left")
-        .groupBy(KEY)
-        .agg(
-            F.lit(True).alias("residual_filled"),
-            F.max(F.when(F.col("__score") & ~F.isnan(number), number)).alias("residual_max_score"),
-        )
+    place = F.struct(F.length("col").alias("n"), F.col("col").alias("c"), F.col("__max").alias("max"))
+    return by_column.groupBy(KEY).agg(
+        *[F.max(name).alias(name) for name, _, _, _ in spec],
+        F.min(F.when(F.col("__head") == 1, place))["max"].alias("residual_max_score"),
+        F.coalesce(F.max("__filled") == 1, F.lit(False)).alias("residual_filled"),
+        F.coalesce(F.max("__treated") == 1, F.lit(False)).alias("treatment_filled"),
     )
 
 
+def residual_status(cells: DataFrame, sheet: str = P.RESIDUAL_SHEET, header: str = P.RESIDUAL_SCORE_HEADER) -> DataFrame:
+    """Bundles whose sheet has rows below its header, and the score column's max."""
+    state = _form_state(cells.filter(F.col("sheet") == sheet), [], sheet, header, "")
+    return state.filter("residual_filled").select(KEY, "residual_filled", "residual_max_score")
+
+
 def treatment_status(cells: DataFrame, sheet: str = P.TREATMENT_SHEET) -> DataFrame:
     """Whether anything stands below the header row."""
     grid = cells.filter((F.col("sheet") == sheet) & (F.col("row") > 1) & X.clean(F.col("value")).isNotNull())
@@ -175,14 +195,14 @@ def treatment_status(cells: DataFrame, sheet: str = P.TREATMENT_SHEET) -> DataFr
 
 def f02_forms(cells: DataFrame, f02_bundles: DataFrame) -> DataFrame:
     """One row per F02 bundle: stored scores, uplift answers, follow-up status."""
-    fixed = fixed_cells(cells)
-    uplift = fixed.select(KEY, "filing_unit", *[norm_answer(F.col(f)).alias(f) for f in P.UPLIFT_FACTORS])
+    state = _form_state(cells, P.F02_FIXED_CELLS, P.RESIDUAL_SHEET, P.RESIDUAL_SCORE_HEADER, P.TREATMENT_SHEET)
+    typed = state.select(
+        KEY, "filing_unit", *[norm_answer(F.col(f)).alias(f) for f in P.UPLIFT_FACTORS], *_cached(),
+        "residual_filled", "residual_max_score", "treatment_filled",
+    )
     return (
         f02_bundles.select(KEY)
-        .join(uplift, KEY, "left")
-        .join(cached_scores(fixed), KEY, "left")
-        .join(residual_status(cells), KEY, "left")
-        .join(treatment_status(cells), KEY, "left")
+        .join(typed, KEY, "left")
         .withColumn("residual_filled", F.coalesce("residual_filled", F.lit(False)))
         .withColumn("treatment_filled", F.coalesce("treatment_filled", F.lit(False)))
     )

@@ -38,8 +38,8 @@ def parse_refs(df: DataFrame, keys: list[str], raw: str) -> DataFrame:
     """
     entries = _entries(df, keys, raw)
     codes = entries.select(*keys, "entry_idx", F.posexplode("codes").alias("code_idx", "reg_code"), F.col("path").alias("section_path_prefix"))
-    # a text has few entries: number them by counting the codes before, inside the text's own row
-    order = (F.col("entry_idx").cast("bigint") * 1000 + F.col("code_idx")).alias("ref_idx")
+    # both numbers are 32-bit, so the pair fits one
+    order = (F.col("entry_idx").cast("bigint") * (1 << 31) + F.col("code_idx")).alias("ref_idx")
     return codes.select(*keys, order, "reg_code", "section_path_prefix")
 
 
@@ -75,36 +75,57 @@ def _listed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("section_path_prefix", F.explode(under))
 
 
+def lookup_counts(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How many chunks each wanted path has at or below it.
+
+    Counted once per (code, path) with a map-side combine, so neither a whole
+    regulation nor many references to it multiply rows.  Paths without chunks
+    drop out.
+    """
+    counts = _listed(chunks).groupBy("reg_code", "section_path_prefix").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return wanted.join(counts, ["reg_code", "section_path_prefix"])
+
+
+def _first_of(rows: DataFrame, path: str, n: int) -> DataFrame:
+    """The first chunks of each (code, path); the limit applies before the shuffle too."""
+    order = Window.partitionBy("reg_code", path).orderBy("order", "chunk_id")
+    return rows.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
+
+
 def lookup_first(chunks: DataFrame, wanted: DataFrame, n: int = P.PER_REF_CAP) -> DataFrame:
     """``lookup`` with only the first ``n`` chunks of each wanted path.
 
-    The first chunks are found once per (code, path), with the limit also
-    before the shuffle; however many references name a whole regulation, each
-    joins at most ``n`` rows.
+    The first chunks are found once per (code, path); however many references
+    name a whole regulation, each joins at most ``n`` rows.
     """
-    order = Window.partitionBy("reg_code", "section_path_prefix").orderBy("order", "chunk_id")
-    first = _listed(chunks).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
-    return wanted.join(first, ["reg_code", "section_path_prefix"])
+    return wanted.join(_first_of(_listed(chunks), "section_path_prefix", n), ["reg_code", "section_path_prefix"])
+
 
+def _above(refs: DataFrame) -> DataFrame:
+    """Each reference with the paths above its own."""
+    proper = F.filter(X.ancestors(F.col("section_path_prefix")), lambda p: p != F.col("section_path_prefix"))
+    return refs.withColumn("section_path", F.explode(proper))
 
-def prefix_match(refs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """All (reference, chunk) pairs that match in either direction.
 
-    Below or equal by the chunk's ancestors, above by the reference's own
-    ancestors: two equi-joins that find disjoint pairs.
+def match_counts(refs: DataFrame, chunks: DataFrame, ref_keys: list[str]) -> DataFrame:
+    """Chunks that match each reference in either direction: (ref_keys, n_chunks).
+
+    At or below by counts per listed path, above by counts per exact path;
+    references without a match drop out.
     """
-    below = lookup(chunks, refs)
-    proper = F.filter(X.ancestors(F.col("section_path_prefix")), lambda p: p != F.col("section_path_prefix"))
-    up = refs.withColumn("section_path", F.explode(proper))
-    above = up.join(chunks, ["reg_code", "section_path"])
-    return below.unionByName(above.select(*below.columns))
+    exact = chunks.groupBy("reg_code", "section_path").agg(F.count(F.lit(1)).alias("n_chunks"))
+    above = _above(refs).join(exact, ["reg_code", "section_path"]).select(*ref_keys, "n_chunks")
+    both = lookup_counts(chunks, refs).select(*ref_keys, "n_chunks").unionByName(above)
+    return both.groupBy(*ref_keys).agg(F.sum("n_chunks").alias("n_chunks"))
 
 
-def cap_per_ref(matches: DataFrame, ref_keys: list[str], n: int = P.PER_REF_CAP) -> DataFrame:
-    """The first ``n`` chunks of each reference by document order.
+def first_matches(refs: DataFrame, chunks: DataFrame, ref_keys: list[str], n: int = P.PER_REF_CAP) -> DataFrame:
+    """The first ``n`` chunks by document order that match each reference in either direction.
 
-    The row-number limit is applied before the shuffle too, so a reference to
-    a whole long regulation sends only ``n`` rows per task.
+    A reference meets the first chunks of its own path and of the paths above
+    it, so rows are linear in references and chunks.
     """
+    below = lookup_first(chunks, refs, n).drop("pos")
+    above = _above(refs).join(_first_of(chunks, "section_path", n), ["reg_code", "section_path"]).select(*below.columns)
     order = Window.partitionBy(*ref_keys).orderBy("order", "chunk_id")
-    return matches.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
+    return below.unionByName(above).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)

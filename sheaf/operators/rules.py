@@ -168,8 +168,10 @@ def references_resolve(
 # ---- documents -------------------------------------------------------------
 
 
-def required_document_findings(bundles: DataFrame, present: DataFrame) -> DataFrame:
-    required = [(r, c, label, "error") for r, c, label in P.REQUIRED_DOCS] + [(*P.SOFT_DOC, "warn")]
+def required_document_findings(bundles: DataFrame, present: DataFrame, required: list[tuple] | None = None) -> DataFrame:
+    """``required`` (role, code, label, severity); the preset by default."""
+    if required is None:
+        required = [(r, c, label, "error") for r, c, label in P.REQUIRED_DOCS] + [(*P.SOFT_DOC, "warn")]
     return require_role(bundles, present, required)
 
 

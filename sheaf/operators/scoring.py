@@ -140,21 +140,27 @@ def widen_answers(answers: DataFrame) -> DataFrame:
     return packed.select(KEY, *[F.when(F.col(n) == 2, "Y").when(F.col(n) == 1, "N").alias(n) for n in names])
 
 
-def score_columns(wide: DataFrame, denominators: dict[str, float] | None = None) -> DataFrame:
+def score_columns(
+    wide: DataFrame, denominators: dict[str, float] | None = None, questions: list[tuple] | None = None, factors: dict[str, float] | None = None
+) -> DataFrame:
     """Adds ``pct_<domain>``, ``overall`` and ``grade`` to wide answers.
 
     Needs the question columns and the uplift answers in the same row.
+    ``questions`` are (id, answer that scores, score by domain), ``factors``
+    multipliers of uplift answers; the presets by default.
     """
+    questions = P.QUESTIONS if questions is None else questions
+    factors = P.UPLIFT_FACTORS if factors is None else factors
     denominators = check_denominators(denominators or P.DENOMINATORS)
     multiplier = reduce(
-        lambda a, b: a * b, [F.when(F.col(f) == "Y", m).otherwise(1.0) for f, m in P.UPLIFT_FACTORS.items()]
+        lambda a, b: a * b, [F.when(F.col(f) == "Y", m).otherwise(1.0) for f, m in factors.items()], F.lit(1.0)
     )
     out = wide
     for j, d in enumerate(P.DOMAINS):
         scores = [
-            F.when(F.col(answer_column(q[0])) == q[1], float(q[2 + j])).otherwise(0.0) for q in P.QUESTIONS if q[2 + j]
+            F.when(F.col(answer_column(q[0])) == q[1], float(q[2 + j])).otherwise(0.0) for q in questions if q[2 + j]
         ]
-        out = out.withColumn(f"pct_{d}", reduce(lambda a, b: a + b, scores) * multiplier / denominators[d] * 100)
+        out = out.withColumn(f"pct_{d}", reduce(lambda a, b: a + b, scores, F.lit(0.0)) * multiplier / denominators[d] * 100)
     out = out.withColumn("overall", F.greatest(*[F.col(f"pct_{d}") for d in P.DOMAINS]))
     return out.withColumn("grade", band(F.col("overall")))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf import presets as P
 from sheaf.functions import text as X
 from sheaf.functions.session import checkpoint_dir
-from sheaf.operators import classify, layout, rules, scan, scoring
+from sheaf.operators import chunking, classify, layout, rules, scan, scoring
 from sheaf.plans.inputs import Inputs
 from sheaf.plans.registry import EXPECTED, query
 from sheaf.plans.review import QUESTION_IDS, f02_scored
@@ -291,7 +293,7 @@ def canonical_items(x: Inputs) -> DataFrame:
 
 
 @query(
-    "config_tables", "SRC-05 SRC-06 SRC-07",
+    "config_tables", "SRC-06",
     """SELECT o_orderstatus AS domain, d.denom, count(*) AS n FROM orders JOIN
        (VALUES ('F', 'finance', 9.0::DOUBLE), ('O', 'operation', 16.0::DOUBLE), ('P', 'reputation', 13.5::DOUBLE)) AS d(s, domain, denom) ON d.s = o_orderstatus GROUP BY ALL""",
 )
@@ -307,6 +309,46 @@ def config_tables(x: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "registry_styles", "SRC-05",
+    f"""SELECT 'R' || lpad(CAST(n AS VARCHAR), 2, '0') AS reg_code, CASE n WHEN 1 THEN 'article' WHEN 9 THEN 'none' ELSE 'chapter' END AS style, count(c.chunk_id) AS n_chunks
+        FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 9]) AS n) LEFT JOIN reg_chunks c ON c.reg_code = 'R' || lpad(CAST(n AS VARCHAR), 2, '0') GROUP BY n""",
+)
+def registry_styles(x: Inputs) -> DataFrame:
+    """The document registry as a table: chunks of each registered code, and a code without any."""
+    registry = tables.registry_dim(x.spark, {**P.REGULATIONS, "R09": "none"})
+    chunks = x.get("reg_chunks")
+    counted = chunks.join(registry, "reg_code").groupBy("reg_code", "style").agg(F.count(F.lit(1)).alias("n_chunks"))
+    missing = chunking.missing_documents(chunks, registry)
+    return counted.unionByName(missing.select("reg_code", "style", F.lit(0).cast("bigint").alias("n_chunks")))
+
+
+@query(
+    "review_config", "SRC-07",
+    " UNION ALL ".join(f"SELECT '{label}' AS label, count(*) FILTER ({P.F01_COLUMNS[c]} IS NULL) AS missing, count(*) AS n FROM f01_x" for c, label in P.F01_REQUIRED),
+)
+def review_config(x: Inputs) -> DataFrame:
+    """The required columns as a table, joined to the rows' columns by name."""
+    names = list(P.F01_COLUMNS.values())
+    long = layout.f01_rows(x.f01_cells()).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])))
+    required = tables.review_dims(x.spark)["required_columns"]
+    return long.join(required, "name").groupBy("label").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "own_weights", "SCR-02 SRC-06",
+    """SELECT p_partkey AS bundle_id, 5.0 * coalesce(max(CASE WHEN qid = 'UC-01' AND answer = 'N' THEN 2 END), 0) + 5.0 * coalesce(max(CASE WHEN qid = 'D-03' AND answer = 'Y' THEN 3 END), 0) AS overall
+       FROM part LEFT JOIN answers_x a ON a.bundle_id = p_partkey GROUP BY p_partkey""",
+)
+def own_weights(x: Inputs) -> DataFrame:
+    """The questionnaire scored with a caller's questions, denominators and no uplift."""
+    bundles = x.table("part").select(F.col("p_partkey").alias(KEY))
+    questions = [("UC-01", "N", 2, 0, 0, 0), ("D-03", "Y", 3, 0, 0, 0)]
+    answers = layout.f02_wide_answers(x.f02_cells(), ["UC-01", "D-03"])
+    scored = scoring.score_columns(bundles.join(answers, KEY, "left"), {d: 20.0 for d in P.DOMAINS}, questions, {})
+    return scored.select(KEY, F.round("overall", 9).alias("overall"))
+
+
 # ---- classification --------------------------------------------------------
 
 
@@ -402,12 +444,18 @@ def size_gate(x: Inputs) -> DataFrame:
     return both.groupBy("accepted").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
 
 
-@query("file_manifest", "SRC-02")
+@query(
+    "file_manifest", "SRC-02",
+    "SELECT source, sum(strlen(text) + 1)::BIGINT AS length, true AS accepted FROM documents GROUP BY source",
+)
 def file_manifest(x: Inputs) -> DataFrame:
-    """The given files themselves: names and lengths, contents not read."""
-    ok, rejected = tables.read_manifest(x.spark, x.dir, max_bytes=1_000_000, glob="*.parquet")
+    """Documents as text files, a folder for each source: names and lengths, contents not read."""
+    path = f"{checkpoint_dir(x.spark)}/files-{uuid.uuid4()}"
+    x.table("documents").select("source", "text").write.partitionBy("source").text(path)
+    ok, rejected = tables.read_manifest(x.spark, path, max_bytes=1 << 40, glob="*.txt")
     both = ok.withColumn("accepted", F.lit(True)).unionByName(rejected.withColumn("accepted", F.lit(False)))
-    return both.select("filename", "length", "accepted")
+    folder = F.regexp_extract("path", "source=([^/]+)/", 1)
+    return both.groupBy(folder.alias("source"), "accepted").agg(F.sum("length").alias("length"))
 
 
 # ---- scoring ---------------------------------------------------------------

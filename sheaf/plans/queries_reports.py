@@ -404,7 +404,7 @@ EXPECTED["class_found_x"] = """
 def _class_findings(x: Inputs) -> DataFrame:
     from sheaf.operators import classify
 
-    return classify.classification_findings(classify.classify_files(x.files()))
+    return materialise(classify.classification_findings(materialise(classify.classify_files(x.files()))))
 
 
 @query(
@@ -562,13 +562,17 @@ def review_findings(x: Inputs) -> DataFrame:
 
 @query(
     "assemble_bundles", "PRJ-18 PRJ-19",
-    """SELECT u.bundle_id, s.subject, CASE WHEN p_size <> 50 THEN round(g.overall, 6) END AS risk_score, CASE WHEN p_size <> 50 THEN g.filing_unit END AS filing_unit FROM universe_x u
+    """SELECT u.bundle_id, s.subject, CASE WHEN p_size <> 50 THEN round(g.overall, 6) END AS risk_score, CASE WHEN p_size <> 50 THEN g.filing_unit END AS filing_unit,
+              u.bundle_id IN (SELECT o_custkey FROM orders) AS has_f01, coalesce(p_size <> 50, false) AS has_f02, u.bundle_id IN (SELECT conv_id FROM conversations) AS has_f03, d.names AS supporting FROM universe_x u
+       LEFT JOIN (SELECT bundle_id, string_agg(filename, '、' ORDER BY file_idx) AS names FROM review_files WHERE file_idx = 3 GROUP BY bundle_id) d ON d.bundle_id = u.bundle_id
        LEFT JOIN part ON p_partkey = u.bundle_id LEFT JOIN graded_x g ON g.bundle_id = u.bundle_id
        LEFT JOIN (SELECT bundle_id, arg_min_null(project_name, row_index) AS subject FROM f01_x GROUP BY bundle_id) s ON s.bundle_id = u.bundle_id""",
 )
 def assemble_bundles(x: Inputs) -> DataFrame:
     t = review.parse_bundles(x.files("review_files"), x.cells())
-    return t["bundles"].select(KEY, "subject", F.round("risk_score", 6).alias("risk_score"), "filing_unit")
+    names = scan.join_ordered(t["supporting"], [KEY], ["file_idx"], scan.blocks("file_idx", P.JOIN_BLOCK), F.col("filename"), "、", "supporting")
+    shown = t["bundles"].select(KEY, "subject", F.round("risk_score", 6).alias("risk_score"), "filing_unit", "has_f01", "has_f02", "has_f03")
+    return shown.join(names, KEY, "left")
 
 
 # ---- status matrix ---------------------------------------------------------
@@ -675,11 +679,11 @@ def primary_cause(x: Inputs) -> DataFrame:
     "SELECT item_id, count(*) AS n, row_number() OVER (ORDER BY CAST(string_split(item_id, '-')[1] AS INT), CAST(string_split(item_id, '-')[2] AS INT)) AS place FROM items_x GROUP BY item_id",
 )
 def natural_sort(x: Inputs) -> DataFrame:
-    """Distinct item ids by their numbers; their list is the template's."""
-    from pyspark.sql import Window
-
+    """Distinct item ids numbered in the order of their parts, block by block of the first part."""
     ids = layout.f03_items(x.f03_cells()).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return ids.withColumn("place", F.row_number().over(Window.orderBy(X.natural_key(F.col("item_id")))))
+    key = X.natural_key(F.col("item_id"))
+    parts = ids.select("item_id", "n", F.lit(0).alias("all"), F.get(key, F.lit(0)).alias("first"), F.get(key, F.lit(1)).alias("second"))
+    return scan.number_rows(parts, ["all"], ["first", "second"], F.col("first"), "place").select("item_id", "n", "place")
 
 
 @query("matrix_stats", "MTX-12", "SELECT bundle_id, attention, total, total - attention AS clean, primary_cause FROM stats_x")
@@ -732,7 +736,8 @@ def short_notes(x: Inputs) -> DataFrame:
 
 # ---- streams ---------------------------------------------------------------
 
-_WINDOW = "SELECT event_type AS filing_unit, time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS reviews, sum(event_id % 3)::BIGINT AS errors, sum(user_id % 5)::BIGINT AS warnings, count(*) FILTER (event_id % 3 = 0) AS passed FROM events GROUP BY ALL"
+_WINDOW = """SELECT * FROM (SELECT event_type AS filing_unit, time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS reviews, sum(event_id % 3)::BIGINT AS errors, sum(user_id % 5)::BIGINT AS warnings, count(*) FILTER (event_id % 3 = 0) AS passed FROM events GROUP BY ALL)
+    WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '1 day' FROM events)"""
 
 
 def _audit(events: DataFrame) -> DataFrame:
@@ -743,24 +748,27 @@ def _audit(events: DataFrame) -> DataFrame:
 
 @query("audit_windows", "STR-03", _WINDOW)
 def audit_windows(x: Inputs) -> DataFrame:
-    """Events as a stream of reviews, counted by hour and read back."""
+    """Events as a stream of reviews, counted by hour and read back: the hours that a day's delay has closed."""
     where = f"{checkpoint_dir(x.spark)}/windows-{uuid.uuid4()}"
     schema = x.table("events").schema
     events = x.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(x.dir)
     counted = review_stream.audit_windows(_audit(events), "1 hour", "1 day")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out")
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch_id={batch_id}")
 
-    stream = counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{where}/state")
+    # a window is written once the watermark has passed its end, and leaves the state
+    stream = counted.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{where}/state")
     stream.trigger(availableNow=True).start().awaitTermination()
-    out = x.spark.read.parquet(f"{where}/out").drop("window_end")
+    out = x.spark.read.parquet(f"{where}/out").drop("window_end", "batch_id")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(
     "first_wins_stream", "STR-02",
-    "SELECT bundle_id, kind, count(*) AS n FROM (SELECT DISTINCT bundle_id, kind FROM kinds_x WHERE kind IN ('f01', 'f02', 'f03')) GROUP BY ALL",
+    """SELECT bundle_id, kind, count(*) AS n, true AS known FROM (
+         SELECT k.bundle_id, k.kind, e.ts, lag(e.ts) OVER (PARTITION BY k.bundle_id, k.kind ORDER BY e.ts, k.file_idx) AS before FROM kinds_x k JOIN events e ON e.event_id = k.file_idx WHERE k.kind IN ('f01', 'f02', 'f03'))
+       WHERE before IS NULL GROUP BY ALL""",
 )
 def first_wins_stream(x: Inputs) -> DataFrame:
     """One file per user and form kind out of the stream of events."""
@@ -770,9 +778,12 @@ def first_wins_stream(x: Inputs) -> DataFrame:
     files = classify.classify_files(x.files()).join(x.table("events").select(F.col("event_id").alias("file_idx"), F.col("ts").alias("arrived")), "file_idx")
     files.select(KEY, "kind", "file_idx", "arrived").write.parquet(f"{where}/in")
     stream = x.spark.readStream.schema(f"{KEY} bigint, kind string, file_idx bigint, arrived timestamp").parquet(f"{where}/in")
-    first = review_stream.first_wins_stream(stream, "3650 days")
+    # one file of events is one batch, in which the first row of a key wins; nothing is late
+    first = review_stream.first_wins_stream(stream, "1 day")
     first.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    return x.spark.read.parquet(f"{where}/out").groupBy(KEY, "kind").agg(F.count(F.lit(1)).alias("n"))
+    won = x.spark.read.parquet(f"{where}/out")
+    given = files.select(KEY, "kind", "file_idx", F.lit(True).alias("known"))
+    return won.join(given, [KEY, "kind", "file_idx"], "left").groupBy(KEY, "kind", "known").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -794,5 +805,5 @@ def review_stream_query(x: Inputs) -> DataFrame:
     tables.write_cells(cells, f"{where}/cells")
     stream = review_stream.read_files(x.spark, f"{where}/files")
     review_stream.review_stream(stream, f"{where}/cells", f"{where}/out", f"{where}/state").awaitTermination()
-    found = x.spark.read.parquet(f"{where}/out/findings")
+    found = review_stream.latest(x.spark, f"{where}/out", "findings")
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))

@@ -71,20 +71,23 @@ def parse_bundles(files: DataFrame, cells: DataFrame, overrides: DataFrame | Non
     classified = classify.classify_files(files)
     if confirmed or overrides is not None:
         classified = classify.apply_overrides(classified, overrides)
+    classified = materialise(classified)
     bundles = files.select(KEY).distinct()
     # the tables that many checks read are computed once
     forms = classify.route(classified).filter(F.col("role") == "winner")
     forms = materialise(forms.drop("role", "winner_idx", "winner_filename"))
+    present = forms.groupBy(KEY).agg(*[F.max(F.col("kind") == kind).alias(f"has_{kind}") for kind in _KIND_SHEETS])
+    flags = {f"has_{kind}": F.coalesce(f"has_{kind}", F.lit(False)) for kind in _KIND_SHEETS}
     own = materialise(form_cells(cells, forms), "sheet")
     ok = {kind: rules.readable_forms(forms, kind).select(KEY) for kind in _KIND_SHEETS}
     rows = materialise(layout.f01_rows(own))
     scored = materialise(f02_scored(own, ok["f02"]))
     risk = scored.select(KEY, "risk_score", "risk_grade", "filing_unit")
     return {
-        "bundles": bundles.join(layout.f01_subject(rows), KEY, "left").join(risk, KEY, "left"),
+        "bundles": bundles.join(layout.f01_subject(rows), KEY, "left").join(risk, KEY, "left").join(present, KEY, "left").withColumns(flags),
         "classified": classified,
         "forms": forms,
-        "supporting": classified.filter(F.col("kind") == "supporting").select(KEY, "filename"),
+        "supporting": classified.filter(F.col("kind") == "supporting").select(KEY, "file_idx", "filename"),
         "f01_bundles": ok["f01"],
         "f02_bundles": ok["f02"],
         "f03_bundles": ok["f03"],

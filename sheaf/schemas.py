@@ -36,5 +36,5 @@ COMPLIANCE_RESPONSE = (
 )
 INDEX_META = (
     "schema_version int, built_at string, embedding_model string, embedding_dim int, "
-    "chunks_per_reg map<string,bigint>, source_sha256 map<string,string>"
+    "kind string, name string, chunks bigint, sha256 string"
 )

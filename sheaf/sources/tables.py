@@ -15,8 +15,6 @@ from sheaf.functions import text as X
 from sheaf.operators import refs as R
 
 KEY = "bundle_id"
-# A nested map document holds template items; larger maps stay tables.
-MAX_MAP_ENTRIES = 10_000
 
 
 class IndexMismatch(RuntimeError):
@@ -27,12 +25,6 @@ class RetrievalMapError(RuntimeError):
     """A retrieval map is missing, broken, or of another version."""
 
 
-def _bounded(entries: DataFrame) -> None:
-    """Refuses to put a large table into one map value."""
-    if entries.limit(MAX_MAP_ENTRIES + 1).count() > MAX_MAP_ENTRIES:
-        raise ValueError(f"more than {MAX_MAP_ENTRIES} entries: keep them as a table")
-
-
 # ---- forms and files -------------------------------------------------------
 
 
@@ -126,36 +118,34 @@ def write_index(chunks: DataFrame, path: str) -> None:
 
 
 def index_meta(chunks: DataFrame, sources: DataFrame, model: str, dim: int, built_at: str | None = None) -> DataFrame:
-    """One row: model, dimension, chunk counts per code, source hashes.
+    """The index description as rows: the index, chunks per code, hash per source file.
 
-    ``sources(filename, content)`` is read as binary files.  Both maps have
-    one entry per registered document; a larger number is refused.
+    ``sources(filename, content)`` is read as binary files.  Row kinds are
+    ``index`` (one row), ``chunks`` (name is the code) and ``source`` (name is
+    the file).
     """
     built_at = built_at or datetime.datetime.now(datetime.timezone.utc).isoformat()
-    for part in (chunks.select("reg_code").distinct(), sources.select("filename")):
-        _bounded(part)
-
-    def as_map(df: DataFrame, k: str, v: Column, name: str) -> DataFrame:
-        return df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(k, v.alias("v"))))).alias(name))
-
-    counts = as_map(chunks.groupBy("reg_code").count(), "reg_code", F.col("count"), "chunks_per_reg")
-    hashes = as_map(sources.select("filename", F.sha2("content", 256).alias("h")), "filename", F.col("h"), "source_sha256")
-    one = F.lit(1).alias("__one")
-    joined = counts.select("*", one).join(hashes.select("*", one), "__one")
-    return joined.select(
+    head = chunks.sparkSession.createDataFrame([("index", None, None, None)], "kind string, name string, chunks bigint, sha256 string")
+    counts = chunks.groupBy(F.col("reg_code").alias("name")).agg(F.count(F.lit(1)).alias("chunks"))
+    rows = head.unionByName(
+        counts.select(F.lit("chunks").alias("kind"), "name", "chunks", F.lit(None).cast("string").alias("sha256"))
+    ).unionByName(
+        sources.select(F.lit("source").alias("kind"), F.col("filename").alias("name"), F.lit(None).cast("bigint").alias("chunks"), F.sha2("content", 256).alias("sha256"))
+    )
+    return rows.select(
         F.lit(P.SCHEMA_VERSION).alias("schema_version"), F.lit(built_at).alias("built_at"),
-        F.lit(model).alias("embedding_model"), F.lit(dim).alias("embedding_dim"), "chunks_per_reg", "source_sha256",
+        F.lit(model).alias("embedding_model"), F.lit(dim).alias("embedding_dim"), "*",
     )
 
 
 def write_index_meta(meta: DataFrame, path: str) -> None:
-    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    meta.write.mode("overwrite").json(f"{path}/meta")
 
 
 def open_index(spark: SparkSession, path: str, model: str, dim: int) -> DataFrame:
     """The index table, if it was built with this model and dimension."""
     try:
-        meta = spark.read.schema(schemas.INDEX_META).json(f"{path}/meta").first()
+        meta = spark.read.schema(schemas.INDEX_META).json(f"{path}/meta").filter("kind = 'index'").first()
     except AnalysisException as exc:
         raise IndexMismatch(f"no index description at {path}") from exc
     if meta is None:
@@ -171,9 +161,9 @@ def open_index(spark: SparkSession, path: str, model: str, dim: int) -> DataFram
     )
 
 
-def lookup(chunks: DataFrame, keys: DataFrame) -> DataFrame:
-    """Chunks at or below each (reg_code, section_path_prefix)."""
-    return R.lookup(chunks, keys)
+def lookup(chunks: DataFrame, keys: DataFrame, n: int = P.PER_REF_CAP) -> DataFrame:
+    """The first ``n`` chunks at or below each (reg_code, section_path_prefix), and how many there are."""
+    return R.lookup_counts(chunks, R.lookup_first(chunks, keys, n))
 
 
 # ---- retrieval map ---------------------------------------------------------
@@ -196,34 +186,32 @@ def _bad_keys(found: Column, spec: dict[str, bool]) -> Column:
 
 
 def write_retrieval_map(by_item: DataFrame, by_question: DataFrame, path: str, model: str, built_at: str | None = None) -> None:
-    """One nested JSON document, committed as a whole.
+    """One JSON document a line, each with the head and one entry, committed as a whole.
 
-    For maps of template items: their number is checked, and a larger map
-    belongs in a table.
+    A line is a valid map of its own, so a map of any size is written and read
+    by many tasks.  The first line has no entry.
     """
     built_at = built_at or datetime.datetime.now(datetime.timezone.utc).isoformat()
-    for part in (by_item, by_question):
-        _bounded(part)
+    head = [F.lit(P.SCHEMA_VERSION).alias("schema_version"), F.lit(built_at).alias("built_at"), F.lit(model).alias("embedding_model")]
 
-    def as_map(df: DataFrame, name: str) -> DataFrame:
-        entries = F.map_from_entries(F.collect_list(F.struct("key", "value")))
-        return df.agg(entries.alias(name)).select(F.lit(1).alias("__one"), name)
+    def lines(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.to_json(F.struct(*head, F.create_map("key", "value").alias(name)), {"ignoreNullFields": "false"}).alias("value"))
 
-    body = as_map(by_item, "f03_items").join(as_map(by_question, "f02_questions"), "__one")
-    body.select(
-        F.lit(P.SCHEMA_VERSION).alias("schema_version"), F.lit(built_at).alias("built_at"),
-        F.lit(model).alias("embedding_model"), "f03_items", "f02_questions",
-    ).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    first = by_item.sparkSession.range(1).select(F.to_json(F.struct(*head)).alias("value"))
+    first.unionByName(lines(by_item, "f03_items")).unionByName(lines(by_question, "f02_questions")).write.mode("overwrite").text(path)
 
 
 def load_retrieval_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(items, questions) of a checked retrieval map document.
+    """(items, questions) of a checked retrieval map: one document, or one a line.
 
     Fails on a missing file, broken JSON, a non-object, another version,
     unknown or missing keys, or an unknown section origin.
     """
     try:
-        raw = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
+        by_line = spark.read.text(path).filter(F.trim("value") != "")
+        broken = by_line.filter(F.json_object_keys("value").isNull()).limit(1).count()
+        # a document over several lines is read whole
+        raw = spark.read.text(path, wholetext=True).filter(F.trim("value") != "") if broken else by_line
         top = raw.select(
             "value", F.json_object_keys("value").alias("keys"), F.get_json_object("value", "$.schema_version").alias("version"),
             # a number, not a text that looks like it
@@ -231,14 +219,18 @@ def load_retrieval_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
             F.from_json("value", schemas.RETRIEVAL_MAP).alias("m"),
             F.from_json("value", "f03_items map<string,string>, f02_questions map<string,string>").alias("parts"),
         )
-        found = top.select("keys", "version", "numeric", _bad_keys(F.col("keys"), _TOP_KEYS).alias("bad"), F.col("m.built_at").alias("b")).first()
+        right = F.coalesce((F.col("version") == str(P.SCHEMA_VERSION)) & F.col("numeric"), F.lit(False))
+        found = top.agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("keys").isNull()).alias("broken"), F.count_if(~right).alias("other"),
+            F.max(F.when(~right, F.coalesce("version", F.lit("none")))).alias("version"), F.sum(_bad_keys(F.col("keys"), _TOP_KEYS)).alias("bad"),
+        ).first()
     except AnalysisException as exc:
         raise RetrievalMapError(f"no retrieval map at {path}") from exc
-    if found is None:
+    if not found["n"]:
         raise RetrievalMapError(f"empty retrieval map at {path}")
-    if found["keys"] is None:
+    if found["broken"]:
         raise RetrievalMapError(f"no JSON object at {path}")
-    if found["version"] != str(P.SCHEMA_VERSION) or not found["numeric"]:
+    if found["other"]:
         raise RetrievalMapError(f"version {found['version']} at {path}, expected {P.SCHEMA_VERSION}")
     if found["bad"]:
         raise RetrievalMapError(f"{found['bad']} unknown or missing keys at {path}")
@@ -259,7 +251,7 @@ def load_retrieval_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
         return F.aggregate(entries, F.lit(0), lambda n, e: n + wrong(e))
 
-    wrong = top.select((nested("f03_items", _ITEM_KEYS) + nested("f02_questions", _QUESTION_KEYS)).alias("n")).first()["n"]
+    wrong = top.agg(F.sum(nested("f03_items", _ITEM_KEYS) + nested("f02_questions", _QUESTION_KEYS)).alias("n")).first()["n"]
     items = top.select(F.explode("m.f03_items").alias("key", "value")).select("key", "value.*")
     questions = top.select(F.explode("m.f02_questions").alias("key", "value")).select("key", "value.*")
     if not wrong:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sheaf import schemas
+from sheaf.functions.session import drop_tables, materialise, written_tables
 from sheaf.operators.classify import FORM_KINDS
 from sheaf.plans.review import review_bundles
 
@@ -19,28 +20,41 @@ def read_files(spark, path: str, max_files: int = 1000) -> DataFrame:
 
 
 def review_stream(
-    files: DataFrame, cells_path: str, out: str, checkpoint: str, fmt: str = "parquet", partition: str | None = None
+    files: DataFrame, cells_path: str, out: str, checkpoint: str, fmt: str = "parquet", partition: str | None = None, buckets: int = 64
 ) -> StreamingQuery:
-    """Reviews the bundles of each micro-batch with the batch code.
+    """Reviews the bundles that a micro-batch touches, each with all of its files so far.
+
+    Arrived files are kept under ``out/files``, spread over ``buckets`` folders
+    by bundle.  A batch reads back only the folders of its bundles, reviews these
+    whole, and writes one version of each under ``out/<table>/batch_id=n``;
+    :func:`latest` reads the last version of every bundle.  Folders are named by
+    batch and overwritten, so a batch that runs again gives the same result once.
 
     ``partition`` names a column, such as the arrival day, that the files rows
-    carry and the cells are partitioned by: a batch then reads only its own
-    partitions of the cells.  Without it every batch scans all cells.  Output
-    folders are named by batch id and overwritten, so a batch that is
-    run again after a failure gives the same result once.
+    carry and the cells are partitioned by; dynamic pruning then reads only the
+    partitions of the touched bundles.
     """
+    bucket = F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, mark = batch.sparkSession, written_tables()
+        arrived = batch.withColumn("bucket", bucket)
+        arrived.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/files/batch_id={batch_id}")
+        kept = spark.read.option("basePath", f"{out}/files").schema(arrived.schema.add("batch_id", "integer")).parquet(f"{out}/files")
+        # the bucket numbers, at most ``buckets`` of them, prune the folders
+        touched = [r[0] for r in arrived.select("bucket").distinct().collect()]
+        own_files = kept.filter(F.col("bucket").isin(touched) & (F.col("batch_id") <= batch_id)).join(
+            batch.select(KEY).distinct(), KEY, "left_semi"
+        )
+        # a file that was sent again counts once, as it came last
+        last = F.max_by(F.struct(*batch.columns), "batch_id").alias("f")
+        own_files = materialise(own_files.groupBy(KEY, "file_idx").agg(last).select("f.*"))
         cells = spark.read.schema(schemas.CELLS + (f", {partition} string" if partition else "")).format(fmt).load(cells_path)
-        # only the cells of the bundles that arrived
         keys = [KEY] if partition is None else [partition, KEY]
-        if partition is not None:
-            cells = cells.filter(F.col(partition).isin(_values(batch, partition)))
-        own = cells.join(batch.select(*keys).distinct(), keys, "left_semi")
-        done = review_bundles(batch, own)
+        done = review_bundles(own_files, cells.join(own_files.select(*keys).distinct(), keys, "left_semi"))
         for name in ("findings", "reports"):
             done[name].write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        drop_tables(spark, mark)
 
     return (
         files.writeStream.foreachBatch(one_batch)
@@ -50,12 +64,11 @@ def review_stream(
     )
 
 
-def _values(batch: DataFrame, column: str, limit: int = 10_000) -> list[str]:
-    """The few distinct partition values of a micro-batch."""
-    found = batch.select(column).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} values of {column} in one batch")
-    return [r[0] for r in found]
+def latest(spark, out: str, table: str) -> DataFrame:
+    """``findings`` or ``reports`` of every bundle as its last batch left them."""
+    versions = spark.read.parquet(f"{out}/{table}")
+    newest = spark.read.parquet(f"{out}/reports").groupBy(KEY).agg(F.max("batch_id").alias("batch_id"))
+    return versions.join(newest, [KEY, "batch_id"], "left_semi").drop("batch_id")
 
 
 def first_wins_stream(files: DataFrame, delay: str = "1 day", arrived: str = "arrived") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sheaf import presets as P
 from sheaf.functions import text as X
 from sheaf.operators import chunking, refs, scan
+from sheaf.sources import tables
 
 HEAD, FOOT = "頁首甲", "頁尾乙"
 
@@ -171,18 +172,28 @@ MATCH_CASES = [
 
 def test_prefix_match(spark):
     ref = spark.createDataFrame([(str(i), c[0], c[1]) for i, c in enumerate(MATCH_CASES)], "k string, reg_code string, section_path_prefix string")
-    chunk = spark.createDataFrame([(str(i), c[2], c[3]) for i, c in enumerate(MATCH_CASES)], "c string, reg_code string, section_path string")
-    hit = {(r["k"], r["c"]) for r in refs.prefix_match(ref, chunk).collect()}
+    chunk = spark.createDataFrame([(str(i), i, c[2], c[3]) for i, c in enumerate(MATCH_CASES)], "chunk_id string, `order` int, reg_code string, section_path string")
+    hit = {(r["k"], r["chunk_id"]) for r in refs.first_matches(ref, chunk, ["k"], 99).collect()}
     for i, c in enumerate(MATCH_CASES):
         assert ((str(i), str(i)) in hit) == c[4], c
+    counts = {r["k"]: r["n_chunks"] for r in refs.match_counts(ref, chunk, ["k"]).collect()}
+    assert counts == {k: sum(k == a for a, _ in hit) for k in {a for a, _ in hit}}
 
 
-def test_cap_per_ref(spark):
+def test_first_chunks_per_ref(spark):
     paths = ["五/(一)", "五/(二)", "五/(二)/1", "五/(二)/2", "五/(三)"]
     chunk = spark.createDataFrame([("R03", p, 10 + i, p) for i, p in enumerate(paths)], "reg_code string, section_path string, `order` int, chunk_id string")
     ref = spark.createDataFrame([("x", "R03", "五")], "k string, reg_code string, section_path_prefix string")
-    got = refs.cap_per_ref(refs.lookup(chunk, ref), ["k"]).orderBy("pos").collect()
-    assert [r["section_path"] for r in got] == paths[:3]
+    got = tables.lookup(chunk, ref).orderBy("pos").collect()
+    assert [(r["section_path"], r["n_chunks"]) for r in got] == [(p, 5) for p in paths[:3]]
+
+
+def test_reference_numbers_do_not_meet(spark):
+    """More codes in an entry, and more entries, than a thousand."""
+    raw = "、".join(["R03"] * 1500) + "\n" + "\n".join(["R04/一"] * 1200)
+    df = spark.createDataFrame([(1, raw)], "k int, raw string")
+    got = [r["reg_code"] for r in refs.parse_refs(df, ["k"], "raw").orderBy("ref_idx").collect()]
+    assert got == ["R03"] * 1500 + ["R04"] * 1200
 
 
 @pytest.mark.parametrize("code, path, shown", [("R03", "五/(二)/2", "R03 五、(二) 2"), ("R01", "第一條", "R01 第一條"), ("R06", "", "R06"), ("R03", "五/2", "R03 五、2"), ("R03", "五/(二)", "R03 五、(二)")])
