@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # reviews are built of thousands of column expressions; noting the call site of each takes longer than planning them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -38,14 +38,12 @@ _QIDS = [q[0] for q in P.QUESTIONS]
 INPUTS: dict[str, str] = {
     # ---- questionnaire: one grid row per order line of a part ----
     "f02_lines": f"""
-        SELECT l_partkey AS bundle_id, l_orderkey * 10 + l_linenumber AS row,
-               max({_case("(l_orderkey + l_suppkey) % 29", _QIDS)}) AS qid,
-               max(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'Y'
-                        WHEN l_returnflag = 'R' THEN ' 是　'
-                        WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'n'
-                        WHEN l_returnflag = 'N' THEN '否'
-                        WHEN l_linestatus = 'O' THEN 'N' ELSE '  ' END) AS raw
-        FROM lineitem GROUP BY l_partkey, l_orderkey * 10 + l_linenumber""",
+        SELECT bundle_id, row, {_case("q", _QIDS)} AS qid, {_case("a", ["  ", "N", "否", "n", " 是　", "Y"])} AS raw FROM (
+          SELECT l_partkey AS bundle_id, l_orderkey * 10 + l_linenumber AS row, max((l_orderkey + l_suppkey) % 29) AS q,
+                 max(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 5 WHEN l_returnflag = 'R' THEN 4
+                          WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 3 WHEN l_returnflag = 'N' THEN 2
+                          WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS a
+          FROM lineitem GROUP BY l_partkey, l_orderkey * 10 + l_linenumber)""",
     # fixed cells and follow-up sheets: one part each, as cell texts
     "f02_fixed": f"""
         SELECT p_partkey AS bundle_id,
