@@ -10,6 +10,7 @@ plain one.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from array import array
@@ -21,8 +22,7 @@ from sheaf.llm.common import text_column
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]++\Z")
-_NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]++")
 # No lead digit before a run: a match from inside a run of digits fails just as one from its start.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -84,10 +84,11 @@ def plain(text: str) -> list[Span]:
         begin, width = at, 64
         while begin > floor:
             low = max(floor, begin - width)
-            part = _LOCAL.search(text[low:begin])
-            found = low + part.start() if part else begin
-            begin, width = found, width * 2
-            if found > low:
+            run = _LOCAL.match(text[low:begin][::-1])
+            if not run:
+                break
+            begin, width = begin - run.end(), width * 2
+            if begin > low:
                 break
         domain = _DOMAIN.match(text, at) if begin < at else None
         if domain:
@@ -197,11 +198,19 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
             if t.text[s:e] == text[start:end] or (e == len(t.text) and b < len(text)) or (s == 0 and a > 0):
                 continue
             added.add((start, kind, end))
-    taken = sorted((s, e) for s, _, e in known)
-    out = []
+    starts, ends = [], []  # what plain spans cover, as disjoint stretches
+    for s, _, e in sorted(known):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    out, last = [], [0] * len(KINDS)
     for s, kind, e in sorted(added):
-        if not any(s < y and x < e for x, y in taken) and not any(k == kind and s < y and x < e for x, k, y in out):
+        before = bisect.bisect_left(starts, e)
+        if s >= last[kind] and (not before or ends[before - 1] <= s):
             out.append((s, kind, e))
+            last[kind] = e
     return out
 
 
