@@ -222,45 +222,42 @@ def f02_findings(wide: DataFrame) -> DataFrame:
     ``wide``: question columns, uplift answers, stored scores, follow-up
     status, and the recomputed ``pct_*``, ``overall``, ``grade``.
     """
+    return emit(wide, *choice_findings(), *score_findings(), *follow_up_findings())
 
-    def answer(q: str) -> Column:
-        return F.col(scoring.answer_column(q))
 
-    def blank(ids: list[str]) -> Column:
-        return F.filter(F.array(*[F.when(answer(q).isNull(), F.lit(q)) for q in ids]), lambda x: x.isNotNull())
+def choice_findings() -> list[Column]:
+    """Unanswered questions, and choices with too many or too few answers; needs the question columns."""
+    groups = {**P.SINGLE_CHOICE, **P.MULTI_CHOICE}
+    answers = {q: F.col(scoring.answer_column(q)) for g, n in groups.items() for q in members(g, n)}
+    answers |= {q: F.col(scoring.answer_column(q)) for q in P.GENERAL_QUESTIONS}
 
-    def yes(ids: list[str]) -> Column:
-        return F.filter(F.array(*[F.when(answer(q) == "Y", F.lit(q)) for q in ids]), lambda x: x.isNotNull())
+    def those(ids: list[str], test: Callable[[Column], Column]) -> Column:
+        return F.filter(F.array(*[F.when(test(answers[q]), F.lit(q)) for q in ids]), lambda x: x.isNotNull())
 
-    found: list[Column] = []
-    for i, (prefix, n) in enumerate({**P.SINGLE_CHOICE, **P.MULTI_CHOICE}.items()):
-        gone = blank(members(prefix, n))
-        found.append(
-            when(
-                F.size(gone) > 0,
-                finding("F02.SERIES_INCOMPLETE", "f02", 0, i, prefix=F.lit(prefix), missing=F.array_join(gone, ", "), n=F.size(gone)),
-            )
-        )
-    gone = blank(P.GENERAL_QUESTIONS)
+    gone = {g: those(members(g, n), F.isnull) for g, n in groups.items()}
+    yes = {g: those(members(g, n), lambda a: a == "Y") for g, n in groups.items()}
+    found = [
+        when(F.size(g) > 0, finding("F02.SERIES_INCOMPLETE", "f02", 0, i, prefix=F.lit(prefix), missing=F.array_join(g, ", "), n=F.size(g)))
+        for i, (prefix, g) in enumerate(gone.items())
+    ]
+    general = those(P.GENERAL_QUESTIONS, F.isnull)
     found.append(
-        when(F.size(gone) > 0, finding("F02.GENERAL_INCOMPLETE", "f02", 1, missing=F.array_join(gone, ", "), n=F.size(gone)))
+        when(F.size(general) > 0, finding("F02.GENERAL_INCOMPLETE", "f02", 1, missing=F.array_join(general, ", "), n=F.size(general)))
     )
-    for i, (prefix, n) in enumerate(P.SINGLE_CHOICE.items()):
-        ids = members(prefix, n)
-        y = yes(ids)
+    for i, prefix in enumerate(P.SINGLE_CHOICE):
+        y = yes[prefix]
         listed = F.when(F.size(y) > 0, F.array_join(y, ", ")).otherwise(F.lit("無"))
         found.append(
             when(
-                (F.size(blank(ids)) == 0) & (F.size(y) != 1),
+                (F.size(gone[prefix]) == 0) & (F.size(y) != 1),
                 finding("F02.SINGLE_CHOICE", "f02", 2, i, prefix=F.lit(prefix), n=F.size(y), yes=listed),
             )
         )
     for i, (prefix, n) in enumerate(P.MULTI_CHOICE.items()):
-        ids = members(prefix, n)
         found.append(
-            when((F.size(blank(ids)) < n) & (F.size(yes(ids)) == 0), finding("F02.MULTI_CHOICE", "f02", 3, i, prefix=F.lit(prefix)))
+            when((F.size(gone[prefix]) < n) & (F.size(yes[prefix]) == 0), finding("F02.MULTI_CHOICE", "f02", 3, i, prefix=F.lit(prefix)))
         )
-    return emit(wide, *found, *score_findings(), *follow_up_findings())
+    return found
 
 
 def score_findings() -> list[Column]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sheaf import presets as P
 from sheaf.functions import text as X
-from sheaf.functions.session import checkpoint_dir
+from sheaf.functions.findings import emit
+from sheaf.functions.session import checkpoint_dir, materialise
 from sheaf.operators import chunking, classify, layout, rules, scan, scoring
 from sheaf.plans.inputs import Inputs
 from sheaf.plans.registry import EXPECTED, query
@@ -662,27 +663,24 @@ EXPECTED["follow_x"] = """
       WHEN residual_max_score >= 6 AND NOT treatment_filled THEN 'F02.TREATMENT_MISSING' END AS code FROM graded_x WHERE grade IN ('中', '高')) WHERE code IS NOT NULL"""
 
 
-def _f02_found(x: Inputs) -> DataFrame:
-    scored = f02_scored(x.f02_cells(), _bundles(x))
-    return rules.f02_findings(scored.withColumn("grade", scoring.band(F.round("overall", 9))))
+def _f02_scored(x: Inputs) -> DataFrame:
+    return f02_scored(x.f02_cells(), _bundles(x)).withColumn("grade", scoring.band(F.round("overall", 9)))
 
 
 @query("choice_rules", "RUL-06 RUL-07 RUL-08 RUL-09", "SELECT * FROM choice_x")
 def choice_rules(x: Inputs) -> DataFrame:
-    codes = ["F02.SERIES_INCOMPLETE", "F02.GENERAL_INCOMPLETE", "F02.SINGLE_CHOICE", "F02.MULTI_CHOICE"]
-    return _f02_found(x).filter(F.col("code").isin(codes)).select(KEY, "code", "message")
+    answers = _bundles(x).join(layout.f02_wide_answers(x.f02_cells(), QUESTION_IDS), KEY, "left")
+    return emit(answers, *rules.choice_findings()).select(KEY, "code", "message")
 
 
 @query("stored_score_rules", "RUL-10 RUL-11 RUL-12", "SELECT * FROM score_rules_x")
 def stored_score_rules(x: Inputs) -> DataFrame:
-    codes = ["F02.CACHE_MISSING", "F02.GRADE_MISMATCH", "F02.SCORE_MISMATCH"]
-    return _f02_found(x).filter(F.col("code").isin(codes)).select(KEY, "code", "location")
+    return emit(_f02_scored(x), *rules.score_findings()).select(KEY, "code", "location")
 
 
 @query("follow_up_chain", "RUL-13 RUL-14 RUL-15", "SELECT * FROM follow_x")
 def follow_up_chain(x: Inputs) -> DataFrame:
-    codes = ["F02.RESIDUAL_MISSING", "F02.RESIDUAL_SCORE_MISSING", "F02.TREATMENT_MISSING"]
-    return _f02_found(x).filter(F.col("code").isin(codes)).select(KEY, "code")
+    return emit(_f02_scored(x), *rules.follow_up_findings()).select(KEY, "code")
 
 
 EXPECTED["evidence_x"] = """
@@ -731,7 +729,7 @@ EXPECTED["unit_x"] = """
         FROM unit_x x JOIN f01_x f ON f.bundle_id = x.bundle_id AND filing_unit IS NOT NULL GROUP BY x.bundle_id""",
 )
 def owner_and_unit(x: Inputs) -> DataFrame:
-    rows = layout.f01_rows(x.f01_cells())
+    rows = materialise(layout.f01_rows(x.f01_cells()))
     identity = layout.f03_identity(x.f03_cells(), x.get("f03_owner"))
     fixed = layout.fixed_cells(x.f02_fixed_cells())
     owner = rules.comparison_findings(
@@ -759,7 +757,8 @@ EXPECTED["unresolved_x"] = f"""
 )
 def references_resolve(x: Inputs) -> DataFrame:
     cells = x.f01_cells()
-    found = rules.internal_name_findings(layout.f01_sub_refs(cells), layout.f01_rows(cells))
+    rows = materialise(layout.f01_rows(cells))  # as in a review, where several rules read them
+    found = rules.internal_name_findings(layout.f01_sub_refs(cells), rows)
     return found.select(KEY, "location", "expected", "actual")
 
 
@@ -826,8 +825,7 @@ def parse_errors(x: Inputs) -> DataFrame:
        UNION ALL SELECT c_custkey, 'no_problem' FROM customer WHERE c_custkey NOT IN (SELECT bundle_id FROM evidence_x WHERE code = 'F03.EVIDENCE_MISSING_PROPOSAL')""",
 )
 def all_clear(x: Inputs) -> DataFrame:
-    left_out = ["F02.CACHE_MISSING", "F02.GRADE_MISMATCH", "F02.SCORE_MISMATCH"]
-    found = _f02_found(x).filter(~F.col("code").isin(left_out))
+    found = emit(_f02_scored(x), *rules.choice_findings(), *rules.follow_up_findings())
     none = rules.all_clear(_bundles(x), found, "none", "F02.OK").select(KEY, F.lit("none").alias("mode"))
     customers = x.table("customer").select(F.col("c_custkey").alias(KEY))
     evidence = rules.evidence_presence(layout.f03_items(x.f03_cells()))

@@ -173,3 +173,17 @@ def test_name_lists_are_whole(spark):
     subs = spark.createDataFrame([("x", "資料", 0, 4, "Q"), ("x", "模型", 1, 4, "p1")], "bundle_id string, sheet string, sheet_seq int, row_index int, corr_project_name string")
     got = rules.internal_name_findings(subs, names).collect()
     assert [(r["location"], r["expected"]) for r in got] == [("主表 / 資料第4列", "P0、P1、P2、P3、P4")]
+
+
+def test_intermediate_tables_are_removed(spark, tmp_path):
+    import os
+    from urllib.parse import urlparse
+
+    from sheaf.functions import session
+
+    mark = session.written_tables()
+    kept = session.materialise(spark.range(5)).inputFiles()
+    places = [urlparse(f).path for f in kept]
+    assert session.written_tables() == mark + 1 and all(map(os.path.exists, places))
+    session.drop_tables(spark, mark)
+    assert session.written_tables() == mark and not any(map(os.path.exists, places))
