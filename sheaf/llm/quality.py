@@ -8,6 +8,8 @@ repetitive or random stretch.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -15,27 +17,36 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import run_hashes, text_column, word_hashes
 
-#: From so many UTF-8 bytes on: least and greatest ratio of raw to compressed size.
-BANDS = ((0, 0.0, 1e9), (256, 1.10, 3.0), (512, 1.20, 3.3), (1024, 1.30, 3.8), (4096, 1.40, 4.4), (65536, 1.45, 5.0))
-#: Bytes of a chunk, and the share of chunks outside the band of that length that rejects a text.
+#: Least and greatest ratio of raw to compressed size at powers of two of UTF-8 bytes; between them by
+#: the logarithm of the length, below the first none.  The greatest ones lie 0.05 and more above all
+#: labelled good texts of the test tables, most long poor ones above them.
+LEAST = ((8, 1.10), (9, 1.20), (10, 1.30), (12, 1.40), (16, 1.45))
+GREATEST = ((8, 2.08), (9, 2.10), (10, 2.20), (11, 2.30), (12, 2.39), (13, 2.49), (14, 2.55), (15, 2.62), (17, 2.75))
+#: Bytes of a chunk, and the share of chunks outside the limits of that length that rejects a text.
 CHUNK, BAD_CHUNKS = 4096, 0.3
 LEVEL = 3
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, bad_chunk_share double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, in_band boolean, bad_chunk_share double"
 
 
-def _band(size: int) -> tuple[float, float]:
-    return next((low, high) for at, low, high in reversed(BANDS) if size >= at)
+def limits(size: int) -> tuple[float, float]:
+    """Least and greatest ratio of a text of so many bytes."""
+    if size < 1 << LEAST[0][0]:
+        return 0.0, math.inf
+    at = math.log2(size)
+    return float(np.interp(at, *zip(*LEAST))), float(np.interp(at, *zip(*GREATEST)))
 
 
-def _outside(data: bytes, zstd: zstandard.ZstdCompressor) -> bool:
-    low, high = _band(len(data))
-    return not low <= len(data) / len(zstd.compress(data)) <= high
+def _ratio(data: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, bool]:
+    """The ratio, and whether it lies within the limits."""
+    ratio = len(data) / len(zstd.compress(data))
+    low, high = limits(len(data))
+    return ratio, low <= ratio <= high
 
 
 def _measure(text: str | None, zstd: zstandard.ZstdCompressor) -> tuple:
     if not text:
-        return 0, 0, 0, 0, 0, 0.0, 0.0
+        return 0, 0, 0, 0, 0, 0.0, True, 0.0
     data = text.encode()
     words = data.split()
     n = len(words)
@@ -49,22 +60,18 @@ def _measure(text: str | None, zstd: zstandard.ZstdCompressor) -> tuple:
     chunks = [data[at : at + CHUNK] for at in range(0, len(data) - CHUNK + 1, CHUNK)] if len(data) >= 2 * CHUNK else []
     return (
         n, len(text) - (len(data) - len(data.translate(None, _SPACE))), len(data) - len(data.translate(None, _SYMBOLS)),
-        len(lines) - len(set(lines)), int(hit.sum()), len(data) / len(zstd.compress(data)),
-        sum(_outside(c, zstd) for c in chunks) / len(chunks) if chunks else 0.0,
+        len(lines) - len(set(lines)), int(hit.sum()), *_ratio(data, zstd),
+        sum(not _ratio(c, zstd)[1] for c in chunks) / len(chunks) if chunks else 0.0,
     )
 
 
 measures = text_column(_measure, MEASURES, lambda: zstandard.ZstdCompressor(level=LEVEL))
 
 
-def verdict(m: Column, n_bytes: Column) -> tuple[Column, Column]:
+def verdict(m: Column) -> tuple[Column, Column]:
     """Base failure, and whether the text stays."""
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    low = high = None
-    for at, least, most in BANDS:
-        low = F.when(n_bytes >= at, F.lit(least)) if low is None else F.when(n_bytes >= at, F.lit(least)).otherwise(low)
-        high = F.when(n_bytes >= at, F.lit(most)) if high is None else F.when(n_bytes >= at, F.lit(most)).otherwise(high)
-    return failed, ~failed & m["ratio"].between(low, high) & (m["bad_chunk_share"] <= BAD_CHUNKS)
+    return failed, ~failed & m["in_band"] & (m["bad_chunk_share"] <= BAD_CHUNKS)
 
 
 def judge(docs: DataFrame, text_col: str = "text", out: str = "quality") -> DataFrame:
@@ -75,7 +82,7 @@ def judge(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Data
     be a new name.
     """
     held = f"__{out}"
-    failed, kept = verdict(F.col(held), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)))
+    failed, kept = verdict(F.col(held))
     return docs.withColumn(held, measures(F.col(text_col))).select(
         *[F.col(f"`{c}`") for c in docs.columns], F.struct(f"{held}.*", failed.alias("base_failed"), kept.alias("kept")).alias(out)
     )

@@ -158,14 +158,29 @@ def test_quality(spark, odd):
 
 def test_quality_bands(spark):
     rng = random.Random(6)
-    prose = lambda n: " ".join(rng.choice(["the", "of", "stone", "river", "walks", "under"]) + rng.choice("abcdefgh") * rng.randint(0, 2) + str(rng.randint(0, 99)) for _ in range(n))
+    letters = "etaoinshrdlucmfwyp"
+    prose = lambda n: " ".join("".join(rng.choices(letters, range(len(letters), 0, -1), k=rng.randint(2, 9))) for _ in range(n))
     noise = " ".join("".join(rng.choices("".join(map(chr, range(0x100, 0x2000))), k=9)) for _ in range(400))
     stretch = prose(3000) + " " + " ".join(f"{k % 7}{k // 700}" for k in range(30_000))
     texts = [(1, prose(200)), (2, " ".join(f"{k}" for k in range(100, 400)) * 1), (3, noise), (4, stretch)]
     kept = {r.doc_id: r.q.kept for r in quality.judge(documents(spark, texts), out="q").collect()}
     assert kept[1] and not kept[3] and not kept[4]
+    assert quality.limits(100) == (0.0, float("inf")) and quality.limits(1 << 40) == (1.45, 2.75)
+    assert quality.limits(1024) == (1.3, 2.2) and 2.2 < quality.limits(1500)[1] < 2.3
+
+
+def test_labelled_good_texts_stay(spark):
+    """Of the given labels: no good text is lost to the limits, and poor ones are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    judged = quality.judge(docs.select("doc_id", "text", "quality"), out="q").filter("NOT q.base_failed").groupBy("quality", "q.kept").count().collect()
+    counts = {(r["quality"], r["kept"]): r["count"] for r in judged}
+    assert (1, False) not in counts and counts[0, False] > 50
+
+
+def test_quality_keeps_columns(spark):
+    texts = [(1, "a b"), (2, None)]
     docs = documents(spark, texts)
-    assert quality.keep_good(docs).columns == docs.columns
+    assert quality.keep_good(docs).columns == docs.columns and quality.keep_good(docs).count() == 0
     assert quality.keep_good(documents(spark, [])).count() == 0
 
 
