@@ -31,11 +31,17 @@ def text_column(value: Callable[[str | None], tuple | None], schema: str, setup:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         state = (setup(),) if setup else ()
         for batch in batches:
-            yield batch_of([value(text, *state) for text in batch.to_pylist()], schema)
+            yield batch_of([value(text, *state) for text in texts_of(batch)], schema)
 
     return lambda text: arrow_udf(run, schema)(text)
 
 
+def texts_of(batch: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch, few of them as Python objects at a time."""
+    for at in range(0, len(batch), 128):
+        yield from batch.slice(at, 128).to_pylist()
+
+
 def batch_of(rows: list[tuple | None], schema: str) -> pa.Array:
     """Rows as one Arrow struct array of a schema given as text."""
     kind = arrow_type(schema)

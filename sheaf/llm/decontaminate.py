@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from sheaf.functions.session import materialise
-from sheaf.llm.common import batch_of
+from sheaf.llm.common import batch_of, texts_of
 
 WINDOW = 13
 #: Item words whose tables one task holds; a larger benchmark is searched in several passes.
@@ -121,7 +121,7 @@ def _scan(segments: list[tuple[str, list[bytes], bool]], window: int):
         index = Index([(number[i], words, whole) for i, words, whole in segments], window)
         for texts, before in batches:
             rows = []
-            for text, old in zip(texts.to_pylist(), before.to_pylist()):
+            for text, old in zip(texts_of(texts), before.to_pylist()):
                 words = words_of(text)
                 ranges, items = index.search(words) if words else ([], set())
                 named = {names[k] for k in items}

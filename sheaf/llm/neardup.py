@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from sheaf.functions.session import materialise
-from sheaf.llm.common import batch_of, run_hashes, word_hashes
+from sheaf.llm.common import batch_of, run_hashes, texts_of, word_hashes
 from sheaf.llm.components import components
 from sheaf.llm.superminhash import bands, signature
 
@@ -50,7 +50,7 @@ def signed(text: Column, words: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
-            for body in batch.to_pylist():
+            for body in texts_of(batch):
                 own = shingles(body, words)
                 key = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
                 rows.append((len(own), int(key[0]), int(key[1]), bands(signature(own, SIZE), ROWS).view(np.int64).tolist() if len(own) else []))
@@ -62,7 +62,7 @@ def signed(text: Column, words: int) -> Column:
 def shingle_set(text: Column, words: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([shingles(body, words).tobytes() for body in batch.to_pylist()], pa.binary())
+            yield pa.array([shingles(body, words).tobytes() for body in texts_of(batch)], pa.binary())
 
     return arrow_udf(run, "binary")(text)
 

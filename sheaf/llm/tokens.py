@@ -31,16 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from tokenizers import Tokenizer, pre_tokenizers
 
-from sheaf.llm.common import batch_of
+from sheaf.llm.common import batch_of, texts_of
 
 #: The split of byte-level vocabularies (fixed value); white space as Unicode has it.
 _SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _NO_SPACE = _SPACE.replace("[", "[^", 1)
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{_NO_SPACE[:-1]}\p{{L}}\p{{N}}]+|{_SPACE}+(?!{_NO_SPACE})|{_SPACE}+"
 SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-#: Distinct pieces, prefixes and token pairs that a worker remembers, and the length of those
-#: that it does; a full memory starts afresh.
-REMEMBERED, REMEMBERED_LENGTH = 500_000, 40
+#: Distinct pieces with their ids, pieces with their counts, prefixes and token pairs that a worker
+#: remembers, and the length of those that it does.
+REMEMBERED_IDS, REMEMBERED, REMEMBERED_LENGTH = 150_000, 400_000, 40
 
 
 def _alphabet() -> dict[int, str]:
@@ -78,8 +78,8 @@ class Memory(dict):
     comes back; so frequent pieces stay and rare ones go.
     """
 
-    def __init__(self, compute):
-        self.compute, self.old = compute, {}
+    def __init__(self, compute, size: int):
+        self.compute, self.size, self.old = compute, size, {}
 
     def __missing__(self, piece: str):
         value = self.old.get(piece)
@@ -87,7 +87,7 @@ class Memory(dict):
             value = self.compute(piece)
             if len(piece) > REMEMBERED_LENGTH:
                 return value
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[piece] = value
@@ -107,7 +107,7 @@ class Vocabulary:
         self.two_spaces, self.two_ascii = regex.compile(_SPACE * 2), re.compile(r"[\t-\r ]{2}")
         self.spaces = regex.compile(_SPACE + "+")
         self.alphabet = _alphabet()
-        self.id_bytes, self.steps = Memory(self._encode), Memory(self._piece_steps)
+        self.id_bytes, self.steps = Memory(self._encode, REMEMBERED_IDS), Memory(self._piece_steps, REMEMBERED)
         self.prefixes: dict[str, tuple] = {"": ([""], [0])}
         self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
         self.n_pairs = 0
@@ -238,7 +238,7 @@ def counted(text: Column, path: str, limit: int) -> Column:
         vocab = vocabulary(path)
         for batch in batches:
             rows = []
-            for body in batch.to_pylist():
+            for body in texts_of(batch):
                 counts = vocab.prefix_counts(body or "")
                 fits = np.flatnonzero(counts <= limit)
                 rows.append((len((body or "").encode()), int(counts[-1]) if len(counts) else 0, int(fits[-1]) + 1 if len(fits) else 0))
@@ -253,7 +253,7 @@ def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
         for batch in batches:
-            yield pa.array([vocab.prefix_counts(body or "") for body in batch.to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([vocab.prefix_counts(body or "") for body in texts_of(batch)], pa.list_(pa.int64()))
 
     return docs.select(F.col(id_col).alias("doc_id"), arrow_udf(run, "array<long>")(F.col(text_col)).alias("counts"))
 
@@ -283,7 +283,7 @@ def token_pieces(text: Column, path: str, capacity: int, end_id: int = 0) -> Col
         vocab, end = vocabulary(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for body in batch.to_pylist():
+            for body in texts_of(batch):
                 ids = vocab.ids(body or "") + end
                 n = len(ids) // 4
                 first = n % capacity or capacity

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sheaf.llm.common import ODD, doc_crc
+from sheaf.llm.common import ODD, doc_crc, texts_of
 
 BUCKETS, SHORTEST, LONGEST = 1 << 18, 3, 5
 #: Labelled rows to learn from, at most, of each label: those with the smallest hash of their id.
@@ -140,7 +140,7 @@ def score(text: Column, model: Model) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([model.score(*features(t)) for t in batch.to_pylist()], pa.float64())
+            yield pa.array([model.score(*features(t)) for t in texts_of(batch)], pa.float64())
 
     return arrow_udf(run, "double")(text)
 

@@ -205,6 +205,7 @@ def test_every_prefix_count_equals_the_library():
 
 def test_small_memory_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "REMEMBERED_IDS", 5)
     own, other = tokens.Vocabulary(PATH), Tokenizer.from_file(PATH)
     text = " ".join(f"word{k} other{k % 3}" for k in range(200)) + " " + "z" * 100
     assert own.prefix_counts(text)[-1] == len(other.encode(text).ids) == len(own.ids(text)) // 4
