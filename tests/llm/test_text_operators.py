@@ -1,6 +1,7 @@
 """Operators that judge or rewrite one text at a time."""
 
 import hashlib
+import pathlib
 import random
 
 import numpy as np
@@ -177,6 +178,26 @@ def test_labelled_good_texts_stay(spark):
     assert (1, False) not in counts and counts[0, False] > 50
 
 
+HINDI = (
+    "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है "
+    "और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। प्रत्येक व्यक्ति को जीवन, स्वाधीनता और वैयक्तिक सुरक्षा का अधिकार है। "
+    "कोई भी गुलामी या दासता की हालत में न रखा जाएगा, गुलामी-प्रथा और गुलामों का व्यापार अपने सभी रूपों में निषिद्ध होगा।"
+)
+
+
+def test_ordinary_prose_stays(spark):
+    """Licences, Hindi, and the made-up prose of earlier rounds, which compress better than the given good texts."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "stone", "river", "walks", "under"]) + rng.choice("abcdefgh") * rng.randint(0, 2) + str(rng.randint(0, 99)) for _ in range(n))
+    vocabulary = [f"{a}{b}{c}" for a in ("sto", "ri", "wal", "un", "gre") for b in ("ne", "ver", "king", "der") for c in ("s", "d", "")]
+    small = " ".join(rng.choice(vocabulary) + rng.choice(["", ".", ","]) for _ in range(300))
+    licences = [p.read_text() for name in ("GPL-3", "LGPL-2.1", "Apache-2.0") if (p := pathlib.Path("/usr/share/common-licenses", name)).exists()]
+    texts = list(enumerate([prose(200), small, HINDI, *licences]))
+    assert all(r.q.kept for r in quality.judge(documents(spark, texts), out="q").collect())
+    repeated = [(0, " ".join(f"{k % 7}{k // 700}" for k in range(30_000)))]
+    assert not quality.judge(documents(spark, repeated), out="q").first().q.kept
+
+
 def test_quality_keeps_columns(spark):
     texts = [(1, "a b"), (2, None)]
     docs = documents(spark, texts)
