@@ -22,7 +22,7 @@ from sheaf.llm.common import run_hashes, text_column, word_hashes
 #: text of several languages and scripts meets them; repetition is left to the chunks and the counts.
 LEAST = ((8, 1.10), (9, 1.20), (10, 1.30), (12, 1.40), (16, 1.45))
 GREATEST = ((8, 3.0), (9, 3.3), (10, 3.8), (12, 4.4), (16, 5.0))
-#: Bytes of a chunk, and the share of chunks outside the limits of that length that rejects a text.
+#: Bytes of a chunk, and the share of bytes in chunks outside the limits of their length that rejects a text.
 CHUNK, BAD_CHUNKS = 4096, 0.3
 LEVEL = 3
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
@@ -57,11 +57,12 @@ def _measure(text: str | None, zstd: zstandard.ZstdCompressor) -> tuple:
     for k in range(3):
         hit[again + k] = True
     lines = [line for line in data.split(b"\n") if line.strip()]
-    chunks = [data[at : at + CHUNK] for at in range(0, len(data) - CHUNK + 1, CHUNK)] if len(data) >= 2 * CHUNK else []
+    # every chunk of a text beyond one, the shorter last one by the limits of its own length
+    chunks = [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)] if len(data) > CHUNK else []
     return (
         n, len(text) - (len(data) - len(data.translate(None, _SPACE))), len(data) - len(data.translate(None, _SYMBOLS)),
         len(lines) - len(set(lines)), int(hit.sum()), *_ratio(data, zstd),
-        sum(not _ratio(c, zstd)[1] for c in chunks) / len(chunks) if chunks else 0.0,
+        sum(len(c) for c in chunks if not _ratio(c, zstd)[1]) / len(data),
     )
 
 

@@ -1,5 +1,6 @@
 """Operators that judge or rewrite one text at a time."""
 
+import base64
 import hashlib
 import pathlib
 import random
@@ -198,6 +199,20 @@ def test_ordinary_prose_stays(spark):
     assert not quality.judge(documents(spark, repeated), out="q").first().q.kept
 
 
+def test_every_chunk_is_judged(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlucmfwyp", k=rng.randint(2, 9))) for _ in range(n))[:n]
+    noise = lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n]
+    texts = [
+        (1, prose(4050) + noise(4050)), (2, prose(3900) + " " + noise(2200)), (3, prose(8192) + noise(4000)), (4, prose(4096) + "ab " * 1000),
+        (5, prose(4097)), (6, prose(8100)), (7, prose(12_000) + noise(400)),
+    ]
+    found = {r.doc_id: r.q for r in quality.judge(documents(spark, texts), out="q").collect()}
+    assert [i for i, q in sorted(found.items()) if q.kept] == [5, 6, 7]
+    assert found[3].bad_chunk_share == 4000 / 12_192 and found[4].bad_chunk_share == 3000 / 7096 and found[6].bad_chunk_share == 0
+    assert found[2].in_band and found[3].in_band
+
+
 def test_quality_keeps_columns(spark):
     texts = [(1, "a b"), (2, None)]
     docs = documents(spark, texts)
