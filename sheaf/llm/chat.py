@@ -46,10 +46,16 @@ def format_turns(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     )
 
 
-def in_order(pieces: DataFrame, parts: int | None = None) -> DataFrame:
-    """Conversations whole in a partition, turns in order; equal turns by role, then piece."""
-    n = parts or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pieces.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "piece")
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Pieces with n_turns and n_chars, the stream's size up to and with each, and whether one is the last.
+
+    Turns are in order, equal ones by role, then piece.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "piece")
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    return pieces.select(
+        "*", F.sum(F.char_length("piece")).over(before).alias("n_chars"), F.count(F.lit(1)).over(before).alias("n_turns"), F.lead(F.lit(1)).over(order).isNull().alias("last")
+    )
 
 
 def examples(pieces: DataFrame) -> DataFrame:
@@ -58,15 +64,9 @@ def examples(pieces: DataFrame) -> DataFrame:
     conv_id, example, n_turns, n_chars (the prefix of the stream), loss_start,
     loss_end (code points in it; null without a target).
     """
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "piece").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("conv_id").orderBy(F.col("turn").desc_nulls_last(), F.col("role").desc(), F.col("piece").desc())
-    size = F.char_length("piece")
-    placed = pieces.select(
-        "*", F.sum(size).over(before).alias("n_chars"), F.count(F.lit(1)).over(before).alias("n_turns"), F.row_number().over(after).alias("__last")
-    )
     target = F.col("role") == "assistant"
-    start = F.col("n_chars") - size + F.col("body_start")
-    return placed.filter(target | (F.col("__last") == 1)).select(
+    start = F.col("n_chars") - F.char_length("piece") + F.col("body_start")
+    return numbered(pieces).filter(target | F.col("last")).select(
         "conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("n_turns")).alias("example"), "n_turns", "n_chars",
         F.when(target, start).alias("loss_start"), F.when(target, start + F.col("body_chars")).alias("loss_end"),
     )
@@ -78,34 +78,65 @@ def expand(pieces: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(turns, rows.conv_id.eqNullSafe(turns.conv_id)).select(rows["*"], F.substr("stream", F.lit(1), F.col("n_chars").cast("int")).alias("text"))
 
 
+#: What an example says besides its place in the stream.
+_RANGES = ("example", "n_chars", "loss_start", "loss_end")
 _HEAD = re.compile(re.escape(OPEN + INST) + r"(.*?)" + re.escape(END_INST), re.S)
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads pieces in order, one turn at a time, and keeps one running digest."""
+    """Reads each piece and then the examples that end with it, and keeps running digests.
+
+    Masked text and sizes are those of the examples: slices of the stream by
+    their ranges.  An example that is no prefix of whole turns, masks anything
+    but its last reply, or is missing or there twice is an error.
+    """
     now: tuple | None = None
     done: list[tuple] = []
     turns = loss = None
-    n = loss_chars = at = total = pending = 0
+    n = loss_chars = at = total = made = 0
+    piece, role, body, due = "", "", (0, 0), False
+
+    def wrong(what: str):
+        raise ValueError(f"conversation {now[0]}, turn {n}: {what}")
 
     def ended():
-        done.append((now[0], n, turns.hexdigest(), loss_chars, loss.hexdigest(), total + pending))
+        if due:
+            wrong("a turn without its example")
+        done.append((now[0], n, turns.hexdigest(), loss_chars, loss.hexdigest(), total))
 
     for batch in batches:
-        for conv, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for conv, own, example, n_turns, n_chars, start, end in zip(*(c.to_pylist() for c in batch.columns)):
             if now is None or now[0] != conv:
                 if now is not None:
                     ended()
-                now, turns, loss, n, loss_chars, at, total, pending = (conv,), hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0
-            head = _HEAD.match(piece)
-            role, text = unescape(head[1]), unescape(piece[head.end() : -len(CLOSE)])
-            turns.update(f"{role}\n{text}\n".encode())
-            n, at = n + 1, at + len(piece)
-            pending = at
-            if role == "assistant":
+                now, turns, loss, n, loss_chars, at, total, made = (conv,), hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0
+                role, due = "", False
+            if own is not None:
+                if due and role == "assistant":
+                    wrong("a reply without its example")
+                head = _HEAD.match(own)
+                piece, role, text = own, unescape(head[1]), unescape(own[head.end() : -len(CLOSE)])
+                body, due = (head.end(), len(own) - len(CLOSE)), True
+                if (start, end) != body or n_chars != at + len(own):
+                    wrong("a text that is not where its turn says")
+                turns.update(f"{role}\n{text}\n".encode())
+                n, at = n + 1, at + len(own)
+                continue
+            before = at - len(piece)
+            if not due or (n_turns, n_chars) != (n, at):
+                wrong("an example that is no prefix of whole turns")
+            if example != made + 1:
+                wrong("examples that are not numbered from 1")
+            made, due, total = example, False, total + n_chars
+            if (role == "assistant") != (start is not None):
+                wrong("a mask without a reply, or a reply without a mask")
+            if start is not None:
+                if (start - before, end - before) != body:
+                    wrong("a mask that is not the reply")
+                text = unescape(piece[start - before : end - before])
                 loss.update(text.encode())
-                loss_chars, total, pending = loss_chars + len(text), total + at, 0
+                loss_chars += len(text)
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(_DIGEST.names, r)) for r in done], _DIGEST)
             done.clear()
@@ -114,15 +145,25 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(_DIGEST.names, r)) for r in done], _DIGEST)
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """What a reader finds in the formatted output, per conversation.
+def digests(pieces: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """What a reader finds in the examples ``rows`` of the formatted output, per conversation.
 
-    formatted_chars is the sum over the conversation's examples.  Memory is one
-    batch of turns, whatever the length of a conversation.  Rows with a null
-    conv_id are one conversation; repeated rows are turns of their own; a
-    conversation without an assistant turn has an empty loss text.  An empty
-    table gives no rows.
+    ``rows`` are those of :func:`examples` unless given.  Turns are read from
+    the stream; masked text and formatted_chars, the sum over the conversation's
+    examples, from the examples' ranges over it, and a wrong range is an error.
+    Memory is one batch of turns, whatever the length of a conversation.  Rows
+    with a null conv_id are one conversation; repeated rows are turns of their
+    own; a conversation without an assistant turn has an empty loss text.  An
+    empty table gives no rows.
     """
-    return in_order(pieces).select(F.col("conv_id").cast("long"), "piece").mapInArrow(
+    rows = examples(pieces) if rows is None else rows
+    none = F.lit(None).cast("long")
+    conv = F.col("conv_id").cast("long").alias("conv_id")
+    # with their body ranges turns read the columns that examples read, and the text is shuffled once for both
+    turns = numbered(pieces).select(conv, "n_turns", "piece", none.alias("example"), "n_chars", F.col("body_start").alias("loss_start"), (F.col("body_start") + F.col("body_chars")).alias("loss_end"))
+    ranges = rows.select(conv, "n_turns", F.lit(None).cast("string").alias("piece"), *[F.col(c).cast("long").alias(c) for c in _RANGES])
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = turns.union(ranges).repartition(n, "conv_id").sortWithinPartitions("conv_id", "n_turns", F.col("piece").isNull())
+    return stream.select("conv_id", "piece", "example", F.col("n_turns").cast("long"), "n_chars", "loss_start", "loss_end").mapInArrow(
         _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -50,7 +50,8 @@ def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_turns(conv.union(more)))
+    pieces = chat.format_turns(conv.union(more))
+    return chat.digests(pieces, chat.examples(pieces))
 
 
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

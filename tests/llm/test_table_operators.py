@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sheaf.llm import chat, neardup, packing, sharding
+from sheaf.llm import queries as llm_queries
 from sheaf.llm.components import components
 from sheaf.llm.superminhash import signature
 
@@ -162,6 +163,37 @@ def test_examples_expand_each_reply_with_its_past(spark):
     assert total == dict(sums)
 
 
+def test_examples_after_equal_last_turns(spark):
+    rows = [(1, 0, "assistant", "a"), *[(1, 1, "user", "same")] * 5]
+    pieces = chat.format_turns(conversations(spark, rows))
+    own = sorted((r.example, r.n_turns, r.n_chars) for r in chat.examples(pieces).collect())
+    assert [x[:2] for x in own] == [(1, 1), (2, 6)]
+    assert chat.digests(pieces).first().formatted_chars == sum(x[2] for x in own)
+
+
+FAULTS = {
+    "mask starts late": lambda x: x.withColumn("loss_start", F.col("loss_start") + 1),
+    "mask ends late": lambda x: x.withColumn("loss_end", F.col("loss_end") + 1),
+    "mask of the first turn": lambda x: x.withColumn("loss_start", F.col("loss_start") - F.col("n_chars") + 20),
+    "no mask": lambda x: x.withColumn("loss_start", F.lit(None).cast("long")),
+    "prefix too long": lambda x: x.withColumn("n_chars", F.col("n_chars") + 1),
+    "a turn more": lambda x: x.withColumn("n_turns", F.col("n_turns") + 1),
+    "none for first replies": lambda x: x.filter("example > 1"),
+    "none for the last turns": lambda x: x.filter("loss_start IS NOT NULL"),
+    "twice": lambda x: x.union(x),
+}
+
+
+@pytest.mark.parametrize("fault", FAULTS)
+def test_prefix_targets_read_the_examples(spark, tmp_path, monkeypatch, fault):
+    """The registered query fails on wrong example ranges and masks."""
+    conversations(spark, [r for r in TURNS if r[0] in (1, 2)]).select("conv_id", "turn", "role", "text").write.parquet(str(tmp_path / "conversations.parquet"))
+    made = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda pieces: FAULTS[fault](made(pieces)))
+    with pytest.raises(Exception, match="conversation -?[0-9]+, turn [0-9]+: "):
+        llm_queries.op9_prefix_targets(spark, str(tmp_path)).collect()
+
+
 # ---- sharding ----
 
 def shards_of(df):
