@@ -60,6 +60,11 @@ _DISGUISED = re.compile(
 )
 _HINT = re.compile(r"[\[({<\s](?:at|arroba|@)[\])}>\s]|[\[({<\s](?:dot|punto|punkt|point|\.)[\])}>\s]", re.I)
 _ANY_DOT = re.compile(rf"{_DOT_BRACKET}|{_DOT_WORD}", re.I)
+# Four or more groups of digits or spelled digits between dots; which dots are disguised is looked up after.
+_QUAD_DOT = rf"(?:\.|{_DOT_BRACKET}|\s+(?:dot|punto|punkt|point)\s+)"
+_QUAD_WORDS = rf"{_DIGIT_WORD}(?:[\s-]{_DIGIT_WORD}){{0,2}}(?!\w)"
+_QUAD = re.compile(rf"(?<![0-9])(?:[0-9]++|(?<!\w){_QUAD_WORDS})(?:{_QUAD_DOT}(?:[0-9]++|{_QUAD_WORDS})){{3,}}", re.I)
+_ANY_QUAD_DOT = re.compile(_QUAD_DOT, re.I)
 #: Characters around a disguise that are read again.
 _REACH = 80
 
@@ -170,6 +175,21 @@ def _restore_email(t: Tape) -> Tape:
     return t.rewrite(edits) if edits else t
 
 
+def _restore_ip(t: Tape) -> Tape:
+    edits = []
+    for m in _QUAD.finditer(t.text):
+        at = m.start()
+        for d in [*_ANY_QUAD_DOT.finditer(t.text, m.start(), m.end()), None]:
+            group = t.text[at : d.start() if d else m.end()]
+            if not group.isdigit():
+                edits.append((at, at + len(group), "".join(_DIGIT_WORDS.get(w.lower(), w) for w in re.split(r"[\s-]", group))))
+            if d:
+                if d[0] != ".":
+                    edits.append((d.start(), d.end(), "."))
+                at = d.end()
+    return t.rewrite(edits) if edits else t
+
+
 def _regions(text: str) -> list[tuple[int, int]]:
     """Stretches that hold a sign of a disguise, with their surroundings, cut at white space and joined."""
     signs = [(m.start(), m.end()) for pattern in (_ODD_CHARS, _SPELLED, _HINT) for m in pattern.finditer(text)]
@@ -188,7 +208,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     added = set()
     for a, b in _regions(text):
         t = source = Tape.of(text[a:b], a)
-        for step in (_unmask_chars, _unspell_digits, _restore_email):
+        for step in (_unmask_chars, _unspell_digits, _restore_ip, _restore_email):
             t = step(t)
         if t is source:
             continue

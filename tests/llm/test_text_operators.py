@@ -136,6 +136,21 @@ def test_clean_texts_have_no_added_spans(text):
     assert pii.disguised(text, pii.plain(text)) == []
 
 
+DOTTED = [
+    "192[.]168[.]1[.]20", "192 dot 168 dot 1 dot 20", "192[.]168.1.20", "192.168.1[dot]20", "10 (dot) 0 (dot) 0 (punto) 1", "10 point 0 point 0 point 1",
+    "one nine two dot one six eight dot one dot two zero", "１９２[.]168[.]1[.]20",
+]
+
+
+@pytest.mark.parametrize("source", DOTTED)
+def test_disguised_dots_of_ip(source):
+    text = f"host {source} or 10.0.0.1, up"
+    assert [(k, text[s:e]) for s, k, e in pii.disguised(text, pii.plain(text))] == [(1, source)]
+    assert pii._mask(text) == ("host [IP] or [IP], up",)
+    clean = "1 dot 5 dot 2 and 300 dot 1 dot 1 dot 1"
+    assert pii._mask(clean) == (clean,)
+
+
 def test_masking(spark, odd):
     docs = documents(spark, [*odd, (900, "a jane@x.org b 10.0.0.1 c")])
     out = pii.mask_pii(docs)
