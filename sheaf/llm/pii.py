@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import text_column
+from sheaf.llm.endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -40,8 +41,6 @@ _DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-# endings of a domain that make bare words an address
-_ENDINGS = set("com org net edu gov mil int info biz io dev app ai co me tv eu uk us ca au in jp cn br ru de fr es it nl be ch at pt pl se no dk fi ie example test".split())
 # ---- end of fixed values ----
 _LOOKALIKE = {**_CYRILLIC, **_GREEK, **_MARKS}
 # fullwidth forms, mathematical letters and digits, circled digits
@@ -60,6 +59,7 @@ _DISGUISED = re.compile(
 )
 _HINT = re.compile(r"[\[({<\s](?:at|arroba|@)[\])}>\s]|[\[({<\s](?:dot|punto|punkt|point|\.)[\])}>\s]", re.I)
 _ANY_DOT = re.compile(rf"{_DOT_BRACKET}|{_DOT_WORD}", re.I)
+_BRACKET_DOT = re.compile(_DOT_BRACKET, re.I)
 # Four or more groups of digits or spelled digits between dots; which dots are disguised is looked up after.
 _QUAD_DOT = rf"(?:\.|{_DOT_BRACKET}|\s+(?:dot|punto|punkt|point)\s+)"
 _QUAD_WORDS = rf"{_DIGIT_WORD}(?:[\s-]{_DIGIT_WORD}){{0,2}}(?!\w)"
@@ -168,8 +168,11 @@ def _restore_email(t: Tape) -> Tape:
     edits = []
     for m in _DISGUISED.finditer(t.text):
         kind = "at1" if m["at1"] else "at2"
-        if kind == "at2" and re.split(r"[.\s\])}>]+", m[0])[-1].lower() not in _ENDINGS:
-            continue
+        # all in bare words: an address only with a registered ending
+        if m["at2"] and m["at2"] != "@" and not _BRACKET_DOT.search(t.text, m.end(kind), m.end()):
+            ending = re.split(r"[.\s]+", m[0])[-1].lower()
+            if ending not in ENDINGS and not ending.startswith("xn--"):
+                continue
         edits.append((*m.span(kind), "@"))
         edits += [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(t.text, m.end(kind), m.end())]
     return t.rewrite(edits) if edits else t

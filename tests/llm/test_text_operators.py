@@ -136,6 +136,16 @@ def test_clean_texts_have_no_added_spans(text):
     assert pii.disguised(text, pii.plain(text)) == []
 
 
+ENDED = ["jane@firma [dot] gr", "jane@firma[.]mx", "jane at firma dot online", "jane@firma dot kr", "jane at firma [dot] cz", "j at x dot xn--p1ai"]
+
+
+@pytest.mark.parametrize("source", ENDED)
+def test_disguised_mail_of_any_ending(source):
+    text = f"to {source}, now"
+    assert pii._mask(text) == ("to [EMAIL], now",)
+    assert pii._mask("look at the dot of it, at a dot zzz") == ("look at the dot of it, at a dot zzz",)
+
+
 DOTTED = [
     "192[.]168[.]1[.]20", "192 dot 168 dot 1 dot 20", "192[.]168.1.20", "192.168.1[dot]20", "10 (dot) 0 (dot) 0 (punto) 1", "10 point 0 point 0 point 1",
     "one nine two dot one six eight dot one dot two zero", "１９２[.]168[.]1[.]20",
