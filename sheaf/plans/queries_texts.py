@@ -362,6 +362,12 @@ def cosine_topk(x: Inputs) -> DataFrame:
     return _hits(x).withColumn("score", F.round("score", 6))
 
 
+@query("near_topk", "RET-02")
+def near_topk(x: Inputs) -> DataFrame:
+    asked = _vectors(x).filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return retrieval.near_topk(asked, _vectors(x), K).withColumn("score", F.round("score", 6))
+
+
 @query("score_threshold", "RET-03", "SELECT query_id, count(*) AS n FROM hits_x WHERE score >= 0.4 GROUP BY query_id")
 def score_threshold(x: Inputs) -> DataFrame:
     return retrieval.above_threshold(_hits(x), 0.4).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
