@@ -111,9 +111,13 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str, block
     )
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", base: int = 40) -> DataFrame:
     """Places documents in shards by their id; law ``key``.
 
+    ``base`` is the number of shards planned at first and stays when ``shards``
+    grows past it, so that rows move only into the new shard.  Below ``base`` a
+    region fills up, and rows may also move to old shards of it.
+
     Returns doc_id, size (UTF-8 bytes, null none, plus 16), text_crc32, law,
     shard, slot and grown_shard (the shard once there is one more).  Each row is
     placed, repeated rows too (one slot each); rows with equal ids share a shard.
@@ -126,8 +130,8 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(key, planned_tree(shards, base=shards)).alias("shard"),
-        shard_of(key, planned_tree(shards + 1, base=shards)).alias("grown_shard"),
+        shard_of(key, planned_tree(shards, base=base)).alias("shard"),
+        shard_of(key, planned_tree(shards + 1, base=base)).alias("grown_shard"),
     )
     return with_slots(placed, "shard", ["doc_id", "text_crc32", "size"], "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"

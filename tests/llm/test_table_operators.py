@@ -226,6 +226,15 @@ def test_weights_move_rows_only_into_the_grown_subtree(spark):
     assert share[4] / len(own) == pytest.approx(2 / 13, abs=0.02)
 
 
+def test_grown_shards_are_those_of_the_next_tree(spark):
+    docs = documents(spark, [(i, "x") for i in range(4000)])
+    by = {n: {r.doc_id: r for r in sharding.assign_shards(docs, n).collect()} for n in (40, 41, 42)}
+    for n in (40, 41):
+        assert all(by[n][i].grown_shard == by[n + 1][i].shard for i in by[n])
+        moved = {by[n + 1][i].shard for i in by[n] if by[n][i].shard != by[n + 1][i].shard}
+        assert moved == {n}
+
+
 def test_trees_are_checked():
     with pytest.raises(ValueError):
         sharding.shard_of(F.lit(1), [sharding.Leaf(0, "a", "b", 0.0)])
