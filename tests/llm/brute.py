@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -157,3 +158,60 @@ def measures(text):
     hit = {i + k for places in at.values() if len(places) > 1 for i in places for k in range(3)}
     lines = [x for x in (text or "").split("\n") if ascii_words(x)]
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
+
+
+# ---- manifest ----
+
+def plain_manifest(docs):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of (doc_id, source, lang, n_chars, text) rows, sorted."""
+    digest = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda row: digest(*map(enc, row))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([digest(*out[-1][k : k + 2]) for k in range(0, len(out[-1]), 2)])
+        return out
+
+    def route(tree, at):
+        for level in tree[:-1]:
+            yield at % 2, level[at ^ 1] if at ^ 1 < len(level) else None
+            at //= 2
+
+    groups = collections.defaultdict(list)
+    for row in docs:
+        groups[row[2]].append(row)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for own in groups.values():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {g: levels([leaf(r) for r in own]) for g, own in groups.items()}
+    top = levels([trees[g][-1][0] for g in order]) if order else None
+    rows = []
+    for g, own in groups.items():
+        for at, row in enumerate(own):
+            way = [*route(trees[g], at), *route(top, order.index(g))]
+            bad = row[0] is not None and crc(row[0]) % 7 == 0 and row[3] is not None
+            node = leaf((*row[:3], row[3] + 1, row[4])) if bad else leaf(row)
+            for right, other in way:
+                node = digest(node) if other is None else digest(other, node) if right else digest(node, other)
+            root = top[-1][0]
+            rows.append((row[0], leaf(row), trees[g][-1][0], root, digest(*(o for _, o in way if o is not None)), node, node == root))
+    return sorted(rows, key=repr)
+
+
+# ---- hard negatives ----
+
+def plain_negatives(rows, positives=5, negatives=5, every=100):
+    """(anchor, positive, rank, negative, positive score, negative score) of (id, label, integer vector) rows, one row an id."""
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for anchor, label, q in rows:
+        if anchor % every:
+            continue
+        near = sorted((-score(q, v), i) for i, other, v in rows if other == label and i != anchor)[:positives]
+        far = sorted((-score(q, v), i) for i, other, v in rows if other != label)
+        for s, i in near:
+            inside = [(t, j) for t, j in far if 80 * -s <= 100 * -t <= 100 * -s][:negatives]
+            out += [(anchor, i, rank, j, -s, -t) for rank, (t, j) in enumerate(inside, 1)]
+    return sorted(out)
