@@ -84,3 +84,26 @@ def doc_crc(doc_id: str | Column) -> Column:
     """crc32 of the id as text; of the empty text for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
+
+
+#: Bits of the bitmap that thins out rows before they are shuffled; as 64-bit words it is at most 131,072 rows, whatever the number of members.
+MEMBER_BITS = 1 << 23
+
+
+def members_of(rows: DataFrame, members: DataFrame, keys: list[str], member_keys: list[str]) -> DataFrame:
+    """Rows whose keys are among those of ``members``, a written table with few of them.
+
+    A bitmap of the members' hashed keys, of a fixed size, goes to all tasks and
+    drops most other rows where they are read; a semi-join decides on the rest.
+    So long columns of rows that are no members are not shuffled.  Null keys
+    are no members.
+    """
+    def slot(names: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*names), F.lit(MEMBER_BITS))
+
+    def bit(names: list[str]) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), slot(names).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+    marks = members.groupBy(F.shiftright(slot(member_keys), 6).alias("__word")).agg(F.bit_or(bit(member_keys)).alias("__marks"))
+    likely = rows.join(F.broadcast(marks), F.shiftright(slot(keys), 6) == F.col("__word")).filter(F.col("__marks").bitwiseAND(bit(keys)) != 0).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return likely.join(members, [F.col(k) == F.col(m) for k, m in zip(keys, member_keys)], "left_semi")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import chat, decontaminate, hardneg, katz, merkle, neardup, oracles, packing, pii, quality, sharding, tokens, toxicity
+from sheaf.llm import chat, decontaminate, hardneg, katz, merkle, neardup, oracles, packing, pii, quality, sharding, sigtree, tokens, toxicity
 from sheaf.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op12_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.manifest(docs, merkle.changed_size(docs))
@@ -69,7 +73,7 @@ def op13_spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wu_manber, op2_katz_backoff, op3_pii_spans, op4_superminhash, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op8_naive_bayes_ngrams, op9_prefix_targets, op10_hash_tree, op12_bitmap_manifest, op13_spanning_tree)
+    f.__name__: f for f in (op1_wu_manber, op2_katz_backoff, op3_pii_spans, op4_superminhash, op5_sum_of_squares, op6_prefix_counts, op7_compression_bands, op8_naive_bayes_ngrams, op9_prefix_targets, op10_hash_tree, op11_signature_tree, op12_bitmap_manifest, op13_spanning_tree)
 }
 #: The others need hashes, tokenizers, compression or floating sums that SQL does not share; tests/llm has plain versions.
 ORACLE_SQL: dict[str, str] = {"op1_wu_manber": oracles.WU_MANBER, "op9_prefix_targets": oracles.PREFIX_TARGETS, "op12_bitmap_manifest": oracles.MANIFEST, "op13_spanning_tree": oracles.HARD_NEGATIVES}

@@ -110,7 +110,7 @@ def shingle_set(text, words):
     return frozenset(tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))) if own else frozenset()
 
 
-def near_groups(docs, words):
+def near_groups(docs, words, percent=80):
     """doc -> smallest linked doc, comparing all pairs."""
     sets = [(doc, shingle_set(text, words)) for doc, text in docs]
     up = {doc: doc for doc, _ in docs}
@@ -122,7 +122,7 @@ def near_groups(docs, words):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 low, high = sorted((find(a), find(b)))
                 up[high] = low
     return {doc: find(doc) for doc, _ in docs}
