@@ -62,7 +62,9 @@ def examples(pieces: DataFrame) -> DataFrame:
     """One row per trainable reply, plus one without a target for turns after the last reply.
 
     conv_id, example, n_turns, n_chars (the prefix of the stream), loss_start,
-    loss_end (code points in it; null without a target).
+    loss_end (code points in it; null without a target).  Null texts are empty
+    turns; rows with a null conv_id are one conversation; repeated rows are turns
+    of their own; an empty table gives no rows.
     """
     target = F.col("role") == "assistant"
     start = F.col("n_chars") - F.char_length("piece") + F.col("body_start")

@@ -80,6 +80,14 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` is called so (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def doc_crc(doc_id: str | Column) -> Column:
     """crc32 of the id as text; of the empty text for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

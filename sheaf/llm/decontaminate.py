@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from sheaf.functions.session import materialise
-from sheaf.llm.common import batch_of, texts_of
+from sheaf.llm.common import batch_of, free_name, texts_of
 
 WINDOW = 13
 #: Item words whose tables one task holds; a larger benchmark is searched in several passes.
@@ -188,7 +188,13 @@ def contaminated(found: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and no hits.  Rows are judged alone,
+    repeated ones and null ids too; other columns are not read.  An empty
+    table gives no rows, an empty benchmark no hits.  Items of a null id are
+    not searched for, as they have no name to report.
+    """
     options.setdefault("text_col", "text")
     found = contamination(docs.select(F.col(id_col).alias("doc_id"), F.col(options["text_col"])), benchmark, "__found", **options)
     f = F.col("__found")
@@ -199,5 +205,10 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opti
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows that are not contaminated, with the columns of ``docs``."""
-    return contamination(docs, benchmark, "__found", **options).filter(~contaminated(F.col("__found"))).drop("__found")
+    """Rows that are not contaminated, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts stay.  Rows are judged alone, so repeated rows stay or
+    go together; an empty table stays empty, an empty benchmark keeps all.
+    """
+    found = free_name(docs, "__found")
+    return contamination(docs, benchmark, found, **options).filter(~contaminated(F.col(found))).drop(found)

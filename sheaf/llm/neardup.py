@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from sheaf.functions.session import materialise
-from sheaf.llm.common import batch_of, run_hashes, texts_of, word_hashes
+from sheaf.llm.common import batch_of, free_name, run_hashes, texts_of, word_hashes
 from sheaf.llm.components import components
 from sheaf.llm.superminhash import bands, signature
 
@@ -178,12 +178,15 @@ def groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, that of the smallest id, with the columns of ``docs``.
 
-    Rows with a null id stay.  Of several rows with a kept id one stays: the
-    least by the hash of its text, then by all columns.
+    Rows with a null id stay, and null and empty texts, which are like nothing.
+    Of several rows with a kept id one stays: the least by the hash of its text,
+    then by all columns.  Columns may have any names; an empty table stays empty.
     """
-    kept = groups(docs, words, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("__id"), "text_hash").agg(F.count(F.lit(1)).alias("__n"))
-    kept = kept.groupBy("__id").agg(F.min("text_hash").alias("__hash"), F.min_by("__n", "text_hash").alias("__n"))
-    key = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
-    once = docs.join(kept.filter("__n = 1"), key, "left_semi")
-    several = docs.join(kept.filter("__n > 1"), key, "left_semi").groupBy(F.col(id_col)).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
-    return once.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
+    name, digest, count, whole = (free_name(docs, c) for c in ("__id", "__hash", "__n", "__row"))
+    kept = groups(docs, words, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias(name), F.col("text_hash").alias(digest)).agg(F.count(F.lit(1)).alias(count))
+    kept = kept.groupBy(name).agg(F.min(digest).alias(digest), F.min_by(count, digest).alias(count))
+    key = (F.col(f"`{id_col}`").cast("long") == F.col(name)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(digest))
+    once = docs.join(kept.filter(F.col(count) == 1), key, "left_semi")
+    several = docs.join(kept.filter(F.col(count) > 1), key, "left_semi").groupBy(F.col(f"`{id_col}`")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(whole))
+    several = several.select(*[F.col(whole)[c].alias(c) for c in docs.columns])
+    return once.unionByName(several).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

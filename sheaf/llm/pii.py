@@ -18,7 +18,7 @@ from array import array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import text_column
+from sheaf.llm.common import free_name, text_column
 from sheaf.llm.endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
@@ -286,8 +286,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The same rows with identifiers replaced by their kind; ``chars_col`` follows the new text."""
-    held = "__masked"
+    """The same rows with identifiers replaced by their kind; ``chars_col`` follows the new text.
+
+    Null texts and null sizes stay null.  Rows are rewritten alone, repeated ones
+    too; all other columns stay as they are, whatever their names; an empty
+    table stays empty.
+    """
+    held = free_name(docs, "__masked")
     new = F.col(f"{held}.text")
     masked = docs.withColumn(held, mask(F.col(text_col)))
 

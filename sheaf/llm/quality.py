@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import run_hashes, text_column, word_hashes
+from sheaf.llm.common import free_name, run_hashes, text_column, word_hashes
 
 #: Least and greatest ratio of raw to compressed size at powers of two of UTF-8 bytes; between them by
 #: the logarithm of the length, below the first none.  The greatest ones are wide, so that ordinary
@@ -82,7 +82,7 @@ def judge(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Data
     ids, ties, repeated rows and other columns do not matter; only ``out`` must
     be a new name.
     """
-    held = f"__{out}"
+    held = free_name(docs, f"__{out}")
     failed, kept = verdict(F.col(held))
     return docs.withColumn(held, measures(F.col(text_col))).select(
         *[F.col(f"`{c}`") for c in docs.columns], F.struct(f"{held}.*", failed.alias("base_failed"), kept.alias("kept")).alias(out)
@@ -90,5 +90,10 @@ def judge(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Data
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
-    return judge(docs, text_col, "__verdict").filter("__verdict.kept").drop("__verdict")
+    """The rows that stay, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts go.  Each row is judged alone, so repeated rows stay or
+    go together; an empty table stays empty.
+    """
+    verdict = free_name(docs, "__verdict")
+    return judge(docs, text_col, verdict).filter(F.col(verdict)["kept"]).drop(verdict)

@@ -112,14 +112,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, trains: Column, id_col: st
         picked = own if picked is None else picked.unionByName(own)
     # at most sum(SAMPLE) rows go to every task
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    return texts.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select("__id", "__label", "__text")
+    sample = texts.join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    # one row an id, the least text of several
+    return sample.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic") -> Model:
     """Fits the model in one task on the bounded sample; ``trains`` is a condition on ``__id``.
 
-    Repeated labels of an id count as one, toxic if any is; null labels and ids
-    are left out.  Without labels every score is 0.5.
+    Repeated labels of an id count as one, toxic if any is; of several rows with
+    one id the least text counts; null labels and ids are left out.  Without labels every score is 0.5.
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 
+import zstandard
+
 
 def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -215,3 +217,29 @@ def plain_negatives(rows, positives=5, negatives=5, every=100):
             inside = [(t, j) for t, j in far if 80 * -s <= 100 * -t <= 100 * -s][:negatives]
             out += [(anchor, i, rank, j, -s, -t) for rank, (t, j) in enumerate(inside, 1)]
     return sorted(out)
+
+
+# ---- quality ----
+
+def plain_kept(text):
+    """The verdict of the compression bands, from the limits as the README states them."""
+    least, greatest = {8: 1.10, 9: 1.20, 10: 1.30, 12: 1.40, 16: 1.45}, {8: 3.0, 9: 3.3, 10: 3.8, 12: 4.4, 16: 5.0}
+
+    def limit(table, size):
+        x, keys = math.log2(size), sorted(table)
+        if x >= keys[-1]:
+            return table[keys[-1]]
+        low = max(k for k in keys if k <= x)
+        high = min(k for k in keys if k > x)
+        return table[low] + (table[high] - table[low]) * (x - low) / (high - low)
+
+    def inside(data):
+        ratio = len(data) / len(zstandard.compress(data, 3))
+        return len(data) < 256 or limit(least, len(data)) <= ratio <= limit(greatest, len(data))
+
+    n_words, _, _, _, repeated = measures(text)
+    if n_words < 50 or 100 * repeated > 50 * n_words:
+        return False
+    data = text.encode()
+    chunks = [data[k : k + 4096] for k in range(0, len(data), 4096)] if len(data) > 4096 else []
+    return inside(data) and sum(len(c) for c in chunks if not inside(c)) <= 0.3 * len(data)

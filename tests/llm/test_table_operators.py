@@ -11,7 +11,7 @@ from brute import contamination, measures, near_groups, plain_pii, shingle_set
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheaf.llm import chat, neardup, packing, sharding
+from sheaf.llm import chat, decontaminate, neardup, packing, pii, quality, sharding
 from sheaf.llm import queries as llm_queries
 from sheaf.llm.components import components
 from sheaf.llm.superminhash import signature
@@ -76,6 +76,21 @@ def test_null_and_repeated_ids(spark):
     assert neardup.groups(documents(spark, []), 4).count() == 0 and neardup.keep_one(documents(spark, []), 4).count() == 0
 
 
+def test_columns_with_names_of_the_operators_own(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    names = "doc_id long, text string, __id long, __hash long, __n long, __row string, __verdict string, __found string, __masked string, __q int, __word long, __marks long, `a b.c` string"
+    rows = [(i, t, 1, 2, 3, "r", "v", "f", "m", 4, 5, 6, "x") for i, t in [(1, text), (2, text), (2, text), (3, text + " me@example.org"), (4, None)]]
+    docs = spark.createDataFrame(rows, names)
+    items = spark.createDataFrame([("i", "no such words")], "item_id string, text string")
+    kept = neardup.keep_one(docs, 5)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+    for out in (kept, quality.keep_good(docs), decontaminate.keep_clean(docs, items), pii.mask_pii(docs, chars_col=None)):
+        assert out.columns == docs.columns
+        assert {tuple(r)[2:] for r in out.collect()} == {rows[0][2:]}
+    assert {r.text for r in pii.mask_pii(docs, chars_col=None).collect()} == {text, text + " [EMAIL]", None}
+    assert quality.judge(docs, out="q").count() == 5
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
