@@ -11,27 +11,27 @@ from sheaf.llm.common import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
+    """Drops documents that the quality rules reject; null and empty texts go, other columns do not matter (:func:`quality.keep_good`)."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies; null ids and texts stay, repeated rows do not (:func:`neardup.keep_one`)."""
     return neardup.keep_one(docs, words=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops contaminated documents; null and empty texts stay (:func:`decontaminate.keep_clean`)."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind."""
+    """Replaces personal data by its kind; nulls and other columns stay (:func:`pii.mask_pii`)."""
     return pii.mask_pii(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences."""
+    """Token pieces of all documents, packed into sequences; a null text is empty (:func:`packing.pack_documents`)."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
