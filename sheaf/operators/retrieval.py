@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sheaf import presets as P
 from sheaf.functions import text as X
-from sheaf.functions.session import materialise
 from sheaf.operators import refs as R
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -51,13 +50,13 @@ def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = P.EMBED_BAT
     return df.mapInPandas(run, schema)
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
+def unit_rows(rows: pd.Series) -> np.ndarray:
     m = np.array(rows.tolist(), dtype=np.float64)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(k: int, query: np.ndarray, names: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+def best_hits(k: int, query: np.ndarray, names: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
     """The k highest scores of each query; equal scores go by id."""
     order = np.lexsort((names, -score, query))
     query, names, score = query[order], names[order], score[order]
@@ -72,7 +71,7 @@ def _nearest(frames: Iterator[pd.DataFrame], wanted: np.ndarray, k: int) -> tupl
     for frame in frames:
         for at in range(0, len(frame), step):
             rows = frame.iloc[at : at + step]
-            score = np.round(wanted @ _unit(rows["e"]).T, 9)
+            score = np.round(wanted @ unit_rows(rows["e"]).T, 9)
             if score.shape[1] > k:
                 query, col = np.nonzero(score >= np.partition(score, -k, axis=1)[:, -k, None])
             else:
@@ -80,7 +79,7 @@ def _nearest(frames: Iterator[pd.DataFrame], wanted: np.ndarray, k: int) -> tupl
             names = rows["id"].to_numpy()
             names = names.astype(str) if names.dtype == object else names
             found = (query, names[col], score[query, col])
-            kept = _best(k, *(found if kept is None else map(np.concatenate, zip(kept, found))))
+            kept = best_hits(k, *(found if kept is None else map(np.concatenate, zip(kept, found))))
     return kept
 
 
@@ -102,7 +101,7 @@ def cosine_topk(
 
     For a stated set of queries, such as template items or topics: every task
     holds their matrix, so a set of more than ``max_query_values`` numbers is
-    refused; :func:`near_topk` takes any.  A task multiplies its vectors with
+    refused; :func:`sheaf.operators.cells.near_topk` takes any.  A task multiplies its vectors with
     the matrix batch by batch and keeps a running top-k, so only ``k`` rows per
     query and task are shuffled; no (query, vector) pair list exists.
     """
@@ -114,7 +113,7 @@ def cosine_topk(
     stated = q.collect() if size["n"] else []
     if not stated:
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    ids, wanted = [r["query_id"] for r in stated], _unit(pd.Series([r["e"] for r in stated]))
+    ids, wanted = [r["query_id"] for r in stated], unit_rows(pd.Series([r["e"] for r in stated]))
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = _nearest(frames, wanted, k)
@@ -125,65 +124,6 @@ def cosine_topk(
     return _ranked(rows.mapInPandas(nearest, schema), k)
 
 
-def near_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "id", embedding: str = "embedding",
-    dim: int = 64, tables: int = 24, bits: int = 4, most: int = 20_000,
-) -> DataFrame:
-    """``cosine_topk`` for any number of queries; approximate in its candidates, exact in its scores.
-
-    ``tables`` signatures of ``bits`` random hyperplanes each; a query meets the
-    vectors that share one of its signatures, in one task per signature, which
-    keeps a running top-k.  A signature with more than ``most`` vectors is
-    split, and its queries meet every part.  More tables or fewer bits raise
-    the recall: the defaults find neighbours at a cosine of 0.35, as in unclustered
-    vectors; those at 0.9 are found with 6 bits too.  Queries that meet fewer than
-    ``k`` vectors are asked again of all vectors, so each has ``k`` rows where there
-    are as many vectors.  The first hits are written once to look for such queries.
-    """
-    schema = _hit_schema(queries, vectors, query_id, vector_id)
-    planes = np.random.default_rng(11).standard_normal((tables * bits, dim))
-    weights = 1 << np.arange(bits)
-
-    @F.pandas_udf("array<bigint>")
-    def signatures(e: pd.Series) -> pd.Series:
-        above = (np.array(e.tolist(), dtype=np.float64) @ planes.T > 0).reshape(len(e), tables, bits)
-        codes = above @ weights + (np.arange(tables) << bits)
-        return pd.Series(list(codes))
-
-    def signed(df: DataFrame, name: str, out: str) -> DataFrame:
-        own = df.select(F.col(name).alias(out), F.col(embedding).alias("e")).filter(F.col("e").isNotNull())
-        return own.select(out, "e", F.explode(signatures("e")).alias("s"))
-
-    sides = signed(vectors, vector_id, "id")
-    parts = sides.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
-    split = sides.join(parts, "s").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    wanted = parts.select(F.col("s").alias("signature"), F.col("parts").alias("n_parts"))
-    asked = signed(queries, query_id, "query_id").join(wanted, F.col("s") == F.col("signature"))
-    asked = asked.select("query_id", "e", "signature", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("q_part"))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        kept = _nearest(iter([right]), _unit(left["e"]), k) if len(left) and len(right) else None
-        if kept is None:
-            return pd.DataFrame({"query_id": left["query_id"].iloc[:0], "id": right["id"].iloc[:0], "score": []})
-        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[kept[0]], "id": kept[1], "score": kept[2]})
-
-    met = asked.groupBy("signature", "q_part").cogroup(split.groupBy("s", "part")).applyInPandas(meet, schema)
-    found = materialise(_ranked(met.distinct(), k))
-    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    asking = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("e")).filter(F.col("e").isNotNull())
-    short = asking.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id", "e")
-    if short.isEmpty():
-        return found
-    rows = vectors.select(F.col(vector_id).alias("id"), F.col(embedding).alias("e")).filter(F.col("e").isNotNull())
-    n_parts = -(-rows.count() // most)
-    if not n_parts:
-        return found
-    by_part = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
-    everywhere = short.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    again = everywhere.groupBy("q_part").cogroup(by_part.groupBy("part")).applyInPandas(meet, schema)
-    return found.join(short, "query_id", "left_anti").unionByName(_ranked(again.distinct(), k))
-
-
 def above_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
     """Hits at or above the threshold; none given keeps all, no score counts 0."""
     if threshold is None:

@@ -198,44 +198,6 @@ def test_topk_is_exact(spark):
         retrieval.cosine_topk(q, df, 4, max_query_values=40)
 
 
-def test_near_topk_recall_of_the_query(spark):
-    """The registered search, with the defaults of the operator."""
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    asked = vectors.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
-    exact = {(r["query_id"], r["id"]) for r in retrieval.cosine_topk(asked, vectors, 4).collect()}
-    near = {(r["query_id"], r["id"]) for r in QUERIES["near_topk"].run(Inputs(spark, "/root/testdata/sf0.1")).collect()}
-    assert len(near) == len(exact) and len(near & exact) / len(exact) >= 0.9
-
-
-def test_near_topk_has_k_rows(spark):
-    """Vectors that share no signature with the query, more than a part of them."""
-    rows = [(i, [-1.0 - i / 100] + [0.0] * 63) for i in range(12)]
-    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
-    asked = spark.createDataFrame([(1, [1.0] + [0.0] * 63), (2, [-1.0] + [0.0] * 63)], "query_id long, embedding array<double>")
-    near = sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in retrieval.near_topk(asked, vectors, 4, most=5).collect())
-    assert near == sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in retrieval.cosine_topk(asked, vectors, 4).collect()) and len(near) == 8
-
-
-def test_near_topk_recall(spark):
-    """All given vectors as queries against all: recall against the exact search, exact scores."""
-    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    queries = vectors.withColumnRenamed("id", "query_id")
-    near = {(r["query_id"], r["id"]): r["score"] for r in retrieval.near_topk(queries, vectors, 4, bits=4, most=90).collect()}
-    exact = {(r["query_id"], r["id"]): r["score"] for r in retrieval.cosine_topk(queries, vectors, 4).collect()}
-    assert len(set(near) & set(exact)) / len(exact) >= 0.9
-    assert all(near[key] == pytest.approx(exact[key]) for key in set(near) & set(exact))
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(60, 64))
-    rows = [(i, [float(x) for x in centres[i % 60] + rng.normal(size=64) / 4]) for i in range(600)]
-    close = spark.createDataFrame(rows, "id long, embedding array<double>")
-    asked = close.withColumnRenamed("id", "query_id")
-    near = {(r["query_id"], r["id"]) for r in retrieval.near_topk(asked, close, 4).collect()}
-    exact = {(r["query_id"], r["id"]) for r in retrieval.cosine_topk(asked, close, 4).collect()}
-    assert len(near & exact) / len(exact) >= 0.9
-    none = queries.filter("query_id < 0")
-    assert retrieval.near_topk(none, vectors, 4).count() == 0 and retrieval.near_topk(queries, vectors.filter("id < 0"), 4).count() == 0
-
-
 def test_topk_without_queries(spark):
     df = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
     assert retrieval.cosine_topk(df.withColumnRenamed("id", "query_id").filter("query_id < 0"), df, 3).count() == 0
