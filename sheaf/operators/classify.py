@@ -82,9 +82,10 @@ def winners(classified: DataFrame) -> DataFrame:
     )
 
 
-def route(classified: DataFrame) -> DataFrame:
+def route(classified: DataFrame, won: DataFrame | None = None) -> DataFrame:
     """Each form file with its role: ``winner`` or ``duplicate`` of an earlier one.
 
+    ``won`` is the table of :func:`winners`, if a stream has kept it already.
     A file without a path neither wins nor counts as a duplicate before the
     winner; after the winner it is a duplicate like any other.
     """
@@ -92,7 +93,7 @@ def route(classified: DataFrame) -> DataFrame:
     role = F.when(F.col("file_idx") == F.col("winner_idx"), "winner").when(
         F.col("file_idx") > F.col("winner_idx"), "duplicate"
     )
-    return forms.join(winners(classified), [KEY, "kind"], "left").withColumn("role", role)
+    return forms.join(winners(classified) if won is None else won, [KEY, "kind"], "left").withColumn("role", role)
 
 
 def duplicate_findings(routed: DataFrame) -> DataFrame:

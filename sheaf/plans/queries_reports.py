@@ -764,46 +764,60 @@ def audit_windows(x: Inputs) -> DataFrame:
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("audit_corrections", "STR-03", _WINDOW)
+def audit_corrections(x: Inputs) -> DataFrame:
+    """The same counts of reviews that arrive in another order, many after their hour is closed."""
+    where = f"{checkpoint_dir(x.spark)}/late-{uuid.uuid4()}"
+    audit = _audit(x.table("events"))
+    for part in range(3):
+        audit.filter(F.pmod(F.xxhash64("ts"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    stream = x.spark.readStream.schema(audit.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    review_stream.audit_stream(stream, f"{where}/out", f"{where}/state", "1 hour", "1 day").awaitTermination()
+    out = review_stream.closed_windows(x.spark, f"{where}/out").drop("window_end")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query(
     "first_wins_stream", "STR-02",
-    """SELECT bundle_id, kind, count(*) AS n, true AS known FROM (
-         SELECT k.bundle_id, k.kind, e.ts, lag(e.ts) OVER (PARTITION BY k.bundle_id, k.kind ORDER BY e.ts, k.file_idx) AS before FROM kinds_x k JOIN events e ON e.event_id = k.file_idx WHERE k.kind IN ('f01', 'f02', 'f03'))
-       WHERE before IS NULL GROUP BY ALL""",
+    """SELECT k.bundle_id, k.file_idx, k.kind, winner_idx, CASE WHEN file_idx = winner_idx THEN 'winner' WHEN file_idx > winner_idx THEN 'duplicate' END AS role
+       FROM kinds_x k LEFT JOIN winners_x w ON w.bundle_id = k.bundle_id AND w.kind = k.kind WHERE k.kind IN ('f01','f02','f03')""",
 )
 def first_wins_stream(x: Inputs) -> DataFrame:
-    """One file per user and form kind out of the stream of events."""
+    """Files of users routed by the winners of a stream in which they arrive in no order."""
     from sheaf.operators import classify
 
     where = f"{checkpoint_dir(x.spark)}/first-{uuid.uuid4()}"
-    files = classify.classify_files(x.files()).join(x.table("events").select(F.col("event_id").alias("file_idx"), F.col("ts").alias("arrived")), "file_idx")
-    files.select(KEY, "kind", "file_idx", "arrived").write.parquet(f"{where}/in")
-    stream = x.spark.readStream.schema(f"{KEY} bigint, kind string, file_idx bigint, arrived timestamp").parquet(f"{where}/in")
-    # one file of events is one batch, in which the first row of a key wins; nothing is late
-    first = review_stream.first_wins_stream(stream, "1 day")
-    first.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    won = x.spark.read.parquet(f"{where}/out")
-    given = files.select(KEY, "kind", "file_idx", F.lit(True).alias("known"))
-    return won.join(given, [KEY, "kind", "file_idx"], "left").groupBy(KEY, "kind", "known").agg(F.count(F.lit(1)).alias("n"))
+    classified = materialise(classify.classify_files(x.files()))
+    arrived = F.timestamp_seconds(F.pmod(F.xxhash64("file_idx"), F.lit(3600))).alias("arrived")
+    files = classified.select(KEY, "kind", "file_idx", "file_id", "filename", arrived)
+    for part in range(3):
+        files.filter(F.pmod(F.xxhash64("file_idx", F.lit(1)), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    stream = x.spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    won = review_stream.first_wins_stream(stream, "1 day")
+    won.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    routed = classify.route(classified, review_stream.winners_so_far(x.spark.read.parquet(f"{where}/out")))
+    return routed.select(KEY, "file_idx", "kind", "winner_idx", "role")
 
 
 @query(
     "review_stream", "STR-01",
-    """SELECT code, count(*) AS n FROM (
+    """SELECT bundle_id::VARCHAR AS bundle_id, code, count(*) AS n FROM (
          SELECT * FROM review_found_x UNION ALL SELECT bundle_id, 'CLASSIFY.SUMMARY' FROM universe_x
-         UNION ALL SELECT bundle_id, 'SUBMISSION.OK' FROM universe_x WHERE bundle_id NOT IN (SELECT bundle_id FROM review_found_x WHERE code <> 'F03.EVIDENCE_MISSING_GOLIVE')) GROUP BY code""",
+         UNION ALL SELECT bundle_id, 'SUBMISSION.OK' FROM universe_x WHERE bundle_id NOT IN (SELECT bundle_id FROM review_found_x WHERE code <> 'F03.EVIDENCE_MISSING_GOLIVE')) GROUP BY ALL""",
 )
 def review_stream_query(x: Inputs) -> DataFrame:
-    """Questionnaire files arriving as a stream, reviewed batch by batch."""
+    """Questionnaire files arriving as a stream of two batches, reviewed batch by batch; the findings of every bundle."""
     where = f"{checkpoint_dir(x.spark)}/stream-{uuid.uuid4()}"
     files = x.files("review_files").select(
         F.col(KEY).cast("string"), F.col("file_idx").cast("int"), "file_id", "filename", F.lit(1).cast("bigint").alias("length"), "sheets", "readable", "error"
     )
-    files.write.json(f"{where}/files")
+    for part in range(2):
+        files.filter(F.pmod(F.xxhash64(KEY, "file_idx"), F.lit(2)) == part).coalesce(1).write.mode("append").json(f"{where}/files")
     cells = x.cells().select(
         F.col(KEY).cast("string"), "file_id", "sheet", F.col("row").cast("int"), "col", "value", F.lit(None).cast("string").alias("formula")
     )
-    tables.write_cells(cells, f"{where}/cells")
-    stream = review_stream.read_files(x.spark, f"{where}/files")
-    review_stream.review_stream(stream, f"{where}/cells", f"{where}/out", f"{where}/state").awaitTermination()
+    review_stream.write_cells_by_bundle(cells, f"{where}/cells", 16)
+    stream = review_stream.read_files(x.spark, f"{where}/files", max_files=1)
+    review_stream.review_stream(stream, f"{where}/cells", f"{where}/out", f"{where}/state", cell_buckets=16).awaitTermination()
     found = review_stream.latest(x.spark, f"{where}/out", "findings")
-    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(KEY, "code").agg(F.count(F.lit(1)).alias("n"))
