@@ -7,6 +7,7 @@ capped before batching, so everything after ``cap_items`` is short per bundle.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -159,42 +160,89 @@ def prompts(batched: DataFrame, template: str = "{items_json}", key: str = KEY)
 # ---- the call --------------------------------------------------------------
 
 
-def run_judge(prompt_rows: DataFrame, judge: Judge, stop_after: int | None = P.BREAKER_RUN, key: str = KEY) -> DataFrame:
-    """Calls the judge once per batch: (key, batch_no, response, error).
+class JudgeError(RuntimeError):
+    """What a judge raises when the endpoint failed or its answer is unusable."""
 
-    A failed call is data, not a failed job.  With ``stop_after`` the batches
-    of a bundle are called in order and calls end after that many failed calls
-    in a row; batches not called have the error ``not called``.
+
+_NOT_CALLED = "not called"
+
+
+def run_judge(
+    prompt_rows: DataFrame, judge: Judge, stop_after: int | None = P.BREAKER_RUN, key: str = KEY,
+    own_errors: tuple[type[Exception], ...] = (Exception,), ledger: str | None = None, calls_per_commit: int = P.CALLS_PER_COMMIT,
+) -> DataFrame:
+    """Calls the judge once per batch: (key, batch_no, response, error, fatal).
+
+    A failed call is data, not a failed job: its ``error`` is the type's name.
+    One of ``own_errors`` fails its batch; any other exception is ``fatal`` and
+    ends the calls of its bundle, whose other answers :func:`isolated` leaves
+    out.  With ``stop_after`` the batches of a bundle are called in order and
+    calls end after that many failed calls in a row; batches not called have the
+    error ``not called``.
+
+    ``ledger`` is a folder in which calls are kept by key, batch and hash of the
+    prompt.  Calls that it holds are not made again, whatever job made them;
+    fatal ones are.  Calls are committed to it in waves of about
+    ``calls_per_commit``, so a job that ends early loses one wave at most.
     """
     k = prompt_rows.schema[key].dataType.simpleString()
-    schema = f"{key} {k}, batch_no int, response string, error string"
+    schema = f"{key} {k}, batch_no int, prompt_sha string, response string, error string, fatal boolean, called boolean"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-    def call(prompt: str) -> tuple[str | None, str | None]:
+    def call(row) -> tuple[str | None, str | None, bool, bool]:
+        if row.known:
+            return row.response, row.error, False, False
         try:
-            return judge(prompt), None
+            return judge(row.prompt), None, False, True
+        except own_errors as exc:
+            return None, type(exc).__name__, False, True
         except Exception as exc:
-            return None, type(exc).__name__
+            return None, type(exc).__name__, True, True
 
     def one_bundle(rows: pd.DataFrame) -> pd.DataFrame:
-        out, run = [], 0
+        out, run, over = [], 0, False
         for row in rows.sort_values("batch_no").itertuples():
-            response, error = (None, "not called") if run >= stop_after else call(row.prompt)
+            stop = over or (stop_after is not None and run >= stop_after)
+            response, error, fatal, called = (None, _NOT_CALLED, False, False) if stop else call(row)
+            over |= fatal
             run = 0 if error is None and "{" in (response or "") else run + 1
-            out.append((getattr(row, key), row.batch_no, response, error))
-        return pd.DataFrame(out, columns=[key, "batch_no", "response", "error"])
+            out.append((getattr(row, key), row.batch_no, row.prompt_sha, response, error, fatal, called))
+        return pd.DataFrame(out, columns=columns)
 
     def each(frames):
         for frame in frames:
-            answers = [call(p) for p in frame["prompt"]]
-            yield pd.DataFrame(
-                {key: frame[key], "batch_no": frame["batch_no"], "response": [a[0] for a in answers], "error": [a[1] for a in answers]}
-            )
-
-    rows = prompt_rows.select(key, "batch_no", "prompt")
-    if stop_after is None:
-        return rows.mapInPandas(each, schema)
-    # batches per bundle are bounded by the item cap
-    return rows.groupBy(key).applyInPandas(one_bundle, schema)
+            answers = [call(row) for row in frame.itertuples()]
+            yield pd.DataFrame([(getattr(r, key), r.batch_no, r.prompt_sha, *a) for r, a in zip(frame.itertuples(), answers)], columns=columns)
+
+    def called(rows: DataFrame) -> DataFrame:
+        # batches per bundle are bounded by the item cap
+        return rows.mapInPandas(each, schema) if stop_after is None else rows.groupBy(key).applyInPandas(one_bundle, schema)
+
+    rows = prompt_rows.select(key, "batch_no", "prompt", F.sha2("prompt", 256).alias("prompt_sha"))
+    answers = [key, "batch_no", "response", "error", "fatal"]
+    none = F.lit(None).cast("string")
+    if ledger is None:
+        return called(rows.select("*", F.lit(False).alias("known"), none.alias("response"), none.alias("error"))).select(*answers)
+
+    spark, run_id = prompt_rows.sparkSession, uuid.uuid4().hex
+    rows = materialise(rows)
+    calls = [key, "batch_no", "prompt_sha"]
+    waves = max(1, -(-rows.count() // calls_per_commit))
+    kept = f"{schema}, run_id string"
+    spark.createDataFrame([], kept).write.mode("append").partitionBy("run_id").parquet(ledger)  # an empty one can be read
+    for wave in range(waves):
+        made = spark.read.schema(kept).parquet(ledger).filter("called AND NOT fatal")
+        made = made.groupBy(*calls).agg(F.min(F.struct("response", "error")).alias("a"), F.lit(True).alias("known"))
+        own = rows.filter(F.pmod(F.xxhash64(key), F.lit(waves)) == wave).join(made, calls, "left")
+        own = own.select(key, "batch_no", "prompt", "prompt_sha", F.coalesce("known", F.lit(False)).alias("known"), "a.response", "a.error")
+        called(own).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(ledger)
+    return spark.read.schema(kept).parquet(ledger).filter(F.col("run_id") == run_id).select(*answers)
+
+
+def isolated(answers: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
+    """(answers of the other bundles, (key, error) of each bundle with a fatal call)."""
+    broken = answers.filter("fatal").groupBy(key).agg(F.min("error").alias("error"))
+    return answers.join(broken, key, "left_anti").drop("fatal"), broken
 
 
 # ---- responses -------------------------------------------------------------
@@ -496,13 +544,28 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def evidence_review(items: DataFrame, judge: Judge, template: str, max_items: int = P.MAX_ITEMS, batch: int = P.EVIDENCE_BATCH) -> DataFrame:
-    """All findings of the evidence judge."""
+def evidence_review(
+    items: DataFrame, judge: Judge, template: str, max_items: int = P.MAX_ITEMS, batch: int = P.EVIDENCE_BATCH, ledger: str | None = None
+) -> DataFrame:
+    """All findings of the evidence judge.
+
+    A :class:`JudgeError` fails its batch.  Any other exception of the judge
+    skips the bundle it happened in: one ``F03.LLM_SKIPPED`` finding instead of
+    its others, which no other bundle notices.
+    """
     capped, truncated = cap_items(judge_targets(items), max_items)
     batched = assign_batches(evidence_payloads(capped), batch)
     # neither the calls nor the joins repeat for each table made from them
-    judged = materialise(judged_items(batched, materialise(run_judge(prompts(batched, template), judge))))
-    return evidence_outcome(judged, truncated, max_items)
+    answers = materialise(run_judge(prompts(batched, template), judge, own_errors=(JudgeError,), ledger=ledger))
+    return evidence_answered(batched, answers, truncated, max_items)
+
+
+def evidence_answered(batched: DataFrame, answers: DataFrame, truncated: DataFrame, max_items: int = P.MAX_ITEMS) -> DataFrame:
+    """Findings from the answers of :func:`run_judge`, bundle by bundle."""
+    good, broken = isolated(answers)
+    judged = materialise(judged_items(batched.join(broken, KEY, "left_anti"), good))
+    skipped = emit(broken, finding("F03.LLM_SKIPPED", "evidence", 0, error=F.col("error")))
+    return evidence_outcome(judged, truncated, max_items).unionByName(skipped)
 
 
 def evidence_outcome(judged: DataFrame, truncated: DataFrame, max_items: int = P.MAX_ITEMS) -> DataFrame:
@@ -520,16 +583,16 @@ def evidence_outcome(judged: DataFrame, truncated: DataFrame, max_items: int = P
 
 def compliance_review(
     items: DataFrame, canonical: DataFrame, judge: Judge, template: str,
-    max_items: int = P.MAX_ITEMS, batch: int = P.COMPLIANCE_BATCH, overhead: int | None = None,
+    max_items: int = P.MAX_ITEMS, batch: int = P.COMPLIANCE_BATCH, overhead: int | None = None, ledger: str | None = None,
 ) -> DataFrame:
-    """All findings of the compliance judge.
+    """All findings of the compliance judge; any exception of it fails its batch.
 
     ``overhead`` is what the prompt costs besides its payloads; the template's own tokens by default.
     """
     overhead = template_tokens(template) if overhead is None else overhead
     capped, truncated = cap_items(judge_targets(items, canonical), max_items)
     batched = split_over_budget(assign_batches(payloads(capped, canonical), batch), overhead=overhead)
-    answers = materialise(run_judge(prompts(batched, template), judge))
+    answers = materialise(run_judge(prompts(batched, template), judge, ledger=ledger)).drop("fatal")
     judged = materialise(with_compliance(judged_items(batched, answers)))
     return template_drift(capped, canonical).unionByName(compliance_outcome(judged, truncated))
 
@@ -554,6 +617,8 @@ def optional_branch(
 
     Off: no findings.  A branch that cannot be set up gives one ``skipped``
     finding per bundle, under ``code`` if given; the other checks are unaffected.
+    What fails inside a branch for one bundle is that bundle's alone, see
+    :func:`evidence_review`.
     """
     if not enabled:
         return None

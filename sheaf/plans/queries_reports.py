@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -159,20 +160,50 @@ EXPECTED["called_x"] = """
 @query(
     "judge_calls", "JDG-10",
     """SELECT bundle_id, batch_no, CASE WHEN batch_no > last_call OR refused THEN NULL ELSE '{"n":' || n || '}' END AS response,
-              CASE WHEN batch_no > last_call THEN 'not called' WHEN refused THEN 'ValueError' END AS error FROM called_x""",
+              CASE WHEN batch_no > last_call THEN 'not called' WHEN refused THEN 'JudgeError' END AS error, false AS fatal FROM called_x""",
 )
 def judge_calls(x: Inputs) -> DataFrame:
+    """All calls in one job, and their answers from the ledger in the next, which makes none."""
+
     def judge(prompt: str) -> str:
         ids = prompt.split("|")
         if int(ids[0]) % 3:
-            raise ValueError("refused")
+            raise judging.JudgeError("refused")
         return '{"n":%d}' % len(ids)
 
+    def unused(prompt: str) -> str:
+        raise AssertionError("called again")
+
     capped, _ = _capped(x)
     batched = judging.assign_batches(capped, P.COMPLIANCE_BATCH)
     ids = F.array_join(F.transform(F.sort_array(F.collect_list("row_index")), lambda v: v.cast("string")), "|")
     prompt_rows = batched.groupBy(KEY, "batch_no").agg(ids.alias("prompt"))
-    return judging.run_judge(prompt_rows, judge)
+    ledger = f"{checkpoint_dir(x.spark)}/calls-{uuid.uuid4()}"
+    judging.run_judge(prompt_rows, judge, own_errors=(judging.JudgeError,), ledger=ledger)
+    return judging.run_judge(prompt_rows, unused, own_errors=(judging.JudgeError,), ledger=ledger)
+
+
+@query(
+    "judge_isolation", "JDG-23",
+    """SELECT bundle_id, CASE WHEN CAST(substr(bundle_id, 2) AS BIGINT) % 5 = 0 THEN 'F03.LLM_SKIPPED' ELSE 'F03.LLM_SUMMARY' END AS code,
+              CASE WHEN CAST(substr(bundle_id, 2) AS BIGINT) % 5 = 0 THEN '無法初始化或執行 LLM 判讀（KeyError）；其餘規則檢查不受影響。' END AS message FROM (SELECT DISTINCT bundle_id FROM targets2_x)
+       UNION ALL SELECT DISTINCT bundle_id, 'F03.LLM_TABLE', NULL FROM targets2_x WHERE CAST(substr(bundle_id, 2) AS BIGINT) % 5 <> 0""",
+)
+def judge_isolation(x: Inputs) -> DataFrame:
+    """A judge that breaks down in every fifth conversation; the others keep their findings."""
+
+    def judge(prompt: str) -> str:
+        bundle, _, items = prompt.partition("|")
+        if int(bundle[1:]) % 5 == 0:
+            raise KeyError(bundle)
+        return json.dumps({"results": [{"item_id": p["item_id"]} for p in json.loads(items)]})
+
+    capped, truncated = _capped(x)
+    batched = judging.assign_batches(judging.evidence_payloads(capped), P.EVIDENCE_BATCH)
+    asked = judging.prompts(batched, "{items_json}").withColumn("prompt", F.concat(F.col(KEY).cast("string"), F.lit("|"), "prompt"))
+    answers = materialise(judging.run_judge(asked, judge, own_errors=(judging.JudgeError,)))
+    found = judging.evidence_answered(batched, answers, truncated)
+    return found.select(KEY, "code", F.when(F.col("code") == "F03.LLM_SKIPPED", F.col("message")).alias("message"))
 
 
 @query(

@@ -236,6 +236,7 @@ MAX_ITEMS = 30
 EVIDENCE_BATCH = 8
 COMPLIANCE_BATCH = 2
 BREAKER_RUN = 3
+CALLS_PER_COMMIT = 10_000
 PROMPT_BUDGET = 6000
 VERDICTS = ["covered", "gap", "undetermined"]
 NOT_PROVIDED = "（未提供）"

@@ -143,7 +143,7 @@ def test_breaker_and_caps(spark):
         first = payload_list(prompt)[0]["item_id"]
         if first == "1-4":
             return json.dumps({"results": [{"item_id": f"1-{i}"} for i in range(4, 8)]})
-        raise TimeoutError(first)
+        raise judging.JudgeError(first)
 
     got = judging.evidence_review(items_of(spark, rows), judge, "{items_json}", max_items=30, batch=4).orderBy("rule_seq", "row_seq").collect()
     assert [r["code"] for r in got] == ["F03.LLM_ITEM_ERROR"] * 3 + ["F03.LLM_ERROR", "F03.LLM_TABLE", "F03.LLM_SUMMARY"]
@@ -153,6 +153,64 @@ def test_breaker_and_caps(spark):
     assert calls.value == 5  # the other batches were never called
 
 
+def test_ledger_and_fatal_errors(spark, tmp_path):
+    """Each prompt is asked once over several jobs; what is not the client's own skips its bundle alone."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def note(prompt):
+        with open(asked / prompt.replace("|", "_"), "a") as f:
+            f.write("x")
+
+    def judge(prompt):
+        note(prompt)
+        bundle, no = prompt.split("|")
+        if bundle == "bad" and no == "1":
+            raise KeyError(no)
+        if bundle == "down":
+            raise judging.JudgeError("503")
+        return '{"results": []}'
+
+    rows = spark.createDataFrame([(b, n, f"{b}|{n}") for b in ("a", "bad", "down", "z") for n in range(5)], "bundle_id string, batch_no int, prompt string")
+    want = {
+        **{(b, n): ('{"results": []}', None, False) for b in "az" for n in range(5)},
+        **{("down", n): (None, "JudgeError" if n < 3 else "not called", False) for n in range(5)},
+        ("bad", 0): ('{"results": []}', None, False), ("bad", 1): (None, "KeyError", True), **{("bad", n): (None, "not called", False) for n in (2, 3, 4)},
+    }
+
+    def run(fn, rows):
+        out = judging.run_judge(rows, fn, own_errors=(judging.JudgeError,), ledger=str(tmp_path / "ledger"), calls_per_commit=6).collect()
+        return {(r["bundle_id"], r["batch_no"]): (r["response"], r["error"], r["fatal"]) for r in out}
+
+    assert run(judge, rows.filter("bundle_id IN ('a', 'down')")) == {k: v for k, v in want.items() if k[0] in ("a", "down")}
+    assert run(judge, rows) == want and run(judge, rows) == want  # a job that runs again
+    times = {f.name: len(f.read_text()) for f in asked.iterdir()}
+    assert times.pop("bad_1") == 2  # a fatal call is not kept
+    assert set(times.values()) == {1} and len(times) == 5 + 1 + 3 + 5
+    good, broken = judging.isolated(judging.run_judge(rows, judge, own_errors=(judging.JudgeError,)))
+    assert [tuple(r) for r in broken.collect()] == [("bad", "KeyError")] and good.count() == 15 and "fatal" not in good.columns
+    every = judging.run_judge(rows.filter("bundle_id <> 'bad'"), judge, stop_after=None, own_errors=(judging.JudgeError,)).collect()
+    assert sum(r["error"] == "JudgeError" for r in every) == 5
+
+
+def test_one_broken_bundle_loses_only_itself(spark):
+    rows = [item(b, i, f"1-{i + 1}", topic=b) for b in ("x", "y", "z") for i in range(2)]
+    rows = [(*r[:5], r[0], *r[6:]) for r in rows]  # the judge knows the bundle only through its evidence text
+
+    def judge(prompt):
+        if payload_list(prompt)[0]["proposal"] == "y":
+            raise ZeroDivisionError
+        return json.dumps({"results": [evidence_answer(p) for p in payload_list(prompt)]}, ensure_ascii=False)
+
+    def found(some):
+        got = judging.evidence_review(items_of(spark, some), judge, "{items_json}")
+        return sorted((r["bundle_id"], r["code"], r["message"]) for r in got.collect())
+
+    whole = found(rows)
+    assert [r for r in whole if r[0] == "y"] == [("y", "F03.LLM_SKIPPED", "無法初始化或執行 LLM 判讀（ZeroDivisionError）；其餘規則檢查不受影響。")]
+    assert [r for r in whole if r[0] != "y"] == found([r for r in rows if r[0] != "y"])
+
+
 def test_budget_split(spark):
     rows = [("x", i, i // 2, n) for i, n in enumerate([10, 10, 4000, 3000, 9000, 1, 9000])]
     df = spark.createDataFrame(rows, "bundle_id string, pos int, batch_no int, tokens int")
