@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,23 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return back.select(*df.columns)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows at once between the JVM and Python, for what is computed inside the block.
+
+    Batches are counted in rows, so with long texts the default of 10,000 holds
+    many megabytes on both sides of each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written_tables() -> int:
     """A mark for :func:`drop_tables`."""
     return len(_WRITTEN)
