@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.session import materialise
+from sheaf.functions.session import arrow_batches, materialise
 from sheaf.llm.common import ODD, doc_crc, mixed, word_hashes
 
 #: Tokens of a chunk, and entries of a part of the count tables.
-CHUNK_TOKENS, PART_ENTRIES = 4_000_000, 2_000_000
+CHUNK_TOKENS, PART_ENTRIES = 1_500_000, 2_000_000
 #: Counts up to this one are discounted.
 CUTOFF = 5
 ROW_BITS = 24  # documents of a chunk, as each has a token at least
@@ -296,7 +296,8 @@ def scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: st
     class has probability one.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    chunks = materialise(texts.mapInArrow(_chunks, CHUNK))
+    with arrow_batches(docs.sparkSession):
+        chunks = materialise(texts.mapInArrow(_chunks, CHUNK))
     tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     parts = max(1, -(-tokens // PART_ENTRIES))
     counted = materialise(chunks.mapInArrow(_send(parts), SENT).groupBy("part", "kind").applyInArrow(_count, COUNTED), "kind")
