@@ -102,7 +102,7 @@ def members_of(rows: DataFrame, members: DataFrame, keys: list[str], member_keys
     """Rows whose keys are among those of ``members``, a written table with few of them.
 
     A bitmap of the members' hashed keys, of a fixed size, goes to all tasks and
-    drops most other rows where they are read; a semi-join decides on the rest.
+    drops most other rows where they are read; a join decides on the rest.
     So long columns of rows that are no members are not shuffled.  Null keys
     are no members.
     """
@@ -112,6 +112,10 @@ def members_of(rows: DataFrame, members: DataFrame, keys: list[str], member_keys
     def bit(names: list[str]) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), slot(names).bitwiseAND(F.lit(63).cast("long")).cast("int"))
 
-    marks = members.groupBy(F.shiftright(slot(member_keys), 6).alias("__word")).agg(F.bit_or(bit(member_keys)).alias("__marks"))
-    likely = rows.join(F.broadcast(marks), F.shiftright(slot(keys), 6) == F.col("__word")).filter(F.col("__marks").bitwiseAND(bit(keys)) != 0).select(*[F.col(f"`{c}`") for c in rows.columns])
-    return likely.join(members, [F.col(k) == F.col(m) for k, m in zip(keys, member_keys)], "left_semi")
+    word, mark = free_name(rows, "__word"), free_name(rows, "__marks")
+    marks = members.groupBy(F.shiftright(slot(member_keys), 6).alias(word)).agg(F.bit_or(bit(member_keys)).alias(mark))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    likely = rows.join(F.broadcast(marks), F.shiftright(slot(keys), 6) == F.col(word)).filter(F.col(mark).bitwiseAND(bit(keys)) != 0).select(*columns)
+    # an inner join: a semi-join would be moved below the bitmap
+    wanted = members.select(*[F.col(m).alias(f"__member{i}") for i, m in enumerate(member_keys)]).distinct()
+    return likely.join(wanted, [F.col(k) == F.col(f"__member{i}") for i, k in enumerate(keys)]).select(*columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.session import materialise
+from sheaf.functions.session import arrow_batches, materialise
 from sheaf.llm.common import members_of
 from sheaf.llm.components import components
 from sheaf.llm.neardup import shingle_set, signed
@@ -234,7 +234,11 @@ def similar_groups(docs: DataFrame, words: int, percent: int, id_col: str = "doc
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    with arrow_batches(docs.sparkSession):
+        return _similar(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), words, percent)
+
+
+def _similar(texts: DataFrame, words: int, percent: int) -> DataFrame:
     signs = materialise(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), signed(F.col("text"), words).alias("s")).select("doc_id", "text_hash", "s.*"))
     named = signs.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # one row a class, with the text that stands for it
