@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.session import materialise
 
+#: Parts in which the neighbours of a node meet its smallest one.
+SALTS = 8
+
 
 class UnionFind(dict):
     """Roots are the smallest members."""
@@ -46,23 +49,25 @@ def components(links: DataFrame) -> DataFrame:
     Links of a task are contracted by union-find first, so what is shuffled is
     a forest.  Then, until nothing changes, every node hands its larger
     neighbours to its smallest one, and afterwards its smaller ones.  Minima
-    are combined before they are shuffled, so a node with very many links is no
-    single task.  Null ends and links of a node with itself are ignored; nodes
+    are combined before they are shuffled, and a node's links are dealt to several
+    tasks, so one with very many links is no single task.  Null ends and links of a node with itself are ignored; nodes
     without a link to another are not returned.
     """
-    edges = materialise(links.select(F.col("x").cast("long"), F.col("y").cast("long")).filter("x <> y").mapInArrow(_forest, "x long, y long"))
+    # written first: where the links come from Python as well, a task would need two workers at once
+    given = materialise(links.select(F.col("x").cast("long"), F.col("y").cast("long")).filter("x <> y"))
+    edges = materialise(given.mapInArrow(_forest, "x long, y long"))
     while not _stars(edges):
         # large star: both directions, larger neighbours to the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m"))
         large = (
-            both.join(least.select(F.col("x").alias("k"), F.least("x", "m").alias("m")), F.col("x") == F.col("k"))
+            _meet(both, least.select(F.col("x").alias("k"), F.least("x", "m").alias("m")))
             .filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         )
         # small star: smaller neighbours, and the node itself, to the smallest of them
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = (
-            large.join(low.select(F.col("x").alias("k"), "m"), F.col("x") == F.col("k"))
+            _meet(large, low.select(F.col("x").alias("k"), "m"))
             .select(F.explode(F.array(F.struct(F.col("x"), F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e"))
             .select("e.x", "e.y").filter("x <> y").distinct()
         )
@@ -70,6 +75,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("component"))
 
 
+def _meet(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(x, y, m) of edges and the value of their ``x``; the edges of one ``x`` are dealt to several tasks by ``y``."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int"))
+    every = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, (F.col("x") == F.col("k")) & (F.col("salt") == F.col("s"))).select("x", "y", "m")
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one smaller neighbour, and this one none."""
     n = edges.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("x").alias("nodes")).first()

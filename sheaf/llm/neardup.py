@@ -25,15 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sheaf.functions.session import materialise
-from sheaf.llm.common import batch_of, free_name, run_hashes, texts_of, word_hashes
+from sheaf.functions.session import arrow_batches, materialise
+from sheaf.llm.common import batch_of, free_name, members_of, run_hashes, texts_of, word_hashes
 from sheaf.llm.components import components
 from sheaf.llm.superminhash import bands, signature
 
 #: Similarity in percent, signature positions, and positions of a band.
 PERCENT, SIZE, ROWS = 80, 128, 4
 #: Shingles of one block of a family.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -140,7 +140,11 @@ def groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     null id is not linked and has null component and kept.  Ids must be whole
     numbers.  Other columns are not read; an empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with arrow_batches(docs.sparkSession):
+        return _groups(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words)
+
+
+def _groups(texts: DataFrame, words: int) -> DataFrame:
     signs = materialise(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), signed(F.col("text"), words).alias("s")).select("doc_id", "text_hash", "s.*"))
     named = signs.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialise(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
@@ -160,8 +164,8 @@ def groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     meetings = placed.select(
         "component", "node", "set1", "set2", "block", F.explode(other).alias("with")
     ).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
-    members = placed.select(F.col("node").alias("k")).distinct()
-    own = texts.join(members, F.col("doc_id") == F.col("k"), "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    members = families.select(F.col("node").alias("k"))
+    own = members_of(texts, members, ["doc_id"], ["k"]).groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     sets = own.select("doc_id", shingle_set(F.col("text"), words).alias("shingles")).filter(F.length("shingles") > 0)
     links = (
         meetings.join(sets, F.col("node") == F.col("doc_id"))
