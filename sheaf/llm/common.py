@@ -37,7 +37,12 @@ def text_column(value: Callable[[str | None], tuple | None], schema: str, setup:
 
 
 def texts_of(batch: pa.Array) -> Iterator[str | None]:
-    """The texts of a batch, few of them as Python objects at a time."""
+    """The texts of a batch, few of them as Python objects at a time.
+
+    What earlier batches of this worker took, tens of megabytes with long texts,
+    goes back to the system first; idle workers would hold it beside the next stage.
+    """
+    pa.default_memory_pool().release_unused()
     for at in range(0, len(batch), 128):
         yield from batch.slice(at, 128).to_pylist()
 
