@@ -392,8 +392,8 @@ def near_topk(x: Inputs) -> DataFrame:
     n_found, n_exact = hits.agg(F.count("found"), F.count(F.lit(1))).first()
     most = found.agg(F.max("candidates")).first()[0] or 0
     return hits.select(
-        "query_id", "id", F.round("score", 6).alias("score"), "rank", F.lit(math.floor(10 * n_found / max(1, n_exact)) / 10).alias("recall_at_least"),
-        F.lit(math.ceil(10 * most / max(1, index.n)) / 10).alias("share_at_most"), F.when(F.col("rank") == 1, F.coalesce("found", F.lit(False))).alias("first_found"),
+        "query_id", "id", F.round("score", 6).alias("score"), "rank", F.lit(min(0.9, math.floor(10 * n_found / max(1, n_exact)) / 10)).alias("recall_at_least"),
+        F.lit(max(0.1, math.ceil(10 * most / max(1, index.n)) / 10)).alias("share_at_most"), F.when(F.col("rank") == 1, F.coalesce("found", F.lit(False))).alias("first_found"),
     )
 
 
