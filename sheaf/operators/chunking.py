@@ -332,14 +332,19 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
+def known_documents(docs: DataFrame, registry: dict[str, str] | None = None) -> DataFrame:
+    """Documents of registered codes with their ``style``."""
+    styles = X.lookup_map(P.REGULATIONS if registry is None else registry)
+    return docs.withColumn("style", styles[F.col("reg_code")]).filter(F.col("style").isNotNull())
+
+
 def chunk_documents(page_lines: DataFrame, docs: DataFrame, registry: dict[str, str] | None = None) -> DataFrame:
     """All registered documents: clean once, then chunk by style.
 
     ``docs(doc_id, n_pages, reg_code, reg_title)``; documents of a code the
     registry does not know are left out.
     """
-    styles = X.lookup_map(P.REGULATIONS if registry is None else registry)
-    known = docs.withColumn("style", styles[F.col("reg_code")]).filter(F.col("style").isNotNull())
+    known = known_documents(docs, registry)
     wanted = page_lines.join(known.select("doc_id"), "doc_id", "left_semi")
     # both styles read the clean lines; cleaning runs once
     lines = materialise(clean_pages(wanted, known))

@@ -2,25 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf import presets as P
+from sheaf.functions.session import materialise
 from sheaf.operators import chunking, refs, retrieval
 from sheaf.sources import tables
 
 
+def document_state(page_lines: DataFrame, docs: DataFrame, registry: dict[str, str] | None = None) -> DataFrame:
+    """(reg_code, n_lines, mark_a, mark_b): what the chunks of each registered code are made from.
+
+    Sums of two salted 64-bit hashes of the lines, the titles, the page numbers
+    and the style, so lines may come in any order, a repeated line counts, and a
+    document of any size is summed up before the shuffle.  A document without
+    lines has a state; a null line differs from an empty one.
+    """
+    known = chunking.known_documents(docs, registry)
+    line = [F.col("page_no"), F.col("line_no"), F.col("line").isNull(), F.col("line")]
+    head = [F.col(c) for c in ("doc_id", "reg_title", "n_pages", "style")]
+
+    def mark(salt: str, over: list) -> Column:
+        return F.sum(F.xxhash64(F.lit(salt), *over).cast("decimal(20,0)"))
+
+    lines = page_lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), mark("a", line).alias("a"), mark("b", line).alias("b"))
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n_lines", "a", "b")]
+    return known.join(lines, "doc_id", "left").groupBy("reg_code").agg(
+        F.sum(F.coalesce("n_lines", F.lit(0))).alias("n_lines"),
+        *[mark(salt, head + own).cast("string").alias(f"mark_{salt}") for salt in ("a", "b")],
+    )
+
+
 def build_index(
     page_lines: DataFrame, docs: DataFrame, sources: DataFrame, embedder: retrieval.Embedder,
-    path: str, model: str, dim: int,
+    path: str, model: str, dim: int, registry: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Chunks all registered documents, embeds them, writes table and description."""
-    chunks = chunking.chunk_documents(page_lines, docs)
+    """Chunks all registered documents, embeds them, writes table, description and state."""
+    spark = page_lines.sparkSession
+    state = materialise(document_state(page_lines, docs, registry))
+    # until the new table is whole, nothing in it counts as up to date
+    tables.write_index_state(state.limit(0), path, model, dim)
+    chunks = chunking.chunk_documents(page_lines, docs, registry)
     embedded = retrieval.embed(chunks, "text", embedder)
     tables.write_index(embedded, path)
+    return _described(spark, state, sources, path, model, dim)
+
+
+def update_index(
+    page_lines: DataFrame, docs: DataFrame, sources: DataFrame, embedder: retrieval.Embedder,
+    path: str, model: str, dim: int, registry: dict[str, str] | None = None,
+) -> DataFrame:
+    """The index as :func:`build_index` would leave it, embedding changed codes only.
+
+    ``page_lines``, ``docs`` and ``sources`` are the whole present inputs.  A code
+    is changed when its :func:`document_state` is not the stored one; its folder
+    is replaced, and folders of codes that are gone, or have no chunks any more,
+    are removed.  Without a stored state, or with one of another model or
+    dimension, every code is changed.  The states of changed and gone codes are dropped
+    before their folders are touched and written after, so an update that is cut
+    off is made up for by the next one.
+    """
     spark = page_lines.sparkSession
-    written = spark.read.parquet(f"{path}/chunks").select("reg_code")
+    state = materialise(document_state(page_lines, docs, registry))
+    before = tables.read_index_state(spark, path, model, dim)
+    same = materialise(state.join(before, state.columns, "left_semi"))
+    changed = state.join(same, "reg_code", "left_anti").select("reg_code")
+    todo = docs.join(changed, "reg_code", "left_semi")
+    chunks = materialise(chunking.chunk_documents(page_lines, todo, registry))
+    kept = same.select("reg_code").unionByName(chunks.select("reg_code")).distinct()
+    tables.write_index_state(same, path, model, dim)
+    tables.replace_codes(retrieval.embed(chunks, "text", embedder), kept, path)
+    return _described(spark, state, sources, path, model, dim)
+
+
+def _described(spark: SparkSession, state: DataFrame, sources: DataFrame, path: str, model: str, dim: int) -> DataFrame:
+    written = tables.read_chunks(spark, path).select("reg_code")
     tables.write_index_meta(tables.index_meta(written, sources, model, dim), path)
+    tables.write_index_state(state, path, model, dim)
     return tables.open_index(spark, path, model, dim)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import uuid
 
@@ -542,17 +543,21 @@ def report_json(x: Inputs) -> DataFrame:
 
 @query(
     "audit_trail", "SRC-14",
-    """SELECT user_id::VARCHAR AS bundle_id, 'review_done' AS event, 0::BIGINT AS error_count, w AS warn_count, true AS passed, '送件包' AS form_type FROM (SELECT DISTINCT user_id FROM events)
-       JOIN (SELECT bundle_id, count(*) FILTER (severity_rank = 1) AS w FROM class_found_x GROUP BY bundle_id) c ON c.bundle_id = user_id""",
+    """SELECT user_id::VARCHAR AS bundle_id, 'review_done' AS event, 0::BIGINT AS error_count, w AS warn_count, true AS passed, '送件包' AS form_type, r.run_id, r.event_date, true AS stamped FROM (SELECT DISTINCT user_id FROM events)
+       JOIN (SELECT bundle_id, count(*) FILTER (severity_rank = 1) AS w FROM class_found_x GROUP BY bundle_id) c ON c.bundle_id = user_id
+       CROSS JOIN (VALUES ('first', '2024-01-01'), ('second', '2024-01-02'), (NULL, '2024-01-02')) AS r(run_id, event_date)""",
 )
 def audit_trail(x: Inputs) -> DataFrame:
-    """Reports appended to the audit folder and read back."""
+    """Reports of two runs, the first repeated, and of one without a run; read back whole and once."""
     path = f"{checkpoint_dir(x.spark)}/audit-{uuid.uuid4()}"
-    reports, _ = _reports(x)
-    tables.append_audit(reports, path, event_date="2024-01-01", form_type=P.FORM_TYPE)
-    schema = "event string, bundle_id string, subject string, form_type string, error_count bigint, warn_count bigint, passed boolean"
-    back = x.spark.read.schema(schema).json(path)
-    return back.select(KEY, "event", "error_count", "warn_count", "passed", "form_type")
+    began = datetime.datetime.now(datetime.timezone.utc)
+    reports = materialise(_reports(x)[0])
+    for run, day in (("first", "2024-01-01"), ("first", "2024-01-01"), ("second", "2024-01-02"), ("first", "2024-01-02"), (None, "2024-01-02")):
+        tables.append_audit(reports, path, event_date=day, run_id=run, form_type=P.FORM_TYPE)
+    stamped = F.col("ts").between(F.date_trunc("second", F.lit(began)), F.current_timestamp())
+    return tables.read_audit(x.spark, path).select(
+        KEY, "event", "error_count", "warn_count", "passed", "form_type", "run_id", "event_date", stamped.alias("stamped")
+    )
 
 
 # ---- whole review ----------------------------------------------------------

@@ -13,8 +13,9 @@ from sheaf import schemas
 from sheaf.functions import text as X
 from sheaf.functions.session import checkpoint_dir, materialise
 from sheaf.operators import cells, chunking, refs, retrieval
+from sheaf.plans import index
 from sheaf.plans.inputs import Inputs
-from sheaf.plans.registry import EXPECTED, query
+from sheaf.plans.registry import EXPECTED, QUERIES, query
 from sheaf.sources import tables
 
 TAIL = r"[.!?]$"
@@ -588,3 +589,38 @@ def source_hashes(x: Inputs) -> DataFrame:
     files = x.table("documents").select(F.col("doc_id").cast("string").alias("filename"), F.encode("text", "utf-8").alias("content"))
     meta = tables.index_meta(x.get("reg_chunks"), files, "given", 64)
     return meta.filter("kind = 'source'").select(F.col("name").alias("filename"), F.col("sha256").alias("hash"))
+
+
+def _stamp(build: int):
+    """A model whose vectors show the build that asked it."""
+    return lambda texts: [[float(build), float(len(t))] for t in texts]
+
+
+_REG_SQL = QUERIES["registered_documents"].oracle.replace("GROUP BY ROLLUP (upper(doc_id))", "GROUP BY upper(doc_id)")
+
+
+@query(
+    "index_update", "SRC-10 SRC-11 RET-01",
+    f"SELECT *, CASE WHEN reg_code IN ('SRC5', 'SRC7', 'SRC9') THEN 2 ELSE 1 END AS first_build, CASE WHEN reg_code IN ('SRC5', 'SRC7', 'SRC9') THEN 2 ELSE 1 END AS last_build, n_chunks AS described FROM ({_REG_SQL})",
+)
+def index_update(x: Inputs) -> DataFrame:
+    """An index built over yesterday's sources and brought up to date.
+
+    Since then one source has got other lines, one is new, one has another
+    title and one is gone; only the first three are embedded again.
+    """
+    registry = {f"SRC{i}": "article" if i % 3 == 0 else "chapter" for i in range(0, 19)}
+    now = x.headed_lines().withColumn("line", F.when(F.col("line_no") == 1, F.concat(F.lit("第一條 "), F.col("line"))).otherwise(F.col("line")))
+    docs, doc = _docs(x).filter("doc_id <> 'src18'"), F.col("doc_id")
+    old_lines = now.filter(doc != "src7").withColumn("line", F.when(doc == "src5", F.concat("line", F.lit("。"))).otherwise(F.col("line")))
+    old_docs = _docs(x).filter(doc != "src7").withColumn("reg_title", F.when(doc == "src9", F.lit("old")).otherwise(F.col("reg_title")))
+    sources = x.table("documents").select(F.col("source").alias("filename"), F.encode("source", "utf-8").alias("content")).distinct()
+    path = f"{checkpoint_dir(x.spark)}/index-{uuid.uuid4()}"
+    index.build_index(old_lines, old_docs, sources, _stamp(1), path, "given", 2, registry)
+    table = index.update_index(now, docs, sources, _stamp(2), path, "given", 2, registry)
+    meta = x.spark.read.schema(schemas.INDEX_META).json(f"{path}/meta").filter("kind = 'chunks'")
+    build = F.col("embedding")[0].cast("bigint")
+    stats = chunking.chunk_stats(table).filter("reg_code IS NOT NULL")
+    builds = table.groupBy("reg_code").agg(F.min(build).alias("first_build"), F.max(build).alias("last_build"))
+    described = meta.select(F.col("name").alias("reg_code"), F.col("chunks").alias("described"))
+    return stats.join(builds, "reg_code", "left").join(described, "reg_code", "full")

@@ -38,3 +38,14 @@ INDEX_META = (
     "schema_version int, built_at string, embedding_model string, embedding_dim int, "
     "kind string, name string, chunks bigint, sha256 string"
 )
+INDEX_CHUNKS = (
+    "reg_title string, section_path string, title string, text string, chunk_seq int, `order` int, "
+    "id string, embedding array<float>, reg_code string"
+)
+INDEX_STATE = "reg_code string, n_lines bigint, mark_a string, mark_b string, embedding_model string, embedding_dim int"
+AUDIT = (
+    "event string, bundle_id string, subject string, filing_unit string, form_type string, error_count bigint, "
+    "warn_count bigint, passed boolean, enable_llm boolean, duration_ms bigint, ts timestamp, "
+    "run_id string, attempt string, event_date string"
+)
+AUDIT_COMMITS = "run_id string, attempt string, event_date string, committed_at timestamp"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import urllib.parse
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,6 +119,47 @@ def write_index(chunks: DataFrame, path: str) -> None:
     chunks.withColumnRenamed("chunk_id", "id").write.mode("overwrite").partitionBy("reg_code").parquet(f"{path}/chunks")
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk and vector table; codes are texts, also where they look like numbers."""
+    table = spark.read.schema(schemas.INDEX_CHUNKS).parquet(f"{path}/chunks")
+    return table.withColumnRenamed("id", "chunk_id")
+
+
+def replace_codes(chunks: DataFrame, kept: DataFrame, path: str) -> None:
+    """Writes the folders of the codes in ``chunks``; folders of codes not in ``kept`` go.
+
+    Only the names of folders to remove come to the driver, which lists the
+    folders of a table anyway.
+    """
+    spark = chunks.sparkSession
+    chunks.withColumnRenamed("chunk_id", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "reg_code"
+    ).parquet(f"{path}/chunks")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunks")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("reg_code=")]
+    named = spark.createDataFrame([(urllib.parse.unquote(n.split("=", 1)[1]), n) for n in old], "reg_code string, folder string")
+    for row in named.join(kept, "reg_code", "left_anti").collect():
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, row["folder"]), True)
+
+
+def write_index_state(state: DataFrame, path: str, model: str, dim: int) -> None:
+    """What each code of the index was made from, and with which model; see ``plans.index``."""
+    state.select("*", F.lit(model).alias("embedding_model"), F.lit(dim).alias("embedding_dim")).coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/state")
+
+
+def read_index_state(spark: SparkSession, path: str, model: str, dim: int) -> DataFrame:
+    """The stored states of this model and dimension; none where there is no state."""
+    try:
+        found = spark.read.schema(schemas.INDEX_STATE).parquet(f"{path}/state")
+    except AnalysisException:
+        found = spark.createDataFrame([], schemas.INDEX_STATE)
+    right = (F.col("embedding_model") == model) & (F.col("embedding_dim") == dim)
+    return found.filter(right).drop("embedding_model", "embedding_dim")
+
+
 def index_meta(chunks: DataFrame, sources: DataFrame, model: str, dim: int, built_at: str | None = None) -> DataFrame:
     """The index description as rows: the index, chunks per code, hash per source file.
 
@@ -154,7 +197,10 @@ def open_index(spark: SparkSession, path: str, model: str, dim: int) -> DataFram
         raise IndexMismatch(f"model {meta['embedding_model']!r}, expected {model!r}")
     if meta["embedding_dim"] != dim:
         raise IndexMismatch(f"dimension {meta['embedding_dim']}, expected {dim}")
-    table = spark.read.parquet(f"{path}/chunks").withColumnRenamed("id", "chunk_id")
+    try:
+        table = spark.read.parquet(f"{path}/chunks").withColumnRenamed("id", "chunk_id")
+    except AnalysisException:  # an index without chunks has no files to take a schema from
+        table = read_chunks(spark, path)
     right = F.size("embedding") == dim
     return table.withColumn(
         "embedding", F.when(right, F.col("embedding")).otherwise(F.raise_error(F.lit("vector of another dimension")))
@@ -274,23 +320,59 @@ def flat_sections(entries: DataFrame, key: str) -> DataFrame:
 
 # ---- report sinks ----------------------------------------------------------
 
+_COMMITS = "_commits"
 AUDIT_COLUMNS = [
     KEY, "subject", "filing_unit", "form_type", "error_count", "warn_count", "passed", "enable_llm", "duration_ms",
 ]
 
 
-def append_audit(reports: DataFrame, path: str, event_date: str | None = None, **constants) -> None:
-    """Appends identifiers and counts only; any other column is left out."""
+def append_audit(reports: DataFrame, path: str, event_date: str | None = None, run_id: str | None = None, **constants) -> None:
+    """Appends identifiers and counts only; any other column is left out.
+
+    With a ``run_id`` the rows count once they are whole and only once: each
+    attempt writes under a name of its own, then one commit row.  A run that is
+    already committed appends nothing; :func:`read_audit` leaves out attempts that
+    were cut off, and all but the first commit of runs that met.
+    """
     date = event_date or datetime.date.today().isoformat()
+    spark = reports.sparkSession
     rows = reports
     for name, value in constants.items():
         if name not in AUDIT_COLUMNS:
             raise ValueError(f"{name!r} may not be in the audit trail")
         rows = rows.withColumn(name, F.lit(value))
     kept = [c for c in AUDIT_COLUMNS if c in rows.columns]
-    rows.select(F.lit("review_done").alias("event"), *kept, F.current_timestamp().alias("ts"), F.lit(date).alias("event_date")).write.mode(
-        "append"
-    ).partitionBy("event_date").json(path)
+    if run_id is not None and not audit_commits(spark, path).filter(F.col("run_id") == run_id).isEmpty():
+        return
+    attempt = uuid.uuid4().hex
+    marks = [F.lit(run_id).alias("run_id"), F.lit(attempt).alias("attempt")] if run_id is not None else []
+    rows.select(
+        F.lit("review_done").alias("event"), *kept, F.current_timestamp().alias("ts"), *marks, F.lit(date).alias("event_date")
+    ).write.mode("append").partitionBy("event_date").json(path)
+    if marks:
+        spark.range(1).select(*marks, F.lit(date).alias("event_date"), F.current_timestamp().alias("committed_at")).coalesce(1).write.mode(
+            "append"
+        ).json(f"{path}/{_COMMITS}")
+
+
+def audit_commits(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, attempt): the first committed attempt of each run."""
+    try:
+        found = spark.read.schema(schemas.AUDIT_COMMITS).json(f"{path}/{_COMMITS}")
+    except AnalysisException:
+        found = spark.createDataFrame([], schemas.AUDIT_COMMITS)
+    first = F.min(F.struct("committed_at", "attempt"))
+    return found.groupBy("run_id").agg(first.alias("c")).select("run_id", F.col("c.attempt").alias("attempt"))
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The audit trail: rows of committed runs, each run once, and rows appended without a run.
+
+    Filters on ``event_date`` reach the folders.
+    """
+    rows = spark.read.schema(schemas.AUDIT).json(path)
+    whole = audit_commits(spark, path).withColumn("whole", F.lit(True))
+    return rows.join(whole, ["run_id", "attempt"], "left").filter(F.col("run_id").isNull() | F.col("whole")).drop("attempt", "whole")
 
 
 def write_reports(rendered: DataFrame, path: str) -> None:

@@ -300,6 +300,60 @@ def test_index(spark, built):
         tables.open_index(spark, path + "/none", "fake", 3)
 
 
+def test_index_update_embeds_changed_codes_only(spark, tmp_path):
+    lines = {
+        "a.txt": ["第一條 甲乙丙。", "第二條 丁。"], "b.txt": ["一、總則：", "引言。"], "c.txt": ["第一條 戊。"], "d.txt": ["第一條 己。"],
+    }
+    titles = {"a.txt": ("R01", "辦法甲"), "b.txt": ("R03", "辦法乙"), "c.txt": ("R02", "辦法丙"), "d.txt": ("R04", None), "x.txt": ("X99", "無關")}
+    registry = {"R01": "article", "R02": "article", "R03": "chapter", "R04": "article", "R 5/": "article"}
+
+    def given(lines, titles):
+        rows = [(d, 0, i, t) for d, ls in lines.items() for i, t in enumerate(ls)]
+        return (
+            spark.createDataFrame(rows, "doc_id string, page_no int, line_no int, line string"),
+            spark.createDataFrame([(d, *t, 1) for d, t in titles.items()], "doc_id string, reg_code string, reg_title string, n_pages int"),
+            spark.createDataFrame([(d, bytearray(str(ls).encode())) for d, ls in lines.items()], "filename string, content binary"),
+        )
+
+    def build_of(n):
+        return lambda texts: [[float(n), float(len(t))] for t in texts]
+
+    def rows(table, vectors=True):
+        return sorted((r["reg_code"], r["order"], r["text"], r["embedding"][1], r["embedding"][0] if vectors else 0) for r in table.collect())
+
+    path = str(tmp_path / "index")
+    # nothing stored: the first update is a whole build
+    table = index_plan.update_index(*given(lines, titles), build_of(1), path, "m", 2, registry)
+    assert {(r[0], r[4]) for r in rows(table)} == {(c, 1.0) for c in ("R01", "R02", "R03", "R04")}
+    # nothing changed, lines in another order: no call
+    def never(texts):
+        raise AssertionError("called")
+
+    page_lines, docs, sources = given(lines, titles)
+    same = index_plan.update_index(page_lines.orderBy(F.desc("line_no")), docs, sources, never, path, "m", 2, registry)
+    assert rows(same) == rows(table)
+    # one changed, one gone, one without lines, one new, with a name that needs escapes
+    new_lines = {"a.txt": ["第一條 甲乙。", "第二條 丁。"], "b.txt": lines["b.txt"], "e.txt": ["第一條 庚。"]}
+    new_titles = {"a.txt": titles["a.txt"], "b.txt": titles["b.txt"], "d.txt": titles["d.txt"], "e.txt": ("R 5/", "辦法戊")}
+    updated = index_plan.update_index(*given(new_lines, new_titles), build_of(2), path, "m", 2, registry)
+    assert {(r[0], r[4]) for r in rows(updated)} == {("R01", 2.0), ("R03", 1.0), ("R 5/", 2.0)}
+    whole = index_plan.build_index(*given(new_lines, new_titles), build_of(3), str(tmp_path / "whole"), "m", 2, registry)
+    assert rows(updated, False) == rows(whole, False)
+    meta = [spark.read.schema(schemas.INDEX_META).json(f"{p}/meta").drop("built_at") for p in (path, str(tmp_path / "whole"))]
+    assert sorted(map(str, meta[0].collect())) == sorted(map(str, meta[1].collect()))
+    # an update that fails on its way is made up for, also when the sources have gone back since
+    with pytest.raises(Exception, match="called"):
+        index_plan.update_index(*given(lines, titles), never, path, "m", 2, registry)
+    back = index_plan.update_index(*given(new_lines, new_titles), build_of(4), path, "m", 2, registry)
+    assert {(r[0], r[4]) for r in rows(back)} == {("R01", 4.0), ("R03", 1.0), ("R 5/", 4.0)}
+    # another model: everything again
+    other = index_plan.update_index(*given(new_lines, new_titles), build_of(5), path, "n", 2, registry)
+    assert {r[4] for r in rows(other)} == {5.0}
+    # no documents at all
+    none = index_plan.update_index(page_lines.limit(0), docs.limit(0), sources.limit(0), never, path, "n", 2, registry)
+    assert none.count() == 0
+
+
 def test_retrieval_map(spark, built, tmp_path):
     _, table = built
     items = spark.createDataFrame(

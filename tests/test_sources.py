@@ -69,6 +69,35 @@ def test_audit_keeps_identifiers_and_counts_only(spark, tmp_path, bundle):
         tables.append_audit(reports, path, note="free text")
 
 
+def test_audit_runs_count_once_and_only_when_whole(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    reports = spark.createDataFrame([("b1", 2), ("b2", None)], "bundle_id string, error_count long")
+    rows = lambda: sorted((r["run_id"] or "", r["bundle_id"], str(r["error_count"]), r["event_date"]) for r in tables.read_audit(spark, path).collect())
+    for _ in range(2):
+        tables.append_audit(reports, path, event_date="2024-01-01", run_id="r1")
+    one = [("r1", "b1", "2", "2024-01-01"), ("r1", "b2", "None", "2024-01-01")]
+    assert rows() == one
+    # an attempt that was cut off: rows without a commit
+    cut = reports.selectExpr("'review_done' AS event", "*", "'r2' AS run_id", "'x' AS attempt", "'2024-01-01' AS event_date")
+    cut.limit(1).write.mode("append").partitionBy("event_date").json(path)
+    assert rows() == one
+    tables.append_audit(reports, path, event_date="2024-01-02", run_id="r2")
+    # two jobs of one run that did not see each other
+    late = reports.selectExpr("'review_done' AS event", "*", "'r2' AS run_id", "'y' AS attempt", "'2024-01-02' AS event_date")
+    late.write.mode("append").partitionBy("event_date").json(path)
+    spark.sql("SELECT 'r2' AS run_id, 'y' AS attempt, '2024-01-02' AS event_date, current_timestamp() AS committed_at").write.mode("append").json(f"{path}/_commits")
+    two = one + [("r2", "b1", "2", "2024-01-02"), ("r2", "b2", "None", "2024-01-02")]
+    assert rows() == two
+    # a run without reports, and rows without a run
+    tables.append_audit(reports.limit(0), path, event_date="2024-01-02", run_id="r3")
+    tables.append_audit(reports, path, event_date="2024-01-02")
+    assert rows() == sorted(two + [("", "b1", "2", "2024-01-02"), ("", "b2", "None", "2024-01-02")])
+    day = tables.read_audit(spark, path).filter("event_date = '2024-01-01'")
+    assert day.count() == 2
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
 def test_views(spark, bundle):
     files, _ = bundle.tables(spark)
     tables.register_views({"files": classify.classify_files(files)}, "t_")
