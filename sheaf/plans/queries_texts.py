@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheaf import presets as P
 from sheaf import schemas
+from sheaf.functions import sql
 from sheaf.functions import text as X
 from sheaf.functions.session import checkpoint_dir, materialise
 from sheaf.operators import cells, chunking, refs, retrieval
@@ -58,6 +59,27 @@ def page_line_source(x: Inputs) -> DataFrame:
     )
 
 
+@query("page_line_files", "SRC-04", r"""
+    SELECT source AS doc_id, count(*) AS n_lines, max(page_no) + 1 AS n_pages, sum(length(line))::BIGINT AS n_chars,
+           sum((page_no + 1) * (length(line) + 1))::BIGINT AS by_page, sum((line_no + 1) * (length(line) + 1))::BIGINT AS by_line FROM (
+      SELECT source, page_no, unnest(generate_series(0, len(ls) - 1)) AS line_no, unnest(ls) AS line FROM (
+        SELECT source, page_no, string_split(replace(replace(page, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM (
+          SELECT source, unnest(generate_series(0, len(ps) - 1)) AS page_no, unnest(ps) AS page FROM (
+            SELECT source, string_split(string_agg(coalesce(text, '') || chr(12), '' ORDER BY doc_id, coalesce(text, '')), chr(12)) AS ps FROM documents GROUP BY source))))
+    GROUP BY source""")
+def page_line_files(x: Inputs) -> DataFrame:
+    """A text file per source, each document a page, read back in splits of a few hundred kilobytes."""
+    path = f"{checkpoint_dir(x.spark).rstrip('/')}/pages-{uuid.uuid4()}"
+    texts = x.table("documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    texts.repartition("source").sortWithinPartitions("source", "doc_id", "value").drop("doc_id").write.partitionBy("source").option("lineSep", "\f").text(path)
+    lines = tables.read_page_lines(x.spark, path, split_bytes=1 << 18, name=F.col("source"))
+    size = F.length("line").cast("bigint")
+    return lines.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), (F.max("page_no") + 1).alias("n_pages"), F.sum(size).alias("n_chars"),
+        F.sum((F.col("page_no") + 1) * (size + 1)).alias("by_page"), F.sum((F.col("line_no") + 1) * (size + 1)).alias("by_line"),
+    )
+
+
 @query("page_number_lines", "TXT-01", "SELECT doc_id, count(*) AS n, sum(length(line))::BIGINT AS chars FROM unnumbered_x GROUP BY doc_id")
 def page_number_lines(x: Inputs) -> DataFrame:
     kept = chunking.drop_page_numbers(x.page_lines())
@@ -309,6 +331,42 @@ def prefix_match(x: Inputs) -> DataFrame:
     return refs.match_counts(parsed, x.get("reg_chunks"), ["item_id", "ref_idx"])
 
 
+@query(
+    "sql_references", "REF-01 REF-02 REF-03 REF-07",
+    """SELECT item_id, ref_idx, reg_code, section_path_prefix, len(l) AS depth,
+         CASE len(l) WHEN 0 THEN reg_code WHEN 1 THEN reg_code || ' ' || l[1]
+           ELSE reg_code || ' ' || l[1] || '、' || l[2] || coalesce(array_to_string(list_transform(l[3:], lambda v: CASE WHEN starts_with(v, '(') THEN v ELSE ' ' || v END), ''), '') END AS shown
+       FROM (SELECT *, list_filter(string_split(section_path_prefix, '/'), lambda v: v <> '') AS l FROM refs_x)""",
+)
+def sql_references(x: Inputs) -> DataFrame:
+    """References read and shown in SQL alone."""
+    sql.register_functions(x.spark)
+    tables.register_views({"ref_texts": x.get("ref_texts")}, "sheaf_")
+    return x.spark.sql("""
+        SELECT item_id, ref_idx, reg_code, section_path_prefix, size(ancestors(section_path_prefix)) AS depth,
+               display_ref(reg_code, section_path_prefix) AS shown
+        FROM (SELECT item_id, parse_refs(raw) AS found FROM sheaf_ref_texts)
+             LATERAL VIEW inline(found) AS ref_idx, reg_code, section_path_prefix""")
+
+
+@query(
+    "sql_sentences", "TXT-09 JDG-06",
+    """SELECT lang, count(*) AS n_sentences, max(length(s)) AS longest, sum(length(w) + (length(s) - length(w)) // 4)::BIGINT AS tokens FROM (
+         SELECT lang, s, regexp_replace(s, '[^一-鿿　-ヿ]', '', 'g') AS w FROM (
+           SELECT lang, CASE WHEN i < len(ps) THEN ps[i] || '.' ELSE ps[i] END AS s FROM (
+             SELECT lang, ps, unnest(generate_series(1, len(ps))) AS i FROM (SELECT lang, string_split(text, '.') AS ps FROM documents WHERE text IS NOT NULL))) WHERE s <> '')
+       GROUP BY lang""",
+)
+def sql_sentences(x: Inputs) -> DataFrame:
+    """Sentences per language, counted in SQL alone."""
+    sql.register_functions(x.spark)
+    tables.register_views({"documents": x.table("documents")}, "sheaf_")
+    return x.spark.sql("""
+        SELECT lang, count(*) AS n_sentences, max(length(sentence)) AS longest, sum(estimate_tokens(sentence)) AS tokens
+        FROM (SELECT lang, split_sentences(text, '.') AS sentences FROM sheaf_documents) LATERAL VIEW explode(sentences) AS sentence
+        GROUP BY lang""")
+
+
 EXPECTED["curated_x"] = f"""
     SELECT item_id AS key, row_number() OVER (PARTITION BY item_id ORDER BY ref_idx, pos) AS pos, reg_code, section_path, title, text AS excerpt FROM (
       SELECT r.item_id, r.ref_idx, c.*, row_number() OVER (PARTITION BY r.item_id, r.ref_idx ORDER BY c."order") AS pos

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from sheaf import presets as P
 from sheaf import schemas
 from sheaf.functions import text as X
+from sheaf.functions.session import materialise
 from sheaf.operators import refs as R
+from sheaf.operators import scan
 
 KEY = "bundle_id"
 
@@ -67,12 +69,66 @@ def sheet_directory(cells: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> D
     return cells.groupBy(*keys).agg(F.array_sort(F.collect_set("sheet")).alias("sheets"))
 
 
-def read_page_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Extracted text files -> lines; a form feed ends a page."""
-    docs = spark.read.text(path, wholetext=True).select(
-        X.basename(F.input_file_name()).alias("doc_id"), F.col("value").alias("text")
-    )
-    return page_lines(docs)
+def read_page_lines(spark: SparkSession, path: str, split_bytes: int | None = None, name: Column | None = None) -> DataFrame:
+    """Extracted text files -> (doc_id, page_no, line_no, line); a form feed ends a page.
+
+    Files of any size: each is read in splits, and page and line numbers are
+    carried from split to split, one summary row a split.  The rows are those of
+    :func:`page_lines` over whole texts; a byte order mark that begins a file is no
+    part of its text, and a compressed file (one split) shows no empty line behind
+    its last line break.  A stretch without line feeds must fit one row.  Files
+    without any byte give no rows.  ``split_bytes`` is the size of a split, that of the
+    session by default; ``name`` gives ``doc_id`` from the columns of the folders, by default
+    it is the name of the file.
+    """
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, split_bytes or before)
+    try:
+        return _numbered_lines(
+            spark.read.text(path, lineSep="\n").select(
+                (X.basename(F.input_file_name()) if name is None else name).alias("doc_id"), F.col("_metadata.file_path").alias("__file"),
+                F.col("_metadata.file_block_start").alias("__block"), F.col("_metadata.file_size").alias("__size"),
+                F.monotonically_increasing_id().alias("__at"), "value",
+            )
+        )
+    finally:
+        spark.conf.set(key, before)
+
+
+def _numbered_lines(records: DataFrame) -> DataFrame:
+    """Lines of records that ended in a line feed, numbered over pages and splits.
+
+    ``__at`` ascends within a split; only its order counts.  A record is cut into
+    pieces at form feeds and a piece into lines; a running sum of pieces that open
+    a page gives the page, and a running maximum of the places where pages open
+    the line.
+    """
+    crlf = F.col("value").endswith("\r")
+    body = F.when(crlf, F.substr(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    pieces = records.select(
+        "doc_id", "__file", "__block", "__size", "__at", crlf.alias("__cr"), (F.octet_length("value") + 1).cast("bigint").alias("__bytes"),
+        F.posexplode(F.split(body, "\f")).alias("__piece", "__text"),
+    ).withColumn("__lines", F.split("__text", "\r")).drop("__text")
+    opens, n = F.col("__piece") > 0, F.size("__lines").cast("bigint")
+    place = ["__at", "__piece"]
+    counted = scan.running(pieces, ["__file"], place, "__block", page_no=("sum", F.when(opens, 1).otherwise(0)), __end=("sum", n))
+    numbered = scan.running(counted, ["__file"], place, "__block", __open=("max", F.when(opens, F.col("__end") - n)))
+    first = F.col("__end") - n - F.coalesce("__open", F.lit(0))
+    lines = materialise(numbered.select(
+        "doc_id", "__file", "__size", "__cr", F.when(opens, 0).otherwise(F.col("__bytes")).alias("__bytes"), "page_no", first.alias("__first"),
+        F.posexplode("__lines").alias("__pos", "line"),
+    ).select(
+        "doc_id", "__file", "__size", "__cr", F.when(F.col("__pos") == 0, F.col("__bytes")).otherwise(0).alias("__bytes"),
+        F.col("page_no").cast("int"), (F.col("__first") + F.col("__pos")).cast("int").alias("line_no"), "line",
+    ))
+    # all records count one line feed: with the last one's missing, the bytes are one more than the file has
+    last = F.max(F.struct("page_no", "line_no", "__cr"))
+    ends = lines.groupBy("__file", "doc_id").agg(last.alias("l"), (F.sum("__bytes") - F.max("__size")).alias("over"))
+    mark = 3  # bytes of a byte order mark
+    closed = F.col("over").isin(0, -mark) | (F.col("over").isin(1, 1 - mark) & F.col("l")["__cr"])
+    behind = ends.filter(closed).select("doc_id", F.col("l")["page_no"].alias("page_no"), (F.col("l")["line_no"] + 1).alias("line_no"), F.lit("").alias("line"))
+    return lines.select("doc_id", "page_no", "line_no", "line").unionByName(behind)
 
 
 def page_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Sources, sinks, optional branches and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,49 @@ def test_page_lines(spark, tmp_path):
     ]
 
 
+def _whole(spark, path):
+    docs = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("doc_id"), F.col("value").alias("text"))
+    return sorted(map(tuple, tables.page_lines(docs).select("doc_id", "page_no", "line_no", "line").collect()))
+
+
+@pytest.mark.parametrize("split_bytes", [7, 64, 1000, 1 << 20])
+def test_page_lines_over_splits(spark, tmp_path, split_bytes):
+    """Numbers go on over splits, wherever these cut; the rows are those of whole texts."""
+    draw = random.Random(3)
+    pieces = ["甲", "ab", " ", "\n", "\n", "\r\n", "\r", "\f", "\f", "長" * 30]
+    fixed = ["a", "a\n", "a\r", "a\r\n", "a\f", "a\f\n", "\n", "\f", "\f\f", "\r\f\n", "\n\f\r", "\r\r\n", "a\n\n\n"]
+    for i, text in enumerate(fixed + ["".join(draw.choices(pieces, k=draw.choice([5, 40, 200]))) + draw.choice(["", "x", "\n"]) for _ in range(12)]):
+        (tmp_path / f"t{i}.txt").write_bytes(text.encode())
+    got = tables.read_page_lines(spark, str(tmp_path), split_bytes=split_bytes)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "string"), ("page_no", "int"), ("line_no", "int"), ("line", "string")]
+    assert sorted(map(tuple, got.collect())) == _whole(spark, str(tmp_path))
+
+
+def test_page_lines_read_in_many_splits(spark, tmp_path):
+    """One large file is the work of many tasks, and an empty one gives no rows."""
+    (tmp_path / "large.txt").write_text("".join(f"line {i}\n" + ("\f" if i % 97 == 0 else "") for i in range(20_000)))
+    (tmp_path / "none.txt").write_text("")
+    splits = spark.read.text(str(tmp_path), lineSep="\n").select(F.col("_metadata.file_block_start").alias("b"))
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = tables.read_page_lines(spark, str(tmp_path), split_bytes=10_000)
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, 10_000)
+    try:
+        assert splits.distinct().count() > 15
+    finally:
+        spark.conf.set(key, before)
+    rows = {(r["page_no"], r["line_no"]): r["line"] for r in got.collect()}
+    assert len(rows) == 20_000 + 207 + 1 and got.select("doc_id").distinct().count() == 1
+    assert rows[(1, 1)] == "line 2" and rows[(1, 97)] == "" and rows[(207, 0)] == f"line {206 * 97 + 1}"
+
+
+def test_page_lines_byte_order_mark(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfa\nb\n")
+    (tmp_path / "b.txt").write_bytes(b"\xef\xbb\xbfa\nb")
+    got = sorted((r["doc_id"], r["line_no"], r["line"]) for r in tables.read_page_lines(spark, str(tmp_path)).collect())
+    assert got == [("a.txt", 0, "a"), ("a.txt", 1, "b"), ("a.txt", 2, ""), ("b.txt", 0, "a"), ("b.txt", 1, "b")]
+
+
 def test_audit_keeps_identifiers_and_counts_only(spark, tmp_path, bundle):
     files, cells = bundle.tables(spark)
     done = review.review_bundles(files, cells)
