@@ -10,8 +10,11 @@ Texts are cut into chunks of a few million tokens, written once.  N-grams are
 to the table part of its hash range, and gets the corpus count back in the same
 order.  So what is shuffled follows the distinct n-grams of a chunk, no part
 grows with the corpus, and an n-gram that is everywhere is one entry a chunk.
-Of the chunks that hold an n-gram, one owns it and adds it to its context's
-sums, from which the backoff weights come.
+Beyond ``FAN`` parts the lists go there in several steps: the lists of ``FAN`` senders
+for one range become one, which is cut to finer ranges, and answers come back the
+same way.  So a sender has at most ``FAN`` rows a step, and rows are linear in the
+corpus, not chunks times parts.  Of the chunks that hold an n-gram, one owns it and
+adds it to its context's sums, from which the backoff weights come.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from sheaf.llm.common import ODD, doc_crc, mixed, word_hashes
 
 #: Tokens of a chunk, and entries of a part of the count tables.
 CHUNK_TOKENS, PART_ENTRIES = 1_500_000, 2_000_000
+#: Ranges to which a sorted list is cut at once, and lists that are merged at once.
+FAN = 128
 #: Counts up to this one are discounted.
 CUTOFF = 5
 ROW_BITS = 24  # documents of a chunk, as each has a token at least
@@ -129,16 +134,35 @@ class Chunk:
         ]
 
 
-def _part_ends(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of ``parts`` equal ranges of hashes ends in sorted keys."""
-    ends = [-(-((p + 1) << 64) // parts) - 1 for p in range(parts)]
+def _factors(parts: int) -> list[int]:
+    """The numbers of ranges, step by step, that make at least ``parts`` parts."""
+    steps = []
+    while parts > FAN:
+        steps.append(FAN)
+        parts = -(-parts // FAN)
+    return [*steps, parts]
+
+
+def _part_ends(keys: np.ndarray, parts: int, of: range | None = None) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of hashes, or some of them, ends in sorted keys."""
+    ends = [-(-((p + 1) << 64) // parts) - 1 for p in of or range(parts)]
     return np.searchsorted(keys, np.array(ends, np.uint64), side="right")
 
 
 # ---- count tables ----
 
-SENT = "part int, kind int, chunk long, keys binary, counts binary"
-_SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+SENT = "part int, kind int, asker long, keys binary, counts binary"
+_SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("asker", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _cut(asker: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int, of: range) -> pa.RecordBatch:
+    """A sorted list as one row for each of the parts ``of`` in which it has entries."""
+    rows, start = [], 0
+    for part, end in zip(of, _part_ends(keys, parts, of)):
+        if end > start:
+            rows.append({"part": part, "kind": kind, "asker": asker, "keys": _pack_sorted(keys[start:end]), "counts": _pack(counts[start:end].astype("<u8"))})
+        start = end
+    return pa.RecordBatch.from_pylist(rows, _SENT)
 
 
 def _send(parts: int):
@@ -147,44 +171,101 @@ def _send(parts: int):
             for i in range(batch.num_rows):
                 chunk = Chunk(batch.slice(i, 1).to_pylist()[0])
                 for kind, (keys, counts) in enumerate(chunk.tables()):
-                    rows, start = [], 0
-                    for part, end in enumerate(_part_ends(keys, parts)):
-                        if end > start:
-                            rows.append({"part": part, "kind": kind, "chunk": chunk.number, "keys": _pack_sorted(keys[start:end]), "counts": _pack(counts[start:end].astype("<u4"))})
-                        start = end
-                    yield pa.RecordBatch.from_pylist(rows, _SENT)
+                    yield _cut(chunk.number, kind, keys, counts, parts, range(parts))
 
     return run
 
 
-COUNTED = "chunk long, part int, totals binary, owned binary, stats array<long>, kind int"
+class Met:
+    """The lists that reached one task: their distinct keys, and the place of each entry among them."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        asked = sorted((r["asker"], r["keys"], r["counts"]) for b in batches for r in b.select(["asker", "keys", "counts"]).to_pylist())
+        self.askers = [a for a, _, _ in asked]
+        keys = [_unpack_sorted(k) for _, k, _ in asked]
+        self.sizes = [len(k) for k in keys]
+        self.counts = np.concatenate([_unpack(c, "<u8") for _, _, c in asked])
+        self.keys, self.where = np.unique(np.concatenate(keys), return_inverse=True)
+
+    def totals(self) -> np.ndarray:
+        return np.bincount(self.where, self.counts, len(self.keys)).astype(np.int64)
+
+    def answers(self, part: int, kind: int, totals: np.ndarray, owned: np.ndarray) -> list[dict]:
+        """For each asker, in its order: the totals, and which n-grams are its own: of those that are
+        owned here, the ones that it is the first to have seen in training."""
+        seen = np.flatnonzero(self.counts)
+        own = np.zeros(len(self.counts), bool)
+        own[seen[np.unique(self.where[seen], return_index=True)[1]]] = True
+        own &= owned[self.where]
+        rows, start = [], 0
+        for asker, size in zip(self.askers, self.sizes):
+            at = slice(start, start + size)
+            rows.append({"asker": asker, "part": part, "totals": _pack(totals[self.where[at]].astype("<u8")), "owned": np.packbits(own[at]).tobytes(), "stats": None, "kind": kind})
+            start = at.stop
+        return rows
+
+
+def _merge(factor: int, parts: int):
+    """The lists of a group of askers for one range, as one list of the group for ``factor`` finer ranges."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, kind, group = (k.as_py() for k in key)
+        met = Met(batches)
+        yield _cut(group, kind, met.keys, met.totals(), parts, range(part * factor, (part + 1) * factor))
+
+    return run
+
+
+COUNTED = "asker long, part int, totals binary, owned binary, stats array<long>, kind int"
 _COUNTED = pa.schema([
-    ("chunk", pa.int64()), ("part", pa.int32()), ("totals", pa.binary()), ("owned", pa.binary()), ("stats", pa.list_(pa.int64())), ("kind", pa.int32()),
+    ("asker", pa.int64()), ("part", pa.int32()), ("totals", pa.binary()), ("owned", pa.binary()), ("stats", pa.list_(pa.int64())), ("kind", pa.int32()),
 ])
 
 
 def _count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Corpus counts of one part: an answer for each chunk in the order it asked, and counts of counts."""
+    """Corpus counts of one part: an answer for each asker in the order it asked, and counts of counts."""
     part, kind = key[0].as_py(), key[1].as_py()
-    asked = sorted((r["chunk"], r["keys"], r["counts"]) for b in batches for r in b.select(["chunk", "keys", "counts"]).to_pylist())
-    keys = [_unpack_sorted(k) for _, k, _ in asked]
-    counts = np.concatenate([_unpack(c, "<u4") for _, _, c in asked])
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(where, counts, len(distinct)).astype(np.int64)
-    # the first chunk that saw it in training owns an n-gram
-    seen = np.flatnonzero(counts)
-    owned = np.zeros(len(counts), bool)
-    owned[seen[np.unique(where[seen], return_index=True)[1]]] = True
-    rows, start = [], 0
-    for (chunk, _, _), own in zip(asked, keys):
-        at = slice(start, start + len(own))
-        rows.append({"chunk": chunk, "part": part, "totals": _pack(totals[where[at]].astype("<u8")), "owned": np.packbits(owned[at]).tobytes(), "stats": None, "kind": kind})
-        start = at.stop
+    met = Met(batches)
+    totals = met.totals()
+    rows = met.answers(part, kind, totals, np.ones(len(totals), bool))
     stats = [int((totals > 0).sum()), int(totals.sum()), *(int((totals == r).sum()) for r in range(1, CUTOFF + 2))]
-    rows.append({"chunk": -1, "part": part, "totals": None, "owned": None, "stats": stats, "kind": kind})
+    rows.append({"asker": -1, "part": part, "totals": None, "owned": None, "stats": stats, "kind": kind})
     yield pa.RecordBatch.from_pylist(rows, _COUNTED)
 
 
+def _joined(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(totals, owned) of a whole list out of the answers for its parts, given in their order."""
+    totals = [_unpack(r["totals"], "<u8").astype(np.int64) for r in rows]
+    owned = [np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(t)).astype(bool) for r, t in zip(rows, totals)]
+    return np.concatenate(totals), np.concatenate(owned)
+
+
+def _hand_down(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    """What a group was answered, for each of its askers."""
+    part, kind = key[0].as_py(), key[1].as_py()
+    rows = Met(left.to_batches()).answers(part, kind, *_joined(sorted(right.to_pylist(), key=lambda r: r["finer"])))
+    return pa.Table.from_pylist(rows, _COUNTED)
+
+
+def _counts(chunks: DataFrame, n_chunks: int, parts: int) -> tuple[DataFrame, dict[int, list[int]]]:
+    """The answers for all chunks, and counts of counts by kind."""
+    first, *finer = _factors(parts)
+    sent, askers, parts, steps = chunks.mapInArrow(_send(first), SENT), n_chunks, first, []
+    for factor in finer:
+        askers, parts = -(-askers // FAN), parts * factor
+        sent = materialise(sent.withColumn("group", F.pmod(F.xxhash64("asker"), F.lit(askers))))
+        steps.append((sent, factor))
+        sent = sent.groupBy("part", "kind", "group").applyInArrow(_merge(factor, parts), SENT)
+    counted = materialise(sent.groupBy("part", "kind").applyInArrow(_count, COUNTED), "kind")
+    sums = counted.filter("asker < 0").groupBy("kind").agg(*[F.sum(F.col("stats")[i]) for i in range(CUTOFF + 3)]).collect()
+    answers = counted.filter("asker >= 0")
+    for sent, factor in reversed(steps):
+        of = F.floor(F.col("part") / factor).cast("int").alias("part")
+        given = answers.select(of, "kind", F.col("asker").alias("group"), F.col("part").alias("finer"), "totals", "owned")
+        answers = sent.groupBy("part", "kind", "group").cogroup(given.groupBy("part", "kind", "group")).applyInArrow(_hand_down, COUNTED)
+    return answers.select(F.col("asker").alias("chunk"), "kind", "part", "totals", "owned"), {r[0]: list(r[1:]) for r in sums}
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Factors of counts 0 to CUTOFF + 1 (the last stands for all higher ones), from counts of counts n1, n2, ...
 
@@ -234,13 +315,8 @@ def _score(unigram_stats: list[int], bigram_stats: list[int]):
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left.to_pylist()[0])
-        answers = sorted(((r["kind"], r["part"], r["totals"], r["owned"]) for r in right.to_pylist()), key=lambda r: r[:2])
-        totals, owned = [], []
-        for kind in (0, 1):
-            own = [(_unpack(t, "<u8").astype(np.int64), o) for k, _, t, o in answers if k == kind]
-            totals.append(np.concatenate([t for t, _ in own]))
-            owned.append(np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(t)).astype(bool) for t, o in own]))
-        c_word, c_bigram = totals
+        answers = sorted(right.to_pylist(), key=lambda r: r["part"])
+        (c_word, _), (c_bigram, owned) = (_joined([r for r in answers if r["kind"] == kind]) for kind in (0, 1))
         p_word, docs = one.p(c_word), len(chunk.ids)
         # a context is followed by a token each time; a text begins as often as one ends
         c_context = np.append(c_word, c_word[np.searchsorted(chunk.words, END)])
@@ -255,7 +331,7 @@ def _score(unigram_stats: list[int], bigram_stats: list[int]):
         score = per_doc(by_bigram[chunk.bigram])
 
         # what the bigrams that this chunk owns leave over, and the probability of the words they end in
-        own = np.flatnonzero(owned[1])
+        own = np.flatnonzero(owned)
         at, n = chunk.bigram_context[own], len(chunk.context_hash)
         lefts, seen = np.bincount(at, c_bigram[own] * (1 - d_bigram[own]), n), np.bincount(at, p_word[chunk.bigram_word[own]], n)
         has = np.flatnonzero(np.bincount(at, minlength=n))
@@ -298,15 +374,11 @@ def scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     with arrow_batches(docs.sparkSession):
         chunks = materialise(texts.mapInArrow(_chunks, CHUNK))
-    tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    parts = max(1, -(-tokens // PART_ENTRIES))
-    counted = materialise(chunks.mapInArrow(_send(parts), SENT).groupBy("part", "kind").applyInArrow(_count, COUNTED), "kind")
-    sums = counted.filter("chunk < 0").groupBy("kind").agg(*[F.sum(F.col("stats")[i]) for i in range(CUTOFF + 3)]).collect()
-    stats = {r[0]: list(r[1:]) for r in sums}
+    n_chunks, tokens = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    answers, stats = _counts(chunks, n_chunks, max(1, -(-tokens // PART_ENTRIES)))
     none = [0] * (CUTOFF + 3)
     scored = materialise(
-        chunks.groupBy("chunk").cogroup(counted.filter("chunk >= 0").select("chunk", "kind", "part", "totals", "owned").groupBy("chunk"))
-        .applyInArrow(_score(stats.get(0, none), stats.get(1, none)), SCORED)
+        chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(stats.get(0, none), stats.get(1, none)), SCORED)
     )
 
     def each(**columns: str) -> DataFrame:

@@ -47,6 +47,27 @@ def test_many_chunks_and_parts(spark, monkeypatch):
     check(rows, katz.held_out_scores(docs).collect())
 
 
+@pytest.mark.parametrize("fan, entries, steps", [(3, 100, 4), (8, 400, 2)])
+def test_lists_merged_in_steps(spark, monkeypatch, fan, entries, steps):
+    """The same scores when lists reach their parts over several merges, and rows that do not multiply."""
+    monkeypatch.setattr(katz, "FAN", fan)
+    monkeypatch.setattr(katz, "PART_ENTRIES", entries)
+    rows = texts(200, 4)
+    assert len(katz._factors(sum(len(t.split()) + 1 for _, t in rows) // entries)) >= steps
+    docs = spark.createDataFrame([(i, t, None, "x") for i, t in rows], SCHEMA).repartition(20)
+    check(rows, katz.held_out_scores(docs).collect())
+
+
+def test_steps_nest():
+    """Finer ranges lie inside coarser ones, so a merged list is cut where its range ends."""
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64))
+    coarse, fine = katz._part_ends(keys, 7), katz._part_ends(keys, 7 * 5)
+    assert (fine[4::5] == coarse).all() and (katz._part_ends(keys, 35, range(10, 15)) == fine[10:15]).all()
+    for parts in (1, 128, 129, 5000, 10**7):
+        steps = katz._factors(parts)
+        assert max(steps) <= katz.FAN and parts <= math.prod(steps) < 2 * parts + katz.FAN
+
+
 def test_contexts_without_rest(spark):
     # every bigram is frequent, so nothing is left over by discounts alone
     rows = [(i, "a b c") for i in range(40)] + [(i, "a c b a") for i in range(100, 130)]
