@@ -106,7 +106,8 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "natural_key": ("s STRING", "ARRAY<DOUBLE>", "transform(split(s, '-'), p -> coalesce(try_cast(p AS DOUBLE), 0.0D))"),
     "split_sentences": (
         f"body STRING, sep STRING DEFAULT {_text(P.SENTENCE_END)}", "ARRAY<STRING>",
-        f"filter(transform(split(body, {_QUOTED}), (p, i) -> CASE WHEN i < size(split(body, {_QUOTED})) - 1 THEN concat(p, sep) ELSE p END), p -> p <> '')",
+        # the parts are bound to a name, so that a text is split once and not again for each of its parts
+        f"get(transform(array(split(body, {_QUOTED})), ps -> filter(transform(ps, (p, i) -> CASE WHEN i < size(ps) - 1 THEN concat(p, sep) ELSE p END), p -> p <> '')), 0)",
     ),
     "parse_refs": (
         "raw STRING", "ARRAY<STRUCT<ref_idx: BIGINT, reg_code: STRING, section_path_prefix: STRING>>",

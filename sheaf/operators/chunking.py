@@ -284,10 +284,13 @@ def chunk_outline(
 
 def split_sentences(body: Column, sep: str = P.SENTENCE_END) -> Column:
     """Sentences with their end mark; joined they give the text back."""
-    parts = F.split(body, "\\Q" + sep + "\\E")
-    last = F.size(parts) - 1
-    marked = F.transform(parts, lambda p, i: F.when(i < last, F.concat(p, F.lit(sep))).otherwise(p))
-    return F.filter(marked, lambda p: p != "")
+
+    def marked(parts: Column) -> Column:
+        whole = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit(sep))).otherwise(p))
+        return F.filter(whole, lambda p: p != "")
+
+    # bound by a lambda, so that a text is split once and not again for each of its parts
+    return F.get(F.transform(F.array(F.split(body, "\\Q" + sep + "\\E")), marked), F.lit(0))
 
 
 def pack_sentences(body: Column, max_chars: int = P.MAX_BODY_CHARS, sep: str = P.SENTENCE_END) -> Column:

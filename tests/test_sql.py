@@ -64,3 +64,10 @@ def test_filters_reach_the_scan(spark, texts, tmp_path):
     df = spark.sql("SELECT clean_text(s) AS c FROM sql_stored WHERE id < 5")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(id,5)" in plan and "ReadSchema: struct<id:int,s:string>" in plan
+
+
+@pytest.mark.parametrize("call", ["split_sentences(s)", "split_sentences(s, '.')", None])
+def test_sentences_split_a_text_once(texts, call):
+    """The parts are not made again for each of them."""
+    df = texts.select((F.expr(call) if call else chunking.split_sentences(F.col("s"))).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
