@@ -30,6 +30,8 @@ SAMPLE, MOST_CELLS = 16_384, 4_096
 SPILL = 2
 #: Postings and queries that one task compares.
 PART_ROWS, BLOCK_QUERIES = 20_000, 2_000
+#: Scores that a task holds at once, beside those of its best hits.
+STEP_SCORES = 1_000_000
 #: Queries that the share is measured on.
 MEASURED = 64
 
@@ -66,8 +68,16 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
 
 def nearest_cells(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` cells of each row with the nearest centres, best first."""
-    score = rows @ centres.T
-    return np.argsort(-score, axis=1, kind="stable")[:, :n].astype(np.int32)
+    out = np.empty((len(rows), min(n, len(centres))), np.int32)
+    for at in _steps(len(rows), len(centres)):
+        out[at] = np.argsort(-(rows[at] @ centres.T), axis=1, kind="stable")[:, :n]
+    return out
+
+
+def _steps(rows: int, width: int) -> list[slice]:
+    """Runs of rows whose scores against ``width`` others are held at once, however many rows a batch has."""
+    step = max(1, STEP_SCORES // max(1, width))
+    return [slice(at, at + step) for at in range(0, rows, step)]
 
 
 def build(vectors: DataFrame, vector_id: str = "id", embedding: str = "embedding", cells: int | None = None, spill: int = SPILL) -> InvertedFile:
@@ -119,16 +129,26 @@ def load(spark: SparkSession, path: str) -> InvertedFile:
 # ---- probes ----
 
 def _probes(index: InvertedFile, k: int, share: float):
-    """For unit rows, the cells to visit: from the nearest on within the share, but until k vectors are met."""
-    centres, sizes, room = index.centres, index.sizes, share * index.n
-    least = k * SPILL
+    """For unit rows, the cells to visit, one bit a cell, and their folders.
 
-    def visit(rows: np.ndarray) -> list[np.ndarray]:
-        order = nearest_cells(rows, centres, len(centres))
-        upto = np.cumsum(sizes[order], axis=1)
-        enough = (upto < least).sum(1) + 1  # k different vectors have at most ``least`` postings
-        number = np.maximum((upto <= room).sum(1), enough)
-        return [cells[:m] for cells, m in zip(order, number)]
+    Cells are visited from the nearest on within the share, but until k vectors are met.
+    """
+    centres, sizes, room = index.centres, index.sizes, share * index.n
+    least, n_cells = k * SPILL, len(index.centres)
+    folder = np.arange(n_cells) * index.folders // max(1, n_cells)
+
+    def visit(rows: np.ndarray) -> pd.DataFrame:
+        bits, folders = [], []
+        for at in _steps(len(rows), n_cells):
+            order = nearest_cells(rows[at], centres, n_cells)
+            upto = np.cumsum(sizes[order], axis=1)
+            enough = (upto < least).sum(1) + 1  # k different vectors have at most ``least`` postings
+            number = np.maximum((upto <= room).sum(1), enough)
+            seen = np.empty(order.shape, bool)
+            np.put_along_axis(seen, order, np.arange(n_cells) < number[:, None], 1)
+            bits += [b.tobytes() for b in np.packbits(seen, axis=1)]
+            folders += [np.unique(folder[own]).astype(np.int32) for own in seen]
+        return pd.DataFrame({"visited": bits, "folders": folders})
 
     return visit
 
@@ -167,13 +187,12 @@ def search(index: InvertedFile, queries: DataFrame, k: int, share: float, query_
         return spark.createDataFrame([], schema.replace("met long", "rank int, candidates long"))
     visit, n_cells, n_folders = _probes(index, k, share), len(index.centres), index.folders
 
-    @F.pandas_udf("array<int>")
-    def probes(q: pd.Series) -> pd.Series:
-        return pd.Series(visit(unit_rows(q)))
+    @F.pandas_udf("visited binary, folders array<int>")
+    def probes(q: pd.Series) -> pd.DataFrame:
+        return visit(unit_rows(q))
 
-    spread = materialise(asked.withColumn("probes", probes("q")))
-    folder = F.array_distinct(F.transform("probes", lambda c: F.floor(c * n_folders / n_cells).cast("int")))
-    wanted = spread.withColumn("q_folder", F.explode(folder))
+    spread = materialise(asked.withColumn("p", probes("q")).select("query_id", "q", "p.visited", "p.folders"))
+    wanted = spread.select("query_id", "q", "visited", F.explode("folders").alias("q_folder"))
     blocks = {r["q_folder"]: -(-r["count"] // BLOCK_QUERIES) for r in wanted.groupBy("q_folder").count().collect()}  # one row a folder
     held = np.bincount(np.arange(n_cells) * n_folders // n_cells, index.sizes, n_folders).astype(int)
     plan = spark.createDataFrame([(f, max(1, -(-int(held[f]) // PART_ROWS)), b) for f, b in blocks.items()], "p_folder int, parts int, blocks int")
@@ -184,7 +203,7 @@ def search(index: InvertedFile, queries: DataFrame, k: int, share: float, query_
         "folder", "cell", "cells", "id", "e", number("id", F.col("parts")).alias("part"), every(F.col("blocks")).alias("block")
     )
     left = wanted.join(F.broadcast(plan), F.col("q_folder") == F.col("p_folder")).select(
-        F.col("q_folder").alias("folder"), "query_id", "q", "probes", number("query_id", F.col("blocks")).alias("block"), every(F.col("parts")).alias("part")
+        F.col("q_folder").alias("folder"), "query_id", "q", "visited", number("query_id", F.col("blocks")).alias("block"), every(F.col("parts")).alias("part")
     )
 
     def meet(own: pd.DataFrame, posted: pd.DataFrame) -> pd.DataFrame:
@@ -205,31 +224,29 @@ def _met(own: pd.DataFrame, posted: pd.DataFrame, n_cells: int, k: int) -> pd.Da
     wanted, rows = unit_rows(own["q"]), unit_rows(posted["e"])
     names, cells = posted["id"].to_numpy(), np.array(posted["cells"].tolist())
     names = names.astype(str) if names.dtype == object else names
-    numbers = np.concatenate([np.full(len(p), i) for i, p in enumerate(own["probes"])])
-    visited = np.concatenate(own["probes"].to_numpy())
-    codes = np.sort(numbers.astype(np.int64) * n_cells + visited)  # (query, cell) pairs
-    by_cell = np.argsort(visited, kind="stable")
-    asks = {int(visited[at[0]]): numbers[at] for at in np.split(by_cell, np.flatnonzero(np.diff(visited[by_cell])) + 1)}
+    bits = np.frombuffer(b"".join(own["visited"]), np.uint8).reshape(len(own), -1)
+    visited = np.unpackbits(bits, axis=1, count=n_cells).view(bool)
     cell = posted["cell"].to_numpy()
     met, kept = np.zeros(len(own), np.int64), None
-    for at in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
-        asking = asks.get(int(cell[at[0]]))
-        if asking is None:
+    for whole in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
+        here = cell[whole[0]]
+        asking = np.flatnonzero(visited[:, here])
+        if not len(asking):
             continue
-        # met where the vector's first cell that the query visits is this one
-        fresh, earlier = np.ones((len(asking), len(at)), bool), np.ones(len(at), bool)
-        for t in range(cells.shape[1]):
-            earlier &= cells[at, t] != cell[at[0]]
-            if not earlier.any():
-                break
-            pair = asking[:, None].astype(np.int64) * n_cells + cells[at, t][None]
-            place = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
-            fresh &= ~((codes[place] == pair) & earlier)
-        met[asking] += fresh.sum(1)
-        score = np.where(fresh, np.round(wanted[asking] @ rows[at].T, 9), -np.inf)
-        found, col = np.nonzero(fresh & (score >= (np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf)))
-        new = (asking[found], names[at][col], score[found, col])
-        kept = best_hits(k, *(new if kept is None else map(np.concatenate, zip(kept, new))))
+        for step in _steps(len(whole), len(asking)):
+            at = whole[step]
+            # met where the vector's first cell that the query visits is this one
+            fresh, earlier = np.ones((len(asking), len(at)), bool), np.ones(len(at), bool)
+            for t in range(cells.shape[1]):
+                earlier &= cells[at, t] != here
+                if not earlier.any():
+                    break
+                fresh &= ~(visited[np.ix_(asking, cells[at, t])] & earlier)
+            met[asking] += fresh.sum(1)
+            score = np.where(fresh, np.round(wanted[asking] @ rows[at].T, 9), -np.inf)
+            found, col = np.nonzero(fresh & (score >= (np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf)))
+            new = (asking[found], names[at][col], score[found, col])
+            kept = best_hits(k, *(new if kept is None else map(np.concatenate, zip(kept, new))))
     if kept is None or not len(kept[0]):
         return empty
     first = np.concatenate(([True], np.diff(kept[0]) != 0))

@@ -95,3 +95,19 @@ def test_a_stored_index_reads_the_visited_folders_only(spark, tmp_path, monkeypa
     plan = found._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*folder#", plan)
     assert 0 < found.join(built.postings.select("id", "folder"), "id").select("folder").distinct().count() < index.folders
+
+
+def test_memory_of_a_batch_is_bounded():
+    """Scores of a batch against all centres are never held whole."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    centres, rows = rng.normal(size=(2000, 8)), rng.normal(size=(6000, 8))
+    index = cells.InvertedFile(None, centres, np.full(2000, 2), 2000)
+    whole = 6000 * 2000 * 8
+    for run in (lambda: cells.nearest_cells(rows, centres, 2), lambda: cells._probes(index, 4, 0.1)(rows)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < whole / 2
