@@ -22,6 +22,8 @@ TABLES = (
 
 
 _LARGE = {"lineitem", "orders", "documents", "events"}
+# tables of which a row becomes a dozen cells, and the rows of them that one task takes
+_CELLED, CELLED_ROWS = {"orders", "part"}, 50_000
 
 
 def _case(expr: str, values: list[str]) -> str:
@@ -220,9 +222,11 @@ class Inputs:
         cores = self.spark.sparkContext.defaultParallelism
         # one small file is one split: spread it, so that not one core does all
         # the work; a table of many splits is read as it is
-        if name in _LARGE and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
+        wanted = cores if name in _LARGE and len(df.inputFiles()) < cores else 0
+        # rows that become many cells are sorted as cells where they are read, so their number per task is bounded
+        if name in _CELLED:
+            wanted = max(wanted, -(-df.count() // CELLED_ROWS))
+        return df.repartition(wanted) if wanted and df.rdd.getNumPartitions() < wanted else df
 
     def get(self, name: str) -> DataFrame:
         for t in _needed(with_inputs(INPUTS[name]), {t: "" for t in TABLES}):

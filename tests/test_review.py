@@ -312,3 +312,13 @@ def test_numbers_in_texts(spark):
     assert got == [None, None, None, 1000.0, 7.0, float("inf"), None, None]
     numbers = spark.createDataFrame([(4.0,), (4.5,), (None,)], "v double")
     assert [r[0] for r in numbers.select(X.int_if_whole(F.col("v"))).collect()] == ["4", "4.5", None]
+
+
+def test_rows_that_become_cells_are_spread(spark, tmp_path):
+    """However many parts or orders one file holds, a task takes a bounded number of them."""
+    from sheaf.plans import inputs
+
+    for name, key in (("part", "p_partkey"), ("orders", "o_orderkey")):
+        spark.range(10 * inputs.CELLED_ROWS).withColumnRenamed("id", key).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        df = inputs.Inputs(spark, str(tmp_path)).table(name)
+        assert df.rdd.getNumPartitions() >= 10 and df.count() == 10 * inputs.CELLED_ROWS
