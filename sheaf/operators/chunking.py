@@ -35,19 +35,23 @@ def boilerplate_lines(
     A line counts once per page; the distinct step is keyed by the line too,
     so a repeated header is combined on the map side.
     """
-    seen = (
-        page_lines.select("doc_id", "page_no", X.strip(F.col("line")).alias("line"))
-        .filter(F.col("line") != "")
-        .distinct()
-        .groupBy("doc_id", "line")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    lines = page_lines.select("doc_id", "page_no", X.strip(F.col("line")).alias("line")).filter(F.col("line") != "")
     long_docs = docs.filter(F.col("n_pages") >= min_pages).select("doc_id", "n_pages")
-    return seen.join(long_docs, "doc_id").filter(F.col("n") / F.col("n_pages") >= ratio).select("doc_id", "line", "n")
+
+    def often(rows: DataFrame, key: str) -> DataFrame:
+        seen = rows.select("doc_id", "page_no", key).distinct().groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("n"))
+        return seen.join(long_docs, "doc_id").filter(F.col("n") / F.col("n_pages") >= ratio).select("doc_id", key, "n")
+
+    # hashes say which lines may be frequent: a hash stands on at least the pages of its lines, and
+    # a document has few frequent ones; only their texts are shuffled and counted
+    hashed = lines.withColumn("__h", F.xxhash64("line"))
+    likely = materialise(often(hashed, "__h").select("doc_id", "__h"))
+    return often(hashed.join(likely, ["doc_id", "__h"], "left_semi"), "line")
 
 
 def drop_boilerplate(page_lines: DataFrame, docs: DataFrame, ratio: float = P.BOILERPLATE_RATIO, min_pages: int = P.BOILERPLATE_MIN_PAGES) -> DataFrame:
-    noise = boilerplate_lines(page_lines, docs, ratio, min_pages).select("doc_id", F.col("line").alias("__s"))
+    # written, so that its size is known: it goes to all tasks and the lines stay where they are
+    noise = materialise(boilerplate_lines(page_lines, docs, ratio, min_pages).select("doc_id", F.col("line").alias("__s")))
     return (
         page_lines.withColumn("__s", X.strip(F.col("line"))).join(noise, ["doc_id", "__s"], "left_anti").drop("__s")
     )
@@ -175,7 +179,8 @@ def outline_nodes(tagged: DataFrame, heads: Sequence[str] = tuple(P.OUTLINE_HEAD
     rules = [X.pattern(h) for h in heads]
     content = F.when(F.col("level") == 3, F.regexp_extract(line, rules[2], 2)).otherwise(line)
     not_heading = F.when(F.col("level").isin(0, 3), line)
-    small = tagged.groupBy("doc_id", "l1", "l2", "l3").agg(
+    # lines go to the task of their level-2 node at once, where both aggregations run
+    small = tagged.repartition("doc_id", "l1", "l2").groupBy("doc_id", "l1", "l2", "l3").agg(
         F.max("l1_line").alias("l1_line"),
         F.max(F.when(F.col("level") == 2, line)).alias("l2_line"),
         F.max(F.when(F.col("level") == 3, F.regexp_extract(line, rules[2], 1))).alias("num"),

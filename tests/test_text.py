@@ -222,3 +222,14 @@ def test_number_formats(spark):
 def test_tokens(spark):
     row = spark.range(1).select(X.estimate_tokens(F.lit("中文ab　cdefg")), X.match_key(F.lit(" Ａ B　ß ")), X.suffix(F.lit("a.b.XLSX")), X.suffix(F.lit(".xlsx")), X.clip(F.lit("a  b" * 30), 5)).first()
     assert tuple(row) == (4, "ａbss", ".xlsx", "", "a ba …")
+
+
+def test_boilerplate_needs_no_shuffle_of_the_lines(spark):
+    """Frequent lines are few and go to all tasks."""
+    rows = [("d", p, n, "head" if n == 0 else f"line {p} {n}") for p in range(8) for n in range(5)]
+    lines = spark.createDataFrame(rows, "doc_id string, page_no int, line_no int, line string")
+    docs = spark.createDataFrame([("d", 8)], "doc_id string, n_pages int")
+    kept = chunking.drop_boilerplate(lines.repartition(3), docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r["line"] for r in kept.collect()) == sorted(r[3] for r in rows if r[2])
