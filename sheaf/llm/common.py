@@ -15,6 +15,9 @@ A_TO_Z, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+#: Rows whose results a worker holds before it hands them on.
+PART_ROWS = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,7 +34,9 @@ def text_column(value: Callable[[str | None], tuple | None], schema: str, setup:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         state = (setup(),) if setup else ()
         for batch in batches:
-            yield batch_of([value(text, *state) for text in texts_of(batch)], schema)
+            # results go on in small parts, so those of a whole batch are not held as Python objects and once more as arrays
+            for at in range(0, max(1, len(batch)), PART_ROWS):
+                yield batch_of([value(text, *state) for text in texts_of(batch.slice(at, PART_ROWS))], schema)
 
     return lambda text: arrow_udf(run, schema)(text)
 

@@ -402,3 +402,26 @@ def test_toxicity_without_labels_or_rows(spark):
 def test_long_texts_are_judged_whole():
     text = "plain words here " * 20_000 + "10.0.0.1"
     assert plain_pii(text) == spans_of(text)
+
+
+def test_results_of_a_batch_go_on_in_parts(spark, monkeypatch):
+    """A worker holds the results of few rows at once; all rows come back in order."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from sheaf.llm import common
+
+    sizes = []
+    real = common.batch_of
+    monkeypatch.setattr(common, "batch_of", lambda rows, schema: sizes.append(len(rows)) or real(rows, schema))
+    held = {}
+    monkeypatch.setattr(common, "arrow_udf", lambda run, schema: held.update(run=run) or (lambda text: text))
+    common.text_column(lambda t: (t,), "text string")("x")
+    texts = [None if i % 7 == 0 else f"t{i}" for i in range(1300)]
+    out = list(held["run"](iter([pa.array(texts, pa.string()), pa.array([], pa.string())])))
+    assert max(sizes) <= 512 and sum(sizes) == 1300
+    assert [r["text"] for a in out for r in a.to_pylist()] == texts
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    back = df.select("i", "text", common.text_column(lambda t: (t,), "again string")(F.col("text")).alias("r")).collect()
+    assert len(back) == 1300 and all(r["text"] == r["r"]["again"] for r in back)
