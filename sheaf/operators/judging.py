@@ -25,10 +25,19 @@ Judge = Callable[[str], str]
 
 # ---- targets and batches ---------------------------------------------------
 
+# evidence texts with the columns that say whether there is one, and the size of both as JSON
+_GIVEN, _SIZE = {"evidence_proposal": "proposal_given", "evidence_golive": "golive_given"}, "evidence_size"
+
 
 def judge_targets(items: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
-    """Items with any evidence, and, if given, with an entry in the map."""
+    """Items with any evidence, and, if given, with an entry in the map.
+
+    Which evidence texts there are, and how long they are in a payload, is noted
+    before anything is shuffled: what needs no more of them, as :func:`verdict_rows`
+    and token counts, takes no text through the shuffles.
+    """
     some = items.filter(F.col("evidence_proposal").isNotNull() | F.col("evidence_golive").isNotNull())
+    some = some.withColumns({**{mark: F.col(c).isNotNull() for c, mark in _GIVEN.items()}, _SIZE: _size(_evidence_json())})
     return some if canonical is None else some.join(canonical.select("item_id").distinct(), "item_id", "left_semi")
 
 
@@ -49,15 +58,44 @@ def assign_batches(capped: DataFrame, size: int) -> DataFrame:
 
 
 def payload_tokens(payload: Column, n_sections: Column | None = None) -> Column:
-    """Token estimate of a payload text written with blanks after separators.
+    """Token estimate of a payload text written with blanks after separators."""
+    return _size_tokens(_size(payload), n_sections)
+
+
+def _size(json: Column) -> Column:
+    return F.struct(F.length(F.regexp_replace(json, "[^一-鿿　-ヿ]", "")).alias("wide"), F.length(json).alias("length"))
 
-    ``to_json`` writes none, so the blanks of its known shape are added: nine
+
+def _size_tokens(size: Column, n_sections: Column | None = None) -> Column:
+    """Token estimate of a compliance payload out of its size.
+
+    ``to_json`` writes no blanks, so those of its known shape are added: nine
     for the five fields, seven per section and one between sections.
     """
-    wide = F.length(F.regexp_replace(payload, "[^一-鿿　-ヿ]", ""))
     n = F.lit(0) if n_sections is None else n_sections
     blanks = 9 + 7 * n + F.greatest(n - 1, F.lit(0))
-    return wide + F.floor((F.length(payload) - wide + blanks) / 4)
+    return size["wide"] + F.floor((size["length"] - size["wide"] + blanks) / 4)
+
+
+def _joined_size(head: Column, tail: Column) -> Column:
+    # of two braces that meet, one comma is left
+    return F.struct((head["wide"] + tail["wide"]).alias("wide"), (head["length"] + tail["length"] - 1).alias("length"))
+
+
+def _joined_json(head: Column, tail: Column) -> Column:
+    return F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(","), F.substr(tail, F.lit(2)))
+
+
+def _evidence_json() -> Column:
+    return F.to_json(
+        F.struct(
+            _or(F.col("evidence_proposal"), P.BLANK_EVIDENCE).alias("proposal"), _or(F.col("evidence_golive"), P.BLANK_EVIDENCE).alias("golive")
+        )
+    )
+
+
+def _evidence_size(targets: DataFrame) -> Column:
+    return F.col(_SIZE) if _SIZE in targets.columns else _size(_evidence_json())
 
 
 def template_tokens(template: str) -> int:
@@ -87,13 +125,12 @@ def _or(c: Column, default: str) -> Column:
 
 
 def evidence_payloads(targets: DataFrame) -> DataFrame:
-    body = F.struct(
-        F.col("item_id"),
-        _or(F.col("description"), P.NOT_PROVIDED).alias("description"),
-        _or(F.col("evidence_proposal"), P.BLANK_EVIDENCE).alias("proposal"),
-        _or(F.col("evidence_golive"), P.BLANK_EVIDENCE).alias("golive"),
+    """Evidence payload per item and its tokens, which are counted by part: no text is needed for them after :func:`judge_targets`."""
+    head = F.to_json(F.struct(F.col("item_id"), _or(F.col("description"), P.NOT_PROVIDED).alias("description")))
+    size = _joined_size(_size(head), _evidence_size(targets))
+    return targets.withColumns(
+        {"payload": _joined_json(head, _evidence_json()), "tokens": size["wide"] + F.floor((size["length"] - size["wide"]) / 4)}
     )
-    return targets.withColumn("payload", F.to_json(body)).withColumn("tokens", X.estimate_tokens(F.col("payload")))
 
 
 def payloads(targets: DataFrame, canonical: DataFrame, n: int = P.MAX_SECTIONS, chars: int = P.EXCERPT_CHARS) -> DataFrame:
@@ -101,7 +138,8 @@ def payloads(targets: DataFrame, canonical: DataFrame, n: int = P.MAX_SECTIONS,
 
     ``canonical(item_id, canonical_description, canonical_ref_raw, sections)``.
     """
-    # sections are cut to what is shown before the join, so whole excerpts are not shuffled
+    # the canonical part of a payload is made and counted before the join, so whole excerpts are not
+    # shuffled, and what reads no payload shuffles no excerpts at all
     some = F.slice("sections", 1, n)
     shown = F.transform(
         some,
@@ -110,24 +148,18 @@ def payloads(targets: DataFrame, canonical: DataFrame, n: int = P.MAX_SECTIONS,
             F.substring(s["excerpt"], 1, chars).alias("excerpt"),
         ),
     )
+    head = F.to_json(F.struct(F.col("item_id"), _or(F.col("canonical_description"), P.NOT_PROVIDED).alias("description"), shown.alias("sections")))
     known = canonical.select(
-        "item_id", "canonical_description", "canonical_ref_raw", shown.alias("__some"),
+        "item_id", "canonical_description", "canonical_ref_raw", head.alias("__head"), _size(head).alias("__size"), F.size(some).alias("__n"),
+        F.transform(some, lambda s: X.display_ref(s["reg_code"], s["section_path"])).alias("refs"),
         (F.size("sections") - F.size(some)).alias("dropped"),
         F.size(F.filter(some, lambda s: F.length(s["excerpt"]) > chars)).alias("clipped"),
     )
-    body = F.struct(
-        F.col("item_id"),
-        _or(F.col("canonical_description"), P.NOT_PROVIDED).alias("description"),
-        F.col("__some").alias("sections"),
-        _or(F.col("evidence_proposal"), P.BLANK_EVIDENCE).alias("proposal"),
-        _or(F.col("evidence_golive"), P.BLANK_EVIDENCE).alias("golive"),
-    )
-    refs = F.transform("__some", lambda s: X.display_ref(s["reg_code"], s["section_path"]))
+    size = _joined_size(F.col("__size"), _evidence_size(targets))
     out = (
-        targets.join(known, "item_id").withColumn("payload", F.to_json(body))
-        .withColumn("tokens", payload_tokens(F.col("payload"), F.size("__some")))
-        .withColumn("refs", refs)
-        .drop("__some")
+        targets.join(known, "item_id")
+        .withColumns({"payload": _joined_json(F.col("__head"), _evidence_json()), "tokens": _size_tokens(size, F.col("__n"))})
+        .drop("__head", "__size", "__n")
     )
     counts = ["dropped", "clipped", "refs"]
     return out.select(*[c for c in out.columns if c not in counts], *counts)
@@ -137,10 +169,12 @@ def verdict_rows(batched: DataFrame) -> DataFrame:
     """Batched items for the joins with their answers.
 
     Payloads and evidence texts stay behind, as prompts hold them already: of an
-    evidence text only whether there is one, as an empty text.
+    evidence text only whether there is one, as an empty text.  Marks of
+    :func:`judge_targets` tell it without the texts, so these do not go through the
+    shuffles that batched the items either.
     """
-    texts = [c for c in ("evidence_proposal", "evidence_golive") if c in batched.columns]
-    return batched.drop("payload").withColumns({c: F.when(F.col(c).isNotNull(), F.lit("")) for c in texts})
+    given = {c: F.col(mark) if mark in batched.columns else F.col(c).isNotNull() for c, mark in _GIVEN.items() if c in batched.columns}
+    return batched.drop("payload").withColumns({c: F.when(there, F.lit("")) for c, there in given.items()}).drop(*_GIVEN.values(), _SIZE)
 
 
 def template_drift(targets: DataFrame, canonical: DataFrame) -> DataFrame:

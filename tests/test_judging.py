@@ -482,3 +482,29 @@ def test_a_wave_reads_its_own_folder(spark, tmp_path, monkeypatch):
         out = judging.run_judge(rows, lambda prompt: '{"a":1}', ledger=str(tmp_path / "ledger"), calls_per_commit=4).collect()
         assert sorted((r["bundle_id"], r["batch_no"], r["response"]) for r in out) == sorted((f"b{b}", n, '{"a":1}') for b in range(12) for n in range(2))
     assert tables_read == [(), ("__wave",)] * 2
+
+
+def test_no_evidence_text_is_shuffled_for_verdicts(spark, canonical):
+    """Items are numbered and batched for the answers by marks of their texts; token counts are those of whole payloads."""
+    from sheaf.functions import text as X
+
+    def windows(node) -> list[list[str]]:
+        below = [w for i in range(node.children().size()) for w in windows(node.children().apply(i))]
+        own = [node.output().apply(i).name() for i in range(node.output().size())]
+        return [own, *below] if node.nodeName() == "Window" else below
+
+    rows = [item("b", j, f"1-{j}", prop="證據 “a” " * j, golive=None if j == 1 else "x\n\\y") for j in (1, 2)]
+    items = items_of(spark, rows)
+    capped, _ = judging.cap_items(judging.judge_targets(items))
+    for batched in (judging.evidence_payloads(capped), judging.payloads(capped, canonical)):
+        found = windows(judging.verdict_rows(batched)._jdf.queryExecution().optimizedPlan())
+        assert found and all("row_index" in w and not {"evidence_proposal", "evidence_golive"} & set(w) for w in found)
+    for r in judging.evidence_payloads(capped).withColumn("whole", X.estimate_tokens(F.col("payload"))).collect():
+        given = json.loads(r["payload"])
+        assert list(given) == ["item_id", "description", "proposal", "golive"] and r["tokens"] == r["whole"]
+        assert given["golive"] == ("（空白）" if r["item_id"] == "1-1" else "x\n\\y")
+    for r in judging.payloads(capped, canonical).collect():
+        given = json.loads(r["payload"])
+        assert list(given) == ["item_id", "description", "sections", "proposal", "golive"]
+        whole = spark.range(1).select(judging.payload_tokens(F.lit(r["payload"]), F.lit(len(given["sections"]))))
+        assert r["tokens"] == whole.first()[0]
