@@ -16,18 +16,22 @@ from sheaf.operators.scoring import answer_column
 KEY = "bundle_id"
 
 
-def pivot_rows(cells: DataFrame, columns: dict[str, str], keys: list[str], value: str = "value") -> DataFrame:
+def pivot_rows(cells: DataFrame, columns: dict[str, str], keys: list[str], value: str = "value", tasks: int = 0) -> DataFrame:
     """One row per grid row, one cleaned column per wanted letter.
 
     The letters are a fixed list, so one aggregation with a map-side combine
     does it; a repeated cell keeps its greatest value.  Blank cells are left
-    out before the shuffle, so a row without any value is no row.
+    out before the shuffle, so a row without any value is no row.  Texts are put
+    together by sorting, which takes memory in proportion to a task's rows: where
+    the session shuffles into fewer than ``tasks`` parts, cells are dealt to as many.
     """
     cleaned = X.clean(F.col(value)).alias("__v")
     wanted = cells.filter(F.col("col").isin(list(columns))).select(*keys, "row", "col", cleaned)
+    filled = wanted.filter(F.col("__v").isNotNull())
+    if tasks > int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        filled = filled.repartition(tasks, *keys, "row")
     return (
-        wanted.filter(F.col("__v").isNotNull())
-        .groupBy(*keys, "row")
+        filled.groupBy(*keys, "row")
         .agg(*[F.max(F.when(F.col("col") == letter, F.col("__v"))).alias(name) for letter, name in columns.items()])
     )
 
@@ -36,12 +40,12 @@ def pivot_rows(cells: DataFrame, columns: dict[str, str], keys: list[str], value
 
 
 def f01_rows(
-    cells: DataFrame, sheet: str = P.F01_SHEET, columns: dict[str, str] | None = None, start: int = P.F01_START_ROW
+    cells: DataFrame, sheet: str = P.F01_SHEET, columns: dict[str, str] | None = None, start: int = P.F01_START_ROW, tasks: int = 0
 ) -> DataFrame:
-    """Main-sheet rows with at least one filled column."""
+    """Main-sheet rows with at least one filled column; ``tasks`` as in :func:`pivot_rows`."""
     columns = columns or P.F01_COLUMNS
     grid = cells.filter((F.col("sheet") == sheet) & (F.col("row") >= start))
-    return pivot_rows(grid, columns, [KEY]).withColumnRenamed("row", "row_index")
+    return pivot_rows(grid, columns, [KEY], tasks=tasks).withColumnRenamed("row", "row_index")
 
 
 def f01_sub_refs(cells: DataFrame, sheets: list[tuple] | None = None, markers: list[str] | None = None) -> DataFrame:

@@ -113,7 +113,7 @@ EXPECTED["f01_x"] = f"SELECT * FROM (SELECT bundle_id, row AS row_index, {_F01_C
 
 @query("pivot_cells", "PRJ-01 PRJ-02", "SELECT * FROM f01_x")
 def pivot_cells(x: Inputs) -> DataFrame:
-    return layout.f01_rows(x.f01_cells())
+    return layout.f01_rows(x.f01_cells(), tasks=x.celled_tasks("orders"))
 
 
 EXPECTED["subs_x"] = f"SELECT bundle_id, sheet, row AS row_index, {_CLEAN.format('value')} AS corr_project_name FROM f01_subs WHERE {_CLEAN.format('value')} IS NOT NULL AND value NOT LIKE '%對應前頁填寫%'"

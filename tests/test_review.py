@@ -322,3 +322,15 @@ def test_rows_that_become_cells_are_spread(spark, tmp_path):
         spark.range(10 * inputs.CELLED_ROWS).withColumnRenamed("id", key).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
         df = inputs.Inputs(spark, str(tmp_path)).table(name)
         assert df.rdd.getNumPartitions() >= 10 and df.count() == 10 * inputs.CELLED_ROWS
+
+
+def test_rows_are_put_together_in_bounded_tasks(spark):
+    """Grid rows of a large table are sorted in as many parts as asked, not in those of the session."""
+    from sheaf.operators import layout
+
+    cells = spark.range(200).selectExpr(
+        "concat('b', id % 5) AS bundle_id", f"'{P.F01_SHEET}' AS sheet", "int(id div 2 + 4) AS row", "if(id % 2 = 0, 'D', 'F') AS col", "concat(' v', id) AS value"
+    )
+    plain, spread = layout.f01_rows(cells), layout.f01_rows(cells, tasks=50)
+    assert spread.rdd.getNumPartitions() == 50
+    assert sorted(map(repr, spread.collect())) == sorted(map(repr, plain.collect())) and plain.count() == 200
