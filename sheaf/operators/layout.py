@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -20,32 +21,33 @@ def pivot_rows(cells: DataFrame, columns: dict[str, str], keys: list[str], value
     """One row per grid row, one cleaned column per wanted letter.
 
     The letters are a fixed list, so one aggregation with a map-side combine
-    does it; a repeated cell keeps its greatest value.  Blank cells are left
-    out before the shuffle, so a row without any value is no row.  Texts are put
-    together by sorting, which takes memory in proportion to a task's rows: where
-    the session shuffles into fewer than ``tasks`` parts, cells are dealt to as many.
+    does it; a repeated cell keeps its greatest value.  A row without any value
+    is no row; that shows once it is put together, so that each text is cleaned
+    once, not for a filter as well.  Texts are put together by sorting, which
+    takes memory in proportion to a task's rows: where the session shuffles into
+    fewer than ``tasks`` parts, cells are dealt to as many.
     """
     cleaned = X.clean(F.col(value)).alias("__v")
     wanted = cells.filter(F.col("col").isin(list(columns))).select(*keys, "row", "col", cleaned)
-    filled = wanted.filter(F.col("__v").isNotNull())
     if tasks > int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        filled = filled.repartition(tasks, *keys, "row")
-    return (
-        filled.groupBy(*keys, "row")
-        .agg(*[F.max(F.when(F.col("col") == letter, F.col("__v"))).alias(name) for letter, name in columns.items()])
+        wanted = wanted.repartition(tasks, *keys, "row")
+    rows = wanted.groupBy(*keys, "row").agg(
+        *[F.max(F.when(F.col("col") == letter, F.col("__v"))).alias(name) for letter, name in columns.items()]
     )
+    return rows.filter(reduce(or_, [F.col(name).isNotNull() for name in columns.values()]))
 
 
 # ---- F01 -------------------------------------------------------------------
 
 
 def f01_rows(
-    cells: DataFrame, sheet: str = P.F01_SHEET, columns: dict[str, str] | None = None, start: int = P.F01_START_ROW, tasks: int = 0
+    cells: DataFrame, sheet: str = P.F01_SHEET, columns: dict[str, str] | None = None, start: int = P.F01_START_ROW, tasks: int = 0,
+    keys: Sequence[str] = (KEY,),
 ) -> DataFrame:
     """Main-sheet rows with at least one filled column; ``tasks`` as in :func:`pivot_rows`."""
     columns = columns or P.F01_COLUMNS
     grid = cells.filter((F.col("sheet") == sheet) & (F.col("row") >= start))
-    return pivot_rows(grid, columns, [KEY], tasks=tasks).withColumnRenamed("row", "row_index")
+    return pivot_rows(grid, columns, list(keys), tasks=tasks).withColumnRenamed("row", "row_index")
 
 
 def f01_sub_refs(cells: DataFrame, sheets: list[tuple] | None = None, markers: list[str] | None = None) -> DataFrame:
@@ -83,29 +85,34 @@ def f01_subject(rows: DataFrame) -> DataFrame:
 # ---- F02 -------------------------------------------------------------------
 
 
+def _answer_text(c: Column) -> Column:
+    return F.replace(F.replace(F.upper(c), F.lit("是"), F.lit("Y")), F.lit("否"), F.lit("N"))
+
+
 def norm_answer(c: Column) -> Column:
     """Y, N or null."""
-    s = F.replace(F.replace(F.upper(X.clean(c)), F.lit("是"), F.lit("Y")), F.lit("否"), F.lit("N"))
+    s = _answer_text(X.clean(c))
     return F.when(s.isin("Y", "N"), s)
 
 
-def _answer_rows(cells: DataFrame, question_ids: list[str], sheet: str) -> DataFrame:
+def _answer_rows(cells: DataFrame, question_ids: list[str], sheet: str, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """Question rows: number of the question, row and answer packed in one number.
 
     Texts become numbers at the cell, so a grid row is put together by a hash
-    aggregation, and the greatest number of a question is its last row.
+    aggregation, and the greatest number of a question is its last row.  Each
+    text is looked up once: a blank or any other one has no number, and rows
+    without a question drop out when they are put together.
     """
     ids = sorted(question_ids)  # the greatest id of a row's cells counts, as in a pivot
-    value = X.clean(F.col("value"))
-    answer = norm_answer(F.col("value"))
+    value = X.strip_cell(F.col("value"))
     number = X.lookup_map({q: k for k, q in enumerate(ids)})
-    code = F.when(answer == "Y", 2).when(answer == "N", 1)
-    grid = cells.filter((F.col("sheet") == sheet) & F.col("col").isin("A", "C")).select(
-        KEY, "row", F.when(F.col("col") == "A", number[value]).alias("q"), F.when(F.col("col") == "C", code).alias("a")
+    code = X.lookup_map({"Y": 2, "N": 1})
+    rows = cells.filter((F.col("sheet") == sheet) & F.col("col").isin("A", "C")).groupBy(*keys, "row").agg(
+        F.max(F.when(F.col("col") == "A", number[value])).alias("__q"),
+        F.max(F.when(F.col("col") == "C", code[_answer_text(value)])).alias("a"),
     )
-    rows = grid.filter("q IS NOT NULL OR a IS NOT NULL").groupBy(KEY, "row").agg(F.max("q").alias("__q"), F.max("a").alias("a"))
     packed = F.col("row").cast("bigint") * 4 + F.coalesce("a", F.lit(0))
-    return rows.filter(F.col("__q").isNotNull()).select(KEY, "__q", packed.alias("__last"))
+    return rows.filter(F.col("__q").isNotNull()).select(*keys, "__q", packed.alias("__last"))
 
 
 def _unpack(last: Column) -> Column:
@@ -122,12 +129,12 @@ def f02_answers(cells: DataFrame, question_ids: list[str], sheet: str = P.ASSESS
     return last.select(KEY, name.alias("qid"), _unpack(F.col("__last")).alias("answer"))
 
 
-def f02_wide_answers(cells: DataFrame, question_ids: list[str], sheet: str = P.ASSESS_SHEET) -> DataFrame:
+def f02_wide_answers(cells: DataFrame, question_ids: list[str], sheet: str = P.ASSESS_SHEET, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """The same answers, one row per bundle and one column per question."""
-    rows = _answer_rows(cells, question_ids, sheet)
+    rows = _answer_rows(cells, question_ids, sheet, keys)
     names = {k: answer_column(q) for k, q in enumerate(sorted(question_ids))}
-    wide = rows.groupBy(KEY).agg(*[F.max(F.when(F.col("__q") == k, F.col("__last"))).alias(n) for k, n in names.items()])
-    return wide.select(KEY, *[_unpack(F.col(answer_column(q))).alias(answer_column(q)) for q in question_ids])
+    wide = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("__q") == k, F.col("__last"))).alias(n) for k, n in names.items()])
+    return wide.select(*keys, *[_unpack(F.col(answer_column(q))).alias(answer_column(q)) for q in question_ids])
 
 
 def _at(sheet: str, row: int, col: str) -> Column:
@@ -156,7 +163,7 @@ def cached_scores(fixed: DataFrame) -> DataFrame:
     return fixed.select(KEY, *_cached())
 
 
-def _form_state(cells: DataFrame, spec: list[tuple], residual: str, header: str, treatment: str) -> DataFrame:
+def _form_state(cells: DataFrame, spec: list[tuple], residual: str, header: str, treatment: str, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """Fixed cells and the state of both follow-up sheets, from one pass over the grid.
 
     Cells are folded by (bundle, column) first, because which column of the
@@ -170,14 +177,16 @@ def _form_state(cells: DataFrame, spec: list[tuple], residual: str, header: str,
     treated = (F.col("sheet") == treatment) & below & value.isNotNull()
     fixed = [_at(s, r, c) for _, s, r, c in spec]
     number = X.to_number(value)
-    wanted = cells.filter(reduce(or_, [*fixed, head, filled, treated]))
-    by_column = wanted.groupBy(KEY, "col").agg(
+    # says less than the places, but a source can be read by it: question rows are not
+    near = F.col("sheet").isin(residual, treatment) | F.col("row").isin([r for _, _, r, _ in spec])
+    wanted = cells.filter(near & reduce(or_, [*fixed, head, filled, treated]))
+    by_column = wanted.groupBy(*keys, "col").agg(
         *[F.max(F.when(at, value)).alias(name) for at, (name, _, _, _) in zip(fixed, spec)],
         F.max(F.when(head, 1)).alias("__head"), F.max(F.when(filled, 1)).alias("__filled"), F.max(F.when(treated, 1)).alias("__treated"),
         F.max(F.when(filled & ~F.isnan(number), number)).alias("__max"),
     )
     place = F.struct(F.length("col").alias("n"), F.col("col").alias("c"), F.col("__max").alias("max"))
-    return by_column.groupBy(KEY).agg(
+    return by_column.groupBy(*keys).agg(
         *[F.max(name).alias(name) for name, _, _, _ in spec],
         F.min(F.when(F.col("__head") == 1, place))["max"].alias("residual_max_score"),
         F.coalesce(F.max("__filled") == 1, F.lit(False)).alias("residual_filled"),
@@ -197,16 +206,16 @@ def treatment_status(cells: DataFrame, sheet: str = P.TREATMENT_SHEET) -> DataFr
     return grid.groupBy(KEY).agg(F.lit(True).alias("treatment_filled"))
 
 
-def f02_forms(cells: DataFrame, f02_bundles: DataFrame) -> DataFrame:
+def f02_forms(cells: DataFrame, f02_bundles: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """One row per F02 bundle: stored scores, uplift answers, follow-up status."""
-    state = _form_state(cells, P.F02_FIXED_CELLS, P.RESIDUAL_SHEET, P.RESIDUAL_SCORE_HEADER, P.TREATMENT_SHEET)
+    state = _form_state(cells, P.F02_FIXED_CELLS, P.RESIDUAL_SHEET, P.RESIDUAL_SCORE_HEADER, P.TREATMENT_SHEET, keys)
     typed = state.select(
-        KEY, "filing_unit", *[norm_answer(F.col(f)).alias(f) for f in P.UPLIFT_FACTORS], *_cached(),
+        *keys, "filing_unit", *[norm_answer(F.col(f)).alias(f) for f in P.UPLIFT_FACTORS], *_cached(),
         "residual_filled", "residual_max_score", "treatment_filled",
     )
     return (
-        f02_bundles.select(KEY)
-        .join(typed, KEY, "left")
+        f02_bundles.select(*keys)
+        .join(typed, list(keys), "left")
         .withColumn("residual_filled", F.coalesce("residual_filled", F.lit(False)))
         .withColumn("treatment_filled", F.coalesce("treatment_filled", F.lit(False)))
     )

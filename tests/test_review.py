@@ -334,3 +334,41 @@ def test_rows_are_put_together_in_bounded_tasks(spark):
     plain, spread = layout.f01_rows(cells), layout.f01_rows(cells, tasks=50)
     assert spread.rdd.getNumPartitions() == 50
     assert sorted(map(repr, spread.collect())) == sorted(map(repr, plain.collect())) and plain.count() == 200
+
+
+def _written(spark, since):
+    from sheaf.functions import session
+
+    return [spark.read.parquet(path) for path in session._WRITTEN[since:]]
+
+
+def test_grids_are_folded_before_they_are_stored_or_joined(spark):
+    """A review stores rows and answers of the form files, not their cells; files that lose or are in no bundle count for nothing."""
+    from sheaf.functions import session
+
+    b = Bundles()
+    b.f01("a"), b.f01("a", rows=(ROW | {"D": "late"},), name="second.xlsx")
+    b.f02("a", answers=BASE), b.f02("a", answers=HIGH, name="second.xlsm")
+    b.put("a", "nowhere", P.F01_SHEET, {"D9": "lost"})
+    since = session.written_tables()
+    t = review.parse_bundles(*b.tables(spark))
+    stored = _written(spark, since)
+    cells = [r["sheet"] for df in stored if {"sheet", "col"} <= set(df.columns) for r in df.select("sheet").distinct().collect()]
+    assert not set(cells) - {P.F03_SHEET}
+    assert [r["project_name"] for r in t["f01_rows"].collect()] == [SERVICE]
+    (f02,) = t["f02"].collect()
+    assert {q: f02[scoring.answer_column(q)] for q in BASE} == BASE and "file_id" not in t["f02"].columns
+
+
+def test_tied_files_make_up_one_form(spark):
+    """Files of one kind with the same first number are one form: their cells meet in its rows, whatever file they stand in."""
+    question = next(iter(BASE))
+    f01, f02 = [P.F01_SHEET], [P.ASSESS_SHEET, P.RESIDUAL_SHEET, P.TREATMENT_SHEET]
+    files = [("a", n, i, f"{i}.xlsx", 1000, sheets, True, None) for i, n, sheets in (("x1", 0, f01), ("x2", 0, f01), ("y1", 0, f02), ("y2", 0, f02), ("y0", 1, f02))]
+    own = [("x1", P.F01_SHEET, 4, "D", "one"), ("x2", P.F01_SHEET, 4, "D", "two"), ("x2", P.F01_SHEET, 4, "F", "sys"), ("y2", P.ASSESS_SHEET, 9, "A", question),
+           ("y1", P.ASSESS_SHEET, 9, "C", "是"), ("y0", P.ASSESS_SHEET, 9, "C", "N"), ("y1", P.ASSESS_SHEET, 4, "I", "低"), ("y2", P.ASSESS_SHEET, 4, "I", "中")]
+    cells = [("a", f, s, r, c, v, None) for f, s, r, c, v in own]
+    t = review.parse_bundles(spark.createDataFrame(files, schemas.FILES), spark.createDataFrame(cells, schemas.CELLS))
+    assert [(r["row_index"], r["project_name"], r["affected_system_name"]) for r in t["f01_rows"].collect()] == [(4, "two", "sys")]
+    seen = {(r[scoring.answer_column(question)], r["cached_grade"]) for r in t["f02"].collect()}
+    assert seen == {("Y", max("低", "中"))}
