@@ -104,7 +104,7 @@ def _answer_rows(cells: DataFrame, question_ids: list[str], sheet: str, keys: Se
     without a question drop out when they are put together.
     """
     ids = sorted(question_ids)  # the greatest id of a row's cells counts, as in a pivot
-    value = X.strip_cell(F.col("value"))
+    value = X.strip(F.col("value"))
     number = X.lookup_map({q: k for k, q in enumerate(ids)})
     code = X.lookup_map({"Y": 2, "N": 1})
     rows = cells.filter((F.col("sheet") == sheet) & F.col("col").isin("A", "C")).groupBy(*keys, "row").agg(

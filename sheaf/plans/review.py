@@ -102,6 +102,8 @@ def parse_bundles(files: DataFrame, cells: DataFrame, overrides: DataFrame | Non
     by_file = [KEY, "file_id"]
     rows = materialise(layout.f01_rows(grids("f01"), keys=by_file).join(lead["f01"], by_file, "left_semi").drop("file_id"))
     scored = materialise(f02_scored(grids("f02"), ok["f02"].join(lead["f02"], KEY, "left"), by_file).drop("file_id"))
+    # few cells, but stored: else the rules make their texts anew for every test of them
+    subs = materialise(form_cells(cells.filter(F.col("sheet").isin([s for s, _, _ in P.F01_SUB_SHEETS])), forms, "f01"))
     f03 = materialise(form_cells(cells, forms, "f03"))
     risk = scored.select(KEY, "risk_score", "risk_grade", "filing_unit")
     return {
@@ -113,7 +115,7 @@ def parse_bundles(files: DataFrame, cells: DataFrame, overrides: DataFrame | Non
         "f02_bundles": ok["f02"],
         "f03_bundles": ok["f03"],
         "f01_rows": rows,
-        "f01_sub_refs": layout.f01_sub_refs(form_cells(cells, forms, "f01")),
+        "f01_sub_refs": layout.f01_sub_refs(subs),
         "f02": scored,
         "f03_identity": layout.f03_identity(f03, ok["f03"]),
         "f03_items": materialise(layout.f03_items(f03).join(ok["f03"], KEY, "left_semi")),
