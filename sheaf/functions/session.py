@@ -66,6 +66,17 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return back.select(*df.columns)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A table whose joins are merge joins, however small its files.
+
+    For stored tables with a row per key or more.  Spark takes their size to be
+    that of the files times the share of the columns read, which for a few
+    columns of a wide table is a small part of the rows' size in memory, and a
+    side that it takes to be small goes whole through the driver.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Fewer rows at once between the JVM and Python, for what is computed inside the block.

@@ -372,3 +372,21 @@ def test_tied_files_make_up_one_form(spark):
     assert [(r["row_index"], r["project_name"], r["affected_system_name"]) for r in t["f01_rows"].collect()] == [(4, "two", "sys")]
     seen = {(r[scoring.answer_column(question)], r["cached_grade"]) for r in t["f02"].collect()}
     assert seen == {("Y", max("低", "中"))}
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_assembled_bundles_send_no_table_whole(spark):
+    """Stored tables grow with the bundles, but a few columns of a wide one look small by their files."""
+    b = Bundles()
+    for n in range(3):
+        b.f01(f"b{n}")
+        b.f02(f"b{n}", cells=LOW_CACHE)
+        b.f03(f"b{n}")
+    t = review.parse_bundles(*b.tables(spark))
+    assert t["bundles"].count() == 3 and broadcasts(t["bundles"]) == 0
+    for name in ("f02", "f01_rows", "f03_items", "forms", "classified"):
+        few = t[name].select("bundle_id")
+        assert broadcasts(t["bundles"].join(few, "bundle_id", "left_semi")) == 0, name
