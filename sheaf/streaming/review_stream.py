@@ -17,6 +17,8 @@ from sheaf.plans.review import review_bundles
 from sheaf.streaming.state import BundleFiles, FirstFile, keep_state_on_disk
 
 KEY = "bundle_id"
+#: Groups of bundles whose files are one processor's state; fixed, as state is found by them.
+STATE_GROUPS = 1024
 
 
 def read_files(spark, path: str, max_files: int = 1000) -> DataFrame:
@@ -27,7 +29,8 @@ def read_files(spark, path: str, max_files: int = 1000) -> DataFrame:
 def write_cells_by_bundle(cells: DataFrame, path: str, buckets: int) -> None:
     """Cells in ``buckets`` folders by bundle, of which a batch of the stream reads those of its bundles."""
     bucket = _bucket(buckets).alias("bundle_bucket")
-    cells.select("*", bucket).repartition("bundle_bucket").write.mode("append").partitionBy("bundle_bucket").parquet(path)
+    # a folder is the work of as many tasks as its size asks for: by bucket alone there are no more tasks than folders
+    cells.select("*", bucket).hint("rebalance", F.col("bundle_bucket")).write.mode("append").partitionBy("bundle_bucket").parquet(path)
 
 
 def _bucket(buckets: int) -> Column:
@@ -40,7 +43,8 @@ def review_stream(
     """Reviews the bundles that a micro-batch touches, each with all of its files so far.
 
     The file rows of a bundle are keyed state, so a batch looks up its own
-    bundles only, however many there are.  It reviews these whole and writes one
+    bundles only, however many there are; processors are called for groups of
+    them (:class:`BundleFiles`).  It reviews these whole and writes one
     version of each under ``out/<table>/batch_id=n``; :func:`latest` reads the
     last version of every bundle.  Folders are named by batch and overwritten,
     and state goes back with a batch that runs again, so its result is there once.
@@ -52,8 +56,11 @@ def review_stream(
     """
     spark = files.sparkSession
     keep_state_on_disk(spark)
-    rows = files.select(KEY, F.col("file_idx").cast("long"), F.to_json(F.struct(*files.columns)).alias("row"))
-    kept = rows.groupBy(KEY).transformWithStateInPandas(BundleFiles(), "row string", "Update", "None")
+    rows = files.select(
+        F.pmod(F.xxhash64(KEY), F.lit(STATE_GROUPS)).alias("state_group"), F.col(KEY).cast("string").alias("bundle"),
+        F.col("file_idx").cast("long").cast("string").alias("file_idx"), F.to_json(F.struct(*files.columns)).alias("row"),
+    )
+    kept = rows.groupBy("state_group").transformWithStateInPandas(BundleFiles(), "row string", "Update", "None")
     touched = kept.select(F.from_json("row", files.schema).alias("f")).select("f.*")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Rows that a processor hands on at once.
 FRAME_ROWS = 1000
+#: Files of a bundle that are one entry of its state.
+PAGE_ROWS = 256
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -21,31 +24,59 @@ def keep_state_on_disk(spark: SparkSession) -> None:
 
 
 class BundleFiles(StatefulProcessor):
-    """The file rows of one bundle by position; hands on all of them whenever one arrives.
+    """The file rows of the bundles of one group; hands on all rows of a bundle whenever one of it arrives.
 
-    Only the keys of a batch are looked up.  A file that is sent again replaces
-    its row; of several rows for one position in a batch the greatest text counts.
+    Only the bundles of a batch are looked up.  A call of a processor and its
+    frames take far longer than a look at its state, so bundles come in groups,
+    and a bundle is one entry of up to ``PAGE_ROWS`` files, or several pages of
+    which all but the last are full.  A file that is sent again replaces its
+    row; of several rows for one position in a batch the greatest text counts.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.files = handle.getMapState("files", "file_idx long", "row string")
+        self.pages = handle.getMapState("pages", "bundle string, page int", "files string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, str] = {}
+        new: dict[str | None, dict[str | None, str]] = {}
         for frame in rows:
-            for idx, row in zip(frame["file_idx"].tolist(), frame["row"].tolist()):
-                new[idx] = max(new.get(idx, ""), row)
-        for idx, row in new.items():
-            self.files.updateValue((idx,), (row,))
+            # a frame may hold NaN for null
+            for bundle, idx, row in frame[["bundle", "file_idx", "row"]].itertuples(index=False, name=None):
+                own = new.setdefault(bundle if isinstance(bundle, str) else None, {})
+                at = idx if isinstance(idx, str) else None
+                own[at] = max(own.get(at, ""), row)
+        first = not self.pages.exists()
         out: list[str] = []
-        for _, row in self.files.iterator():
-            out.append(row[0])
-            if len(out) == FRAME_ROWS:
-                yield pd.DataFrame({"row": out})
-                out = []
+        for bundle, own in new.items():
+            for files in self._updated(bundle, own, first):
+                out += files
+                while len(out) >= FRAME_ROWS:
+                    yield pd.DataFrame({"row": out[:FRAME_ROWS]})
+                    out = out[FRAME_ROWS:]
         if out:
             yield pd.DataFrame({"row": out})
 
+    def _updated(self, bundle: str | None, new: dict[str | None, str], first: bool) -> Iterator[list[str]]:
+        """Rows of a bundle page by page, with the new ones put into its state; ``first``: its group has none yet."""
+        page, full = 0, True
+        while full:
+            kept = None if first else self.pages.getValue((bundle, page))
+            files = dict(json.loads(kept[0])) if kept else {}
+            known = len(files)
+            full = known == PAGE_ROWS
+            again = [idx for idx in files if idx in new] if known <= len(new) else [idx for idx in new if idx in files]
+            for idx in again:
+                files[idx] = new.pop(idx)
+            while not full and new and len(files) < PAGE_ROWS:
+                idx, row = new.popitem()
+                files[idx] = row
+            # new files that do not fit go on to the next page
+            full = full or bool(new)
+            if again or len(files) > known:
+                self.pages.updateValue((bundle, page), (json.dumps(list(files.items())),))
+            if files:
+                yield list(files.values())
+            page += 1
+
     def close(self) -> None:
         pass
 

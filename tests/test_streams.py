@@ -103,3 +103,69 @@ def test_a_batch_looks_up_its_own_bundles_only(spark, tmp_path, monkeypatch):
     review_stream.review_stream(stream, str(tmp_path / "cells"), str(tmp_path / "out"), str(tmp_path / "state"), cell_buckets=32).awaitTermination()
     assert sorted(n for n, _ in seen) == [3, 3, 200]
     assert sorted(len(b) for _, b in seen) == [1, 2, 200]
+
+
+class _Pages:
+    """State of one group as a dictionary, with the number of looks at it."""
+
+    def __init__(self):
+        self.kept, self.looks = {}, 0
+
+    def exists(self):
+        return bool(self.kept)
+
+    def getValue(self, key):
+        self.looks += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.looks += 1
+        self.kept[key] = value
+
+
+def test_files_of_many_bundles_are_one_call(monkeypatch):
+    """One call of the processor serves a group of bundles; each of them costs a look and an update, the first ones no look."""
+    import pandas as pd
+
+    from sheaf.streaming import state
+
+    monkeypatch.setattr(state, "PAGE_ROWS", 4)
+    monkeypatch.setattr(state, "FRAME_ROWS", 7)
+    files, pages, expected = state.BundleFiles(), _Pages(), {}
+    files.pages = pages
+
+    def arrive(rows):
+        frames = [pd.DataFrame(rows[k::2], columns=["bundle", "file_idx", "row"]) for k in range(2)]
+        out = list(files.handleInputRows((3,), iter(frames), None))
+        assert all(len(f) <= 7 for f in out)
+        for b, i, row in rows:
+            expected.setdefault(b, {})[i] = max(r for c, j, r in rows if (c, j) == (b, i))
+        touched = {b for b, _, _ in rows}
+        assert sorted(r for f in out for r in f["row"]) == sorted(r for b in touched for r in expected[b].values())
+
+    arrive([(f"b{n}", "0", f"b{n}/0") for n in range(500)])
+    assert pages.looks == 500
+    arrive([("b7", "1", "b7/1"), ("b9", "0", "again"), ("b9", "0", "again, greater"), (None, "0", "no bundle"), ("b8", None, "no place")])
+    rng = random.Random(5)
+    for n in range(40):
+        arrive([("hot", str(rng.randrange(30)), f"hot {n} {rng.random()}") for _ in range(rng.randrange(1, 6))] + [(None, "0", f"{n}"), ("b7", str(n % 9), f"{n}")])
+    before = pages.looks
+    arrive([("b3", "0", "third")])
+    assert pages.looks - before == 2
+
+
+def test_cells_of_a_folder_are_written_by_many_tasks(spark, tmp_path):
+    from sheaf import schemas
+
+    names = [c.split()[0] for c in schemas.CELLS.split(", ")]
+    cells = spark.range(0, 40_000, 1, 8).selectExpr("concat('b', id % 5) AS bundle_id", "'f' AS file_id", "'s' AS sheet", "CAST(id AS int) AS row", "'A' AS col", "sha2(CAST(id AS string), 256) AS value", "CAST(null AS string) AS formula").select(*names)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "256k")
+    try:
+        review_stream.write_cells_by_bundle(cells, str(tmp_path / "cells"), 2)
+    finally:
+        spark.conf.unset(key)
+    assert len(list((tmp_path / "cells").glob("bundle_bucket=*/*.parquet"))) >= 6
+    back = spark.read.parquet(str(tmp_path / "cells"))
+    assert back.groupBy("bundle_id").agg(F.countDistinct("bundle_bucket").alias("n")).filter("n > 1").isEmpty()
+    assert back.select(*names).exceptAll(cells).isEmpty() and back.count() == 40_000
